@@ -6,7 +6,10 @@ import public_tokenizers
 
 from latticework.llm.bpe import bpe_digests
 from latticework.llm.packing import pack_documents
+from latticework.llm.quality_model import quality
+from latticework.llm.quality_rules import line_rules
 from latticework.llm.token_counts import token_counts
+from latticework.llm.toxicity import toxicity
 
 
 def table(spark, sf_dir, name):
@@ -17,13 +20,25 @@ def op1_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_pattern_packing(spark, sf_dir):
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_line_rules(spark, sf_dir):
+    return line_rules(table(spark, sf_dir, "documents")).drop("cleaned")
+
+
+def op7_quality_model(spark, sf_dir):
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_bpe_codec(spark, sf_dir):
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_pattern_packing, op8_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op7_quality_model, op8_bpe_codec)}
 SQL: dict[str, str] = {}
