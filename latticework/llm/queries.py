@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 
 from latticework.llm.bpe import bpe_digests
+from latticework.llm.jaccard_join import jaccard_classes
 from latticework.llm.packing import pack_documents
 from latticework.llm.quality_model import quality
 from latticework.llm.quality_rules import line_rules
@@ -40,5 +41,9 @@ def op8_bpe_codec(spark, sf_dir):
     return bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op7_quality_model, op8_bpe_codec)}
+def op9_jaccard_join(spark, sf_dir):
+    return jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op7_quality_model, op8_bpe_codec, op9_jaccard_join)}
 SQL: dict[str, str] = {}
