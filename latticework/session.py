@@ -8,6 +8,7 @@ import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -43,3 +44,13 @@ class Scratch:
     def drop(self, name: str) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.top}/{name}")
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def likely(df: DataFrame, ids: DataFrame, columns: list[str], buckets: int = 1 << 18) -> DataFrame:
+    """Rows of df whose `columns` may be among those of ids: all that are, and some others.
+
+    ids are hashed to at most `buckets` numbers, 8 bytes each, which are broadcast; so df is thinned without a shuffle
+    at any size of ids, though less the more there are.
+    """
+    number = F.pmod(F.xxhash64(*columns), F.lit(buckets))
+    return df.join(F.broadcast(ids.select(number.alias("_bucket")).distinct()), number == F.col("_bucket"), "left_semi")
