@@ -9,6 +9,7 @@ from latticework.llm.jaccard_join import jaccard_classes
 from latticework.llm.packing import pack_documents
 from latticework.llm.quality_model import quality
 from latticework.llm.quality_rules import line_rules
+from latticework.llm.suffix_dedup import repeat_digests
 from latticework.llm.token_counts import token_counts
 from latticework.llm.toxicity import toxicity
 
@@ -33,6 +34,10 @@ def op4_line_rules(spark, sf_dir):
     return line_rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return repeat_digests(table(spark, sf_dir, "documents"), length=100)
+
+
 def op7_quality_model(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -45,5 +50,5 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op7_quality_model, op8_bpe_codec, op9_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op5_suffix_dedup, op7_quality_model, op8_bpe_codec, op9_jaccard_join)}
 SQL: dict[str, str] = {}
