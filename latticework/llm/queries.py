@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
+from latticework.llm.ann import nearest
 from latticework.llm.bpe import bpe_digests
 from latticework.llm.jaccard_join import jaccard_classes
 from latticework.llm.packing import pack_documents
@@ -50,5 +51,9 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_classes(table(spark, sf_dir, "documents"), width=4, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op5_suffix_dedup, op7_quality_model, op8_bpe_codec, op9_jaccard_join)}
+def op10_score_aware_search(spark, sf_dir):
+    return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op5_suffix_dedup, op7_quality_model, op8_bpe_codec, op9_jaccard_join, op10_score_aware_search)}
 SQL: dict[str, str] = {}
