@@ -54,3 +54,10 @@ def likely(df: DataFrame, ids: DataFrame, columns: list[str], buckets: int = 1 <
     """
     number = F.pmod(F.xxhash64(*columns), F.lit(buckets))
     return df.join(F.broadcast(ids.select(number.alias("_bucket")).distinct()), number == F.col("_bucket"), "left_semi")
+
+
+def split_by(df: DataFrame, ids: DataFrame, columns: list[str], buckets: int = 1 << 18) -> tuple[DataFrame, DataFrame]:
+    """Two parts of df: rows whose `columns` are certainly not among those of ids, and all others (see likely)."""
+    number = F.pmod(F.xxhash64(*columns), F.lit(buckets))
+    found = F.broadcast(ids.select(number.alias("_bucket")).distinct())
+    return df.join(found, number == F.col("_bucket"), "left_anti"), df.join(found, number == F.col("_bucket"), "left_semi")
