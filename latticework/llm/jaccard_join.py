@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from latticework.llm.common import balanced, documents, mix, shingles
 from latticework.llm.components import components
-from latticework.session import Scratch
+from latticework.session import Scratch, split_by
 
 GROUPS = 64
 #: A shingle in one of so many documents is put last in the order of prefixes.
@@ -315,3 +315,21 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             pairs = left.where(F.col("place") > most).select("a", "b", "over")
             step, most = step + 1, most * 8
     return labelled(member, "node", "component_id").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def first_of_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one document, that of smallest id, of each class of jaccard_classes; all columns as they are.
+
+    Texts without words are in no class and stay, as do rows without id. Of rows that share an id the first by text
+    stays. Only ids are compared across the table: rows whose id can't be among those to drop aren't shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "classes")
+    found = scratch.table(jaccard_classes(docs, width, percent, id_col, text_col).where("doc_id is not null"), "found")
+    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id"))
+    several = found.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("n")).where("n > 1").select("_id")
+    own = docs.columns
+    placed = docs.withColumn("_id", F.col(id_col).cast("long"))
+    calm, near = split_by(placed, scratch.table(gone.union(several).distinct(), "doubtful"), ["_id"])
+    left = near.join(gone.distinct(), "_id", "left_anti")
+    place = F.when(F.col("_id").isNull(), 1).otherwise(F.row_number().over(Window.partitionBy("_id").orderBy(F.col(text_col).asc_nulls_last())))
+    return calm.select(*own).unionByName(left.withColumn("_place", place).where("_place = 1").select(*own))

@@ -183,3 +183,18 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_row
 
     scored = src.mapInArrow(run, T.StructType([src.schema["doc_id"], T.StructField("score", T.DoubleType())]))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that quality() would give a score of threshold or more."""
+    src = documents(docs, id_col, text_col)
+    vectors, network = learn_quality(src, labels, most_rows)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            for i, j in balanced(batch.column(at), 1 << 20):
+                some = batch.slice(i, j - i)
+                yield some.filter(pa.array(network.scores(pooled(vectors, [t or "" for t in some.column(at).to_pylist()])) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -8,6 +8,7 @@ from latticework.llm.ann import nearest
 from latticework.llm.bpe import bpe_digests
 from latticework.llm.jaccard_join import jaccard_classes
 from latticework.llm.packing import pack_documents
+from latticework.llm.pii import pii_spans
 from latticework.llm.quality_model import quality
 from latticework.llm.quality_rules import line_rules
 from latticework.llm.suffix_dedup import repeat_digests
@@ -39,6 +40,10 @@ def op5_suffix_dedup(spark, sf_dir):
     return repeat_digests(table(spark, sf_dir, "documents"), length=100)
 
 
+def op6_revealing_terms(spark, sf_dir):
+    return pii_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_model(spark, sf_dir):
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,5 +60,5 @@ def op10_score_aware_search(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op5_suffix_dedup, op7_quality_model, op8_bpe_codec, op9_jaccard_join, op10_score_aware_search)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op5_suffix_dedup, op6_revealing_terms, op7_quality_model, op8_bpe_codec, op9_jaccard_join, op10_score_aware_search)}
 SQL: dict[str, str] = {}

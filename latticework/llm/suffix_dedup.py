@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticework.llm.common import Spans, balanced
-from latticework.session import Scratch, likely, ship
+from latticework.session import Scratch, likely, ship, split_by
 
 GRAM = 32
 #: Longer texts are cut into overlapping segments of so many bytes.
@@ -227,11 +227,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     scratch = Scratch(docs.sparkSession, "repeats")
     spans = scratch.table(repeat_spans(docs, scratch, length, id_col, text_col), "spans")
     placed = _placed(docs, id_col, text_col)
-    number = F.pmod(F.xxhash64("_doc", "_tag"), F.lit(1 << 18))
-    buckets = F.broadcast(spans.select(number.alias("_bucket")).distinct())  # 2^18 numbers at most
+    apart, near = split_by(placed, spans, ["_doc", "_tag"])
     own, whole = docs.columns, F.octet_length("_text").cast("long").alias("n_bytes")
-    calm = placed.join(buckets, number == F.col("_bucket"), "left_anti").select(*own, whole, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_text").cast("binary").alias("kept"))
-    hit = placed.join(buckets, number == F.col("_bucket"), "left_semi").join(spans, ["_doc", "_tag"], "left").select(*own, "_text", "spans")
+    calm = apart.select(*own, whole, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_text").cast("binary").alias("kept"))
+    hit = near.join(spans, ["_doc", "_tag"], "left").select(*own, "_text", "spans")
     schema = T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
     at = len(own)
 
