@@ -1,4 +1,476 @@
-"""The library's own queries on the driver tables, and the DuckDB SQL that gives the same rows."""
+"""The library's queries on the driver tables, and the DuckDB SQL that gives the same rows.
 
-QUERIES: dict = {}
+Bindings: points are the first three components of embeddings, matrices and metric groups come from lineitem, runs
+from orders, histories and documents from events. Values are rounded in both engines.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from latticework.functions import complex as C
+from latticework.functions import kernels as K
+from latticework.functions import names as N
+from latticework.functions import results as R
+from latticework.operators import boxes as B
+from latticework.operators import estimate as E
+from latticework.operators import matrix as M
+from latticework.operators import mesh as G
+from latticework.operators import report as T
+from latticework.operators import solve as S
+from latticework.session import Scratch
+from latticework.sources import points as P
+from latticework.sources import results as D
+from latticework.sources import samples as A
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, and its SQL."""
+
+    def put(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            SQL[fn.__name__] = sql
+        return fn
+
+    return put
+
+
+def rounded(df: DataFrame, digits: int = 9) -> DataFrame:
+    """df with its doubles rounded; adding 0 makes -0 a 0."""
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def table(spark, sf_dir, name):
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def points(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null and size(embedding) >= 3")
+    return e.select(F.col("vec_id").alias("id"), *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")))
+
+
+def ids(spark, sf_dir):
+    return points(spark, sf_dir).select("id")
+
+
+def sparse(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), F.col("l_quantity").alias("re"), F.lit(0.0).alias("im"))
+
+
+def square(spark, sf_dir):
+    """A complex square matrix of 100 rows: quantity and discount."""
+    return table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 100).alias("i"), (F.col("l_partkey") % 100).alias("j"), F.col("l_quantity").alias("re"), F.col("l_discount").alias("im"))
+
+
+def hundred(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 100).alias("id")).distinct()
+
+
+def parts(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
+
+
+def measured(spark, sf_dir):
+    """Vectors measured: each embedding is one, its components the entries."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    return e.select(F.col("vec_id").alias("vec"), F.posexplode("embedding").alias("idx", "v")).select("vec", "idx", F.col("v").cast("double").alias("re"), F.lit(0.0).alias("im"))
+
+
+PTS = "p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y, CAST(embedding[3] AS DOUBLE) AS z FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) >= 3)"
+TV = "sin(0.29 * (id + 1 + {o})) + 0.25 * cos(0.11 * (id + 1 + {o}))"
+XV = "x AS (SELECT id AS idx, " + TV.format(o=0) + " AS re FROM p)"
+CV = "c AS (SELECT id AS idx, sin(0.31 * (id + 1)) + 0.2 * cos(0.13 * (id + 1)) AS re, cos(0.17 * (id + 1)) AS im FROM {t})"
+SQM = "a AS (SELECT l_suppkey % 100 AS i, l_partkey % 100 AS j, sum(l_quantity) AS re, sum(l_discount) AS im FROM lineitem GROUP BY 1, 2), h AS (SELECT DISTINCT l_partkey % 100 AS id FROM lineitem)"
+PAIRS = "d AS (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS d, (SELECT count(*) FROM p) AS n FROM p a, p b)"
+R9 = "round({0}, 9) + 0.0 AS {1}"
+
+
+def r(expr: str, name: str, digits: int = 9) -> str:
+    return f"round({expr}, {digits}) + 0.0 AS {name}"
+
+
+def rs(pairs: dict[str, str], digits: int = 9) -> str:
+    return ", ".join(r(e, n, digits) for n, e in pairs.items())
+
+
+def uni(seed, sample, idx, tag) -> str:
+    return f"((('0x' || substr(md5('{seed}' || '|' || {sample} || '|' || {idx} || '|' || '{tag}'), 1, 12))::BIGINT + 0.5) / 281474976710656.0)"
+
+
+def gauss(seed, sample, idx, tag="") -> str:
+    return f"(sqrt(-2 * ln({uni(seed, sample, idx, tag + 'a')})) * cos(2 * pi() * {uni(seed, sample, idx, tag + 'b')}))"
+
+
+# --- matrices over points ---
+
+
+@query(f"""WITH {PTS}, {XV}, {PAIRS}, s AS (SELECT i, sum(x.re / (4 * pi() * n * CASE WHEN d = 0 THEN 1 ELSE d END) * CASE WHEN d = 0 THEN 4 * pi() * n ELSE 1 END) AS k FROM d JOIN x ON x.idx = d.j WHERE i <> j GROUP BY i)
+    SELECT x.idx, {r("x.re + coalesce(s.k, 0)", "re")}, 0.0 AS im FROM x LEFT JOIN s ON s.i = x.idx""")
+def mat3_kernel_apply(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return rounded(M.kernel_apply(p, P.test_vector(p)).select("idx", "re", "im"))
+
+
+@query(f"""WITH {PTS}, {PAIRS} SELECT i, {rs({"re": "sum(CASE WHEN d = 0 THEN 1 ELSE cos(2 * d) / (4 * pi() * n * d) END)", "im": "sum(CASE WHEN d = 0 THEN 0 ELSE sin(2 * d) / (4 * pi() * n * d) END)", "square": "sum(CASE WHEN d = 0 THEN 1 ELSE 1 / power(4 * pi() * n * d, 2) END)"}, 8)} FROM d GROUP BY i""")
+def joi1_kernel_matrix(spark, sf_dir):
+    a = M.kernel_matrix(points(spark, sf_dir), "helmholtz", 2.0)
+    return rounded(a.groupBy("i").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum(F.col("re") ** 2 + F.col("im") ** 2).alias("square")), 8)
+
+
+@query(f"""WITH {PTS}, {PAIRS} SELECT i, j, {rs({"gauss": "CASE WHEN d = 0 THEN 1 ELSE 1 / (n * exp(d * d)) END", "osc_re": "CASE WHEN d = 0 THEN 1 ELSE cos(d * d) / n END", "osc_im": "CASE WHEN d = 0 THEN 0 ELSE -sin(d * d) / n END", "lap": "CASE WHEN d = 0 THEN 1 ELSE 1 / (4 * pi() * n * d) END"})} FROM d WHERE i % 25 = 0""")
+def scl2_kernel_scalars(spark, sf_dir):
+    p = points(spark, sf_dir)
+    n = F.lit(p.count())
+    rows = p.where("id % 25 = 0")
+    out = M.kernel_pairs(rows, p, "gaussian", n).select("i", "j", F.col("value.re").alias("gauss"))
+    for name, cols in (("oscillating_gaussian", {"re": "osc_re", "im": "osc_im"}), ("laplace", {"re": "lap"})):
+        out = out.join(M.kernel_pairs(rows, p, name, n).select("i", "j", *(F.col(f"value.{k}").alias(v) for k, v in cols.items())), ["i", "j"])
+    return rounded(out)
+
+
+@query(f"""WITH {PTS}, {PAIRS} SELECT i, j, {rs({"plane": "CASE WHEN d = 0 THEN 0 ELSE -ln(d) / (2 * pi()) / n END", "space": "CASE WHEN d = 0 THEN 0 ELSE 1 / (4 * pi() * d) / n END", "diagonal": "(2 / pi()) * 0.0025 * 0.25 * (1.5 * ln(2 + sqrt(3)) - pi() / 4)"})} FROM d WHERE i % 25 = 1""")
+def scl3_grid_kernels(spark, sf_dir):
+    p = points(spark, sf_dir)
+    n = F.lit(p.count())
+    a, b = p.where("id % 25 = 1").alias("a"), p.alias("b")
+    d = K.distance(*(F.col(f"a.{c}") for c in "xyz"), *(F.col(f"b.{c}") for c in "xyz"))
+    pairs = a.crossJoin(b).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), d.alias("d"))
+    return rounded(pairs.select("i", "j", K.grid_kernel(F.col("d"), n, 2).alias("plane"), K.grid_kernel(F.col("d"), n, 3).alias("space"), F.lit(K.grid_diagonal(0.05, 3)).alias("diagonal")))
+
+
+@query(f"""WITH {PTS}, s AS (SELECT *, 0.6 * x + 0.8 * z AS ph, sqrt((x - 2) * (x - 2) + y * y + z * z) AS rr FROM p), t AS (SELECT *, -cos(2 * ph) AS tr, -sin(2 * ph) AS ti, 2 * (0.6 * x + 0.8 * z) * sin(2 * ph) AS nr, -2 * (0.6 * x + 0.8 * z) * cos(2 * ph) AS ni FROM s)
+    SELECT id, {rs({"mono": "1 / (4 * pi() * rr)", "tr": "tr", "ti": "ti", "nr": "nr", "ni": "ni", "cr": "nr + 2 * ti", "ci": "ni - 2 * tr", "br": "tr - ni / 2", "bi": "ti + nr / 2", "mx": "0 * z - 0.8 * y", "my": "0.8 * x - 0.6 * z", "mz": "0.6 * y - 0 * x"})} FROM t""")
+def scl4_incident_data(spark, sf_dir):
+    p = points(spark, sf_dir)
+    phase = 0.6 * F.col("x") + 0.8 * F.col("z")
+    own = p.select("*", K.plane_wave(phase, 2.0).alias("t"), K.plane_wave_normal(phase, phase, 2.0).alias("n"), K.monopole(K.distance(*(F.col(c) for c in "xyz"), F.lit(2.0), F.lit(0.0), F.lit(0.0)))["re"].alias("mono"))
+    c, b = K.combined(F.col("t"), F.col("n"), 2.0), K.burton_miller(F.col("t"), F.col("n"), 2.0)
+    turned = K.cross([F.lit(0.6), F.lit(0.0), F.lit(0.8)], [F.col(k) for k in "xyz"])
+    out = own.select("id", "mono", F.col("t.re").alias("tr"), F.col("t.im").alias("ti"), F.col("n.re").alias("nr"), F.col("n.im").alias("ni"), c["re"].alias("cr"), c["im"].alias("ci"), b["re"].alias("br"), b["im"].alias("bi"), *(t.alias(k) for t, k in zip(turned, ("mx", "my", "mz"), strict=True)))
+    return rounded(out)
+
+
+@query("""SELECT l_orderkey, l_linenumber, sum(l_quantity * l_discount - l_tax * l_extendedprice) AS unused, """ .replace("sum(l_quantity * l_discount - l_tax * l_extendedprice) AS unused, ", "") + rs({"add_re": "l_quantity + l_discount", "add_im": "l_tax + l_extendedprice", "mul_re": "l_quantity * l_discount - l_tax * l_extendedprice", "mul_im": "l_quantity * l_extendedprice + l_tax * l_discount", "modulus": "sqrt(l_quantity * l_quantity + l_tax * l_tax)", "in_re": "l_quantity * l_discount + l_tax * l_extendedprice", "in_im": "l_quantity * l_extendedprice - l_tax * l_discount", "e_re": "cos(l_tax)", "e_im": "sin(l_tax)"}, 6) + " FROM lineitem")
+def scl1_complex_scalars(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.cx(F.col("l_quantity"), F.col("l_tax")).alias("a"), C.cx(F.col("l_discount"), F.col("l_extendedprice")).alias("b"), "l_tax")
+    a, b = F.col("a"), F.col("b")
+    two = {"add": C.add(a, b), "mul": C.mul(a, b), "in": C.inner(a, b), "e": C.expi(F.col("l_tax"))}
+    return rounded(t.select("l_orderkey", "l_linenumber", *(v[k].alias(f"{n}_{k}") for n, v in two.items() for k in ("re", "im")), C.modulus(a).alias("modulus")), 6)
+
+
+# --- points, grids and vectors ---
+
+SIDE = "n AS (SELECT CAST(floor(sqrt(count(*))) AS BIGINT) AS n FROM embeddings)"
+
+
+def side(spark, sf_dir):
+    return math.isqrt(table(spark, sf_dir, "embeddings").count())
+
+
+@query(f"""WITH {SIDE}, g AS (SELECT n, unnest(range((n + 1) * (n + 1))) AS id FROM n) SELECT id, {rs({"x": "(id // (n + 1)) / n", "y": "(id % (n + 1)) / n", "z": "0.0"})} FROM g""")
+def src9_regular_grid(spark, sf_dir):
+    return rounded(P.regular_grid(spark, side(spark, sf_dir), 2))
+
+
+@query(f"""WITH {PTS}, k AS (SELECT count(*) AS n FROM p), c AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p), f AS (SELECT max(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) AS far FROM p, c),
+    d AS (SELECT id, id * (pi() * (3 - sqrt(5))) AS t, 1 - 2 * id / (n - 1) AS h FROM p, k) SELECT id, {rs({"x": "cx + 1.5 * far * sqrt(greatest(0, 1 - h * h)) * cos(t)", "y": "cy + 1.5 * far * sqrt(greatest(0, 1 - h * h)) * sin(t)", "z": "cz + 1.5 * far * h"}, 8)} FROM d, c, f""")
+def src10_sources(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return rounded(P.sources_around(p, p.select("id"), p.count(), 1.5), 8)
+
+
+@query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT unnest(range(16)) AS cell, n FROM n), k AS (SELECT cell, unnest(range(1, 1 + CAST(n // 16 + CASE WHEN cell < n % 16 THEN 1 ELSE 0 END AS BIGINT))) AS k FROM c)
+    SELECT cell, CAST(k AS INTEGER) AS k, {rs({"x": f"(cell % 4 + {uni(42, 'cell', 'k', 'x')}) / 4", "y": f"(cell // 4 + {uni(42, 'cell', 'k', 'y')}) / 4"})}, 0.000001 AS z FROM k""")
+def src11_square_points(spark, sf_dir):
+    return rounded(P.square_points(spark, 2, table(spark, sf_dir, "embeddings").count()))
+
+
+@query(f"""WITH {PTS}, b AS (SELECT (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz FROM p), s AS (SELECT id, 1 - 2 * {uni(42, "0", "id", "u")} AS h, 2 * pi() * {uni(42, "0", "id", "v")} AS t, x - cx AS dx, y - cy AS dy, z - cz AS dz FROM p, b)
+    SELECT id, {rs({"x": "sqrt(1 - h * h) * cos(t)", "y": "sqrt(1 - h * h) * sin(t)", "z": "h", "bx": "dx / sqrt(dx * dx + dy * dy + dz * dz)", "by": "dy / sqrt(dx * dx + dy * dy + dz * dz)", "bz": "dz / sqrt(dx * dx + dy * dy + dz * dz)"})} FROM s""")
+def src12_sphere_points(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return rounded(P.sphere_points(p).join(P.box_sphere_points(p).select("id", *(F.col(c).alias("b" + c) for c in "xyz")), "id"))
+
+
+@query(f"""WITH s AS (SELECT vec_id AS id, {uni(42, "0", "vec_id", "x")} AS cx, {uni(42, "0", "vec_id", "y")} AS cy, {uni(42, "0", "vec_id", "z")} AS cz, power({uni(42, "0", "vec_id", "r")}, 1 / 3) AS rr, 1 - 2 * {uni(42, "0", "vec_id", "u")} AS h, 2 * pi() * {uni(42, "0", "vec_id", "v")} AS t FROM embeddings WHERE embedding IS NOT NULL)
+    SELECT id, {rs({"x": "rr * sqrt(1 - h * h) * cos(t)", "y": "rr * sqrt(1 - h * h) * sin(t)", "z": "rr * h", "cx": "cx", "cy": "cy", "cz": "cz", "sx": "cx / greatest(cx, cy, cz)", "sy": "cy / greatest(cx, cy, cz)", "sz": "cz / greatest(cx, cy, cz)"})} FROM s""")
+def src13_ball_and_cube_points(spark, sf_dir):
+    i = ids(spark, sf_dir)
+    out = P.ball_points(i)
+    for k, df in (("c", P.cube_points(i)), ("s", P.cube_surface_points(i))):
+        out = out.join(df.select("id", *(F.col(c).alias(k + c) for c in "xyz")), "id")
+    return rounded(out)
+
+
+@query(f"""WITH k AS (SELECT count(*) AS n FROM embeddings), t AS (SELECT vec_id AS id, vec_id * (2 * pi() / n) AS t FROM embeddings, k WHERE vec_id < n) SELECT id, {rs({"x": "sin(t) + 2 * sin(2 * t)", "y": "cos(t) - 2 * cos(2 * t)", "z": "-sin(3 * t)", "nx": f"sin(t) + 2 * sin(2 * t) + 0.1 * {gauss(42, '0', 'id', 'x')}"}, 8)} FROM t""")
+def src14_trefoil(spark, sf_dir):
+    i, n = ids(spark, sf_dir), table(spark, sf_dir, "embeddings").count()
+    return rounded(P.trefoil_points(i, n).join(P.trefoil_points(i, n, 0.1).select("id", F.col("x").alias("nx")), "id"), 8)
+
+
+@query(f"""WITH {SIDE}, g AS (SELECT n, unnest(range(n * n)) AS id FROM n), k AS (SELECT count(*) AS m FROM embeddings), a AS (SELECT g.*, m FROM g, k) SELECT id, {rs({"x": "-1 + (id // n) * (2.0 / (n - 1))", "y": "0.25", "z": "-1 + (id % n) * (2.0 / (n - 1))", "angle": "id * (2 * pi() / (m - 1))", "rx": "cos(id * (2 * pi() / (m - 1)))", "ry": "sin(id * (2 * pi() / (m - 1)))"})} FROM a""")
+def src15_plane_and_ring(spark, sf_dir):
+    n = side(spark, sf_dir)
+    grid = P.plane_grid(spark, "xz", n, n, -1.0, 1.0, 0.25)
+    return rounded(grid.join(P.ring(grid.select("id"), table(spark, sf_dir, "embeddings").count()).select("id", "angle", F.col("x").alias("rx"), F.col("y").alias("ry")), "id"))
+
+
+@query(f"""WITH {SIDE}, g AS (SELECT n, unnest(range((n - 1) * (n - 1))) AS k FROM n), v AS (SELECT n, k, (k // (n - 1)) * n + k % (n - 1) AS v FROM g) SELECT 2 * k AS eid, v AS a, v + 1 AS b, v + n AS c FROM v UNION ALL SELECT 2 * k + 1, v + 1, v + n + 1, v + n FROM v""")
+def src16_grid_triangles(spark, sf_dir):
+    return P.grid_triangles(spark, side(spark, sf_dir))
+
+
+@query(f"""WITH s AS (SELECT unnest(range(10)) AS sample), i AS (SELECT vec_id AS idx FROM embeddings WHERE embedding IS NOT NULL) SELECT CAST(sample AS INTEGER) AS sample, idx, {rs({"re": gauss(42, "sample", "idx"), "im": gauss(42, "sample", "idx", "i")}, 8)} FROM s, i""")
+def src17_gaussian_samples(spark, sf_dir):
+    return rounded(P.gaussian_vectors(ids(spark, sf_dir), 10, complex_values=True), 8)
+
+
+@query(f"""WITH {PTS}, {CV.format(t="p")} SELECT c.idx, {rs({"re": TV.format(o=0), "half": TV.format(o=0.5), "c_re": "c.re", "c_im": "c.im"})}, 1.0 AS one FROM p JOIN c ON c.idx = p.id""")
+def src18_test_vectors(spark, sf_dir):
+    i = ids(spark, sf_dir)
+    out = P.test_vector(i).select("idx", "re").join(P.test_vector(i, 0.5).select("idx", F.col("re").alias("half")), "idx")
+    out = out.join(P.complex_test_vector(i).select("idx", F.col("re").alias("c_re"), F.col("im").alias("c_im")), "idx")
+    return rounded(out.join(P.unit_vectors(i).where("vec = idx").select("idx", F.col("re").alias("one")), "idx"))
+
+
+@query("""WITH k AS (SELECT DISTINCT 1.0 + l_linenumber AS kappa FROM lineitem), t AS (SELECT DISTINCT l_tax AS tolerance FROM lineitem), d AS (SELECT DISTINCT n_regionkey AS depth FROM nation) SELECT """ + rs({"kappa": "kappa", "h": "2 * pi() / (8 * kappa)", "tolerance": "tolerance"}) + """, depth, threads FROM k, t, d, (VALUES (1), (4)) AS w(threads)""")
+def src8_sweep(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    sizes = li.select((1.0 + F.col("l_linenumber")).alias("kappa"), F.lit(None).cast("double").alias("h")).distinct()
+    pairs = table(spark, sf_dir, "nation").select(F.lit(None).cast("int").alias("level"), F.col("n_regionkey").alias("depth")).distinct()
+    threads = spark.range(2).select(F.when(F.col("id") == 0, 1).otherwise(4).alias("threads"))
+    out = P.sweep(sizes, pairs, threads, li.select(F.col("l_tax").alias("tolerance")).distinct())
+    return rounded(out.select("kappa", "h", "tolerance", "depth", "threads"))
+
+
+@query("""SELECT vec_id AS id, vec_id // 128 AS block FROM embeddings WHERE embedding IS NOT NULL""")
+def win4_column_blocks(spark, sf_dir):
+    return B.block_index(ids(spark, sf_dir), 128)
+
+
+@query("""WITH p AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS place, count(*) OVER () AS n FROM embeddings WHERE embedding IS NOT NULL) SELECT CAST(place // CAST(ceil(n / 7) AS BIGINT) AS BIGINT) AS chunk, min(place) AS first, max(place) AS last FROM p GROUP BY 1""")
+def win4_work_chunks(spark, sf_dir):
+    return B.work_chunks(ids(spark, sf_dir), 7).select("chunk", F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
+
+
+# --- sparse matrices ---
+
+
+@query(f"""WITH x AS (SELECT l_partkey AS id, l_suppkey AS i, l_quantity AS q FROM lineitem) SELECT i AS idx, {r("sum(q * (" + TV.format(o=0) + "))", "re", 6)}, 0.0 AS im FROM x GROUP BY i""")
+def mat2_sparse_apply(spark, sf_dir):
+    return rounded(M.apply_matrix(sparse(spark, sf_dir), P.test_vector(parts(spark, sf_dir))).select("idx", "re", "im"), 6)
+
+
+@query(f"""WITH {SQM}, {CV.format(t="h")}, s AS (SELECT j, re, im, c.* FROM a JOIN c ON c.idx = a.i) SELECT mode, idx, {rs({"re": "re", "im": "im"}, 6)} FROM (
+    SELECT 'none' AS mode, i AS idx, sum(a.re * c.re - a.im * c.im) AS re, sum(a.re * c.im + a.im * c.re) AS im FROM a JOIN c ON c.idx = a.j GROUP BY i UNION ALL
+    SELECT 'transpose', j, sum(a.re * c.re - a.im * c.im), sum(a.re * c.im + a.im * c.re) FROM a JOIN c ON c.idx = a.i GROUP BY j UNION ALL
+    SELECT 'conj', i, sum(a.re * c.re + a.im * c.im), sum(a.re * c.im - a.im * c.re) FROM a JOIN c ON c.idx = a.j GROUP BY i UNION ALL
+    SELECT 'adjoint', j, sum(a.re * c.re + a.im * c.im), sum(a.re * c.im - a.im * c.re) FROM a JOIN c ON c.idx = a.i GROUP BY j)""".replace(", s AS (SELECT j, re, im, c.* FROM a JOIN c ON c.idx = a.i)", ""))
+def mat1_operator_modes(spark, sf_dir):
+    op, x = M.make_operator("matrix", square(spark, sf_dir)), P.complex_test_vector(hundred(spark, sf_dir))
+    out = None
+    for mode in ("none", "transpose", "conj", "adjoint"):
+        one = M.checked(op.apply(x, mode)).select(F.lit(mode).alias("mode"), "idx", "re", "im")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 6)
+
+
+@query(f"""WITH {SQM}, {CV.format(t="h")}, y AS (SELECT i AS idx, sum(a.re * c.re - a.im * c.im) AS re, sum(a.re * c.im + a.im * c.re) AS im FROM a JOIN c ON c.idx = a.j GROUP BY i)
+    SELECT j AS idx, {rs({"re": "sum(a.re * y.re + a.im * y.im)", "im": "sum(a.re * y.im - a.im * y.re)"}, 3)} FROM a JOIN y ON y.idx = a.i GROUP BY j""")
+def mat6_normal_operator(spark, sf_dir):
+    return rounded(M.apply_normal(square(spark, sf_dir), P.complex_test_vector(hundred(spark, sf_dir))).select("idx", "re", "im"), 3)
+
+
+@query(f"""WITH {SQM} SELECT i, j, {rs({"re": "re - tre", "im": "im - tim"}, 6)} FROM (SELECT coalesce(a.i, b.j) AS i, coalesce(a.j, b.i) AS j, coalesce(a.re, 0) AS re, coalesce(a.im, 0) AS im, coalesce(b.re, 0) AS tre, coalesce(b.im, 0) AS tim FROM a FULL JOIN a b ON a.i = b.j AND a.j = b.i)""")
+def mat4_difference(spark, sf_dir):
+    a = square(spark, sf_dir)
+    return rounded(M.difference(a, M.transpose(a)), 6)
+
+
+@query(f"""WITH {SQM} SELECT x.i, y.j, {rs({"re": "sum(x.re * y.re - x.im * y.im)", "im": "sum(x.re * y.im + x.im * y.re)"}, 4)} FROM a x JOIN a y ON x.j = y.i GROUP BY 1, 2""")
+def mat5_matrix_product(spark, sf_dir):
+    a = M.summed(square(spark, sf_dir))
+    return rounded(M.matrix_product(a, a), 4)
+
+
+@query(f"""WITH {SQM}, {CV.format(t="h")}, y AS (SELECT i AS idx, sum(a.re * c.re - a.im * c.im) AS re, sum(a.re * c.im + a.im * c.re) AS im FROM a JOIN c ON c.idx = a.j GROUP BY i)
+    SELECT i AS idx, {rs({"re": "sum(a.re * y.re - a.im * y.im)", "im": "sum(a.re * y.im + a.im * y.re)"}, 3)} FROM a JOIN y ON y.idx = a.j GROUP BY i""")
+def mat5_apply_product(spark, sf_dir):
+    a = square(spark, sf_dir)
+    return rounded(M.apply_product(a, a, P.complex_test_vector(hundred(spark, sf_dir))).select("idx", "re", "im"), 3)
+
+
+@query(f"""WITH {SQM}, u AS (SELECT i, j, re, im FROM a UNION ALL SELECT id, id, 0.5, 0 FROM h UNION ALL SELECT j, i, im, -re FROM a) SELECT i, j, {rs({"re": "sum(re)", "im": "sum(im)"}, 6)} FROM u GROUP BY 1, 2""")
+def mat7_linear_combination(spark, sf_dir):
+    a = square(spark, sf_dir)
+    return rounded(M.combine([(1, a), (0.5, M.identity(hundred(spark, sf_dir))), (-1j, M.transpose(a))], ["i", "j"]), 6)
+
+
+RANK1 = f"""{PTS}, {CV.format(t="p")}, y AS (SELECT id AS idx, {TV.format(o=0.5)} AS yr, 0.0 AS yi FROM p), nu AS (SELECT sqrt(sum(re * re + im * im)) AS n FROM c), nv AS (SELECT sqrt(sum(yr * yr + yi * yi)) AS n FROM y),
+    f AS (SELECT c.idx, re / nu.n AS ur, im / nu.n AS ui, yr / nv.n AS vr, yi / nv.n AS vi FROM c JOIN y ON y.idx = c.idx, nu, nv)"""
+
+
+@query(f"""WITH {RANK1}, {XV}, s AS (SELECT sum(vr * x.re) AS dr, sum(-vi * x.re) AS di FROM f JOIN x ON x.idx = f.idx), q AS (SELECT 0.003 / sqrt(5) * (dr - 2 * di) AS sr, 0.003 / sqrt(5) * (di + 2 * dr) AS si FROM s) SELECT idx, {rs({"re": "ur * sr - ui * si", "im": "ur * si + ui * sr"})} FROM f, q""")
+def mat8_rank_one_apply(spark, sf_dir):
+    i = ids(spark, sf_dir)
+    f = M.rank_one_factors(P.complex_test_vector(i), P.test_vector(i, 0.5), "complex_nonsymmetric", 3e-3)
+    return rounded(M.apply_rank_one(f, P.test_vector(i)).select("idx", "re", "im"))
+
+
+@query(f"""WITH {RANK1}, m AS (SELECT f.idx AS i, g.idx AS j, f.ur * g.vr + f.ui * g.vi AS r, f.ui * g.vr - f.ur * g.vi AS s FROM f, f g) SELECT i, {rs({"re": "sum(0.003 / sqrt(5) * (r - 2 * s))", "im": "sum(0.003 / sqrt(5) * (s + 2 * r))"})} FROM m GROUP BY i""")
+def mat8_rank_one_matrix(spark, sf_dir):
+    i = ids(spark, sf_dir)
+    f = M.rank_one_factors(P.complex_test_vector(i), P.test_vector(i, 0.5), "complex_nonsymmetric", 3e-3)
+    return rounded(M.rank_one_matrix(f).groupBy("i").agg(F.sum("re").alias("re"), F.sum("im").alias("im")))
+
+
+def _draws(t, n, seed):
+    return f"(SELECT CAST(s AS INTEGER) AS vec, id AS idx, {gauss(seed, 's', 'id')} AS re, 0.0 AS im FROM {t}, (SELECT unnest(range({n})) AS s))"
+
+
+@query(f"""WITH {SQM}, w AS {_draws("h", 3, 1)}, w2 AS {_draws("h", 3, 2)}, s AS (SELECT i, j, sum(re) / 2 AS re, sum(im) / 2 AS im FROM (SELECT i, j, re, im FROM a UNION ALL SELECT j, i, re, im FROM a) GROUP BY 1, 2), y AS (SELECT 'y' AS side, vec, a.i AS idx, a.re, a.im, w.re AS v FROM a JOIN w ON w.idx = a.j UNION ALL SELECT 'z', vec, a.j, a.re, a.im, w2.re FROM a JOIN w2 ON w2.idx = a.i)
+    SELECT side, vec, idx, {rs({"re": "sum(re * v)", "im": "sum(im * v)"}, 5)} FROM y GROUP BY 1, 2, 3""".replace(", s AS (SELECT i, j, sum(re) / 2 AS re, sum(im) / 2 AS im FROM (SELECT i, j, re, im FROM a UNION ALL SELECT j, i, re, im FROM a) GROUP BY 1, 2)", ""))
+def mat9_sketch_pair(spark, sf_dir):
+    a, h = M.summed(square(spark, sf_dir)), hundred(spark, sf_dir)
+    common = M.combine([(0.5, a), (0.5, M.transpose(a))], ["i", "j"])
+    w, w2 = (P.gaussian_vectors(h, 3, s).withColumnRenamed("sample", "vec") for s in (1, 2))
+    return rounded(M.sketch_pair(common, M.difference(a, common), w, w2), 5)
+
+
+@query(f"""WITH {SQM} SELECT i, j, {rs({"re": "re", "im": "im"}, 6)} FROM a WHERE j IN (SELECT id FROM h)""")
+def mat10_dense_assembly(spark, sf_dir):
+    return rounded(M.dense(square(spark, sf_dir), hundred(spark, sf_dir)), 6)
+
+
+@query(f"""WITH {SQM} SELECT {rs({"fro": "sqrt(sum(re * re + im * im))", "fro_im": "sqrt(sum(im * im))"}, 5)} FROM a""")
+def mat11_frobenius(spark, sf_dir):
+    return rounded(M.frobenius(M.adjoint(square(spark, sf_dir))), 5)
+
+
+@query(f"""WITH {PTS}, {XV}, t AS (SELECT id, x + 3 AS tx, y AS ty, z AS tz FROM p), k AS (SELECT t.id AS idx, sqrt((tx - p.x) * (tx - p.x) + (ty - p.y) * (ty - p.y) + (tz - p.z) * (tz - p.z)) AS d, x.re AS w FROM t, p JOIN x ON x.idx = p.id), s AS (SELECT idx, sum(cos(2 * d) / (4 * pi() * d) * w) AS sr, sum(sin(2 * d) / (4 * pi() * d) * w) AS si FROM k GROUP BY idx)
+    SELECT idx, {rs({"re": "sr - cos(2 * tx)", "im": "si - sin(2 * tx)"}, 8)} FROM s JOIN t ON t.id = s.idx""")
+def mat12_field(spark, sf_dir):
+    p = points(spark, sf_dir)
+    targets = p.withColumn("x", F.col("x") + 3)
+    weighted = p.join(P.test_vector(p).select(F.col("idx").alias("id"), F.col("re").alias("w_re"), F.col("im").alias("w_im")), "id")
+    wave = targets.select(F.col("id").alias("idx"), K.plane_wave(F.col("x"), 2.0).alias("w")).select("idx", "w.re", "w.im")
+    return rounded(M.coherent_sum(M.field(targets, weighted, "helmholtz", 2.0), wave), 8)
+
+
+@query(f"""WITH {PTS}, k AS (SELECT id AS d, id * (pi() * (3 - sqrt(5))) AS t, 1 - 2 * id / 3 AS h FROM p WHERE id < 4) SELECT CAST(d AS BIGINT) AS vec, p.id AS idx, {rs({"re": "-cos(2 * (x * sqrt(greatest(0, 1 - h * h)) * cos(t) + y * sqrt(greatest(0, 1 - h * h)) * sin(t) + z * h))", "im": "-sin(2 * (x * sqrt(greatest(0, 1 - h * h)) * cos(t) + y * sqrt(greatest(0, 1 - h * h)) * sin(t) + z * h))"})} FROM p, k""")
+def mat14_right_hand_sides(spark, sf_dir):
+    p = points(spark, sf_dir)
+    d = P.directions(p, 4).select(F.col("id").alias("vec"), *(F.col(c).alias("d" + c) for c in "xyz"))
+    wave = K.plane_wave(F.expr("x * dx + y * dy + z * dz"), 2.0)
+    return rounded(p.crossJoin(F.broadcast(d)).select("vec", F.col("id").alias("idx"), wave.alias("w")).select("vec", "idx", "w.re", "w.im"))
+
+
+@query("""SELECT l_suppkey AS i, l_partkey AS j, """ + r("sum(l_quantity)", "re", 6) + """, 0.0 AS im FROM lineitem WHERE l_suppkey % 3 = 0 AND l_partkey % 5 = 0 GROUP BY 1, 2""")
+def joi2_submatrix(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("id")).where("id % 3 = 0").distinct()
+    return rounded(M.summed(M.submatrix(sparse(spark, sf_dir), rows, parts(spark, sf_dir).where("id % 5 = 0"))), 6)
+
+
+@query(f"""WITH {SIDE}, g AS (SELECT n, unnest(range((n + 1) * (n + 1))) AS id FROM n), q AS (SELECT a.id AS i, a.n, sqrt(power((a.id // (a.n + 1) - b.id // (b.n + 1)) / a.n, 2) + power((a.id % (a.n + 1) - b.id % (b.n + 1)) / a.n, 2)) AS d FROM g a, g b) SELECT i, {r("sum(CASE WHEN d = 0 THEN 0 ELSE -ln(d) / (2 * pi()) END)", "total", 7)}, count(*) AS n FROM q GROUP BY i""")
+def joi7_offset_matrix(spark, sf_dir):
+    n = side(spark, sf_dir)
+    grid, step = P.regular_grid(spark, n, 2), F.lit(float(n))
+    own = spark.range((n + 1) ** 2).select(F.expr(f"cast(id div {n + 1} as int)").alias("d0"), F.expr(f"cast(id % {n + 1} as int)").alias("d1"), F.lit(0).alias("d2"))
+    values = own.withColumn("re", K.grid_kernel(F.sqrt((F.col("d0") / step) ** 2 + (F.col("d1") / step) ** 2), F.lit(1), 2)).withColumn("im", F.lit(0.0))
+    return rounded(M.offset_matrix(n, 2, grid, values).groupBy("i").agg(F.sum("re").alias("total"), F.count("*").alias("n")), 7)
+
+
+# --- estimates ---
+
+IMG = "w AS (SELECT CAST(s AS INTEGER) AS vec, id AS idx, {g} AS re FROM h, (SELECT unnest(range(5)) AS s)), m AS (SELECT vec, i AS idx, sum(a.re * w.re) AS re, sum(a.im * w.re) AS im FROM a JOIN w ON w.idx = a.j GROUP BY 1, 2)".format(g=gauss(42, "s", "id"))
+IMT = "t AS (SELECT vec, j AS idx, sum(a.re * w.re) AS re, sum(-a.im * w.re) AS im FROM a JOIN w ON w.idx = a.i GROUP BY 1, 2)"
+
+
+def samples(h, n=5, seed=42):
+    return P.gaussian_vectors(h, n, seed).withColumnRenamed("sample", "vec")
+
+
+@query(f"""WITH {SQM}, {IMG}, {IMT}, v AS (SELECT sum(re * re + im * im) AS s FROM m GROUP BY vec), g AS (SELECT sum(power(coalesce(m.re, 0) - coalesce(t.re, 0), 2) + power(coalesce(m.im, 0) - coalesce(t.im, 0), 2)) AS s FROM m FULL JOIN t ON t.vec = m.vec AND t.idx = m.idx GROUP BY coalesce(m.vec, t.vec)) SELECT {rs({"fro": "(SELECT sqrt(sum(s) / 5) FROM v)", "rel": "(SELECT sqrt(sum(s) / 5) FROM g) / greatest((SELECT sqrt(sum(s) / 5) FROM v), 1e-14)"}, 6)}""")
+def agg7_norms(spark, sf_dir):
+    a, w = square(spark, sf_dir), samples(hundred(spark, sf_dir))
+    y, z = M.apply_matrix(a, w), M.apply_matrix(a, w, "adjoint")
+    return rounded(E.frobenius_estimate(y).crossJoin(E.relative_difference(y, z)), 6)
+
+
+@query(f"""WITH {SQM}, {IMG}, {IMT}, g AS (SELECT coalesce(m.vec, t.vec) AS vec, sqrt(sum(power(coalesce(m.re, 0) - coalesce(t.re, 0), 2) + power(coalesce(m.im, 0) - coalesce(t.im, 0), 2))) AS d, sqrt(sum(coalesce(m.re * m.re + m.im * m.im, 0))) AS n FROM m FULL JOIN t ON t.vec = m.vec AND t.idx = m.idx GROUP BY 1) SELECT {r("max(d / n)", "max_err")} FROM g""")
+def agg8_max_error(spark, sf_dir):
+    a, w = square(spark, sf_dir), samples(hundred(spark, sf_dir))
+    return rounded(E.max_error(M.apply_matrix(a, w), M.apply_matrix(a, w, "adjoint")))
+
+
+@query(f"""WITH {SQM}, {IMG}, {IMT}, g AS (SELECT sqrt(sum(power(coalesce(m.re, 0) - coalesce(t.re, 0), 2) + power(coalesce(m.im, 0) - coalesce(t.im, 0), 2))) AS d, sqrt(sum(coalesce(m.re * m.re + m.im * m.im, 0))) AS n FROM m FULL JOIN t ON t.vec = m.vec AND t.idx = m.idx GROUP BY coalesce(m.vec, t.vec)) SELECT 0.0 AS adjoint, {r("max(d / n)", "self_adjoint")} FROM g""")
+def agg9_adjoint_defects(spark, sf_dir):
+    a, h = square(spark, sf_dir), hundred(spark, sf_dir)
+    one = E.adjoint_defect(a, samples(h), samples(h, seed=7)).select(F.col("defect").alias("adjoint"))
+    return rounded(one.crossJoin(E.self_adjoint_defect(a, samples(h)).select(F.col("defect").alias("self_adjoint"))))
+
+
+@query(f"""WITH {SQM}, {IMG}, q AS (SELECT sqrt(sum(re * re + im * im)) AS y, vec FROM m GROUP BY vec), z AS (SELECT sqrt(sum(re * re)) AS x, vec FROM w GROUP BY vec) SELECT {r("max(y / x)", "norm_2", 6)} FROM q JOIN z ON z.vec = q.vec""")
+def agg10_two_norm(spark, sf_dir):
+    return rounded(E.two_norm_estimate(square(spark, sf_dir), samples(hundred(spark, sf_dir))), 6)
+
+
+@query(f"""WITH {SQM}, c AS (SELECT id AS idx, {TV.format(o=0)} AS v, {TV.format(o=0)} + 0.001 * cos(id) AS u FROM h), b AS (SELECT i, sum(a.re * v) AS br, sum(a.im * v) AS bi, sum(a.re * u) AS ar, sum(a.im * u) AS ai FROM a JOIN c ON c.idx = a.j GROUP BY i) SELECT 0 AS vec, {rs({"err": "(SELECT sqrt(sum((u - v) * (u - v))) / sqrt(sum(v * v)) FROM c)", "residual": "(SELECT sqrt(sum(power(br - ar, 2) + power(bi - ai, 2))) / sqrt(sum(br * br + bi * bi)) FROM b)"})}""")
+def agg11_solve_check(spark, sf_dir):
+    a, x = square(spark, sf_dir), P.test_vector(hundred(spark, sf_dir))
+    near = x.withColumn("re", F.col("re") + 0.001 * F.cos("idx"))
+    return rounded(E.solve_check(a, x, near, M.apply_matrix(a, x)))
+
+
+@query("""SELECT o_orderkey, """ + rs({"cond_estimate": "sqrt(o_totalprice) * sqrt(o_custkey + 1)", "norm_apply_fro": "0.001 * o_totalprice", "err_solve_fro": "0.01 * sqrt(o_custkey)"}, 6) + """ FROM orders""")
+def agg15_derived(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("s1"), (F.col("o_custkey") + 1).alias("s2"), F.lit(0.001).alias("rel_fro"), F.col("o_totalprice").alias("norm_fro"), F.lit(0.01).alias("rel_solve"), F.col("o_custkey").alias("dim"))
+    return rounded(E.derived(o).select("o_orderkey", "cond_estimate", "norm_apply_fro", "err_solve_fro"), 6)
+
+
+@query(f"""WITH {SQM} SELECT {rs({"symmetry_defect": "sqrt(sum(power(re - tre, 2) + power(im - tim, 2))) / (SELECT greatest(sqrt(sum(re * re + im * im)), 1e-14) FROM a)", "imaginary_share": "(SELECT sqrt(sum(im * im)) / greatest(sqrt(sum(re * re + im * im)), 1e-14) FROM a)"})} FROM (SELECT coalesce(a.re, 0) AS re, coalesce(a.im, 0) AS im, coalesce(b.re, 0) AS tre, coalesce(b.im, 0) AS tim FROM a FULL JOIN a b ON a.i = b.j AND a.j = b.i)""")
+def agg23_route_consistency(spark, sf_dir):
+    return rounded(T.transpose_checks(M.summed(square(spark, sf_dir))))
+
+
+@query(f"""WITH {SQM}, b AS (SELECT i % 10 AS key, sqrt(sum(re * re + im * im)) AS n FROM a GROUP BY 1), c AS (SELECT i % 10 AS key, sqrt(sum(im * im)) AS n FROM a GROUP BY 1) SELECT b.key, {r("c.n / b.n", "ratio")} FROM b JOIN c ON c.key = b.key""")
+def agg21_box_error(spark, sf_dir):
+    a = M.summed(square(spark, sf_dir)).withColumn("key", F.col("i") % 10)
+    return rounded(T.norm_ratio(a, a.withColumn("re", F.lit(0.0)), ["key"]))
+
+
+@query()
+def itr1_power_iteration(spark, sf_dir):
+    h = hundred(spark, sf_dir)
+    return rounded(E.power_iteration(M.summed(square(spark, sf_dir)), samples(h, 1), steps=8), 3)
+
+
+def _shifted(spark, sf_dir):
+    """The square matrix with its largest row sum on the diagonal, so that it has an inverse."""
+    a = M.summed(square(spark, sf_dir))
+    top = a.groupBy("i").agg(F.sum("re").alias("s")).agg(F.max("s")).first()[0]
+    return M.combine([(1, a), (float(top), M.identity(hundred(spark, sf_dir)))], ["i", "j"])
+
+
+@query()
+def itr2_gmres(spark, sf_dir):
+    a = Scratch(spark, "shifted").table(_shifted(spark, sf_dir), "a")
+    x = P.test_vector(hundred(spark, sf_dir))
+    found, history = S.gmres(lambda v: M.apply_matrix(a, v), M.apply_matrix(a, x), tolerance=1e-8, restart=8, most=16)
+    out = E.solve_check(a, x, found, M.apply_matrix(a, x)).select("vec", (F.col("residual") < 1e-6).alias("solved"))
+    return out.withColumn("n_steps", F.lit(len(history)))
+
+
+@query()
+def mat13_block_solve(spark, sf_dir):
+    a, x = _shifted(spark, sf_dir), P.test_vector(hundred(spark, sf_dir))
+    boxes = hundred(spark, sf_dir).select((F.col("id") % 10).alias("key"), F.col("id").alias("idx"))
+    return rounded(S.block_solve(a, boxes, x), 9)
