@@ -1,0 +1,311 @@
+"""The numbered operators against brute force, on small fixtures with nulls, empties, ties, repeats and clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from tokenizers import Tokenizer
+
+from latticework.llm.ann import nearest
+from latticework.llm.bpe import bpe_digests, bpe_ids
+from latticework.llm.jaccard_join import first_of_classes, jaccard_classes, tree_pairs
+from latticework.llm.packing import pack_documents, plan
+from latticework.llm.pii import pii_spans, sanitise
+from latticework.llm.quality_model import good_documents, quality
+from latticework.llm.quality_rules import line_rules
+from latticework.llm.suffix_dedup import remove_repeats, repeat_digests
+from latticework.llm.token_counts import token_counts
+from latticework.llm.toxicity import FactorizationMachine, toxicity
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
+ODD = [
+    "", " ", "a", "two  blanks and a tail ", "tabs\tand\r\nlines\n\n  end", "don't we'll ''s", "<|endoftext|>", "x<|endoftext|> y <|startoftext|>z", "é é 漢字 🎉🎉", "\x1c\x85 　 x", "123 45 6a",
+    "word " * 3000, "x" * 4000, "The same text here.", "The same text here.", "\x00\x01",
+]
+CLASH = "doc_id long, text string, lang string, n_tokens long, score double, node long, _doc long, sequence_id string, `a b` string"
+
+
+def frame(spark, rows):
+    """Rows (doc_id, text) with other columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "en", 1, 0.5, 7, 9, "s", "x") for i, t in rows], CLASH)
+
+
+def odd_rows():
+    return [*enumerate(ODD), (100, None), (None, "no id at all"), (3, ODD[3]), (5, "another text of five")]
+
+
+def test_token_counts(spark):
+    tok = Tokenizer.from_file(WORDS)
+    got = token_counts(frame(spark, odd_rows()), WORDS, limit=100).collect()
+    want = [(i, len((t or "").encode()), len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t in odd_rows()]
+    assert collections.Counter((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == collections.Counter(want)
+    assert all(r.over_limit == (r.n_tokens > 100) for r in got)
+    assert token_counts(frame(spark, []), WORDS).count() == 0
+
+
+def test_bpe(spark):
+    tok = Tokenizer.from_file(BYTES)
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    want = []
+    for i, t in odd_rows():
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((i, len(ids), sha(",".join(map(str, ids))), sha(tok.decode(ids, skip_special_tokens=False))))
+    assert collections.Counter(map(tuple, bpe_digests(frame(spark, odd_rows()), BYTES).collect())) == collections.Counter(want)
+    assert bpe_ids(frame(spark, [(1, "a b")]), BYTES).first().ids == tok.encode("a b").ids
+    assert bpe_digests(frame(spark, []), BYTES).count() == 0
+
+
+def test_packing(spark):
+    tok = Tokenizer.from_file(BYTES)
+    rows = odd_rows()
+    got = pack_documents(frame(spark, rows), BYTES).collect()
+    texts = collections.defaultdict(list)
+    for i, t in rows:
+        texts[i].append(np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4"))
+    assert sum(r.length for r in got) == sum(len(x) for v in texts.values() for x in v)
+    for r in got:
+        assert any(zlib.crc32(x[r.start : r.start + r.length].tobytes()) == r.ids_crc32 for x in texts[r.doc_id])
+    ends = collections.defaultdict(int)
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == ends[r.sequence_id]
+        ends[r.sequence_id] += r.length
+    assert max(ends.values()) <= 1024
+    assert pack_documents(frame(spark, []), BYTES).count() == 0
+
+
+def test_plan_is_close_to_the_bound():
+    histogram = np.bincount(np.random.default_rng(0).integers(1, 1025, 20000), minlength=1025)
+    rows = plan(histogram, 1024)
+    given = np.bincount(rows[:, 0], rows[:, 2], 1025)
+    assert (given == histogram).all()
+    sequences = int((rows[:, 3] + rows[:, 2]).max())
+    assert sequences <= 1.005 * -(-int((histogram * np.arange(1025)).sum()) // 1024)
+
+
+def brute_rules(t):
+    w = WORD.findall(t)
+    windows = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    count, covered = collections.Counter(windows), set()
+    for i, x in enumerate(windows):
+        if count[x] > 1:
+            covered |= set(range(i, i + 5))
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    base = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered), base
+
+
+def test_line_rules(spark):
+    good = "This is a fine line of plain words that ends well.\nAnd here is another line, just as fine as the first."
+    rows = [*odd_rows(), (200, good), (201, good + "\nHome | News | About\nHome | Login | Help | Shop"), (202, "a | b | c | d\ne | f | g | h\ni | j | k | l"), (203, good + "\n" + good)]
+    got = line_rules(frame(spark, rows)).collect()
+    key = lambda r: (r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+    assert collections.Counter(map(key, got)) == collections.Counter((i, *brute_rules(t or "")) for i, t in rows)
+    by = {r.doc_id: r for r in got}
+    assert by[200].kept and by[201].kept and by[201].cleaned == good and not by[202].kept and not any(r.kept for r in got if r.base_failed)
+    assert line_rules(frame(spark, [])).count() == 0
+
+
+def brute_repeats(rows, length):
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        raw, spans = t.encode(), []
+        for p in range(len(raw) - length + 1):
+            if raw[p : p + length] in seen:
+                if spans and p <= spans[-1][1]:
+                    spans[-1][1] = p + length
+                else:
+                    spans.append([p, p + length])
+            seen.add(raw[p : p + length])
+        e = [0, *(x for s in spans for x in s), len(raw)]
+        kept = b"".join(raw[a:b] for a, b in zip(e[::2], e[1::2]))
+        out[i] = (len(raw), len(raw) - len(kept), len(spans), kept)
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats(spark, seed):
+    g = random.Random(seed)
+    line = "".join(g.choice("abcdefgh ") for _ in range(70))
+    passage = "".join(g.choice("abcdefghé ") for _ in range(150))
+    rows = [(0, ""), (1, "ab" * 200), (2, "ab" * 130 + "c"), (3, passage), (4, "x" + passage[20:] + "y"), (5, passage * 2), (6, "short")]
+    for i in range(7, 40):
+        rows.append((i, "".join(g.choice([line, passage, passage[:g.randrange(1, 150)], passage[g.randrange(150):], "".join(g.choice("abc") for _ in range(30))]) for _ in range(g.randrange(1, 6)))))
+    want = brute_repeats(rows, 100)
+    got = remove_repeats(frame(spark, rows)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == want
+    assert set(CLASH.replace("`", "").split(", ")[0].split()[:1]) <= set(got[0].asDict())
+
+
+def test_repeats_of_odd_rows(spark):
+    rows = odd_rows()
+    got = repeat_digests(frame(spark, [*rows, (None, "no id at all")])).collect()
+    assert len(got) == len(rows) + 1
+    assert {r.n_removed for r in got if r.doc_id == 100} == {0}
+    assert repeat_digests(frame(spark, [])).count() == 0
+
+
+def luhn(s):
+    return sum(x - 9 if x > 9 else x for x in (int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(s)))) % 10 == 0
+
+
+def brute_spans(t):
+    found = []
+    kinds = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
+    for n, (kind, pattern) in enumerate(kinds):
+        for m in re.finditer(pattern, t):
+            d = re.sub("[^0-9]", "", m[0])
+            ok = {"email": lambda: True, "ip": lambda: all(int(x) <= 255 for x in m[0].split(".")), "card": lambda: 14 <= len(d) <= 19 and luhn(d), "phone": lambda: 10 <= len(d) <= 15}[kind]()  # noqa: B023
+            if ok:
+                found.append((m.start(), n, kind, m.end()))
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(found))
+
+
+def test_personal_data(spark):
+    texts = [
+        "a@b.c@d.e x@y a.b@c.d.e.f_g@h.i", "1.2.3.4.5.6.7.8 001.2.3.4 999.1.1.1 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1111, 41111111111111111111111111", "+1 (555) 123-4567. +12 3 +49 30 1234567890 12",
+        "é 4111111111111111 日本 a@b.co", ".@a.b a..b@c.d-e.f", "x" * 3000 + "@" + "y" * 100 + ".z", "1" * 30000, "1-" * 8000 + "1", "@@a@b.c", "a@b.c._%a@d.e", "+1" * 50 + " +123456789012", "0000000000.0.0.0 ",
+    ]
+    rows = [*odd_rows(), *enumerate(texts, 300)]
+    got = pii_spans(frame(spark, rows)).collect()
+    want = collections.Counter((i, hashlib.sha256(brute_spans(t or "").encode()).hexdigest()) for i, t in rows)
+    assert collections.Counter((r.doc_id, r.base_sha256) for r in got) == want
+    assert pii_spans(frame(spark, [])).count() == 0
+
+
+def test_revealing_terms(spark):
+    """A term found with one address only, in three documents, reveals it; one found elsewhere too doesn't."""
+    rows = [(i, f"Please write to zorblat common anna@x.org about item {i}.") for i in range(3)] + [(i, f"Something common about nothing {i}.") for i in range(3, 30)]
+    got = {r.doc_id: r.spans for r in pii_spans(frame(spark, rows)).collect()}
+    assert got[0].startswith("term:0:6,term:7:12") and "term:16:23" in got[0] and "email:31:41" in got[0] and "term:24:30" not in got[0]
+    assert got[5] == ""
+    texts = {r.doc_id: r.text for r in sanitise(frame(spark, [*rows, (77, None)])).collect()}
+    assert "[EMAIL]" in texts[0] and "zorblat" not in texts[0] and "common" in texts[0] and texts[5] == rows[5][1] and texts[77] is None
+
+
+def brute_classes(rows, width, percent):
+    low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
+    sets, up = {}, {}
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(low))
+        sets[i] = {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+        up[i] = i
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = top(i), top(j)
+                up[max(a, b)] = min(a, b)
+    return {i: (len(sets[i]), top(i)) for i in sets}
+
+
+@pytest.mark.parametrize("width, percent", [(4, 85), (5, 80)])
+def test_jaccard_classes(spark, width, percent):
+    g = random.Random(width)
+    words = [f"w{k}" for k in range(400)]
+    base = [[g.choice(words) for _ in range(60)] for _ in range(6)]
+    rows = [(0, None), (1, ""), (2, "  \n"), (3, "One two"), (4, "one  TWO"), (5, "one two three")]
+    for i in range(6, 90):  # chains of small changes, so that classes hold texts that aren't alike themselves
+        k = g.randrange(6)
+        text = list(base[k])
+        for _ in range(g.randrange(3)):
+            text[g.randrange(60)] = g.choice(words)
+        if g.random() < 0.3:
+            base[k] = text
+        rows.append((i, " ".join(text)))
+    got = jaccard_classes(frame(spark, [*rows, (50, dict(rows)[50]), (None, "one two")]), width, percent).collect()
+    want = brute_classes(rows, width, percent)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got if r.doc_id is not None} == want
+    assert [r.component_id for r in got if r.doc_id is None] == [None]
+    kept = [r.doc_id for r in first_of_classes(frame(spark, rows), width, percent).collect()]
+    assert sorted(kept) == sorted(i for i, (n, c) in want.items() if c == i)
+    assert jaccard_classes(frame(spark, []), width, percent).count() == 0
+
+
+def test_tree_join_misses_nothing():
+    g = np.random.default_rng(1)
+    base = g.poisson(6, (8, 64))
+    point = np.maximum(0, base[g.integers(0, 8, 300)] + g.integers(-1, 2, (300, 64)) * (g.random((300, 64)) < 0.1)).astype(np.int32)
+    n, comp = point.sum(1), g.integers(0, 40, 300)
+    side = np.zeros(300, int)
+    got = {tuple(sorted(map(int, p))) for a, b in tree_pairs(n, point, comp, side, 85) for p in zip(a, b, strict=True)}
+    over = np.minimum(point[:, None], point[None]).sum(2)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if comp[i] != comp[j] and 185 * over[i, j] >= 85 * (n[i] + n[j])}
+    assert got == want
+
+
+def test_nearest(spark):
+    g = np.random.default_rng(3)
+    v = g.normal(size=(400, 16)).astype(np.float32)
+    v[50:90] = v[40]  # many equal vectors
+    rows = [(i, x.tolist(), 1.0) for i, x in enumerate(v)] + [(1000, None, 1.0), (1001, [0.0] * 16, 1.0), (1002, [float("nan")] * 16, 1.0), (1003, [1.0, None] * 8, 1.0), (1020, [1.0] * 3, 1.0), (None, [1.0] * 16, 1.0)]
+    got = collections.defaultdict(list)
+    for r in nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, score double"), k=20, every=20).collect():
+        got[r.query_id].append((r.rank, r.vec_id, r.score))
+    assert set(got) == set(range(0, 400, 20))
+    x, hits = v.astype(float), 0
+    for q, found in got.items():
+        score = x @ x[q]
+        want = sorted((i for i in range(400) if i != q), key=lambda i: (-score[i], i))[:20]
+        found = sorted(found)
+        assert [f[0] for f in found] == list(range(1, 21)) and np.allclose([f[2] for f in found], [score[f[1]] for f in found])
+        hits += len(set(want) & {f[1] for f in found})
+    assert hits >= 0.9 * 20 * len(got)
+    few = nearest(spark.createDataFrame([(0, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<float>")).collect()
+    assert [(r.query_id, r.rank, r.vec_id) for r in few] == [(0, 1, 1)]
+    assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def labelled(spark, g, bad):
+    words = ["thon", "erin", "ouwh", "stly", "andea", "tion", "hered", "inble"]
+    rows, labels = [], []
+    for i in range(300):
+        text = [g.choice(words) for _ in range(40)]
+        wrong = i % 3 == 0
+        rows.append((i, bad(text, g) if wrong else " ".join(text) + "."))
+        labels.append((i, int(not wrong), int(wrong)))
+    return rows, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_on_held_out_rows(spark):
+    g = random.Random(1)
+    rows, labels = labelled(spark, g, lambda t, g: " ".join([*t[:20], g.choice(["moronic", "idiot", "scum"]), *t[20:]]))
+    got = toxicity(frame(spark, [*rows, (900, None), (901, ""), (None, "idiot")]), labels).collect()
+    test = [r for r in got if r.held_out and r.doc_id < 300]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got if r.doc_id is not None)
+    assert sum(r.predicted == (r.doc_id % 3 == 0) for r in test) >= 0.97 * len(test) and all(0 <= r.score <= 1 for r in got) and len(got) == 303
+    assert toxicity(frame(spark, []), labels).count() == 0
+    assert toxicity(frame(spark, rows[:5]), labels.limit(0)).count() == 5
+
+
+def test_machine_learns_pairs():
+    """Neither feature tells alone; both together do."""
+    g = np.random.default_rng(0)
+    has = g.random((400, 2)) < 0.5
+    row, feature = np.nonzero(has)
+    label = (has[:, 0] & has[:, 1]).astype(float)
+    machine = FactorizationMachine(2)
+    machine.fit(feature, row, label)
+    assert (((machine.logits(feature, row, 400) > 0) == (label > 0)).mean()) == 1.0
+
+
+def test_quality_on_held_out_rows(spark):
+    g = random.Random(2)
+    rows, labels = labelled(spark, g, lambda t, g: g.choice([" ".join(w.upper() + "!!" for w in t), " | ".join(t), " ".join([t[0]] * 40)]))
+    docs = frame(spark, [*rows, (900, None), (901, "")])
+    got = quality(docs, labels).collect()
+    test = [r for r in got if r.held_out and r.doc_id < 300]
+    assert sum(r.predicted == (r.doc_id % 3 != 0) for r in test) >= 0.97 * len(test) and len(got) == 302
+    good = {r.doc_id for r in good_documents(docs, labels).collect()}
+    assert good == {r.doc_id for r in got if r.predicted}
+    assert quality(frame(spark, []), labels).count() == 0
