@@ -23,7 +23,7 @@ def point_boxes(points: DataFrame, depth: int) -> DataFrame:
     box = points.agg(*(F.min(c).alias(f"l{c}") for c in "xyz"), F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("side"))
     side = F.when(F.col("side") > 0, F.col("side")).otherwise(1.0)
     own = points.crossJoin(F.broadcast(box)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    cells = F.shiftleft(F.lit(1).cast("long"), F.col("level"))
+    cells = F.expr("shiftleft(1L, level)")
     index = [F.least(F.floor((F.col(c) - F.col(f"l{c}")) / side * cells).cast("long"), cells - 1).alias(f"i{c}") for c in "xyz"]
     return own.select("id", "level", *index).select("id", "level", _interleaved(depth).alias("key"), "ix", "iy", "iz")
 

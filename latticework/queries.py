@@ -14,18 +14,13 @@ from pyspark.sql import functions as F
 
 from latticework.functions import complex as C
 from latticework.functions import kernels as K
-from latticework.functions import names as N
-from latticework.functions import results as R
 from latticework.operators import boxes as B
 from latticework.operators import estimate as E
 from latticework.operators import matrix as M
-from latticework.operators import mesh as G
 from latticework.operators import report as T
 from latticework.operators import solve as S
 from latticework.session import Scratch
 from latticework.sources import points as P
-from latticework.sources import results as D
-from latticework.sources import samples as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
