@@ -10,13 +10,14 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticework.llm.common import balanced, documents, mix, shingles
 from latticework.llm.components import components
-from latticework.session import Scratch, split_by
+from latticework.session import Scratch, likely, split_by
 
 GROUPS = 64
 #: A shingle in one of so many documents is put last in the order of prefixes.
@@ -55,13 +56,15 @@ def common_shingles(docs: DataFrame, width: int, scratch: Scratch) -> np.ndarray
 
 
 def points(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> DataFrame:
-    """doc_id, s1, s2 (a 128-bit signature of the set), n (its size), point (counts of the groups), prefix (hashes).
+    """doc_id, s1, s2 (a 128-bit signature of the set), n (its size), point (counts of the groups), fine, prefix (hashes).
+
+    fine has the counts of as many finer groups as keep about eight shingles in a group, and is empty for small sets.
 
     The prefix holds the first n - ceil(n * percent / 100) + 1 shingles, uncommon ones first; two sets of that
     similarity always share a shingle of their prefixes.
     """
     shared = docs.sparkSession.sparkContext.broadcast(common)
-    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("s1", "s2", "n")), T.StructField("point", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
+    schema = T.StructType([docs.schema["doc_id"], *(T.StructField(n, T.LongType()) for n in ("s1", "s2", "n")), T.StructField("point", T.BinaryType()), T.StructField("fine", T.BinaryType()), T.StructField("prefix", T.ArrayType(T.LongType()))])
 
     def run(batches):
         common = np.append(shared.value, np.uint64(0))
@@ -76,7 +79,10 @@ def points(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Dat
                 if len(has):
                     signs[0, has] = np.add.reduceat(mix(h), first)
                     signs[1, has] = np.add.reduceat(mix(h ^ np.uint64(0x5DEECE66D)), first)
-                point = np.bincount(doc * GROUPS + (h >> np.uint64(58)).astype(np.int64), minlength=k * GROUPS).reshape(k, GROUPS).astype("<u4")
+                point = np.bincount(doc * GROUPS + (h >> np.uint64(58)).astype(np.int64), minlength=k * GROUPS).reshape(k, GROUPS).astype("<u2")
+                bits = np.maximum(np.ceil(np.log2(np.maximum(n, 1) / 8)), 6).astype(int)
+                starts = np.cumsum(n) - n
+                fine = [np.bincount((h[a : a + c] >> np.uint64(64 - b)).astype(np.int64), minlength=1 << b).astype("<u2").tobytes() if b > 6 else b"" for a, c, b in zip(starts, n, bits, strict=True)]
                 late = common[np.minimum(np.searchsorted(common[:-1], h), len(common) - 1)] == h
                 order = np.lexsort((h, late, doc))
                 place = np.arange(len(h)) - np.repeat(first, n[has])
@@ -84,7 +90,7 @@ def points(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Dat
                 keep = place < taken[doc]  # doc is in order, so it stays as it is
                 chosen, sizes = h[order][keep], np.bincount(doc[keep], minlength=k)
                 prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(chosen.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, k), pa.array(signs[0].view(np.int64)), pa.array(signs[1].view(np.int64)), pa.array(n.astype(np.int64)), pa.array([p.tobytes() for p in point], pa.binary()), prefix], schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, k), pa.array(signs[0].view(np.int64)), pa.array(signs[1].view(np.int64)), pa.array(n.astype(np.int64)), pa.array([p.tobytes() for p in point], pa.binary()), pa.array(fine, pa.binary()), prefix], schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -119,19 +125,27 @@ def needed(n_a, n_b, percent):
 
 
 def within_bound(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sizes and summed smaller counts allow a link."""
-    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("point").alias("p_a"))
-    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("point").alias("p_b"))
+    """Of the pairs (a, b) those whose sizes and summed smaller counts, of the finest groups both have, allow a link; with over, that sum."""
+    counts = F.when(F.length("fine") > 0, F.col("fine")).otherwise(F.col("point"))
+    one = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), counts.alias("p_a"))
+    two = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), counts.alias("p_b"))
 
     def run(batches):
         for batch in batches:
             if batch.num_rows:
-                p, q = (np.frombuffer(b"".join(batch.column(k).to_pylist()), "<u4").reshape(-1, GROUPS) for k in (3, 5))
-                keep = np.minimum(p, q).sum(1) >= needed(np.asarray(batch.column(2)), np.asarray(batch.column(4)), percent)
-                yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], ["a", "b"])
+                p, q = (batch.column(k).to_pylist() for k in (3, 5))
+                over = np.zeros(batch.num_rows, np.int64)
+                for k, (x, y) in enumerate(zip(p, q, strict=True)):
+                    x, y = np.frombuffer(x, "<u2"), np.frombuffer(y, "<u2")
+                    if len(x) != len(y):  # neighbouring fine groups make up a coarser one
+                        m = min(len(x), len(y))
+                        x, y = (v.reshape(m, -1).sum(1) for v in (x, y))
+                    over[k] = np.minimum(x, y).sum()
+                keep = pa.array(over >= needed(np.asarray(batch.column(2)), np.asarray(batch.column(4)), percent))
+                yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(over).filter(keep)], ["a", "b", "over"])
 
     both = pairs.join(one, "a").join(two, "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
-    return both.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(run, "a long, b long").distinct()
+    return both.select("a", "b", "n_a", "p_a", "n_b", "p_b").mapInArrow(run, "a long, b long, over long").distinct()
 
 
 def tree_pairs(n: np.ndarray, point: np.ndarray, comp: np.ndarray, side: np.ndarray, percent: int):
@@ -172,7 +186,7 @@ def tree_pairs(n: np.ndarray, point: np.ndarray, comp: np.ndarray, side: np.ndar
             if same:
                 ok &= p[:, None] < q[None]
             i, j = np.nonzero(ok)
-            out.append((p[i], q[j], over[i, j]))
+            out.append((p[i], q[j]))
 
     out: list = []
     blocks = [np.flatnonzero(side == s) for s in np.unique(side)]
@@ -184,7 +198,7 @@ def tree_pairs(n: np.ndarray, point: np.ndarray, comp: np.ndarray, side: np.ndar
 
 
 def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """a, b, comp_a, comp_b, over: pairs of nodes of a key, of different components, that the trees' bounds allow.
+    """a, b: pairs of nodes of a key, of different components, that the trees' bounds allow.
 
     members: key, node, n, comp, point. Keys of more than BLOCK nodes are dealt out to blocks; each pair of blocks
     is a task's run of rows, of at most about twice BLOCK.
@@ -197,14 +211,12 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
     def join(held):
         columns = [np.concatenate([np.asarray(b.column(k)) for b in held]) for k in (3, 4, 5, 6)]
         side, node, n, comp = columns
-        point = np.frombuffer(b"".join(x for b in held for x in b.column(7).to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int32)
+        point = np.frombuffer(b"".join(x for b in held for x in b.column(7).to_pylist()), "<u2").reshape(-1, GROUPS).astype(np.int32)
         found = tree_pairs(n, point, comp, side, percent)
         if not found:
             return None
-        a, b, over = (np.concatenate([f[k] for f in found]) for k in range(3))
-        swap = comp[a] > comp[b]
-        a, b = np.where(swap, b, a), np.where(swap, a, b)
-        return pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b]), pa.array(comp[a]), pa.array(comp[b]), pa.array(over.astype(np.int64))], ["a", "b", "comp_a", "comp_b", "over"])
+        a, b = (np.concatenate([f[k] for f in found]) for k in range(2))
+        return pa.RecordBatch.from_arrays([pa.array(node[np.where(node[a] < node[b], a, b)]), pa.array(node[np.where(node[a] < node[b], b, a)])], ["a", "b"])
 
     def run(batches):
         held, now = [], None
@@ -224,36 +236,33 @@ def cross_pairs(members: DataFrame, percent: int) -> DataFrame:
         if held and (out := join(held)) is not None:
             yield out
 
-    return ordered.mapInArrow(run, "a long, b long, comp_a long, comp_b long, over long")
-
+    return ordered.mapInArrow(run, "a long, b long")
 
-def shingle_sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """node and set (sorted hashes, packed) of the documents whose ids are in nodes."""
-
-    def run(batches):
-        for batch in batches:
-            for i, j in balanced(batch.column(1), 1 << 21):
-                h, doc = shingles(_rows(batch, i, j), width)
-                ends = np.cumsum(np.bincount(doc, minlength=j - i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([x.tobytes() for x in np.split(h, ends[:-1])], pa.binary())], ["node", "set"])
 
-    return docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").mapInArrow(run, "node long, set binary")
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node and text of the documents whose ids are in nodes."""
+    wanted = nodes.withColumnRenamed("node", "doc_id")
+    return likely(docs, wanted, ["doc_id"], 1 << 20).join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text")
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those whose sets are linked, counted exactly."""
+def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those whose sets are linked, counted exactly from their texts, which are smaller than sets of hashes."""
 
     def run(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
+            for i, j in balanced(pc.binary_join_element_wise(batch.column(2), batch.column(3), ""), 1 << 21):
+                n = j - i
+                raw = [t.encode().lower() if t else b"" for k in (2, 3) for t in batch.column(k).slice(i, n).to_pylist()]
+                h, doc = shingles(raw, width)
+                sets = np.split(h, np.cumsum(np.bincount(doc, minlength=2 * n))[:-1])
+                keep = []
+                for a, b in zip(sets[:n], sets[n:], strict=True):
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    keep.append(both > 0 and 100 * both >= percent * (len(a) + len(b) - both))
+                yield pa.RecordBatch.from_arrays([batch.column(k).slice(i, n).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("set_b")), "b")
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long").distinct()
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -277,17 +286,21 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     real = rows.where("doc_id is not null and n > 0")
     first = real.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("node"))
     member = scratch.table(rows.select("doc_id", "s1", "s2", "n").join(first, ["s1", "s2", "n"], "left").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.coalesce("node", "doc_id")).alias("node")), "members")
-    own = real.join(first, ["s1", "s2", "n"]).where("doc_id = node")
-    sets = scratch.table(own.select("node", "n", "point").dropDuplicates(["node", "n", "point"]), "sets")
+    # rows of a set's first document; those whose id can't be another's copy aren't shuffled
+    single, near = split_by(real, member.where("node <> doc_id").select("doc_id"), ["doc_id"])
+    columns = ["doc_id", "n", "point", "fine", "prefix"]
+    own = single.select(*columns).unionByName(near.join(first, ["s1", "s2", "n"]).where("doc_id = node").select(*columns)).withColumnRenamed("doc_id", "node")
+    sets = scratch.table(own.drop("prefix").dropDuplicates(["node", "n", "point"]), "sets")
     shared = scratch.table(shared_keys(own.select(F.explode("prefix").alias("key"), "node")), "shared")
+    scratch.drop("points")
 
     leads = within_bound(shared.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), sets, percent)
-    leads = scratch.table(leads, "leads")
-    texts = scratch.table(shingle_sets(src, leads.select(F.col("a").alias("node")).union(leads.select("b")).distinct(), width), "texts")
+    leads = scratch.table(leads.select("a", "b"), "leads")
+    texts = scratch.table(texts_of(src, leads.select(F.col("a").alias("node")).union(leads.select("b")).distinct()), "texts")
     # rows of one id with different texts
     several = member.where("node is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a < z").drop("z")
     several = several.join(member, "doc_id").select("a", F.col("node").alias("b")).where("a <> b")
-    links = scratch.table(linked(leads, texts, percent).unionByName(several), "links-0")
+    links = scratch.table(linked(leads, texts, width, percent).unionByName(several), "links-0")
     label = components(links, scratch, "first")
 
     def labelled(df, column, out):
@@ -298,10 +311,10 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     here = shared.join(open_keys, "key", "left_semi")
     here = here.select("key", "node").union(here.select("key", "leader")).distinct()
     pairs = cross_pairs(labelled(here, "node", "comp").join(sets, "node").select("key", "node", "n", "comp", "point"), percent)
-    pairs = scratch.table(pairs.groupBy("a", "b").agg(F.max("over").alias("over")), "pairs")
+    pairs = scratch.table(within_bound(pairs.distinct(), sets, percent), "pairs")
     if not pairs.isEmpty():
         more = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(texts, "node", "left_anti")
-        texts = texts.unionByName(scratch.table(shingle_sets(src, more, width), "more"))
+        texts = texts.unionByName(scratch.table(texts_of(src, more), "more"))
         step, most = 0, 8
         while True:
             left = labelled(labelled(pairs, "a", "comp_a"), "b", "comp_b").where("comp_a <> comp_b")
@@ -309,7 +322,7 @@ def jaccard_classes(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
             left = scratch.table(left.withColumn("place", place).select("a", "b", "over", "place"), f"left-{step}")
             if left.isEmpty():
                 break
-            found = linked(left.where(F.col("place") <= most).select("a", "b"), texts, percent)
+            found = linked(left.where(F.col("place") <= most).select("a", "b"), texts, width, percent)
             links = scratch.table(links.unionByName(found), f"links-{step + 1}")
             label = components(links, scratch, f"then-{step}")
             pairs = left.where(F.col("place") > most).select("a", "b", "over")
