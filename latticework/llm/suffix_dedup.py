@@ -1,16 +1,17 @@
 """Removal of byte strings that occur earlier in the corpus, by doubling of position ranks.
 
 A rank stands for the string that begins at a position: equal strings, equal ranks. Spark sorts positions by rank at
-32 bytes, and only those whose rank is not unique go on, as pairs of that rank and the rank of the longer string
-around it, up to 100 bytes. Starting from every position would sort a row a byte; instead every 100-byte window is
-represented at 32 bytes by the least-hashed position in it (of 69), which is the same for equal windows, so
-about one position in 35 is sorted and no repeat is missed.
+32 bytes; those whose rank is not unique go on to rank pairs that span 66 bytes, and those of them that still are not
+unique to 100 bytes. Starting from every position would sort a row a byte; instead every 100-byte window is
+represented at 32 bytes by the least-hashed position in it (of 69), which is the same for equal windows, so about one
+position in 35 is sorted and no repeat is missed.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +24,12 @@ GRAM = 32
 SEGMENT = 1 << 21
 FLUSH = 1_000_000
 PLACE_BITS = np.uint64(24)
-NAMES = ["kind", "gram", "context", "doc", "tag", "low", "high"]
-SCHEMA = "kind byte, gram long, context long, doc long, tag int, low int, high int"
-COVERED, OPEN = 1, 2
+#: A row: gram (the rank that must be shared), context (a hash of the row's whole string, then the offset of its
+#: anchor and the number of its window starts less one, of WIDTH bits each), doc, place (tag and first start).
+#: A row with context below 0 is a repeat: the bytes from its start up to -context.
+WIDTH = 10
+NAMES = ["gram", "context", "doc", "place"]
+SCHEMA = "gram long, context long, doc long, place long"
 
 
 def _segments(batch, length):
@@ -57,7 +61,7 @@ def _first_windows(n_gram: int, gram: np.ndarray) -> np.ndarray:
 
 
 def anchors(segments, length: int):
-    """Arrays gram, context, doc, tag, low, high of the runs of window starts low..high that share an anchor."""
+    """Arrays gram, context, doc, place of the runs of window starts that share an anchor."""
     spans = Spans([s[3] for s in segments])
     n = len(spans.buf)
     at = np.arange(n - GRAM + 1)
@@ -72,9 +76,22 @@ def anchors(segments, length: int):
     last[:-1] &= (least[:-1] != least[1:]) | ~valid[1:]
     low, high = np.flatnonzero(new), np.flatnonzero(last)
     anchor, own = least[low], owner[low]
-    context = spans.hashes(low, high + length) ^ ((anchor - low).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
     doc, tag, offset = (np.array([s[k] for s in segments], np.int64)[own] for k in range(3))
-    return [gram[anchor].view(np.int64), context.view(np.int64), doc, tag, low - spans.begin[own] + offset, high - spans.begin[own] + offset]
+    return [gram[anchor].view(np.int64), _context(spans.hashes(low, high + length), anchor - low, high - low), doc, _place(tag, low - spans.begin[own] + offset)]
+
+
+def _context(string, anchor, wide):
+    return ((string >> np.uint64(1 + 2 * WIDTH)).astype(np.int64) << (2 * WIDTH)) | (anchor << WIDTH) | wide
+
+
+def _place(tag, low):
+    return (tag << 32) | low
+
+
+def _parts(context, place):
+    """Tag, first and last start, anchor of rows."""
+    low = place & 0xFFFFFFFF
+    return place >> 32, low, low + (context & ((1 << WIDTH) - 1)), low + ((context >> WIDTH) & ((1 << WIDTH) - 1))
 
 
 def _merged(doc, tag, low, high):
@@ -92,40 +109,49 @@ def _merged(doc, tag, low, high):
     return doc[first], tag[first], low[first], np.maximum.reduceat(high, first)
 
 
-def _batch(kind, gram, context, doc, tag, low, high):
-    n = len(doc)
-    return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(np.asarray(kind, np.int8), n)), pa.array(np.broadcast_to(gram, n)), pa.array(np.broadcast_to(context, n)), pa.array(doc), pa.array(tag.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32))], NAMES)
+def _batch(gram, context, doc, place, raw=None, more=False):
+    columns = [pa.array(np.broadcast_to(x, len(doc)).astype(np.int64)) for x in (gram, context, doc, place)]
+    if more:
+        columns.append(pa.nulls(len(doc), pa.binary()) if raw is None else pa.array(raw, pa.binary()))
+    return pa.RecordBatch.from_arrays(columns, [*NAMES, "raw"][: len(columns)])
+
 
+def _covered(doc, context, place, length, more):
+    tag, low, high, _ = _parts(context, place)
+    doc, tag, low, high = _merged(doc, tag, low, high + length)
+    return _batch(doc * 31 + low, -high, doc, _place(tag, low), more=more)
 
-def _dedupe(rows, length):
+
+def _dedupe(rows, length, raw=None):
     """Rows of a task with equal (gram, context): the first stays, the others are repeats; yields batches."""
-    gram, context, doc, tag, low, high = (np.concatenate(c) for c in zip(*rows, strict=True))
-    order = np.lexsort((low, tag, doc, context, gram))
-    gram, context, doc, tag, low, high = (c[order] for c in (gram, context, doc, tag, low, high))
+    gram, context, doc, place = (np.concatenate(c) for c in zip(*rows, strict=True))
+    order = np.lexsort((place, doc, context, gram))
+    gram, context, doc, place = (c[order] for c in (gram, context, doc, place))
     again = np.zeros(len(gram), bool)
     again[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
     first = ~again
-    yield _batch(0, gram[first], context[first], doc[first], tag[first], low[first], high[first])
-    doc, tag, low, high = _merged(doc[again], tag[again], low[again], high[again] + length)
-    yield _batch(COVERED, doc * 31 + low, 0, doc, tag, low, high)
+    yield _batch(gram[first], context[first], doc[first], place[first], raw and [raw[k] for k in order[first]], raw is not None)
+    yield _covered(doc[again], context[again], place[again], length, raw is not None)
 
 
-def _ranked(batches, length):
-    """Over rows sorted by gram, context and place: repeats of a context are covered; first ones of a gram that has several contexts are open."""
+def _ranked(batches, length, more=False):
+    """Over rows sorted by gram, context and place: repeats of a context are covered; first ones of a gram that has several contexts stay, with their bytes if there are any."""
     carry, several = None, False
     for batch in batches:
         if not batch.num_rows:
             continue
-        kind, gram, context, doc, tag, low, high = (np.asarray(batch.column(k)) for k in range(7))
-        done = kind == COVERED
+        gram, context, doc, place = columns = [np.asarray(batch.column(k)) for k in range(4)]
+        done = context < 0
         if done.any():
             yield batch.filter(pa.array(done))
-        columns = [c[~done] for c in (gram, context, doc, tag, low, high)]
+        columns = [c[~done] for c in columns]
+        raw = batch.column(4).filter(pa.array(~done)).to_pylist() if more else None
         if not len(columns[0]):
             continue
         if carry is not None:
-            columns = [np.concatenate([[c], x]).astype(x.dtype) for c, x in zip(carry, columns, strict=True)]
-        gram, context, doc, tag, low, high = columns
+            columns = [np.concatenate([[c], x]).astype(x.dtype) for c, x in zip(carry[0], columns, strict=True)]
+            raw = [carry[1], *raw] if more else None
+        gram, context, doc, place = columns
         new = np.ones(len(gram), bool)
         new[1:] = gram[1:] != gram[:-1]
         first = new.copy()
@@ -138,12 +164,12 @@ def _ranked(batches, length):
         if carry is not None and several:
             emit[0] = False  # it went out with an earlier batch
         again = ~first
-        yield _batch(COVERED, 0, 0, *_merged(doc[again], tag[again], low[again], high[again].astype(np.int64) + length))
+        yield _covered(doc[again], context[again], place[again], length, more)
         if emit.any():
-            yield _batch(OPEN, gram[emit], context[emit], doc[emit], tag[emit], low[emit], high[emit])
+            yield _batch(gram[emit], context[emit], doc[emit], place[emit], more and [raw[k] for k in np.flatnonzero(emit)] or None, more)
         several = bool(contexts[-1] > 1)
         k = np.flatnonzero(first)[-1]
-        carry = [c[k] for c in columns]
+        carry = [c[k] for c in columns], raw[k] if more else None
 
 
 def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -167,40 +193,68 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col: s
         if rows:
             yield from _dedupe(rows, length)
 
-    sort = ["gram", "context", "doc", "tag", "low"]
-    ranked = src.mapInArrow(first_ranks, SCHEMA).repartition("gram").sortWithinPartitions(*sort).mapInArrow(lambda b: _ranked(b, length), SCHEMA)
-    ranked = scratch.table(ranked, "ranked")
-    asked = ranked.where(f"kind = {OPEN}").groupBy(F.col("doc").alias("_doc"), F.col("tag").alias("_tag")).agg(F.collect_list(F.struct("low", "high")).alias("asked"))
+    def sorted_rows(df):
+        return df.repartition("gram").sortWithinPartitions("gram", "context", "doc", "place")
 
-    def windows(batches):
-        """The last rank: windows of the full length, one row each, context and gram their two hashes."""
-        rows, n = [], 0
+    ranked = scratch.table(sorted_rows(src.mapInArrow(first_ranks, SCHEMA)).mapInArrow(lambda b: _ranked(b, length), SCHEMA), "ranked")
+    tag_of = F.shiftright("place", 32).cast("int")
+    asked = ranked.where("context >= 0").groupBy(F.col("doc").alias("_doc"), tag_of.alias("_tag")).agg(F.collect_list(F.struct("context", "place")).alias("asked"))
+
+    def second_ranks(batches):
+        """Rows of the window starts before and after the place half-way: the first all have the bytes on the left of the anchor, the others those on its right."""
+        half, rows, raw, n = (length - GRAM) // 2, [], [], 0
         for batch in batches:
             for i, j in balanced(batch.column(2), SEGMENT):
-                raw = [t.encode() for t in batch.column(2).slice(i, j - i).to_pylist()]
-                spans = Spans(raw)
-                asked = batch.column(3).slice(i, j - i)
-                count = np.array([len(x) for x in asked.to_pylist()])
+                texts = [t.encode() for t in batch.column(2).slice(i, j - i).to_pylist()]
+                spans, asked = Spans(texts), batch.column(3).slice(i, j - i)
                 pairs = asked.flatten()
-                low, high = np.asarray(pairs.field("low")).astype(np.int64), np.asarray(pairs.field("high")).astype(np.int64)
-                own = np.repeat(np.arange(j - i), count)
-                wide = high - low + 1
-                which = np.repeat(np.arange(len(low)), wide)
-                inside = np.arange(len(which)) - np.repeat(np.cumsum(wide) - wide, wide) + low[which]
-                at = spans.begin[own[which]] + inside
-                half = length // 2
-                docs, tags = (np.asarray(batch.column(k).slice(i, j - i)).astype(np.int64)[own[which]] for k in range(2))
-                rows.append([spans.hashes(at, at + length).view(np.int64), (spans.hashes(at, at + half) ^ (spans.hashes(at + half, at + length) * np.uint64(3))).view(np.int64), docs, tags, inside, inside])
-                n += len(at)
-                if n > FLUSH:
-                    yield from _dedupe(rows, length)
-                    rows, n = [], 0
+                _, low, high, anchor = _parts(np.asarray(pairs.field("context")), np.asarray(pairs.field("place")))
+                own = np.repeat(np.arange(j - i), np.asarray(pc.list_value_length(asked)))
+                docs, tags = (np.asarray(batch.column(k).slice(i, j - i)).astype(np.int64)[own] for k in range(2))
+                at = spans.begin[own]
+                for side, a, b in ((0, low, np.minimum(high, anchor - half)), (1, np.maximum(low, anchor - half + 1), high)):
+                    has = np.flatnonzero(a <= b)
+                    a, b, mid, start = a[has], b[has], anchor[has] + at[has], at[has]
+                    gram = spans.hashes(mid, mid + GRAM + half) if side else spans.hashes(mid - half, mid + GRAM)
+                    rows.append([(gram * np.uint64(2) + np.uint64(side)).view(np.int64), _context(spans.hashes(start + a, start + b + length), anchor[has] - a, b - a), docs[has], _place(tags[has], a)])
+                    raw += [texts[k][x : y + length] for k, x, y in zip(own[has].tolist(), a.tolist(), b.tolist(), strict=True)]
+                    n += len(has)
+                if n > FLUSH // 8:
+                    yield from _dedupe(rows, length, raw)
+                    rows, raw, n = [], [], 0
+        if rows:
+            yield from _dedupe(rows, length, raw)
+
+    def last_ranks(batches):
+        """The windows of the rows that are left, one row each."""
+        rows, n = [], 0
+        for batch in batches:
+            done = np.asarray(batch.column(1)) < 0
+            if done.any():
+                yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(done)) for k in range(4)], NAMES)
+            some = batch.filter(pa.array(~done))
+            if not some.num_rows:
+                continue
+            context, doc, place = (np.asarray(some.column(k)) for k in range(1, 4))
+            spans = Spans(some.column(4).to_pylist())
+            tag, low, high, _ = _parts(context, place)
+            wide = high - low + 1
+            own = np.repeat(np.arange(len(low)), wide)
+            inside = np.arange(len(own)) - np.repeat(np.cumsum(wide) - wide, wide)
+            at = spans.begin[own] + inside
+            string, half = spans.hashes(at, at + length), spans.hashes(at, at + length // 2)
+            rows.append([string.view(np.int64), _context(half, 0, 0), doc[own], _place(tag[own], low[own] + inside)])
+            n += len(own)
+            if n > FLUSH:
+                yield from _dedupe(rows, length)
+                rows, n = [], 0
         if rows:
             yield from _dedupe(rows, length)
 
     some = likely(src, asked, ["_doc", "_tag"]).join(asked, ["_doc", "_tag"]).select("_doc", "_tag", "_text", "asked")
-    last = some.mapInArrow(windows, SCHEMA).repartition("gram").sortWithinPartitions(*sort).mapInArrow(lambda b: _ranked(b, length), SCHEMA).where(f"kind = {COVERED}")
-    covered = ranked.where(f"kind = {COVERED}").unionByName(last).select(F.col("doc").alias("_doc"), F.col("tag").alias("_tag"), "low", "high")
+    second = sorted_rows(some.mapInArrow(second_ranks, SCHEMA + ", raw binary")).mapInArrow(lambda b: _ranked(b, length, True), SCHEMA + ", raw binary")
+    last = sorted_rows(second.mapInArrow(last_ranks, SCHEMA)).mapInArrow(lambda b: _ranked(b, length), SCHEMA)
+    covered = ranked.unionByName(last).where("context < 0").select(F.col("doc").alias("_doc"), tag_of.alias("_tag"), F.expr("cast(place & 4294967295 as int)").alias("low"), F.expr("cast(-context as int)").alias("high"))
     return covered.groupBy("_doc", "_tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
 
