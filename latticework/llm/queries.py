@@ -11,6 +11,7 @@ from latticework.llm.packing import pack_documents
 from latticework.llm.pii import pii_spans
 from latticework.llm.quality_model import quality
 from latticework.llm.quality_rules import line_rules
+from latticework.llm.sql import JACCARD, LINE_RULES
 from latticework.llm.suffix_dedup import repeat_digests
 from latticework.llm.token_counts import token_counts
 from latticework.llm.toxicity import toxicity
@@ -61,4 +62,4 @@ def op10_score_aware_search(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op5_suffix_dedup, op6_revealing_terms, op7_quality_model, op8_bpe_codec, op9_jaccard_join, op10_score_aware_search)}
-SQL: dict[str, str] = {}
+SQL = {"op4_line_rules": LINE_RULES, "op9_jaccard_join": JACCARD}
