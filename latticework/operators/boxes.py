@@ -115,9 +115,16 @@ def block_index(ids: DataFrame, wide: int = 4096) -> DataFrame:
     return ids.select("id", F.expr(f"id div {wide}").alias("block"))
 
 
-def work_chunks(ids: DataFrame, workers: int) -> DataFrame:
-    """chunk, first, last: ranges of ceil(n / workers) places in the order of ids."""
-    n = ids.agg(F.count("*").alias("n"))
-    place = ids.withColumn("place", F.row_number().over(Window.orderBy("id")) - 1) if "place" not in ids.columns else ids
-    own = place.crossJoin(F.broadcast(n)).select(F.expr(f"place div cast(ceil(n / {workers}) as long)").alias("chunk"), "place")
-    return own.groupBy("chunk").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+def work_chunks(ids: DataFrame, workers: int, wide: int = 65536) -> DataFrame:
+    """chunk, first, last: ranges of ceil(n / workers) places in the order of distinct ids.
+
+    A place is the number of ids in earlier ranges of `wide` ids, summed over the ranges' counts, and the rank within
+    its own range; so no task has to sort all ids.
+    """
+    own = ids.select("id", F.expr(f"id div {wide} - if(id < 0, 1, 0)").alias("range"))
+    counts = own.groupBy("range").agg(F.count("*").alias("n"))
+    before = counts.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("before"))
+    place = own.withColumn("rank", F.row_number().over(Window.partitionBy("range").orderBy("id")) - 1).join(before, "range")
+    total = counts.agg(F.sum("n").alias("n"))
+    chunk = F.expr(f"(before + rank) div cast(ceil(n / {workers}) as long)")
+    return place.crossJoin(F.broadcast(total)).select(chunk.alias("chunk"), (F.col("before") + F.col("rank")).alias("place")).groupBy("chunk").agg(F.min("place").alias("first"), F.max("place").alias("last"))
