@@ -154,7 +154,7 @@ def norm_ratio(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFram
 def comparison(df: DataFrame, row: str, column: str, value: str, columns: list[str], pattern: str = "%.2f") -> DataFrame:
     """A row for each `row`, a text for each column, -- where there is no value."""
     wide = df.groupBy(row).pivot(column, columns).agg(F.first(value))
-    return wide.select(row, *(F.coalesce(F.format_string(pattern, F.col(f"`{c}`")), F.lit("--")).alias(c) for c in columns))
+    return wide.select(row, *(F.when(F.col(f"`{c}`").isNull(), "--").otherwise(F.format_string(pattern, F.col(f"`{c}`"))).alias(c) for c in columns))
 
 
 def improved(old: DataFrame, new: DataFrame, keys: list[str], value: str, factor: float = 2.0) -> DataFrame:

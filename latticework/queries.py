@@ -183,7 +183,7 @@ def src10_sources(spark, sf_dir):
 
 
 @query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT unnest(range(16)) AS cell, n FROM n), k AS (SELECT cell, unnest(range(1, 1 + CAST(n // 16 + CASE WHEN cell < n % 16 THEN 1 ELSE 0 END AS BIGINT))) AS k FROM c)
-    SELECT cell, CAST(k AS INTEGER) AS k, {rs({"x": f"(cell % 4 + {uni(42, 'cell', 'k', 'x')}) / 4", "y": f"(cell // 4 + {uni(42, 'cell', 'k', 'y')}) / 4"})}, 0.000001 AS z FROM k""")
+    SELECT cell, CAST(k AS INTEGER) AS k, {rs({"x": f"(cell % 4 + {uni(42, 'cell', 'k', 'x')}) / 4", "y": f"(cell // 4 + {uni(42, 'cell', 'k', 'y')}) / 4"})}, CAST(0.000001 AS DOUBLE) AS z FROM k""")
 def src11_square_points(spark, sf_dir):
     return rounded(P.square_points(spark, 2, table(spark, sf_dir, "embeddings").count()))
 
@@ -337,7 +337,7 @@ def mat9_sketch_pair(spark, sf_dir):
     a, h = M.summed(square(spark, sf_dir)), hundred(spark, sf_dir)
     common = M.combine([(0.5, a), (0.5, M.transpose(a))], ["i", "j"])
     w, w2 = (P.gaussian_vectors(h, 3, s).withColumnRenamed("sample", "vec") for s in (1, 2))
-    return rounded(M.sketch_pair(common, M.difference(a, common), w, w2), 5)
+    return rounded(M.sketch_pair(common, M.difference(a, common), w, w2), 5).where("re <> 0 or im <> 0")  # parts that cancel
 
 
 @query(f"""WITH {SQM} SELECT i, j, {rs({"re": "re", "im": "im"}, 6)} FROM a WHERE j IN (SELECT id FROM h)""")
