@@ -134,7 +134,7 @@ def plan(histogram: np.ndarray, room: int) -> np.ndarray:
     if len(patterns):
         x = fit_repeats(left.astype(float), patterns)
         for k in np.argsort(-x, kind="stable"):
-            repeat = int(np.rint(x[k]))
+            repeat = int(x[k] + 1e-6)  # rounding down: what is left packs better than what rounding up would displace
             if repeat < 1:
                 break
             lengths = [int(v) for v in patterns[k] if v]
