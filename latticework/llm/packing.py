@@ -8,24 +8,29 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.bpe import NOT_A_CUT
+from latticework.llm.bpe import NOT_A_CUT, PairRanks
 from latticework.llm.common import balanced, documents
 from latticework.llm.token_counts import _tokenizer
 from latticework.session import Scratch
 
+#: The pattern of byte-level BPE, as tiktoken writes it.
+TIKTOKEN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids_crc32", T.LongType())]
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_col: str = "doc_id", text_col: str = "text",
-                 batch_bytes: int = 2 << 20, most_known: int = 400_000) -> DataFrame:
+                 batch_bytes: int = 2 << 20, most_known: int = 700_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the token ids of each row and end_id, cut into pieces of `most` ids if longer.
 
-    The first piece takes the remainder. Texts are cut at blanks where a pretoken always begins, and only parts not
-    met before go through encode_batch. Null texts count as empty: one piece that holds end_id alone.
+    The first piece takes the remainder. Texts are cut at blanks where a pretoken always begins, and only words not met
+    before are encoded, by tiktoken's merges of the same vocabulary, which are faster; first words, words with special
+    strings and texts that can't be cut go through the tokenizers library. Null texts count as empty: one piece that
+    holds end_id alone.
     """
     src = documents(docs, id_col, text_col)
     schema = T.StructType([src.schema["doc_id"], *(T.StructField(n, t) for n, t in PIECE)])
@@ -33,33 +38,44 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_co
 
     def run(batches):
         tokenizer, _ = _tokenizer(vocabulary)
-        known: dict[str, bytes] = _memory.setdefault(vocabulary, {})
-
-        def learn(parts):
-            if len(known) > most_known:
-                known.clear()
-            new = [p for p in set(chain.from_iterable(parts)) if p not in known]
-            for k in range(0, len(new), 4096):
-                some = new[k : k + 4096]
-                for p, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                    known[p] = np.array(e.ids, "<u4").tobytes()
+        known, special = _memory.setdefault(vocabulary, {}), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        fast, size = _byte_pairs(vocabulary)
+
+        def encode(some):
+            return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+        def learn(new):
+            """Ids of " " + word for each new word: all of them as one text, cut where the tokens' bytes add up to a word's."""
+            marked = [w for w in new if any(t in w for t in special)]
+            for w, packed in zip(marked, encode([" " + w for w in marked]), strict=True):
+                known[w] = packed
+            new = [w for w in new if w not in known] if marked else new
+            for k in range(0, len(new), 8192):
+                some = [" " + w for w in new[k : k + 8192]]
+                ids = np.array(fast.encode_ordinary("".join(some)) if fast else tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.cumsum(np.fromiter((len(w.encode()) for w in some), np.int64, len(some)))
+                packed, cuts = ids.tobytes(), (4 * (1 + np.searchsorted(np.cumsum(size[ids]), ends))).tolist()
+                known.update(zip(new[k : k + 8192], [packed[a:b] for a, b in zip([0, *cuts], cuts)]))
 
         for batch in batches:
             for i, j in balanced(batch.column(1), batch_bytes):
                 rows = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
-                parts = []
-                for t in rows:
-                    if NOT_A_CUT.search(t):
-                        parts.append([t])
-                    else:
-                        head, *rest = t.split(" ")
-                        parts.append([head, *[" " + x for x in rest]])
-                whole = [p[0] for p in parts if len(p) == 1 and len(p[0]) > 200]
-                learn([p for p in parts if not (len(p) == 1 and len(p[0]) > 200)])
-                once = dict(zip(whole, (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(whole, add_special_tokens=False)), strict=True))
+                # head, encoded as it is, and the words after each blank; texts whose blanks are no sure cuts are all head
+                parts = [(t, ()) if NOT_A_CUT.search(t) else (t.split(" ", 1)[0], t.split(" ")[1:]) for t in rows]
+                if len(known) > most_known:
+                    known.clear()
+                flat = list(chain.from_iterable(words for _, words in parts))
+                ids = list(map(known.get, flat))
+                lacking = [k for k, x in enumerate(ids) if x is None]
+                learn(list({flat[k] for k in lacking}))
+                for k in lacking:
+                    ids[k] = known[flat[k]]
+                heads = encode([head for head, _ in parts])
+                at = 0
                 owner, out = [], []
-                for k, p in enumerate(parts):
-                    packed = (once[p[0]] if len(p) == 1 and p[0] in once else b"".join(map(known.__getitem__, p))) + end
+                for k, (head, (_, words)) in enumerate(zip(heads, parts, strict=True)):
+                    packed = head + b"".join(ids[at : at + len(words)]) + end
+                    at += len(words)
                     n = len(packed) // 4
                     cuts = [0, n] if n <= most else [0, *range(n % most or most, n + 1, most)]
                     for piece, (a, b) in enumerate(zip(cuts, cuts[1:])):
@@ -72,6 +88,18 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_co
 
 
 _memory: dict[str, dict] = {}
+_byte_pair: dict[str, tuple] = {}
+
+
+def _byte_pairs(vocabulary: str):
+    """An encoder of tiktoken for the same merges, if their ids rise with their ranks as it takes them to, and the bytes of each token."""
+    if vocabulary not in _byte_pair:
+        table = PairRanks(vocabulary)
+        own = {b: k for k, b in enumerate(table.bytes_of) if k not in table.special.values()}
+        rising = bool((np.diff(table.merged) > 0).all()) and table.merged[0] > table.byte_id.max()
+        fast = tiktoken.Encoding(vocabulary, pat_str=TIKTOKEN_PATTERN, mergeable_ranks=own, special_tokens={}) if rising else None
+        _byte_pair[vocabulary] = fast, np.fromiter(map(len, table.bytes_of), np.int64)
+    return _byte_pair[vocabulary]
 
 
 def length_patterns(room: int) -> np.ndarray:
