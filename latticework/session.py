@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BATCH_BYTES = 4 << 20
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -37,8 +38,14 @@ class Scratch:
         self.spark, self.top = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.top}/{name}"
-        df.write.parquet(path)
+        """df, written and read again. While it is written, Arrow batches are held to BATCH_BYTES, so that rows with long texts don't fill Python workers."""
+        path, key = f"{self.top}/{name}", "spark.sql.execution.arrow.maxBytesPerBatch"
+        before = self.spark.conf.get(key)
+        self.spark.conf.set(key, str(BATCH_BYTES))
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(key, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
