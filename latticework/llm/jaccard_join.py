@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,13 +37,13 @@ def common_shingles(docs: DataFrame, width: int, scratch: Scratch) -> np.ndarray
     def run(batches):
         kept, counts, n_docs = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
-            for i, j in balanced(batch.column(1), 1 << 21):
+            for i, j in balanced(batch.column(1), 1 << 20):
                 found, _ = shingles(_rows(batch, i, j), width)
                 n_docs += j - i
                 some, n = np.unique(found, return_counts=True)
                 kept, at = np.unique(np.concatenate([kept, some]), return_inverse=True)
                 counts = np.bincount(at, np.concatenate([counts, n]), len(kept)).astype(np.int64)
-                if len(kept) > 2_000_000:
+                if len(kept) > 500_000:
                     kept, counts = kept[counts > 1], counts[counts > 1]
         keep = counts >= max(4, n_docs // (COMMON // 2))
         yield pa.RecordBatch.from_arrays([pa.array(np.append(kept[keep].view(np.int64), 0)), pa.array(np.append(counts[keep], 0)), pa.array(np.append(np.zeros(keep.sum(), np.int64), n_docs))], ["shingle", "n", "docs"])
@@ -69,7 +68,7 @@ def points(docs: DataFrame, width: int, percent: int, common: np.ndarray) -> Dat
     def run(batches):
         common = np.append(shared.value, np.uint64(0))
         for batch in batches:
-            for i, j in balanced(batch.column(1), 1 << 21):
+            for i, j in balanced(batch.column(1), 1 << 20):
                 k = j - i
                 h, doc = shingles(_rows(batch, i, j), width)
                 n = np.bincount(doc, minlength=k)
@@ -250,7 +249,7 @@ def linked(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Data
 
     def run(batches):
         for batch in batches:
-            for i, j in balanced(pc.binary_join_element_wise(batch.column(2), batch.column(3), ""), 1 << 21):
+            for i, j in balanced(batch.column(2), 1 << 20):
                 n = j - i
                 raw = [t.encode().lower() if t else b"" for k in (2, 3) for t in batch.column(k).slice(i, n).to_pylist()]
                 h, doc = shingles(raw, width)

@@ -24,7 +24,7 @@ PIECE = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongT
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_col: str = "doc_id", text_col: str = "text",
-                 batch_bytes: int = 2 << 20, most_known: int = 700_000) -> DataFrame:
+                 batch_bytes: int = 2 << 20, most_known: int = 150_000) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the token ids of each row and end_id, cut into pieces of `most` ids if longer.
 
     The first piece takes the remainder. Texts are cut at blanks where a pretoken always begins, and only words not met
@@ -38,13 +38,13 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_co
 
     def run(batches):
         tokenizer, _ = _tokenizer(vocabulary)
-        known, special = _memory.setdefault(vocabulary, {}), [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         fast, size = _byte_pairs(vocabulary)
 
         def encode(some):
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
 
-        def learn(new):
+        def learn(new, known):
             """Ids of " " + word for each new word: all of them as one text, cut where the tokens' bytes add up to a word's."""
             marked = [w for w in new if any(t in w for t in special)]
             for w, packed in zip(marked, encode([" " + w for w in marked]), strict=True):
@@ -62,12 +62,16 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_co
                 rows = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 # head, encoded as it is, and the words after each blank; texts whose blanks are no sure cuts are all head
                 parts = [(t, ()) if NOT_A_CUT.search(t) else (t.split(" ", 1)[0], t.split(" ")[1:]) for t in rows]
-                if len(known) > most_known:
-                    known.clear()
+                known, older = _memory.get(vocabulary, ({}, {}))
+                if len(known) > most_known:  # words met since the last turn-over stay, others go
+                    known, older = {}, known
+                _memory[vocabulary] = known, older
                 flat = list(chain.from_iterable(words for _, words in parts))
                 ids = list(map(known.get, flat))
                 lacking = [k for k, x in enumerate(ids) if x is None]
-                learn(list({flat[k] for k in lacking}))
+                words_lacking = {flat[k] for k in lacking}
+                known.update((w, older[w]) for w in words_lacking if w in older)
+                learn([w for w in words_lacking if w not in known], known)
                 for k in lacking:
                     ids[k] = known[flat[k]]
                 heads = encode([head for head, _ in parts])
@@ -87,7 +91,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_co
     return src.mapInArrow(run, schema)
 
 
-_memory: dict[str, dict] = {}
+#: Ids of words that a worker has met since the last turn-over, and those of the turn before.
+_memory: dict[str, tuple[dict, dict]] = {}
 _byte_pair: dict[str, tuple] = {}
 
 

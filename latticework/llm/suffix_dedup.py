@@ -21,8 +21,8 @@ from latticework.session import Scratch, likely, ship, split_by
 
 GRAM = 32
 #: Longer texts are cut into overlapping segments of so many bytes.
-SEGMENT = 1 << 21
-FLUSH = 1_000_000
+SEGMENT = 700_000
+FLUSH = 400_000
 PLACE_BITS = np.uint64(24)
 #: A row: gram (the rank that must be shared), context (a hash of the row's whole string, then the offset of its
 #: anchor and the number of its window starts less one, of WIDTH bits each), doc, place (tag and first start).
