@@ -122,20 +122,26 @@ def _covered(doc, context, place, length, more):
     return _batch(doc * 31 + low, -high, doc, _place(tag, low), more=more)
 
 
+def _again(first, doc, place):
+    """Rows after the first of their context that begin elsewhere: those of its doc and place are the same row, from a document that comes twice."""
+    head = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return ~first & ((doc != doc[head]) | (place != place[head]))
+
+
 def _dedupe(rows, length, raw=None):
-    """Rows of a task with equal (gram, context): the first stays, the others are repeats; yields batches."""
+    """Rows of a task with equal (gram, context): the first stays, the others are repeats unless they are the same row; yields batches."""
     gram, context, doc, place = (np.concatenate(c) for c in zip(*rows, strict=True))
     order = np.lexsort((place, doc, context, gram))
     gram, context, doc, place = (c[order] for c in (gram, context, doc, place))
-    again = np.zeros(len(gram), bool)
-    again[1:] = (gram[1:] == gram[:-1]) & (context[1:] == context[:-1])
-    first = ~again
+    first = np.ones(len(gram), bool)
+    first[1:] = (gram[1:] != gram[:-1]) | (context[1:] != context[:-1])
+    again = _again(first, doc, place)
     yield _batch(gram[first], context[first], doc[first], place[first], raw and [raw[k] for k in order[first]], raw is not None)
     yield _covered(doc[again], context[again], place[again], length, raw is not None)
 
 
 def _ranked(batches, length, more=False):
-    """Over rows sorted by gram, context and place: repeats of a context are covered; first ones of a gram that has several contexts stay, with their bytes if there are any."""
+    """Over rows sorted by gram, context, doc and place: repeats of a context are covered; first ones of a gram that has several contexts stay, with their bytes if there are any."""
     carry, several = None, False
     for batch in batches:
         if not batch.num_rows:
@@ -163,7 +169,7 @@ def _ranked(batches, length, more=False):
         emit = first & (contexts[run] > 1)
         if carry is not None and several:
             emit[0] = False  # it went out with an earlier batch
-        again = ~first
+        again = _again(first, doc, place)
         yield _covered(doc[again], context[again], place[again], length, more)
         if emit.any():
             yield _batch(gram[emit], context[emit], doc[emit], place[emit], more and [raw[k] for k in np.flatnonzero(emit)] or None, more)

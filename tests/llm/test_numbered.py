@@ -150,6 +150,17 @@ def test_repeats_of_odd_rows(spark):
     assert repeat_digests(frame(spark, [])).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    """Rows equal in id and text lose only what starts earlier in them or in others, not each other's text."""
+    g = random.Random(7)
+    long, twice, other = ("".join(g.choice("abcdefgh ") for _ in range(n)) for n in (900, 300, 400))
+    once = [(1, long), (2, twice + " - " + twice), (3, other + long), (None, other)]
+    got = remove_repeats(frame(spark, [*once, *once, (4, long)]).repartition(3)).collect()
+    want = brute_repeats([(-1 if i is None else i, t) for i, t in [*once, (4, long)]], 100)
+    assert len(got) == 9 and all((r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == tuple(want[-1 if r.doc_id is None else r.doc_id]) for r in got)
+    assert {r.n_removed for r in got if r.doc_id in (1, None)} == {0}
+
+
 def luhn(s):
     return sum(x - 9 if x > 9 else x for x in (int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(s)))) % 10 == 0
 
