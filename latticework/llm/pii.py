@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import documents
-from latticework.session import Scratch, ship, split_by
+from latticework.session import Scratch, likely, ship, split_by
 
 LOCAL = "[A-Za-z0-9._%+-]"
 #: Kind, what a text must have to be looked at, and the pattern. They match what the plain forms of the kinds match,
@@ -28,9 +28,12 @@ VALID = {
     "card": f"if(length({DIGITS}) between 14 and 19, {LUHN}, false)",
     "phone": f"length({DIGITS}) between 10 and 15",
 }
-#: Terms are words of so many letters at least, whole within so many characters on either side of a span.
-TERM = r"(?<!\p{L})\p{L}{4,}+"
-REACH = 64
+#: Terms are runs of letters, of any length, in small letters.
+TERMS = r"array_distinct(transform(array_distinct(split(text, '[^\\p{L}]+')), x -> lower(x)))"
+#: Where a run of letters begins or ends.
+EDGE = r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
+VALUES = "array_distinct(transform(spans, x -> concat(x.kind, ':', lower(x.m))))"
+SAME = "l.doc_id <=> r.doc_id and l.tag = r.tag"
 
 
 def _quoted(pattern: str) -> str:
@@ -60,35 +63,39 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, least_share: float, least_documents: int) -> DataFrame:
-    """doc_id, tag and terms (array of s, e): words near a span that tell too much about its value.
+    """doc_id, tag and terms (array of s, e): every place of the words of a text that tell too much about one of its values.
 
-    For a protected value e and a term t seen near it, over documents: the term's pointwise information about the
-    value, log(N * n(e, t) / (n(e) * n(t))), as a share of the value's own information log(N / n(e)), is 1 if the
-    term is found with that value only. Terms with least_share or more are revealing, if n(e, t) >= least_documents.
-    N, n(e), n(t) and n(e, t) are counted over all of docs.
+    For a protected value e and a term t, over documents: the term's pointwise information about the value,
+    log(N * n(e, t) / (n(e) * n(t))), as a share of the value's own information log(N / n(e)), is 1 if the term is
+    found with that value only. Terms with least_share or more are revealing, if n(e, t) >= least_documents. N, n(e),
+    n(t) and n(e, t) are counted over the whole texts of all of docs, a row each. A share of least_share needs
+    n(t) <= n(e) * (N / n(e)) ^ (1 - least_share), as n(e, t) <= n(e); other pairs are not formed.
     """
-    one = found.where("size(spans) > 0").select("doc_id", "tag", "text", "spans", F.explode("spans").alias("x"))
-    sides = one.select(
-        "doc_id", "tag", "spans", F.expr("concat(x.kind, ':', lower(x.m))").alias("value"), F.expr(f"greatest(x.s - {REACH}, 0)").alias("from"), F.expr("x.e").alias("after"),
-        F.expr(f"substring(text, greatest(x.s - {REACH}, 0) + 1, x.s - greatest(x.s - {REACH}, 0))").alias("left"), F.expr(f"substring(text, x.e + 1, {REACH})").alias("right"), F.expr("length(text)").alias("n"),
-    )
-    near = sides.select(
-        "doc_id", "tag", "spans", "value",
-        F.explode(F.expr(f"""concat(
-            transform(filter({_matches("left", TERM)}, y -> y.s > 0 or `from` = 0), y -> named_struct('term', lower(y.m), 's', y.s + `from`, 'e', y.e + `from`)),
-            transform(filter({_matches("right", TERM)}, y -> y.e < length(right) or after + length(right) = n), y -> named_struct('term', lower(y.m), 's', y.s + after, 'e', y.e + after)))""")).alias("t"),
-    ).where("not exists(spans, x -> x.s < t.e and t.s < x.e)")
-    near = scratch.table(near.select("doc_id", "tag", "value", F.col("t.term").alias("term"), F.col("t.s").alias("s"), F.col("t.e").alias("e")), "near")
-    pairs = near.select("doc_id", "tag", "value", "term").distinct().groupBy("value", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least_documents)
-    pairs = scratch.table(pairs, "pairs")
-    values = found.where("size(spans) > 0").select(F.explode(F.expr("array_distinct(transform(spans, x -> concat(x.kind, ':', lower(x.m))))")).alias("value")).groupBy("value").agg(F.count("*").alias("n_value"))
-    words = docs.where("text is not null").select(F.explode(F.array_distinct(F.expr(r"split(lower(text), '[^\\p{L}]+')"))).alias("term"))
-    terms = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    key = ["doc_id", "tag"]
+    some = found.where("size(spans) > 0")
     total = docs.agg(F.count("*").alias("n_all"))
-    told = pairs.join(values, "value").join(terms, "term").crossJoin(F.broadcast(total)).where("n_value < n_all")
+    values = some.select(F.explode(F.expr(VALUES)).alias("value")).groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= least_documents)
+    values = values.crossJoin(F.broadcast(total)).where("n_value < n_all")
+    most = F.col("n_value") * F.pow(F.col("n_all") / F.col("n_value"), F.lit(1 - least_share)) * (1 + 1e-9)
+    values = scratch.table(values.withColumn("most", most), "values")
+    own = some.select(*key, F.explode(F.expr(VALUES)).alias("value"))
+    held = scratch.table(likely(own, values, ["value"]).join(values, "value").dropDuplicates([*key, "value"]), "held")
+    terms = docs.where("text is not null").select(F.explode(F.expr(TERMS)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = terms.crossJoin(F.broadcast(values.agg(F.max("most").alias("top")))).where((F.col("n_term") >= least_documents) & (F.col("n_term") <= F.col("top")) & (F.col("term") != ""))
+    words = likely(some, held, key).select(*key, F.explode(F.expr(TERMS)).alias("term")).join(terms.drop("top"), "term")
+    near = words.alias("l").join(held.alias("r"), F.expr(f"{SAME} and l.n_term <= r.most")).select("l.doc_id", "l.tag", "value", "term", "n_value", "n_term", "n_all")
+    near = scratch.table(near, "near")
+    pairs = near.groupBy("value", "term", "n_value", "n_term", "n_all").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= least_documents)
     share = F.log(F.col("n_all") * F.col("n_both") / (F.col("n_value") * F.col("n_term"))) / F.log(F.col("n_all") / F.col("n_value"))
-    told = told.where(share >= least_share).select("value", "term")
-    return near.join(told, ["value", "term"]).groupBy("doc_id", "tag").agg(F.collect_set(F.struct("s", "e")).alias("terms"))
+    told = scratch.table(pairs.where(share >= least_share).select("value", "term"), "told")
+    marked = scratch.table(likely(near, told, ["value", "term"]).join(told, ["value", "term"]).select(*key, "term").distinct(), "marked")
+    texts = likely(some, marked, key).select(*key, "text").dropDuplicates(key)
+    texts = texts.alias("l").join(marked.select(*key).distinct().alias("r"), F.expr(SAME), "left_semi")
+    parts = texts.select(*key, F.posexplode(F.split("text", EDGE)).alias("k", "part"))
+    parts = parts.withColumn("e", F.sum(F.length("part")).over(Window.partitionBy(*key).orderBy("k")).cast("int"))
+    places = parts.where(F.col("part").rlike(r"^\p{L}")).select(*key, F.lower("part").alias("term"), (F.col("e") - F.length("part")).alias("s"), "e")
+    hits = places.alias("l").join(marked.alias("r"), F.expr(f"{SAME} and l.term = r.term"), "left_semi")
+    return hits.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("terms"))
 
 
 def all_spans(docs: DataFrame, scratch: Scratch, least_share: float, least_documents: int) -> DataFrame:
@@ -96,7 +103,7 @@ def all_spans(docs: DataFrame, scratch: Scratch, least_share: float, least_docum
     found = scratch.table(base_spans(docs), "found")
     terms = revealing_terms(docs, found, scratch, least_share, least_documents)
     some = found.where("size(spans) > 0").alias("f").join(terms.alias("t"), F.expr("f.doc_id <=> t.doc_id and f.tag = t.tag"), "left").select("f.doc_id", "f.tag", "f.spans", "t.terms")
-    every = F.expr(f"array_sort(concat(spans, coalesce(transform(terms, x -> named_struct('s', x.s, 'k', {len(KINDS)}, 'e', x.e, 'kind', 'term', 'm', '')), cast(array() as array<struct<s: int, k: int, e: int, kind: string, m: string>>))))")
+    every = F.expr(f"array_sort(concat(spans, coalesce(transform(filter(terms, t -> not exists(spans, x -> x.s < t.e and t.s < x.e)), x -> named_struct('s', x.s, 'k', {len(KINDS)}, 'e', x.e, 'kind', 'term', 'm', '')), cast(array() as array<struct<s: int, k: int, e: int, kind: string, m: string>>))))")
     return some.withColumn("every", every).drop("terms").unionByName(found.where("size(spans) = 0").select("doc_id", "tag", "spans", F.col("spans").alias("every")))
 
 

@@ -199,6 +199,22 @@ def test_revealing_terms(spark):
     assert "[EMAIL]" in texts[0] and "zorblat" not in texts[0] and "common" in texts[0] and texts[5] == rows[5][1] and texts[77] is None
 
 
+def test_terms_reveal_over_whole_texts(spark):
+    """A term tells of a value of its text from any distance, at any length, wherever it stands."""
+    far, mail = "common words in between " * 20, "anna@x.org"
+    rows = [(i, f"Zorblat {far}{mail} {far}zorblat, ZORBLAT; 🎉 Li {far}zorblats 李明。Anna") for i in range(3)]
+    rows += [(None, rows[0][1]), (0, rows[0][1])] + [(i, f"common words in between about {i}, no other@y.org") for i in range(3, 30)] + [(40, "Nobody alone"), (41, "")]
+    got = pii_spans(frame(spark, rows)).collect()
+    found = {r.doc_id: r.spans for r in got}
+    text = rows[0][1]
+    told = [f"term:{m.start()}:{m.end()}" for m in re.finditer(r"(?i)\b(zorblats?|li|李明|anna)\b(?!@)", text)]
+    at = text.index(mail)
+    want = sorted([*told, f"email:{at}:{at + len(mail)}"], key=lambda x: int(x.split(":")[1]))
+    assert len(told) == 7 and len(got) == len(rows) and all(found[i] == ",".join(want) for i in (0, 1, 2, None)) and found[40] == found[41] == ""
+    texts = [r.text for r in sanitise(frame(spark, rows)).collect() if r.doc_id in (0, 1, 2, None)]
+    assert len(texts) == 5 and all("zorblat" not in t.lower() and "Li" not in t and "李明" not in t and t.count("common words") == 60 for t in texts)
+
+
 def brute_classes(rows, width, percent):
     low = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
     sets, up = {}, {}
