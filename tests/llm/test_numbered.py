@@ -111,6 +111,16 @@ def test_line_rules(spark):
     assert line_rules(frame(spark, [])).count() == 0
 
 
+def test_cleaned_keeps_repeats_and_blanks(spark):
+    """Only failed lines leave a text: a good line stays as often as it comes, blank ones too."""
+    good, bad = "A good line of more than four words ends here.", "Home | News | Sport | About"
+    rows = [(203, good + "\n" + good), (1, f"{good}\n\n{bad}\n \n{good}\nAnother good line of some words, at last.\n{bad}\n{good}\n"), (2, f"{bad}\n\n{bad}"), (3, "\n \n"), (4, None)]
+    got = {r.doc_id: r for r in line_rules(frame(spark, rows)).collect()}
+    assert got[203].cleaned == rows[0][1] and got[203].n_lines_failed == 0
+    assert got[1].cleaned == f"{good}\n\n \n{good}\nAnother good line of some words, at last.\n{good}\n" and (got[1].n_lines, got[1].n_lines_failed, got[1].chars_lost, got[1].n_dup_lines) == (6, 2, 2 * len(bad), 3)
+    assert got[2].cleaned == got[3].cleaned == got[4].cleaned == ""
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows):
