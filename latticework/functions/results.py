@@ -8,12 +8,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: Geometries by how many times the rank their leaves hold: plane figures, surfaces in space, solids.
+LEAF_TIMES = {
+    4: ("Square",),
+    6: ("SphereSurface", "CubeSurface", "CylinderSurface", "EllipsoidSurface", "Dihedral", "Device", "F16", "RidgedHorn", "EMCCAlmond", "FrigateHull", "Plane"),
+    8: ("Sphere", "Cube"),
+}
+
+
 def leaf_size(tolerance: Column, geometry: Column) -> Column:
-    """Points allowed in a leaf: 50 below tolerance 1, else 4, 6 or 8 times the rank (the truncated tolerance) by kind of geometry."""
-    rank = F.floor(tolerance)
-    times = F.when(geometry.isin("curve", "line"), 4).when(geometry.isin("surface", "square", "sphere"), 6).when(geometry.isin("volume", "cube", "ball"), 8)
-    wrong = F.raise_error(F.concat(F.lit("no leaf size for geometry "), F.coalesce(geometry, F.lit("null"))))
-    return F.when(tolerance < 1, F.lit(50)).when(times.isNull(), wrong.cast("long")).otherwise(times * rank)
+    """Points allowed in a leaf: 50 below tolerance 1, else 4, 6 or 8 times the rank (the truncated tolerance) as LEAF_TIMES says; other geometries are an error."""
+    wrong = F.raise_error(F.concat(F.lit("no leaf size for geometry "), F.coalesce(geometry, F.lit("null")))).cast("long")
+    times = F.when(tolerance < 1, F.lit(None).cast("long"))
+    for k, names in LEAF_TIMES.items():
+        times = times.when(geometry.isin(*names), F.lit(k).cast("long"))
+    return F.when(tolerance < 1, F.lit(50).cast("long")).otherwise(times.otherwise(wrong) * F.floor(tolerance))
 
 
 def compression(ranks: Column, sizes: Column) -> Column:

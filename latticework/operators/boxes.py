@@ -89,24 +89,26 @@ def launched(active: DataFrame, rank: int) -> DataFrame:
 
 
 def colours(boxes: DataFrame, near: DataFrame) -> DataFrame:
-    """key, colour of the boxes of a level, so that boxes whose neighbourhoods (themselves included) overlap differ.
+    """level, key, colour of the boxes, so that boxes of a level whose neighbourhoods (themselves included) overlap differ.
 
-    boxes has key, near has key and other. In the order of keys each box takes the smallest colour that no earlier
-    box in conflict has; a round colours all boxes whose earlier ones are done.
+    boxes has level and key, near has level, key and other. In the order of keys each box takes the smallest colour
+    that no earlier box in conflict has; a round colours all boxes of all levels whose earlier ones are done.
     """
+    box = ["level", "key"]
     scratch = Scratch(boxes.sparkSession, "colours")
-    reach = near.join(boxes, "key", "left_semi").select("key", "other").unionByName(boxes.select("key", F.col("key").alias("other"))).distinct()
-    conflicts = reach.alias("a").join(reach.alias("b"), "other").where("a.key > b.key").select(F.col("a.key").alias("key"), F.col("b.key").alias("before")).distinct()
+    own = boxes.select(*box).distinct()
+    reach = near.join(own, box, "left_semi").select(*box, "other").unionByName(own.withColumn("other", F.col("key"))).distinct()
+    conflicts = reach.alias("a").join(reach.alias("b"), ["level", "other"]).where("a.key > b.key").select("level", F.col("a.key").alias("key"), F.col("b.key").alias("before")).distinct()
     conflicts = scratch.table(conflicts, "conflicts")
-    free = boxes.select("key").distinct().join(conflicts, "key", "left_anti")
-    done = scratch.table(free.select("key", F.lit(0).alias("colour")), "round-0")
-    total, step = boxes.select("key").distinct().count(), 0
+    done = scratch.table(own.join(conflicts, box, "left_anti").withColumn("colour", F.lit(0)), "round-0")
+    total, step = own.count(), 0
     while done.count() < total:
-        left = conflicts.join(done.select("key"), "key", "left_anti").join(done.select(F.col("key").alias("before"), "colour"), "before", "left")
-        ready = left.groupBy("key").agg(F.collect_set("colour").alias("taken"), F.sum(F.col("colour").isNull().cast("int")).alias("waits")).where("waits = 0")
-        new = ready.select("key", F.expr("array_min(filter(sequence(0, size(taken)), c -> not array_contains(taken, c)))").alias("colour"))
+        left = conflicts.join(done.select(*box), box, "left_anti").join(done.select("level", F.col("key").alias("before"), "colour"), ["level", "before"], "left")
+        ready = left.groupBy(*box).agg(F.collect_set("colour").alias("taken"), F.sum(F.col("colour").isNull().cast("int")).alias("waits")).where("waits = 0")
+        new = ready.select(*box, F.expr("array_min(filter(sequence(0, size(taken)), c -> not array_contains(taken, c)))").alias("colour"))
         step += 1
         done = scratch.table(done.unionByName(new), f"round-{step}")
+        scratch.drop(f"round-{step - 1}")
     return done
 
 

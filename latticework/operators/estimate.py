@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators.matrix import apply_matrix, apply_normal, compared
+from latticework.operators.matrix import apply_matrix, apply_normal, compared, summed
 from latticework.session import Scratch
 
 FLOOR = 1e-14
@@ -43,9 +43,10 @@ def dots(x: DataFrame, y: DataFrame) -> DataFrame:
     return both.groupBy("vec").agg(F.expr("sum(x.re * y.re + x.im * y.im)").alias("re"), F.expr("sum(x.re * y.im - x.im * y.re)").alias("im"))
 
 
-def adjoint_defect(a: DataFrame, x: DataFrame, y: DataFrame) -> DataFrame:
-    """defect: the largest |<x, A y> - <A* x, y>| over the larger of both moduli and 1e-14."""
-    p, q = dots(x, apply_matrix(a, y)), dots(apply_matrix(a, x, "adjoint"), y)
+def adjoint_defect(a: DataFrame, x: DataFrame, y: DataFrame, claimed: DataFrame | None = None) -> DataFrame:
+    """defect: the largest |<x, A y> - <B x, y>| over the larger of both moduli and 1e-14; B is the claimed adjoint, or A*."""
+    back = apply_matrix(a, x, "adjoint") if claimed is None else apply_matrix(claimed, x)
+    p, q = dots(x, apply_matrix(a, y)), dots(back, y)
     both = p.alias("p").join(q.alias("q"), "vec")
     size = lambda s: F.sqrt(F.expr(f"{s}.re * {s}.re + {s}.im * {s}.im"))
     gap = F.sqrt((F.col("p.re") - F.col("q.re")) ** 2 + (F.col("p.im") - F.col("q.im")) ** 2)
@@ -74,23 +75,26 @@ def derived(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"cond_estimate": F.sqrt("s1") * F.sqrt("s2"), "norm_apply_fro": F.col("rel_fro") * F.col("norm_fro"), "err_solve_fro": F.col("rel_solve") * F.sqrt("dim")})
 
 
-def power_iteration(a: DataFrame, start: DataFrame, steps: int = 50, normal: bool = True, every: int = 5) -> DataFrame:
+def power_iteration(a: DataFrame, start: DataFrame, steps: int = 50, normal: bool = True) -> DataFrame:
     """step and lam: |<x, B x>| at each step for B = A* A (or A), x scaled to unit norm; sqrt(lam) tends to the 2-norm.
 
-    One job a step, of which two numbers come back; the vector is written to the shared folder every few steps, so
-    that plans stay short. A zero start or image gives 0.
+    The matrix, with duplicates summed, and each step's vector are tables in the shared folder; a step reads them and
+    hands back three numbers. A zero start or image gives 0.
     """
     spark = a.sparkSession
-    scratch, x, found = Scratch(spark, "power"), start, []
+    scratch, found = Scratch(spark, "power"), []
+    a = scratch.table(summed(a), "a")
+    x, size = scratch.table(start, "x-start"), norms(start).first()
+    size = size["norm"] if size else 0.0
     for k in range(steps):
-        size = norms(x).first()
-        if not size or not size["norm"]:
+        if not size:
             found.append((k, 0.0))
             break
-        unit = x.withColumns({c: F.col(c) / size["norm"] for c in ("re", "im")})
-        image = apply_normal(a, unit) if normal else apply_matrix(a, unit)
-        image = scratch.table(image, f"x{k}") if k % every == every - 1 else image.persist()
-        dot = dots(unit, image).first()
-        found.append((k, (dot["re"] ** 2 + dot["im"] ** 2) ** 0.5 if dot else 0.0))
-        x = image
+        unit = x.withColumns({c: F.col(c) / size for c in ("re", "im")})
+        image = scratch.table(apply_normal(a, unit) if normal else apply_matrix(a, unit), f"x{k}")
+        both = image.alias("y").join(unit.alias("x"), ["vec", "idx"], "left")
+        got = both.agg(F.expr("sum(x.re * y.re + x.im * y.im)").alias("re"), F.expr("sum(x.re * y.im - x.im * y.re)").alias("im"), F.expr("sqrt(sum(y.re * y.re + y.im * y.im))").alias("size")).first()
+        found.append((k, ((got["re"] or 0.0) ** 2 + (got["im"] or 0.0) ** 2) ** 0.5))
+        scratch.drop("x-start" if k == 0 else f"x{k - 1}")
+        x, size = image, got["size"]
     return spark.createDataFrame(found, "step int, lam double")

@@ -31,34 +31,50 @@ def apply_matrix(a: DataFrame, x: DataFrame, mode: str = "none") -> DataFrame:
     return joined.groupBy("v.vec", F.col(f"m.{outer}").alias("idx")).agg(*product_sum(F.col("m.re"), sign * F.col("m.im"), F.col("v.re"), F.col("v.im")))
 
 
-def kernel_pairs(rows: DataFrame, columns: DataFrame, name: str, n: Column, kappa: float = 0.0) -> DataFrame:
+#: Points of a block of columns.
+BLOCK = 2000
+
+
+def block_number(rows: DataFrame, n: int) -> int:
+    """Blocks of columns for n points: of BLOCK at most, and as many as there are cores if they then hold 64 or more."""
+    return max(1, -(-n // BLOCK), min(rows.sparkSession.sparkContext.defaultParallelism, n // 64))
+
+
+def all_pairs(rows: DataFrame, columns: DataFrame, blocks: int) -> DataFrame:
+    """rows as p and columns as q (both with id), every row with every column: each row goes to every block of columns, and a task holds the columns of a block."""
+    p = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("p")
+    q = columns.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).alias("q")
+    return p.join(q, F.col("p._block") == F.col("q._block"))
+
+
+def between(p: str = "p", q: str = "q") -> Column:
+    return distance(*(F.col(f"{p}.{c}") for c in "xyz"), *(F.col(f"{q}.{c}") for c in "xyz"))
+
+
+def kernel_pairs(rows: DataFrame, columns: DataFrame, name: str, n: Column, kappa: float = 0.0, blocks: int = 1) -> DataFrame:
     """i, j and value (struct re, im) of a kernel for all pairs of two point tables."""
-    p, q = rows.alias("p"), columns.alias("q")
-    d = distance(*(F.col(f"p.{c}") for c in "xyz"), *(F.col(f"q.{c}") for c in "xyz"))
-    pairs = p.crossJoin(q).select(F.col("p.id").alias("i"), F.col("q.id").alias("j"), d.alias("d"), n.alias("n"))
+    pairs = all_pairs(rows, columns, blocks).select(F.col("p.id").alias("i"), F.col("q.id").alias("j"), between().alias("d"), n.alias("n"))
     return pairs.select("i", "j", lookup(name)(F.col("d"), F.col("n"), kappa).alias("value"))
 
 
-def kernel_matrix(points: DataFrame, name: str, kappa: float = 0.0, n: int | None = None) -> DataFrame:
-    """The matrix of a kernel over all pairs of points; n defaults to their number. For small tables: n^2 rows."""
-    size = points.count() if n is None else n
-    return kernel_pairs(points, points, name, F.lit(size), kappa).select("i", "j", F.col("value.re").alias("re"), F.col("value.im").alias("im"))
+def kernel_matrix(points: DataFrame, name: str, kappa: float = 0.0, n: int | None = None, most: int = 200_000) -> DataFrame:
+    """The matrix of a kernel over all pairs of points; n defaults to their number. It has n^2 rows by its meaning; more than `most` points are an error."""
+    size = points.count()
+    if size > most:
+        raise ValueError(f"{size} points would give {size**2} entries; kernel_apply sums without making them")
+    return kernel_pairs(points, points, name, F.lit(size if n is None else n), kappa, block_number(points, size)).select("i", "j", F.col("value.re").alias("re"), F.col("value.im").alias("im"))
 
 
 def kernel_apply(points: DataFrame, x: DataFrame, name: str = "laplace", kappa: float = 0.0, blocks: int = 0) -> DataFrame:
     """vec, idx, re, im: x plus the kernel's sum over all other points.
 
-    The pairs are made block by block of points (a join on block numbers, each point meeting each block once), and
-    partial sums leave every block, so no task holds more than a block and the shuffle carries n * blocks rows.
+    The pairs are made block by block of points, and partial sums leave every block, so no task holds more than a
+    block and the shuffle carries n * blocks rows.
     """
     n = points.count()
-    blocks = blocks or max(1, -(-n // 2000))
-    own = points.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    target = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("p")
-    source = own.join(x, own["id"] == x["idx"]).select("id", "x", "y", "z", "block", "vec", "re", "im").alias("q")
-    d = distance(*(F.col(f"p.{c}") for c in "xyz"), *(F.col(f"q.{c}") for c in "xyz"))
-    pairs = target.join(source, (F.col("p.other") == F.col("q.block")) & (F.col("p.id") != F.col("q.id")))
-    pairs = pairs.select("q.vec", F.col("p.id").alias("idx"), lookup(name)(d, F.lit(n), kappa).alias("k"), "q.re", "q.im")
+    source = points.join(x, points["id"] == x["idx"]).select("id", "x", "y", "z", "vec", "re", "im")
+    pairs = all_pairs(points, source, blocks or block_number(points, n)).where("p.id <> q.id")
+    pairs = pairs.select("q.vec", F.col("p.id").alias("idx"), lookup(name)(between(), F.lit(n), kappa).alias("k"), "q.re", "q.im")
     sums = pairs.groupBy("vec", "idx").agg(*product_sum(F.col("k.re"), F.col("k.im"), F.col("re"), F.col("im")))
     return combine([(1.0, x), (1.0, sums)], ["vec", "idx"])
 
@@ -207,10 +223,9 @@ def offset_matrix(n: int, ndim: int, grid: DataFrame, values: DataFrame) -> Data
 
 
 def field(targets: DataFrame, sources: DataFrame, name: str, kappa: float) -> DataFrame:
-    """idx, re, im: sum over weighted sources (x, y, z, w_re, w_im) of the kernel at each target (id, x, y, z)."""
-    p, q = targets.alias("p"), sources.alias("q")
-    d = distance(*(F.col(f"p.{c}") for c in "xyz"), *(F.col(f"q.{c}") for c in "xyz"))
-    pairs = p.crossJoin(q).select(F.col("p.id").alias("idx"), lookup(name)(d, F.lit(1), kappa).alias("k"), "q.w_re", "q.w_im")
+    """idx, re, im: sum over weighted sources (id, x, y, z, w_re, w_im) of the kernel at each target (id, x, y, z), block by block of sources."""
+    pairs = all_pairs(targets, sources, block_number(sources, sources.count()))
+    pairs = pairs.select(F.col("p.id").alias("idx"), lookup(name)(between(), F.lit(1), kappa).alias("k"), "q.w_re", "q.w_im")
     return pairs.groupBy("idx").agg(*product_sum(F.col("k.re"), F.col("k.im"), F.col("w_re"), F.col("w_im")))
 
 
@@ -264,11 +279,24 @@ def make_operator(name: str, *args, **kwargs) -> Operator:
     return REGISTRY[name](*args, **kwargs)
 
 
-def checked(y: DataFrame) -> DataFrame:
-    """y if it has the columns of a vector, else an error."""
-    if {"vec", "idx", "re", "im"} - set(y.columns):
-        raise ValueError(f"an operator must return vec, idx, re, im; got {y.columns}")
-    return y
+#: Types that the columns of a vector may have.
+VECTOR = {"vec": ("int", "bigint"), "idx": ("int", "bigint"), "re": ("double", "float"), "im": ("double", "float")}
+
+
+def checked(y: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """y if it has the columns of a vector with their types, else an error; with ids, every vector must have an entry for each id and no other."""
+    kinds = dict(y.dtypes)
+    wrong = [c for c, types in VECTOR.items() if kinds.get(c) not in types]
+    if wrong:
+        raise ValueError(f"an operator must return {list(VECTOR)}; {wrong} are missing or of another type in {y.dtypes}")
+    if ids is None:
+        return y
+    own = ids.select(F.col("id").alias("idx")).distinct()
+    n = own.count()
+    sizes = y.groupBy("vec").agg(F.count("*").alias("n"), F.count_distinct("idx").alias("k"))
+    if y.join(own, "idx", "left_anti").isEmpty() and sizes.where((F.col("n") != n) | (F.col("k") != n)).isEmpty():
+        return y
+    raise ValueError(f"an operator must return {n} entries a vector, one for each id")
 
 
 def as_struct(x: DataFrame) -> DataFrame:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.functions import udtf
 
-from latticework.session import Scratch, ship
+from latticework.session import Scratch
 
 
 def torus(spark: SparkSession, n: int, m: int, copies: int = 1, flip: bool = False, hole: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -89,41 +88,29 @@ def mesh_components(elements: DataFrame, least: int = 50) -> DataFrame:
     return label.join(big.select("component"), "component", "left_semi").select("eid", "component")
 
 
-def _clip(polygon: list[tuple], axis: int, at: float, sign: float) -> list[tuple]:
-    """The part of a polygon with sign * (coordinate - at) >= 0."""
-    out = []
-    for k, p in enumerate(polygon):
-        q = polygon[(k + 1) % len(polygon)]
-        dp, dq = sign * (p[axis] - at), sign * (q[axis] - at)
-        if dp >= 0:
-            out.append(p)
-        if (dp > 0 > dq) or (dp < 0 < dq):
-            t = dp / (dp - dq)
-            out.append(tuple(a + t * (b - a) for a, b in zip(p, q, strict=True)))
-    return out
-
-
-@udtf(returnType="quadrant int, part int, ax double, ay double, az double, bx double, by double, bz double, cx double, cy double, cz double")
-class _Quadrants:
-    def eval(self, ax: float, ay: float, az: float, bx: float, by: float, bz: float, cx: float, cy: float, cz: float, y: float, z: float):
-        triangle = [(ax, ay, az), (bx, by, bz), (cx, cy, cz)]
-        for quadrant, (sy, sz) in enumerate(((1, 1), (-1, 1), (-1, -1), (1, -1))):
-            polygon = _clip(triangle, 1, y, sy)
-            polygon = _clip(polygon, 2, z, sz) if len(polygon) >= 3 else []
-            for k in range(1, len(polygon) - 1):
-                yield (quadrant, k - 1, *polygon[0], *polygon[k], *polygon[k + 1])
+def _clipped(polygon: str, c: str, at: float, sign: str) -> str:
+    """SQL: the part of a polygon (array of structs x, y, z) with sign * (c - at) >= 0: its corners there, and where its edges cross the plane."""
+    dp, dq = f"(p.{c} - {at}D)", f"(q.{c} - {at}D)"
+    point = ", ".join(f"'{k}', p.{k} + {dp} / ({dp} - {dq}) * (q.{k} - p.{k})" for k in "xyz")
+    none = "cast(array() as array<struct<x: double, y: double, z: double>>)"
+    edges = f"zip_with({polygon}, concat(slice({polygon}, 2, size({polygon}) - 1), slice({polygon}, 1, 1)), (p, q) -> concat(if({sign} * {dp} >= 0, array(p), {none}), if({dp} * {dq} < 0, array(named_struct({point})), {none})))"
+    return f"if(size({polygon}) < 3, {none}, flatten({edges}))"
 
 
 def quadrant_clip(vertices: DataFrame, elements: DataFrame, y: float, z: float) -> DataFrame:
     """eid, quadrant, part and corners ax to cz: elements cut at the planes of y and z, each piece as a fan of triangles.
 
-    Both sides of a plane are closed, and the cut is left open.
+    Both sides of a plane are closed, and the cut is left open. Quadrants: 0 both above, 1 y below, 2 both below, 3 z below.
     """
-    ship(vertices.sparkSession)
     own = with_corners(vertices, elements)
-    names = [k + c for k in "abc" for c in "xyz"]
-    cut = own.select("eid", *(F.col(c).alias("_" + c) for c in names)).lateralJoin(_Quadrants(*(F.col("_" + c).outer() for c in names), F.lit(float(y)), F.lit(float(z))))
-    return cut.select("eid", "quadrant", "part", *names)
+    corner = lambda k: f"named_struct('x', {k}x, 'y', `{k}y`, 'z', {k}z)"
+    signs = "array(struct(0, 1, 1), struct(1, -1, 1), struct(2, -1, -1), struct(3, 1, -1))"
+    each = own.select("eid", F.expr(f"array({', '.join(corner(k) for k in 'abc')})").alias("whole"), F.explode(F.expr(signs)).alias("s"))
+    half = each.select("eid", "s", F.expr(_clipped("whole", "y", float(y), "s.col2")).alias("half"))
+    cut = half.select("eid", F.col("s.col1").alias("quadrant"), F.expr(_clipped("half", "z", float(z), "s.col3")).alias("cut")).where("size(cut) >= 3")
+    fan = cut.select("eid", "quadrant", "cut", F.posexplode(F.expr("sequence(1, size(cut) - 2)")).alias("part", "k"))
+    names = [(f"{n}{c}", f"{at}.{c}") for n, at in (("a", "cut[0]"), ("b", "cut[k]"), ("c", "cut[k + 1]")) for c in "xyz"]
+    return fan.select("eid", "quadrant", "part", *(F.expr(e).alias(n) for n, e in names))
 
 
 def area(pieces: DataFrame) -> DataFrame:

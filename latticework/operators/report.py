@@ -22,11 +22,14 @@ def all_but_last(df: DataFrame, keys: list[str], order: list[str], value: str) -
     return df.groupBy(*keys).agg(F.sum(value).alias("s"), F.count("*").alias("n"), F.max_by(value, place).alias("last")).select(*keys, F.try_divide(F.col("s") - F.col("last"), F.col("n") - 1).alias("mean_rest"), "last")
 
 
-def phase_totals(df: DataFrame, key: str, phases: dict[str, str], total: str) -> DataFrame:
-    """Sum of each array column in phases (name: column), and `other`: what of total they leave, 0 at least."""
-    sums = {n: F.aggregate(F.col(c), F.lit(0).cast("double"), lambda a, x: a + x) for n, c in phases.items()}
-    own = df.select(key, total, *(v.alias(n) for n, v in sums.items()))
-    return own.withColumn("other", F.greatest(F.col(total) - reduce(Column.__add__, (F.col(n) for n in sums)), F.lit(0.0)))
+def phase_totals(times: DataFrame, key: str, phases: list[str], totals: DataFrame) -> DataFrame:
+    """key, total, the sum of each phase, and `other`: what of total they leave, 0 at least.
+
+    times: key, phase, value, a row for each time; totals: key, total. Phases without times sum to 0.
+    """
+    sums = times.groupBy(key).agg(*(F.sum(F.when(F.col("phase") == n, F.col("value"))).alias(n) for n in phases))
+    own = totals.join(sums, key, "left").select(key, "total", *(F.coalesce(n, F.lit(0.0)).alias(n) for n in phases))
+    return own.withColumn("other", F.greatest(F.col("total") - reduce(Column.__add__, (F.col(n) for n in phases)), F.lit(0.0)))
 
 
 def shares(df: DataFrame, key: str, phases: list[str], drop_zero: bool = False) -> DataFrame:
@@ -63,30 +66,70 @@ def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
     return own.groupBy("case").agg(failed.alias("f")).select("case", F.size("f").alias("n_failed"), F.array_join("f", ",").alias("failed"), F.when(F.size("f") == 0, "PASS").otherwise("FAIL").alias("verdict"))
 
 
-def cross_rules(wide: DataFrame) -> DataFrame:
-    """case, failed: norm_2 < norm_fro, norm_a_2 > 0 and all of them present."""
-    checks = [("norms_present", F.col("norm_2").isNotNull() & F.col("norm_fro").isNotNull() & F.col("norm_a_2").isNotNull()), ("norm_2_below_norm_fro", F.col("norm_2") < F.col("norm_fro")), ("norm_a_2_positive", F.col("norm_a_2") > 0)]
-    return wide.select("case", F.array_join(F.array_compact(F.array(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in checks))), ",").alias("failed"))
+def cross_rules(wide: DataFrame, most_relative: float | None = None) -> DataFrame:
+    """case, failed (names of the rules that don't hold, comma-joined) of rows with the norms and errors of a case.
+
+    norms_present: norm_apply_2, norm_apply_fro, norm_a_2, norm_a_fro. Only with these: norm_2_below_norm_fro
+    (norm_apply_2 < norm_apply_fro), norm_a_2_positive, and, if it is, relative_norm_2 (norm_apply_2 / norm_a_2 <
+    most_relative, if given). solve_errors_present: err_solve_2, err_solve_fro.
+    """
+    there = lambda *names: reduce(Column.__and__, (F.col(n).isNotNull() for n in names))
+    norms = there("norm_apply_2", "norm_apply_fro", "norm_a_2", "norm_a_fro")
+    positive = F.col("norm_a_2") > 0
+    broken = [("norms_present", ~norms), ("norm_2_below_norm_fro", norms & ~(F.col("norm_apply_2") < F.col("norm_apply_fro"))), ("norm_a_2_positive", norms & ~positive)]
+    if most_relative is not None:
+        broken.append(("relative_norm_2", norms & positive & (F.col("norm_apply_2") >= most_relative * F.col("norm_a_2"))))
+    broken.append(("solve_errors_present", ~there("err_solve_2", "err_solve_fro")))
+    return wide.select("case", F.array_join(F.array_compact(F.array(*(F.when(wrong, F.lit(n)) for n, wrong in broken))), ",").alias("failed"))
+
+
+#: Errors of a run that its iteration summary lists.
+SELECTED = ("solve_error_rhs", "app_condition_number", "norm_apply_2", "err_solve_2")
+
 
+def iteration_summary(residuals: DataFrame, errors: DataFrame) -> DataFrame:
+    """tolerance, mean_no_prec, mean_prec (mean numbers of residuals a right-hand side, null without any), n_no_prec,
+    n_prec (right-hand sides that have any) and SELECTED of each row of errors; columns that errors lacks are null.
 
-def iteration_summary(histories: DataFrame) -> DataFrame:
-    """tolerance, mean_no_prec, mean_prec (mean history lengths, null without any), n_rhs, from no_prec and prec (arrays of histories)."""
+    residuals: tolerance, curve (no_prec or prec), rhs, a row for each residual.
+    """
+    lengths = residuals.groupBy("tolerance", "curve", "rhs").agg(F.count("*").alias("n"))
+    of = lambda c: F.when(F.col("curve") == c, F.col("n"))
+    means = lengths.groupBy("tolerance").agg(*(F.avg(of(c)).alias(f"mean_{c}") for c in ("no_prec", "prec")), *(F.count(of(c)).alias(f"n_{c}") for c in ("no_prec", "prec")))
+    listed = [F.col(c) if c in errors.columns else F.lit(None).cast("double").alias(c) for c in SELECTED]
+    return errors.select("tolerance", *listed).join(means, "tolerance", "left").select("tolerance", "mean_no_prec", "mean_prec", *(F.coalesce(n, F.lit(0)).alias(n) for n in ("n_no_prec", "n_prec")), *SELECTED)
 
-    def mean(c):
-        full = F.filter(c, lambda h: F.size(h) > 0)
-        return F.try_divide(F.aggregate(full, F.lit(0.0), lambda a, h: a + F.size(h)), F.size(full))
 
-    return histories.select("tolerance", mean("no_prec").alias("mean_no_prec"), mean("prec").alias("mean_prec"), F.size(F.filter("prec", lambda h: F.size(h) > 0)).alias("n_rhs"))
+#: The error metrics by number, from 1.
+SERIES = ("norm_apply_2", "err_solve_2", "cond_rsrs_estimate", "tot_num_samples", "residual_size")
 
 
-SERIES = ("app_inv_err_left", "app_err_left", "norm_apply_fro", "norm_apply_2", "solve_error_rhs")
+def _series(stats: DataFrame, column: str, factor: float = 1.0) -> DataFrame:
+    value = F.col(column).cast("double") * factor if column in stats.columns else F.lit(float("nan"))
+    return stats.select("tolerance", value.alias("value")).orderBy(F.col("tolerance").asc_nulls_last())
 
 
 def metric_series(stats: DataFrame, metric: int) -> DataFrame:
-    """tolerance, value of the metric of that number (from 1), smallest tolerance first."""
+    """tolerance, value of the metric of that number in SERIES, smallest tolerance first; NaN where stats has no such column."""
     if not 1 <= metric <= len(SERIES):
         raise ValueError(f"metrics are numbered 1 to {len(SERIES)}")
-    return stats.select("tolerance", F.col(SERIES[metric - 1]).alias("value")).orderBy(F.col("tolerance").asc_nulls_last())
+    return _series(stats, SERIES[metric - 1])
+
+
+def elapsed_seconds(times: DataFrame) -> DataFrame:
+    """tolerance, value: total_elapsed_time_wo_sampling (milliseconds) in seconds, smallest tolerance first."""
+    return _series(times, "total_elapsed_time_wo_sampling", 1 / 1000)
+
+
+def iteration_series(residuals: DataFrame) -> DataFrame:
+    """method, tolerance, n of residuals (tolerance, method, a row for each residual), without the method no_prec; smallest tolerance first."""
+    own = residuals.where(F.col("method") != "no_prec").groupBy("method", "tolerance").agg(F.count("*").alias("n"))
+    return own.orderBy("method", F.col("tolerance").asc_nulls_last())
+
+
+def degrees_of_freedom(times: DataFrame) -> DataFrame:
+    """dim of the document of the smallest tolerance; no row without documents."""
+    return times.orderBy(F.col("tolerance").asc_nulls_last()).limit(1).select("dim")
 
 
 def at_tolerance(stats: DataFrame, tolerance: float | None) -> DataFrame:
@@ -133,10 +176,19 @@ def shared_range(df: DataFrame, value: str) -> DataFrame:
     return finite.agg(F.coalesce(F.min(value), F.lit(0.0)).alias("low"), F.coalesce(F.max(value), F.lit(1.0)).alias("high"))
 
 
+#: Byte counts and counts of a snapshot's factor_memory.
+FACTOR_BYTES = ("total_bytes", "id_bytes", "lu_bytes", "diag_bytes", "perm_bytes")
+FACTOR_COUNTS = ("id_count", "lu_count", "diag_count")
+
+
 def memory_report(snapshots: DataFrame, key: str) -> DataFrame:
-    """Largest values of each run's snapshots (array of structs label, rss_bytes, peak_rss_bytes, factor_memory)."""
-    own = snapshots.select(key, F.explode("memory_snapshots").alias("s"))
-    return own.groupBy(key).agg(F.count("*").alias("n_snapshots"), F.max("s.rss_bytes").alias("max_rss"), F.max("s.peak_rss_bytes").alias("max_peak"), F.max("s.factor_memory.total_bytes").alias("max_factor"), F.max(F.expr("s.factor_memory.id_bytes + s.factor_memory.lu_bytes")).alias("max_id_lu"))
+    """Number and largest values of each run's memory snapshots: key and a row (label, rss_bytes, peak_rss_bytes, factor_memory) for each.
+
+    max_rss, max_peak, max_id_lu (id and lu bytes of one snapshot together), and max_ of all byte counts and counts of factor_memory.
+    """
+    parts = [F.max(F.col(f"factor_memory.{c}")).alias(f"max_{c}") for c in (*FACTOR_BYTES, *FACTOR_COUNTS)]
+    both = F.max(F.col("factor_memory.id_bytes") + F.col("factor_memory.lu_bytes")).alias("max_id_lu")
+    return snapshots.groupBy(key).agg(F.count("*").alias("n_snapshots"), F.max("rss_bytes").alias("max_rss"), F.max("peak_rss_bytes").alias("max_peak"), both, *parts)
 
 
 def worst_route(df: DataFrame) -> DataFrame:
@@ -163,9 +215,19 @@ def improved(old: DataFrame, new: DataFrame, keys: list[str], value: str, factor
     return both.withColumn("improved", F.coalesce(F.col("old") >= factor * F.col("new"), F.lit(False)))
 
 
-def sorted_index(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    """df with place, from 0, of the value within keys."""
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(value, tie)) - 1)
+def sorted_index(df: DataFrame, keys: list[str], value: str, tie: str, ranges: int = 64) -> DataFrame:
+    """df with place (long, from 0) of the value within keys, nulls first.
+
+    Values are cut into about `ranges` ranges at approximate quantiles over all rows; a place is the number of rows
+    of the keys in lower ranges and the rank within the range, so no task has to sort all rows of a key.
+    """
+    cuts = df.agg(F.percentile_approx(value, F.array(*(F.lit(k / ranges) for k in range(1, ranges))), F.lit(4 * ranges)).alias("_cuts"))
+    own = df.crossJoin(F.broadcast(cuts)).withColumn("_range", F.when(F.col(value).isNull(), -1).otherwise(F.size(F.filter("_cuts", lambda c: c < F.col(value))))).drop("_cuts")
+    counts = own.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    before = counts.select(*keys, "_range", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_range")) - F.col("_n")).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(value, tie)) - 1
+    placed = own.withColumn("_rank", rank).join(before, [*keys, "_range"])
+    return placed.withColumn("place", F.col("_before") + F.col("_rank")).select(*df.columns, "place")
 
 
 def energy_ranks(x: DataFrame, key: str = "vec") -> DataFrame:
@@ -180,14 +242,15 @@ def top_energy(x: DataFrame, tops: tuple[int, ...] = (10, 25), key: str = "vec")
     return energy_ranks(x, key).groupBy(key).agg(*(F.sum(F.when(F.col("rank") <= k, F.col("energy"))).alias(f"top_{k}") for k in tops))
 
 
-def residual_curves(histories: DataFrame) -> DataFrame:
-    """tolerance, curve (prec or no_prec), step, residual of the first right-hand side.
+def residual_curves(residuals: DataFrame) -> DataFrame:
+    """tolerance, curve (prec or no_prec), step, residual of the first right-hand side, from rows that have rhs besides.
 
     Tolerances without a preconditioned history are left out; the other curve comes once, from the smallest tolerance.
     """
-    prec = histories.where("size(prec) > 0").select("tolerance", F.lit("prec").alias("curve"), F.posexplode(F.col("prec")[0]).alias("step", "residual"))
-    first = histories.where("size(no_prec) > 0").orderBy("tolerance").limit(1)
-    return prec.unionByName(first.select("tolerance", F.lit("no_prec").alias("curve"), F.posexplode(F.col("no_prec")[0]).alias("step", "residual")))
+    firsts = residuals.groupBy("tolerance", "curve").agg(F.min("rhs").alias("rhs"))
+    plain = firsts.where("curve = 'no_prec'").orderBy("tolerance").limit(1)
+    wanted = firsts.where("curve = 'prec'").unionByName(plain)
+    return residuals.join(wanted, ["tolerance", "curve", "rhs"], "left_semi").select("tolerance", "curve", "step", "residual")
 
 
 def by_tolerance(df: DataFrame) -> DataFrame:

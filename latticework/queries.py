@@ -19,6 +19,7 @@ from latticework.operators import estimate as E
 from latticework.operators import matrix as M
 from latticework.operators import report as T
 from latticework.operators import solve as S
+from latticework.operators.right_hand_sides import right_hand_side
 from latticework.session import Scratch
 from latticework.sources import points as P
 
@@ -70,7 +71,7 @@ def hundred(spark, sf_dir):
 
 
 def parts(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"))
 
 
 def measured(spark, sf_dir):
@@ -120,25 +121,24 @@ def joi1_kernel_matrix(spark, sf_dir):
     return rounded(a.groupBy("i").agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum(F.col("re") ** 2 + F.col("im") ** 2).alias("square")), 8)
 
 
-@query(f"""WITH {PTS}, {PAIRS} SELECT i, j, {rs({"gauss": "CASE WHEN d = 0 THEN 1 ELSE 1 / (n * exp(d * d)) END", "osc_re": "CASE WHEN d = 0 THEN 1 ELSE cos(d * d) / n END", "osc_im": "CASE WHEN d = 0 THEN 0 ELSE -sin(d * d) / n END", "lap": "CASE WHEN d = 0 THEN 1 ELSE 1 / (4 * pi() * n * d) END"})} FROM d WHERE i % 25 = 0""")
+@query(f"""WITH {PTS}, {PAIRS} SELECT i, {rs({"gauss": "sum(CASE WHEN d = 0 THEN 1 ELSE 1 / (n * exp(d * d)) END)", "osc_re": "sum(CASE WHEN d = 0 THEN 1 ELSE cos(d * d) / n END)", "osc_im": "sum(CASE WHEN d = 0 THEN 0 ELSE -sin(d * d) / n END)", "lap": "sum(CASE WHEN d = 0 THEN 1 ELSE 1 / (4 * pi() * n * d) END)"})} FROM d GROUP BY i""")
 def scl2_kernel_scalars(spark, sf_dir):
+    """The kernels of all pairs of points, summed by row."""
     p = points(spark, sf_dir)
-    n = F.lit(p.count())
-    rows = p.where("id % 25 = 0")
-    out = M.kernel_pairs(rows, p, "gaussian", n).select("i", "j", F.col("value.re").alias("gauss"))
-    for name, cols in (("oscillating_gaussian", {"re": "osc_re", "im": "osc_im"}), ("laplace", {"re": "lap"})):
-        out = out.join(M.kernel_pairs(rows, p, name, n).select("i", "j", *(F.col(f"value.{k}").alias(v) for k, v in cols.items())), ["i", "j"])
-    return rounded(out)
+    n = p.count()
+    pairs = M.all_pairs(p, p, M.block_number(p, n)).select(F.col("p.id").alias("i"), M.between().alias("d"))
+    of = lambda name, part: F.sum(K.lookup(name)(F.col("d"), F.lit(n), 0.0)[part])
+    return rounded(pairs.groupBy("i").agg(of("gaussian", "re").alias("gauss"), of("oscillating_gaussian", "re").alias("osc_re"), of("oscillating_gaussian", "im").alias("osc_im"), of("laplace", "re").alias("lap")))
 
 
-@query(f"""WITH {PTS}, {PAIRS} SELECT i, j, {rs({"plane": "CASE WHEN d = 0 THEN 0 ELSE -ln(d) / (2 * pi()) / n END", "space": "CASE WHEN d = 0 THEN 0 ELSE 1 / (4 * pi() * d) / n END", "diagonal": "(2 / pi()) * 0.0025 * 0.25 * (1.5 * ln(2 + sqrt(3)) - pi() / 4)"})} FROM d WHERE i % 25 = 1""")
+@query(f"""WITH {PTS}, {PAIRS} SELECT i, {rs({"plane": "sum(CASE WHEN d = 0 THEN 0 ELSE -ln(d) / (2 * pi()) / n END)", "space": "sum(CASE WHEN d = 0 THEN 0 ELSE 1 / (4 * pi() * d) / n END)", "diagonal": "sum(CASE WHEN d = 0 THEN (2 / pi()) * 0.0025 * 0.25 * (1.5 * ln(2 + sqrt(3)) - pi() / 4) ELSE 0 END)"})} FROM d GROUP BY i""")
 def scl3_grid_kernels(spark, sf_dir):
+    """The grid kernels of all pairs of points, summed by row, and the cell term on the diagonal."""
     p = points(spark, sf_dir)
-    n = F.lit(p.count())
-    a, b = p.where("id % 25 = 1").alias("a"), p.alias("b")
-    d = K.distance(*(F.col(f"a.{c}") for c in "xyz"), *(F.col(f"b.{c}") for c in "xyz"))
-    pairs = a.crossJoin(b).select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), d.alias("d"))
-    return rounded(pairs.select("i", "j", K.grid_kernel(F.col("d"), n, 2).alias("plane"), K.grid_kernel(F.col("d"), n, 3).alias("space"), F.lit(K.grid_diagonal(0.05, 3)).alias("diagonal")))
+    n = p.count()
+    pairs = M.all_pairs(p, p, M.block_number(p, n)).select(F.col("p.id").alias("i"), M.between().alias("d"))
+    plane, space = (F.sum(K.grid_kernel(F.col("d"), F.lit(n), k)) for k in (2, 3))
+    return rounded(pairs.groupBy("i").agg(plane.alias("plane"), space.alias("space"), F.sum(F.when(F.col("d") == 0, F.lit(K.grid_diagonal(0.05, 3))).otherwise(0.0)).alias("diagonal")))
 
 
 @query(f"""WITH {PTS}, s AS (SELECT *, 0.6 * x + 0.8 * z AS ph, sqrt((x - 2) * (x - 2) + y * y + z * z) AS rr FROM p), t AS (SELECT *, -cos(2 * ph) AS tr, -sin(2 * ph) AS ti, 2 * (0.6 * x + 0.8 * z) * sin(2 * ph) AS nr, -2 * (0.6 * x + 0.8 * z) * cos(2 * ph) AS ni FROM s)
@@ -153,7 +153,7 @@ def scl4_incident_data(spark, sf_dir):
     return rounded(out)
 
 
-@query("""SELECT l_orderkey, l_linenumber, sum(l_quantity * l_discount - l_tax * l_extendedprice) AS unused, """ .replace("sum(l_quantity * l_discount - l_tax * l_extendedprice) AS unused, ", "") + rs({"add_re": "l_quantity + l_discount", "add_im": "l_tax + l_extendedprice", "mul_re": "l_quantity * l_discount - l_tax * l_extendedprice", "mul_im": "l_quantity * l_extendedprice + l_tax * l_discount", "modulus": "sqrt(l_quantity * l_quantity + l_tax * l_tax)", "in_re": "l_quantity * l_discount + l_tax * l_extendedprice", "in_im": "l_quantity * l_extendedprice - l_tax * l_discount", "e_re": "cos(l_tax)", "e_im": "sin(l_tax)"}, 6) + " FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, " + rs({"add_re": "l_quantity + l_discount", "add_im": "l_tax + l_extendedprice", "mul_re": "l_quantity * l_discount - l_tax * l_extendedprice", "mul_im": "l_quantity * l_extendedprice + l_tax * l_discount", "modulus": "sqrt(l_quantity * l_quantity + l_tax * l_tax)", "in_re": "l_quantity * l_discount + l_tax * l_extendedprice", "in_im": "l_quantity * l_extendedprice - l_tax * l_discount", "e_re": "cos(l_tax)", "e_im": "sin(l_tax)"}, 6) + " FROM lineitem")
 def scl1_complex_scalars(spark, sf_dir):
     t = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C.cx(F.col("l_quantity"), F.col("l_tax")).alias("a"), C.cx(F.col("l_discount"), F.col("l_extendedprice")).alias("b"), "l_tax")
     a, b = F.col("a"), F.col("b")
@@ -170,9 +170,18 @@ def side(spark, sf_dir):
     return math.isqrt(table(spark, sf_dir, "embeddings").count())
 
 
-@query(f"""WITH {SIDE}, g AS (SELECT n, unnest(range((n + 1) * (n + 1))) AS id FROM n) SELECT id, {rs({"x": "(id // (n + 1)) / n", "y": "(id % (n + 1)) / n", "z": "0.0"})} FROM g""")
+def with_values(spark, sf_dir, df, key="id"):
+    """df with value, the first coordinate of the point of that id, 0 where there is none."""
+    value = points(spark, sf_dir).select(F.col("id").alias(key), F.col("x").alias("value"))
+    return df.join(value, key, "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+
+
+VALUE = r("coalesce((SELECT p.x FROM p WHERE p.id = {0}), 0)", "value")
+
+
+@query(f"""WITH {PTS}, {SIDE}, g AS (SELECT n, unnest(range((n + 1) * (n + 1))) AS id FROM n) SELECT g.id, {rs({"x": "(g.id // (n + 1)) / n", "y": "(g.id % (n + 1)) / n", "z": "0.0"})}, {VALUE.format("g.id")} FROM g""")
 def src9_regular_grid(spark, sf_dir):
-    return rounded(P.regular_grid(spark, side(spark, sf_dir), 2))
+    return rounded(with_values(spark, sf_dir, P.regular_grid(spark, side(spark, sf_dir), 2)))
 
 
 @query(f"""WITH {PTS}, k AS (SELECT count(*) AS n FROM p), c AS (SELECT avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM p), f AS (SELECT max(sqrt((x - cx) ** 2 + (y - cy) ** 2 + (z - cz) ** 2)) AS far FROM p, c),
@@ -182,10 +191,11 @@ def src10_sources(spark, sf_dir):
     return rounded(P.sources_around(p, p.select("id"), p.count(), 1.5), 8)
 
 
-@query(f"""WITH n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT unnest(range(16)) AS cell, n FROM n), k AS (SELECT cell, unnest(range(1, 1 + CAST(n // 16 + CASE WHEN cell < n % 16 THEN 1 ELSE 0 END AS BIGINT))) AS k FROM c)
-    SELECT cell, CAST(k AS INTEGER) AS k, {rs({"x": f"(cell % 4 + {uni(42, 'cell', 'k', 'x')}) / 4", "y": f"(cell // 4 + {uni(42, 'cell', 'k', 'y')}) / 4"})}, CAST(0.000001 AS DOUBLE) AS z FROM k""")
+@query(f"""WITH {PTS}, n AS (SELECT count(*) AS n FROM embeddings), c AS (SELECT unnest(range(16)) AS cell, n FROM n), k AS (SELECT cell, unnest(range(1, 1 + CAST(n // 16 + CASE WHEN cell < n % 16 THEN 1 ELSE 0 END AS BIGINT))) AS k FROM c)
+    SELECT cell, CAST(k AS INTEGER) AS k, {rs({"x": f"(cell % 4 + {uni(42, 'cell', 'k', 'x')}) / 4", "y": f"(cell // 4 + {uni(42, 'cell', 'k', 'y')}) / 4"})}, CAST(0.000001 AS DOUBLE) AS z, {VALUE.format("16 * k.k + k.cell")} FROM k""")
 def src11_square_points(spark, sf_dir):
-    return rounded(P.square_points(spark, 2, table(spark, sf_dir, "embeddings").count()))
+    own = P.square_points(spark, 2, table(spark, sf_dir, "embeddings").count())
+    return rounded(with_values(spark, sf_dir, own.withColumn("id", F.expr("16L * k + cell"))).drop("id"))
 
 
 @query(f"""WITH {PTS}, b AS (SELECT (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy, (min(z) + max(z)) / 2 AS cz FROM p), s AS (SELECT id, 1 - 2 * {uni(42, "0", "id", "u")} AS h, 2 * pi() * {uni(42, "0", "id", "v")} AS t, x - cx AS dx, y - cy AS dy, z - cz AS dz FROM p, b)
@@ -211,16 +221,18 @@ def src14_trefoil(spark, sf_dir):
     return rounded(P.trefoil_points(i, n).join(P.trefoil_points(i, n, 0.1).select("id", F.col("x").alias("nx")), "id"), 8)
 
 
-@query(f"""WITH {SIDE}, g AS (SELECT n, unnest(range(n * n)) AS id FROM n), k AS (SELECT count(*) AS m FROM embeddings), a AS (SELECT g.*, m FROM g, k) SELECT id, {rs({"x": "-1 + (id // n) * (2.0 / (n - 1))", "y": "0.25", "z": "-1 + (id % n) * (2.0 / (n - 1))", "angle": "id * (2 * pi() / (m - 1))", "rx": "cos(id * (2 * pi() / (m - 1)))", "ry": "sin(id * (2 * pi() / (m - 1)))"})} FROM a""")
+@query(f"""WITH {PTS}, {SIDE}, g AS (SELECT n, unnest(range(n * n)) AS id FROM n), k AS (SELECT count(*) AS m FROM embeddings), a AS (SELECT g.*, m FROM g, k) SELECT a.id, {rs({"x": "-1 + (a.id // n) * (2.0 / (n - 1))", "y": "0.25", "z": "-1 + (a.id % n) * (2.0 / (n - 1))", "angle": "a.id * (2 * pi() / (m - 1))", "rx": "cos(a.id * (2 * pi() / (m - 1)))", "ry": "sin(a.id * (2 * pi() / (m - 1)))"})}, {VALUE.format("a.id")} FROM a""")
 def src15_plane_and_ring(spark, sf_dir):
     n = side(spark, sf_dir)
     grid = P.plane_grid(spark, "xz", n, n, -1.0, 1.0, 0.25)
-    return rounded(grid.join(P.ring(grid.select("id"), table(spark, sf_dir, "embeddings").count()).select("id", "angle", F.col("x").alias("rx"), F.col("y").alias("ry")), "id"))
+    both = grid.join(P.ring(grid.select("id"), table(spark, sf_dir, "embeddings").count()).select("id", "angle", F.col("x").alias("rx"), F.col("y").alias("ry")), "id")
+    return rounded(with_values(spark, sf_dir, both))
 
 
-@query(f"""WITH {SIDE}, g AS (SELECT n, unnest(range((n - 1) * (n - 1))) AS k FROM n), v AS (SELECT n, k, (k // (n - 1)) * n + k % (n - 1) AS v FROM g) SELECT 2 * k AS eid, v AS a, v + 1 AS b, v + n AS c FROM v UNION ALL SELECT 2 * k + 1, v + 1, v + n + 1, v + n FROM v""")
+@query(f"""WITH {PTS}, {SIDE}, g AS (SELECT n, unnest(range((n - 1) * (n - 1))) AS k FROM n), v AS (SELECT n, k, (k // (n - 1)) * n + k % (n - 1) AS v FROM g), t AS (SELECT 2 * k AS eid, v AS a, v + 1 AS b, v + n AS c FROM v UNION ALL SELECT 2 * k + 1, v + 1, v + n + 1, v + n FROM v) SELECT t.*, {VALUE.format("t.a")} FROM t""")
 def src16_grid_triangles(spark, sf_dir):
-    return P.grid_triangles(spark, side(spark, sf_dir))
+    """The triangles, and the value at the first corner of each."""
+    return rounded(with_values(spark, sf_dir, P.grid_triangles(spark, side(spark, sf_dir)), "a"))
 
 
 @query(f"""WITH s AS (SELECT unnest(range(10)) AS sample), i AS (SELECT vec_id AS idx FROM embeddings WHERE embedding IS NOT NULL) SELECT CAST(sample AS INTEGER) AS sample, idx, {rs({"re": gauss(42, "sample", "idx"), "im": gauss(42, "sample", "idx", "i")}, 8)} FROM s, i""")
@@ -264,11 +276,11 @@ def mat2_sparse_apply(spark, sf_dir):
     return rounded(M.apply_matrix(sparse(spark, sf_dir), P.test_vector(parts(spark, sf_dir))).select("idx", "re", "im"), 6)
 
 
-@query(f"""WITH {SQM}, {CV.format(t="h")}, s AS (SELECT j, re, im, c.* FROM a JOIN c ON c.idx = a.i) SELECT mode, idx, {rs({"re": "re", "im": "im"}, 6)} FROM (
+@query(f"""WITH {SQM}, {CV.format(t="h")} SELECT mode, idx, {rs({"re": "re", "im": "im"}, 6)} FROM (
     SELECT 'none' AS mode, i AS idx, sum(a.re * c.re - a.im * c.im) AS re, sum(a.re * c.im + a.im * c.re) AS im FROM a JOIN c ON c.idx = a.j GROUP BY i UNION ALL
     SELECT 'transpose', j, sum(a.re * c.re - a.im * c.im), sum(a.re * c.im + a.im * c.re) FROM a JOIN c ON c.idx = a.i GROUP BY j UNION ALL
     SELECT 'conj', i, sum(a.re * c.re + a.im * c.im), sum(a.re * c.im - a.im * c.re) FROM a JOIN c ON c.idx = a.j GROUP BY i UNION ALL
-    SELECT 'adjoint', j, sum(a.re * c.re + a.im * c.im), sum(a.re * c.im - a.im * c.re) FROM a JOIN c ON c.idx = a.i GROUP BY j)""".replace(", s AS (SELECT j, re, im, c.* FROM a JOIN c ON c.idx = a.i)", ""))
+    SELECT 'adjoint', j, sum(a.re * c.re + a.im * c.im), sum(a.re * c.im - a.im * c.re) FROM a JOIN c ON c.idx = a.i GROUP BY j)""")
 def mat1_operator_modes(spark, sf_dir):
     op, x = M.make_operator("matrix", square(spark, sf_dir)), P.complex_test_vector(hundred(spark, sf_dir))
     out = None
@@ -331,8 +343,8 @@ def _draws(t, n, seed):
     return f"(SELECT CAST(s AS INTEGER) AS vec, id AS idx, {gauss(seed, 's', 'id')} AS re, 0.0 AS im FROM {t}, (SELECT unnest(range({n})) AS s))"
 
 
-@query(f"""WITH {SQM}, w AS {_draws("h", 3, 1)}, w2 AS {_draws("h", 3, 2)}, s AS (SELECT i, j, sum(re) / 2 AS re, sum(im) / 2 AS im FROM (SELECT i, j, re, im FROM a UNION ALL SELECT j, i, re, im FROM a) GROUP BY 1, 2), y AS (SELECT 'y' AS side, vec, a.i AS idx, a.re, a.im, w.re AS v FROM a JOIN w ON w.idx = a.j UNION ALL SELECT 'z', vec, a.j, a.re, a.im, w2.re FROM a JOIN w2 ON w2.idx = a.i)
-    SELECT side, vec, idx, {rs({"re": "sum(re * v)", "im": "sum(im * v)"}, 5)} FROM y GROUP BY 1, 2, 3""".replace(", s AS (SELECT i, j, sum(re) / 2 AS re, sum(im) / 2 AS im FROM (SELECT i, j, re, im FROM a UNION ALL SELECT j, i, re, im FROM a) GROUP BY 1, 2)", ""))
+@query(f"""WITH {SQM}, w AS {_draws("h", 3, 1)}, w2 AS {_draws("h", 3, 2)}, y AS (SELECT 'y' AS side, vec, a.i AS idx, a.re, a.im, w.re AS v FROM a JOIN w ON w.idx = a.j UNION ALL SELECT 'z', vec, a.j, a.re, a.im, w2.re FROM a JOIN w2 ON w2.idx = a.i)
+    SELECT side, vec, idx, {rs({"re": "sum(re * v)", "im": "sum(im * v)"}, 5)} FROM y GROUP BY 1, 2, 3""")
 def mat9_sketch_pair(spark, sf_dir):
     a, h = M.summed(square(spark, sf_dir)), hundred(spark, sf_dir)
     common = M.combine([(0.5, a), (0.5, M.transpose(a))], ["i", "j"])
@@ -360,12 +372,33 @@ def mat12_field(spark, sf_dir):
     return rounded(M.coherent_sum(M.field(targets, weighted, "helmholtz", 2.0), wave), 8)
 
 
-@query(f"""WITH {PTS}, k AS (SELECT id AS d, id * (pi() * (3 - sqrt(5))) AS t, 1 - 2 * id / 3 AS h FROM p WHERE id < 4) SELECT CAST(d AS BIGINT) AS vec, p.id AS idx, {rs({"re": "-cos(2 * (x * sqrt(greatest(0, 1 - h * h)) * cos(t) + y * sqrt(greatest(0, 1 - h * h)) * sin(t) + z * h))", "im": "-sin(2 * (x * sqrt(greatest(0, 1 - h * h)) * cos(t) + y * sqrt(greatest(0, 1 - h * h)) * sin(t) + z * h))"})} FROM p, k""")
+DIR = "k AS (SELECT id AS d, sqrt(greatest(0, 1 - power(1 - 2 * id / 3, 2))) * cos(id * (pi() * (3 - sqrt(5)))) AS dx, sqrt(greatest(0, 1 - power(1 - 2 * id / 3, 2))) * sin(id * (pi() * (3 - sqrt(5)))) AS dy, 1 - 2 * id / 3 AS dz FROM p WHERE id < 4)"
+#: Operators, and the real and imaginary part of their data: w the phase, t the direction against the normal (the point's own place), q the distance.
+DATA = {
+    "BemppClHelmholtzSingleLayer": ("-cos(2 * w)", "-sin(2 * w)"),
+    "BemppClHelmholtzCombined": ("-2 * (t - 1) * sin(2 * w)", "2 * (t - 1) * cos(2 * w)"),
+    "BemppClBurtonMiller": ("-cos(2 * w) + t * cos(2 * w)", "-sin(2 * w) + t * sin(2 * w)"),
+    "BemppClLaplaceCombined": ("1 / (4 * pi() * q)", "0.0"),
+    "BemppClLaplaceSingleLayer": ("2.5 / (4 * pi() * q)", "0.0"),
+}
+
+
+@query(f"""WITH {PTS}, {DIR}, w AS (SELECT d, p.id, x * dx + y * dy + z * dz AS w, x * dx + y * dy + z * dz AS t, sqrt((x - 3 * dx) ** 2 + (y - 3 * dy) ** 2 + (z - 3 * dz) ** 2) AS q, y, z FROM p, k)
+    """ + " UNION ALL ".join(f"SELECT '{n}' AS operator, CAST(d AS BIGINT) AS vec, id AS idx, {rs({'re': a, 'im': b}, 8)} FROM w" for n, (a, b) in DATA.items())
+    + f""" UNION ALL SELECT 'BemppClMaxwellEfie', d, 3 * id + k, {r("v * cos(2 * w)", "re", 8)}, {r("v * sin(2 * w)", "im", 8)} FROM (SELECT d, id, w, unnest([0, 1, 2]) AS k, unnest([0.0, z, -y]) AS v FROM w)
+    UNION ALL SELECT 'BIEGridReal', d, id, {r(uni(42, "d", "id", "r"), "re", 8)}, 0.0 FROM w""")
 def mat14_right_hand_sides(spark, sf_dir):
+    """Data of four directions, or sources three units out along them, for an operator of each kind; the double layer is three times the identity."""
     p = points(spark, sf_dir)
-    d = P.directions(p, 4).select(F.col("id").alias("vec"), *(F.col(c).alias("d" + c) for c in "xyz"))
-    wave = K.plane_wave(F.expr("x * dx + y * dy + z * dz"), 2.0)
-    return rounded(p.crossJoin(F.broadcast(d)).select("vec", F.col("id").alias("idx"), wave.alias("w")).select("vec", "idx", "w.re", "w.im"))
+    own = p.withColumns({f"n{c}": F.col(c) for c in "xyz"})
+    d = P.directions(p, 4)
+    far = d.select("id", *((3 * F.col(c)).alias(c) for c in "xyz"))
+    layer = M.Operator(M.identity(p).withColumn("re", F.lit(3.0)))
+    out = None
+    for name in [*DATA, "BemppClMaxwellEfie", "BIEGridReal"]:
+        one = right_hand_side(own, name, far if "Laplace" in name else d, kappa=2.0, double_layer=layer).select(F.lit(name).alias("operator"), F.col("vec").cast("long").alias("vec"), F.col("idx").cast("long").alias("idx"), "re", "im")
+        out = one if out is None else out.unionByName(one)
+    return rounded(out, 8)
 
 
 @query("""SELECT l_suppkey AS i, l_partkey AS j, """ + r("sum(l_quantity)", "re", 6) + """, 0.0 AS im FROM lineitem WHERE l_suppkey % 3 = 0 AND l_partkey % 5 = 0 GROUP BY 1, 2""")
@@ -374,13 +407,14 @@ def joi2_submatrix(spark, sf_dir):
     return rounded(M.summed(M.submatrix(sparse(spark, sf_dir), rows, parts(spark, sf_dir).where("id % 5 = 0"))), 6)
 
 
-@query(f"""WITH {SIDE}, g AS (SELECT n, unnest(range((n + 1) * (n + 1))) AS id FROM n), q AS (SELECT a.id AS i, a.n, sqrt(power((a.id // (a.n + 1) - b.id // (b.n + 1)) / a.n, 2) + power((a.id % (a.n + 1) - b.id % (b.n + 1)) / a.n, 2)) AS d FROM g a, g b) SELECT i, {r("sum(CASE WHEN d = 0 THEN 0 ELSE -ln(d) / (2 * pi()) END)", "total", 7)}, count(*) AS n FROM q GROUP BY i""")
+@query(f"""WITH {PTS}, {SIDE}, g AS (SELECT n, unnest(range((n + 1) * (n + 1))) AS id FROM n), q AS (SELECT a.id AS i, b.id AS j, a.n, sqrt(power((a.id // (a.n + 1) - b.id // (b.n + 1)) / a.n, 2) + power((a.id % (a.n + 1) - b.id % (b.n + 1)) / a.n, 2)) AS d FROM g a, g b) SELECT i, {r("sum(CASE WHEN d = 0 THEN 0 ELSE -ln(d) / (2 * pi()) END * coalesce(p.x, 0))", "total", 7)}, count(*) AS n FROM q LEFT JOIN p ON p.id = q.j GROUP BY i""")
 def joi7_offset_matrix(spark, sf_dir):
     n = side(spark, sf_dir)
     grid, step = P.regular_grid(spark, n, 2), F.lit(float(n))
     own = spark.range((n + 1) ** 2).select(F.expr(f"cast(id div {n + 1} as int)").alias("d0"), F.expr(f"cast(id % {n + 1} as int)").alias("d1"), F.lit(0).alias("d2"))
     values = own.withColumn("re", K.grid_kernel(F.sqrt((F.col("d0") / step) ** 2 + (F.col("d1") / step) ** 2), F.lit(1), 2)).withColumn("im", F.lit(0.0))
-    return rounded(M.offset_matrix(n, 2, grid, values).groupBy("i").agg(F.sum("re").alias("total"), F.count("*").alias("n")), 7)
+    a = with_values(spark, sf_dir, M.offset_matrix(n, 2, grid, values), "j")
+    return rounded(a.groupBy("i").agg(F.sum(F.col("re") * F.col("value")).alias("total"), F.count("*").alias("n")), 7)
 
 
 # --- estimates ---
@@ -406,11 +440,16 @@ def agg8_max_error(spark, sf_dir):
     return rounded(E.max_error(M.apply_matrix(a, w), M.apply_matrix(a, w, "adjoint")))
 
 
-@query(f"""WITH {SQM}, {IMG}, {IMT}, g AS (SELECT sqrt(sum(power(coalesce(m.re, 0) - coalesce(t.re, 0), 2) + power(coalesce(m.im, 0) - coalesce(t.im, 0), 2))) AS d, sqrt(sum(coalesce(m.re * m.re + m.im * m.im, 0))) AS n FROM m FULL JOIN t ON t.vec = m.vec AND t.idx = m.idx GROUP BY coalesce(m.vec, t.vec)) SELECT 0.0 AS adjoint, {r("max(d / n)", "self_adjoint")} FROM g""")
+@query(f"""WITH {SQM}, {IMG}, {IMT}, u AS (SELECT CAST(s AS INTEGER) AS vec, id AS idx, {gauss(7, "s", "id")} AS re FROM h, (SELECT unnest(range(5)) AS s)), y AS (SELECT vec, i AS idx, sum(a.re * u.re) AS re, sum(a.im * u.re) AS im FROM a JOIN u ON u.idx = a.j GROUP BY 1, 2), b AS (SELECT vec, j AS idx, sum(a.re * w.re) AS re, sum(a.im * w.re) AS im FROM a JOIN w ON w.idx = a.i GROUP BY 1, 2),
+    p AS (SELECT w.vec, sum(w.re * y.re) AS re, sum(w.re * y.im) AS im FROM w JOIN y ON y.vec = w.vec AND y.idx = w.idx GROUP BY 1), q AS (SELECT b.vec, sum(b.re * u.re) AS re, sum(-b.im * u.re) AS im FROM b JOIN u ON u.vec = b.vec AND u.idx = b.idx GROUP BY 1),
+    g AS (SELECT sqrt(sum(power(coalesce(m.re, 0) - coalesce(t.re, 0), 2) + power(coalesce(m.im, 0) - coalesce(t.im, 0), 2))) AS d, sqrt(sum(coalesce(m.re * m.re + m.im * m.im, 0))) AS n FROM m FULL JOIN t ON t.vec = m.vec AND t.idx = m.idx GROUP BY coalesce(m.vec, t.vec))
+    SELECT {r("(SELECT max(sqrt(power(p.re - q.re, 2) + power(p.im - q.im, 2)) / greatest(sqrt(p.re * p.re + p.im * p.im), sqrt(q.re * q.re + q.im * q.im), 1e-14)) FROM p JOIN q ON q.vec = p.vec)", "of_transpose")}, 0.0 AS of_adjoint, {r("max(d / n)", "self_adjoint")} FROM g""")
 def agg9_adjoint_defects(spark, sf_dir):
+    """The defect of the transpose, which isn't the adjoint of a complex matrix; that of the adjoint, nothing but rounding; and of A as its own adjoint."""
     a, h = square(spark, sf_dir), hundred(spark, sf_dir)
-    one = E.adjoint_defect(a, samples(h), samples(h, seed=7)).select(F.col("defect").alias("adjoint"))
-    return rounded(one.crossJoin(E.self_adjoint_defect(a, samples(h)).select(F.col("defect").alias("self_adjoint"))))
+    wrong = E.adjoint_defect(a, samples(h), samples(h, seed=7), M.transpose(a)).select(F.col("defect").alias("of_transpose"))
+    right = E.adjoint_defect(a, samples(h), samples(h, seed=7)).select(F.col("defect").alias("of_adjoint"))
+    return rounded(wrong.crossJoin(right).crossJoin(E.self_adjoint_defect(a, samples(h)).select(F.col("defect").alias("self_adjoint"))))
 
 
 @query(f"""WITH {SQM}, {IMG}, q AS (SELECT sqrt(sum(re * re + im * im)) AS y, vec FROM m GROUP BY vec), z AS (SELECT sqrt(sum(re * re)) AS x, vec FROM w GROUP BY vec) SELECT {r("max(y / x)", "norm_2", 6)} FROM q JOIN z ON z.vec = q.vec""")
@@ -442,10 +481,20 @@ def agg21_box_error(spark, sf_dir):
     return rounded(T.norm_ratio(a, a.withColumn("re", F.lit(0.0)), ["key"]))
 
 
-@query()
+def _power_sql(steps: int) -> str:
+    """Each step as two sums over the entries of the matrix: image and its product with the vector, then the scaled image."""
+    parts = [f"""a AS MATERIALIZED (SELECT l_suppkey AS i, l_partkey AS j, sum(l_quantity) AS v FROM lineitem GROUP BY 1, 2), w AS (SELECT p_partkey AS j, {gauss(42, "0", "p_partkey")} AS x FROM part), x0 AS MATERIALIZED (SELECT j, x / (SELECT sqrt(sum(x * x)) FROM w) AS x FROM w)"""]
+    for k in range(steps):
+        parts.append(f"y{k} AS MATERIALIZED (SELECT i, sum(v * x) AS y FROM a JOIN x{k} USING (j) GROUP BY i), z{k} AS MATERIALIZED (SELECT j, sum(v * y) AS z FROM a JOIN y{k} USING (i) GROUP BY j)")
+        parts.append(f"x{k + 1} AS MATERIALIZED (SELECT j, z / (SELECT sqrt(sum(z * z)) FROM z{k}) AS x FROM z{k})")
+    return "WITH " + ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT CAST({k} AS INTEGER) AS step, {r('log10(sum(x * z))', 'digits', 8)} FROM x{k} JOIN z{k} USING (j)" for k in range(steps))
+
+
+@query(_power_sql(50))
 def itr1_power_iteration(spark, sf_dir):
-    h = hundred(spark, sf_dir)
-    return rounded(E.power_iteration(M.summed(square(spark, sf_dir)), samples(h, 1), steps=8), 3)
+    """Fifty steps on all suppliers by all parts; the logarithm of each estimate."""
+    x = P.gaussian_vectors(parts(spark, sf_dir), 1).withColumnRenamed("sample", "vec")
+    return rounded(E.power_iteration(sparse(spark, sf_dir), x).select("step", F.log10("lam").alias("digits")), 8)
 
 
 def _shifted(spark, sf_dir):
@@ -455,17 +504,31 @@ def _shifted(spark, sf_dir):
     return M.combine([(1, a), (float(top), M.identity(hundred(spark, sf_dir)))], ["i", "j"])
 
 
-@query()
+@query("SELECT 0 AS vec, id AS idx, " + r("sin(0.29 * (id + 1)) + 0.25 * cos(0.11 * (id + 1))", "re", 6) + ", 0.0 AS im, true AS solved, true AS falls FROM (SELECT DISTINCT l_partkey % 100 AS id FROM lineitem)")
 def itr2_gmres(spark, sf_dir):
+    """The solution of A x = b for a known x, with the residual below the tolerance and no step's above the one before."""
     a = Scratch(spark, "shifted").table(_shifted(spark, sf_dir), "a")
     x = P.test_vector(hundred(spark, sf_dir))
-    found, history = S.gmres(lambda v: M.apply_matrix(a, v), M.apply_matrix(a, x), tolerance=1e-8, restart=8, most=16)
-    out = E.solve_check(a, x, found, M.apply_matrix(a, x)).select("vec", (F.col("residual") < 1e-6).alias("solved"))
-    return out.withColumn("n_steps", F.lit(len(history)))
+    found, history = S.gmres(lambda v: M.apply_matrix(a, v), M.apply_matrix(a, x), tolerance=1e-10)
+    falls = all(b <= a * (1 + 1e-9) for a, b in zip(history, history[1:]))
+    return rounded(found.select("vec", "idx", "re", "im", F.lit(history[-1] <= 1e-10).alias("solved"), F.lit(falls).alias("falls")), 6)
+
+
+@query("SELECT CAST(k AS INTEGER) AS step, true AS told FROM range(1, 6) AS t(k)")
+def udf3_residual_callback(spark, sf_dir):
+    """Each of five steps tells its residual to a callback, which collects what the history has."""
+    told = []
+    a = Scratch(spark, "shifted").table(_shifted(spark, sf_dir), "a")
+    b = M.apply_matrix(a, P.complex_test_vector(hundred(spark, sf_dir)))
+    _, history = S.gmres(lambda v: M.apply_matrix(a, v), b, tolerance=0.0, most=5, callback=lambda k, r: told.append((k, r)))
+    return spark.createDataFrame([(k, r == h) for (k, r), h in zip(told, history, strict=True)], "step int, told boolean")
 
 
-@query()
+@query("SELECT 0::BIGINT AS vec, id AS idx, " + r("sin(0.29 * (id + 1)) + 0.25 * cos(0.11 * (id + 1))", "re", 6) + ", 0.0 AS im FROM (SELECT DISTINCT l_partkey % 100 AS id FROM lineitem)")
 def mat13_block_solve(spark, sf_dir):
+    """Blocks of ten rows: the block-diagonal part of A applied to a known x, then solved for it."""
     a, x = _shifted(spark, sf_dir), P.test_vector(hundred(spark, sf_dir))
     boxes = hundred(spark, sf_dir).select((F.col("id") % 10).alias("key"), F.col("id").alias("idx"))
-    return rounded(S.block_solve(a, boxes, x), 9)
+    diagonal = a.where("i % 10 = j % 10")
+    b = M.apply_matrix(diagonal, x)
+    return rounded(S.block_solve(a, boxes, b), 6)

@@ -77,11 +77,11 @@ def append_samples(samples: DataFrame, base: str, folder: str, force_complex: bo
     own.repartition("block").write.partitionBy("base", "block").mode("append").parquet(folder)
 
 
-def ensure_samples(ids: DataFrame, wanted: int, folder: str, apply: Callable[[DataFrame, str], DataFrame], symmetric: bool = False, seed: int = 42) -> int:
+def ensure_samples(ids: DataFrame, wanted: int, folder: str, apply: Callable[[DataFrame, str], DataFrame], symmetric: bool = False, seed: int = 42, complex_values: bool = False) -> int:
     """Brings the store to `wanted` samples and returns how many were added: none if there are enough.
 
     y_test holds draws W and y_sketch their images A W; z_test and z_sketch hold conj W' and conj(A^T W'), left out
-    for symmetric operators. apply(x, mode) gives images.
+    for symmetric operators. Draws are real, or complex with complex_values. apply(x, mode) gives images.
     """
     spark = ids.sparkSession
     shape = sample_shape(spark, "y_sketch", folder)
@@ -90,7 +90,7 @@ def ensure_samples(ids: DataFrame, wanted: int, folder: str, apply: Callable[[Da
         return 0
     rows = lambda v: v.select(F.col("vec").alias("sample"), "idx", "re", "im")
     for side, mode, s in (("y", "none", seed),) if symmetric else (("y", "none", seed), ("z", "transpose", seed + 1)):
-        w = gaussian_vectors(ids, wanted, s).where(F.col("sample") >= have).withColumnRenamed("sample", "vec")
+        w = gaussian_vectors(ids, wanted, s, complex_values).where(F.col("sample") >= have).withColumnRenamed("sample", "vec")
         image = apply(w, mode)
         flip = (lambda v: v.withColumn("im", -F.col("im"))) if side == "z" else (lambda v: v)
         append_samples(rows(flip(w)), f"{side}_test", folder)
