@@ -92,23 +92,35 @@ def colours(boxes: DataFrame, near: DataFrame) -> DataFrame:
     """level, key, colour of the boxes, so that boxes of a level whose neighbourhoods (themselves included) overlap differ.
 
     boxes has level and key, near has level, key and other. In the order of keys each box takes the smallest colour
-    that no earlier box in conflict has; a round colours all boxes of all levels whose earlier ones are done.
+    that no earlier box in conflict has. A round colours, at all levels, each group of boxes with the same box two
+    levels up (64 at most) whose earlier groups in conflict are done; within a group one box after the other.
     """
-    box = ["level", "key"]
+    box, group = ["level", "key"], F.shiftright("key", 6)
     scratch = Scratch(boxes.sparkSession, "colours")
-    own = boxes.select(*box).distinct()
-    reach = near.join(own, box, "left_semi").select(*box, "other").unionByName(own.withColumn("other", F.col("key"))).distinct()
+    own = boxes.select(*box).distinct().withColumn("g", group)
+    reach = near.join(own, box, "left_semi").select(*box, "other").unionByName(own.select(*box, F.col("key").alias("other"))).distinct()
     conflicts = reach.alias("a").join(reach.alias("b"), ["level", "other"]).where("a.key > b.key").select("level", F.col("a.key").alias("key"), F.col("b.key").alias("before")).distinct()
-    conflicts = scratch.table(conflicts, "conflicts")
-    done = scratch.table(own.join(conflicts, box, "left_anti").withColumn("colour", F.lit(0)), "round-0")
-    total, step = own.count(), 0
-    while done.count() < total:
-        left = conflicts.join(done.select(*box), box, "left_anti").join(done.select("level", F.col("key").alias("before"), "colour"), ["level", "before"], "left")
-        ready = left.groupBy(*box).agg(F.collect_set("colour").alias("taken"), F.sum(F.col("colour").isNull().cast("int")).alias("waits")).where("waits = 0")
-        new = ready.select(*box, F.expr("array_min(filter(sequence(0, size(taken)), c -> not array_contains(taken, c)))").alias("colour"))
+    conflicts = scratch.table(conflicts.withColumns({"g": group, "h": F.shiftright("before", 6)}), "conflicts")
+    waits = scratch.table(conflicts.where("g > h").select("level", "g", "h").distinct(), "waits")
+    left, step, done = scratch.table(own.select("level", "g").distinct(), "left-0"), 0, None
+    free = "array_min(filter(sequence(0, size(t)), c -> not array_contains(t, c)))"
+    smallest = f"element_at(transform(array(concat(x.taken, transform(x.own, k -> m[k]))), t -> {free}), 1)"
+    fold = f"aggregate(array_sort(collect_list(struct(key, taken, own))), cast(map() as map<bigint, int>), (m, x) -> map_concat(m, map(x.key, {smallest})))"
+    while not left.isEmpty():
+        blocked = waits.join(left.withColumnRenamed("g", "h"), ["level", "h"], "left_semi").select("level", "g").distinct()
+        ready = left.join(blocked, ["level", "g"], "left_anti")
+        pairs = conflicts.join(ready, ["level", "g"], "left_semi")
+        known = pairs.join(done.select("level", F.col("key").alias("before"), "colour"), ["level", "before"], "left") if done is not None else pairs.withColumn("colour", F.lit(None).cast("int"))
+        told = known.groupBy(*box).agg(F.collect_set("colour").alias("taken"), F.collect_list(F.when(F.col("g") == F.col("h"), F.col("before"))).alias("own"))
+        rows = own.join(ready, ["level", "g"], "left_semi").join(told, box, "left")
+        rows = rows.withColumns({"taken": F.coalesce("taken", F.array().cast("array<int>")), "own": F.coalesce("own", F.array().cast("array<bigint>"))})
+        new = rows.groupBy("level", "g").agg(F.expr(fold).alias("m")).select("level", F.explode("m").alias("key", "colour"))
         step += 1
-        done = scratch.table(done.unionByName(new), f"round-{step}")
-        scratch.drop(f"round-{step - 1}")
+        done = scratch.table(new if done is None else done.unionByName(new), f"round-{step}")
+        left = scratch.table(left.join(blocked, ["level", "g"], "left_semi"), f"left-{step}")
+        scratch.drop(f"left-{step - 1}")
+        if step > 1:
+            scratch.drop(f"round-{step - 1}")
     return done
 
 
