@@ -437,8 +437,8 @@ def itr4_sample_counts(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {BOX}, {NEAR}, o AS MATERIALIZED (SELECT level, key, row_number() OVER (PARTITION BY level ORDER BY key) AS k FROM c), e AS (SELECT level, key, other FROM near UNION ALL SELECT level, key, key FROM c),
-    f AS MATERIALIZED (SELECT x.level, x.k, list(DISTINCT y.k) AS before FROM o x JOIN e p ON p.level = x.level AND p.key = x.key JOIN e q ON q.level = p.level AND q.other = p.other JOIN o y ON y.level = q.level AND y.key = q.key WHERE y.k < x.k GROUP BY ALL),
-    g(level, k, colours) AS (SELECT DISTINCT level, 0::BIGINT, []::INTEGER[] FROM o UNION ALL SELECT g.level, g.k + 1, list_append(g.colours, CAST(list_min(list_filter(range(len(coalesce(f.before, [])) + 1), lambda v: NOT list_contains(list_transform(coalesce(f.before, []), lambda b: g.colours[b]), v))) AS INTEGER)) FROM g JOIN o ON o.level = g.level AND o.k = g.k + 1 LEFT JOIN f ON f.level = g.level AND f.k = g.k + 1)
+    held AS MATERIALIZED (SELECT x.level, x.k, list(DISTINCT y.k) AS before FROM o x JOIN e p ON p.level = x.level AND p.key = x.key JOIN e q ON q.level = p.level AND q.other = p.other JOIN o y ON y.level = q.level AND y.key = q.key WHERE y.k < x.k GROUP BY ALL),
+    g(level, k, colours) AS (SELECT DISTINCT level, 0::BIGINT, []::INTEGER[] FROM o UNION ALL SELECT g.level, g.k + 1, list_append(g.colours, CAST(list_min(list_filter(range(len(coalesce(held.before, [])) + 1), lambda v: NOT list_contains(list_transform(coalesce(held.before, []), lambda b: g.colours[b]), v))) AS INTEGER)) FROM g JOIN o ON o.level = g.level AND o.k = g.k + 1 LEFT JOIN held ON held.level = g.level AND held.k = g.k + 1)
     SELECT CAST(o.level AS INTEGER) AS level, CAST(o.key AS BIGINT) AS key, g.colours[o.k] AS colour FROM o JOIN g ON g.level = o.level AND g.k = o.k""")
 def itr5_colours(spark, sf_dir):
     """The boxes of every level."""

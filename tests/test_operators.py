@@ -7,6 +7,7 @@ from pathlib import Path
 import numpy as np
 import pytest
 from conftest import SF
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ from latticework.operators import matrix as M
 from latticework.operators import mesh as G
 from latticework.operators import report as T
 from latticework.operators import solve as S
+from latticework.operators.right_hand_sides import right_hand_side
 from latticework.sources import points as P
 from latticework.sources import results as D
 from latticework.sources import samples as A
@@ -114,6 +116,11 @@ def test_unknown_names(spark):
             fail()
     with pytest.raises(ValueError):
         M.checked(spark.range(1))
+    x = P.test_vector(spark.range(3))
+    assert M.checked(x, spark.range(3)) is x
+    for bad in (x.withColumn("re", F.lit("a")), x.where("idx < 2"), x.union(x), P.test_vector(spark.range(4))):
+        with pytest.raises(ValueError):
+            M.checked(bad, spark.range(3))
     with pytest.raises(PySparkException):
         spark.range(1).select(R.leaf_size(F.lit(3.0), F.lit("trefoil"))).collect()
 
@@ -130,6 +137,45 @@ def test_result_files(spark):
         D.fresh(spark, str(folder), spark.sql("select current_timestamp() + interval 1 hour as t").first().t).collect()
 
 
+def test_documents_that_lack_fields(spark):
+    docs = lambda *texts: spark.createDataFrame([(0.1, t) for t in texts], "tolerance double, doc string")
+    rank = {"residual_size": 1, "ranks": [], "compression": [], "box_sizes": [], "near_field_sizes": [], "dec_boxes_per_level": [2]}
+    assert D.typed(docs(json.dumps(rank)), "rank").first().dec_boxes_per_level == [2]
+    for bad in (json.dumps({k: v for k, v in rank.items() if k != "ranks"}), "{"):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            D.typed(docs(bad), "rank").collect()
+    values = lambda *texts: spark.createDataFrame([(t,) for t in texts], "values string")
+    assert D.decode_vector(values("[1, 2]", "[]", None, "[[3, 4]]")).collect() == [(0, 1.0, 0.0), (1, 2.0, 0.0), (0, 3.0, 4.0)]
+    for bad in ("{}", '"x"', "x", "[1, null]", "[[1]]"):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            D.decode_vector(values(bad)).collect()
+
+
+def test_written_files(spark):
+    folder = tempfile.mkdtemp()
+    own = spark.createDataFrame([("error", 0.01, '{"dim": 1}'), ("rank", 40.0, "{}"), ("time", 0.01, "{}")], "kind string, tolerance double, doc string")
+    assert D.write_stats(own, folder, "rank") == 2 and D.write_stats(own, folder) == 3
+    assert sorted(p.name for p in Path(folder).glob("*.json")) == ["error_stats_1e-2.json", "rank_stats_4e1.json", "time_stats_1e-2.json"]
+    with pytest.raises(ValueError):
+        D.write_stats(own.union(own), folder)
+
+
+def test_right_hand_sides_refuse(spark):
+    p = P.sphere_points(spark.range(5))
+    for operator, more in (("Unknown", {}), ("BemppClLaplaceSingleLayer", {"problem": "Neumann"}), ("BemppClLaplaceSingleLayer", {}), ("BemppClMaxwellEfie", {"precision": "half"})):
+        with pytest.raises(ValueError):
+            right_hand_side(p, operator, p, **more)
+    single = right_hand_side(p, "BemppClHelmholtzSingleLayer", p, kappa=1.0, precision="single")
+    assert dict(single.dtypes)["re"] == "float" and single.count() == 25
+
+
+def test_clip_keeps_areas(spark):
+    v, e = G.torus(spark, 6, 5)
+    area = lambda df: {r.eid: r.area for r in G.area(df).groupBy("eid").agg(F.sum("area").alias("area")).collect()}
+    whole, cut = area(G.with_corners(v, e)), area(G.quadrant_clip(v, e, 0.123, 0.045))
+    assert whole.keys() == cut.keys() and all(abs(whole[k] - cut[k]) < 1e-9 for k in whole)
+
+
 def test_sample_store(spark):
     folder, ids = tempfile.mkdtemp() + "/store", spark.range(20)
     apply = lambda x, mode: x
@@ -148,7 +194,7 @@ def test_sample_store(spark):
 def test_colours_match_the_sweep(spark):
     boxes = B.box_counts(B.point_boxes(Q.points(spark, SF), 2)).where("level = 2")
     near = B.neighbours(boxes)
-    got = {r.key: r.colour for r in B.colours(boxes.select("key"), near.select("key", "other")).collect()}
+    got = {r.key: r.colour for r in B.colours(boxes.select("level", "key"), near).collect()}
     reach = {k: {k} for k in got}
     for r in near.collect():
         reach[r.key].add(r.other)
