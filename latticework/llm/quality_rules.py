@@ -53,7 +53,7 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     counted = split.select(
         "doc_id", "text", "words", "lines", "n_symbols", F.expr("cast(size(words) as long)").alias("n_words"), F.expr("cast(length(array_join(words, '')) as long)").alias("word_chars"),
         F.expr("cast(size(lines) - size(array_distinct(lines)) as long)").alias("n_dup_lines"),
-        F.expr("if(size(words) < 6, cast(array() as array<bigint>), transform(sequence(0, size(words) - 5), i -> xxhash64(get(words, i), get(words, i + 1), get(words, i + 2), get(words, i + 3), get(words, i + 4))))").alias("hashes"),
+        F.expr("transform(words, w -> xxhash64(w))").alias("word_hashes"),
         F.expr(rf"""transform(every, l -> named_struct('line', l, 'blank', not l rlike '[^ \t-\r]', 'c', length(l), 'n', length(l) - length(replace(l, ' ', '')) + 1,
             'pipes', if(n_symbols > 0, length(l) - length(replace(l, '|', '')), 0),
             'marks', if(marked, greatest(regexp_count(l, '[#*$%&<>]{{2,}}'), regexp_count(l, '[!?]{{2,}}')), 0),
@@ -61,9 +61,11 @@ def line_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             'ended', instr('{TERMINAL.replace("'", "\\'")}', right(rtrim(l), 1)) > 0))""").alias("of_every"),
     )
     counted = counted.withColumn("of_lines", F.expr("filter(of_every, x -> not x.blank)"))
-    # windows of equal hash are looked at as text, in sorted order, where there are any
-    sorted_windows = "array_sort(transform(sequence(0, size(words) - 5), i -> named_struct('w', array_join(slice(words, i + 1, 5), ' '), 'i', i)))"
-    windows = counted.withColumn("windows", F.expr(f"if(size(array_distinct(hashes)) = size(hashes), null, {sorted_windows})"))
+    # windows whose hash, of the hashes of their words, comes twice are looked at as text, in sorted order
+    hashed = counted.withColumn("hashes", F.expr("if(size(words) < 6, cast(array() as array<bigint>), transform(sequence(0, size(words) - 5), i -> xxhash64(get(word_hashes, i), get(word_hashes, i + 1), get(word_hashes, i + 2), get(word_hashes, i + 3), get(word_hashes, i + 4))))"))
+    ordered = hashed.withColumn("ordered", F.expr("if(size(array_distinct(hashes)) = size(hashes), null, array_sort(transform(hashes, (h, i) -> struct(h as h, i as i))))"))
+    twice = ordered.withColumn("twice", F.expr("filter(ordered, (x, k) -> (k > 0 and get(ordered, k - 1).h = x.h) or (get(ordered, k + 1).h <=> x.h))"))
+    windows = twice.withColumn("windows", F.expr("array_sort(transform(twice, x -> named_struct('w', array_join(slice(words, x.i + 1, 5), ' '), 'i', x.i)))"))
     judged = windows.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "of_lines",
         F.expr("if(windows is null, null, array_sort(transform(filter(windows, (x, k) -> (k > 0 and get(windows, k - 1).w = x.w) or (get(windows, k + 1).w <=> x.w)), x -> x.i)))").alias("repeated"),
