@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.llm.common import documents
-from latticework.session import Scratch, likely, ship, split_by
+from latticework.session import Scratch, likely, ship, spare, split_by
 
 LOCAL = "[A-Za-z0-9._%+-]"
 #: Kind, what a text must have to be looked at, and the pattern. They match what the plain forms of the kinds match,
@@ -40,12 +40,26 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _folded(items: str, kind: str, start: str, step: str) -> str:
+    """SQL: struct at, out of a fold over an array: at from start on, out of structs `kind`; step is the struct that follows from (a, x).
+
+    Appending to an array copies it, so the fold goes in about sqrt(n) parts of sqrt(n) items each, whose outs are
+    then put together.
+    """
+    none, wide = f"cast(array() as array<{kind}>)", f"greatest(cast(sqrt(size({items})) as int), 1)"
+    part = f"aggregate(slice({items}, c * {wide} + 1, {wide}), named_struct('at', b.at, 'out', {none}), (a, x) -> {step})"
+    joined = f"element_at(transform(array({part}), p -> named_struct('at', p.at, 'out', concat(b.out, p.out))), 1)"
+    whole = f"aggregate(sequence(0, cast((size({items}) - 1) / {wide} as int)), named_struct('at', {start}, 'out', {none}), (b, c) -> {joined})"
+    return f"if(size({items}) > 0, {whole}, named_struct('at', {start}, 'out', {none}))"
+
+
 def _matches(text: str, pattern: str) -> str:
     """SQL: array of (m, s, e) of a pattern's matches, places in code points: what lies between them adds up."""
-    q = _quoted(pattern)
-    return f"""aggregate(arrays_zip(split({text}, {q}), regexp_extract_all({text}, {q}, 0)), named_struct('at', 0, 'out', cast(array() as array<struct<m: string, s: int, e: int>>)),
-        (a, x) -> if(x.`1` is null, a, named_struct('at', a.at + length(x.`0`) + length(x.`1`),
-            'out', array_append(a.out, named_struct('m', x.`1`, 's', a.at + length(x.`0`), 'e', a.at + length(x.`0`) + length(x.`1`))))), a -> a.out)"""
+    q, kind = _quoted(pattern), "struct<m: string, s: int, e: int>"
+    begin, end = "a.at + x.gap", "a.at + x.gap + length(x.m)"
+    step = f"named_struct('at', {end}, 'out', array_append(a.out, named_struct('m', x.m, 's', {begin}, 'e', {end})))"
+    both = f"zip_with(slice(split({text}, {q}), 1, size(f)), f, (t, m) -> named_struct('gap', length(t), 'm', m))"
+    return f"element_at(transform(array(regexp_extract_all({text}, {q}, 0)), f -> element_at(transform(array({both}), z -> ({_folded('z', kind, '0', step)}).out), 1)), 1)"
 
 
 def _base(k: int) -> Column:
@@ -63,7 +77,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def revealing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, least_share: float, least_documents: int) -> DataFrame:
-    """doc_id, tag and terms (array of s, e): every place of the words of a text that tell too much about one of its values.
+    """doc_id, tag and terms (array of s, e): every place of the words of a text that tell too much about one of its values, outside its spans.
 
     For a protected value e and a term t, over documents: the term's pointwise information about the value,
     log(N * n(e, t) / (n(e) * n(t))), as a share of the value's own information log(N / n(e)), is 1 if the term is
@@ -95,7 +109,12 @@ def revealing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, least_s
     parts = parts.withColumn("e", F.sum(F.length("part")).over(Window.partitionBy(*key).orderBy("k")).cast("int"))
     places = parts.where(F.col("part").rlike(r"^\p{L}")).select(*key, F.lower("part").alias("term"), (F.col("e") - F.length("part")).alias("s"), "e")
     hits = places.alias("l").join(marked.alias("r"), F.expr(f"{SAME} and l.term = r.term"), "left_semi")
-    return hits.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("terms"))
+    # a term overlaps a span if the furthest end of the spans that begin before its end is beyond its start
+    spans = likely(some, marked, key).select(*key, "spans").dropDuplicates(key).select(*key, F.explode("spans").alias("x"))
+    both = hits.select(*key, F.expr("2 * e - 1").alias("k"), "s", "e", F.lit(None).cast("int").alias("reach")).unionByName(spans.select(*key, F.expr("2 * x.s").alias("k"), F.lit(None).cast("int").alias("s"), F.lit(None).cast("int").alias("e"), F.col("x.e").alias("reach")))
+    both = both.withColumn("reach", F.max("reach").over(Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    free = both.where("s is not null and (reach is null or reach <= s)")
+    return free.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("terms"))
 
 
 def all_spans(docs: DataFrame, scratch: Scratch, least_share: float, least_documents: int) -> DataFrame:
@@ -103,7 +122,7 @@ def all_spans(docs: DataFrame, scratch: Scratch, least_share: float, least_docum
     found = scratch.table(base_spans(docs), "found")
     terms = revealing_terms(docs, found, scratch, least_share, least_documents)
     some = found.where("size(spans) > 0").alias("f").join(terms.alias("t"), F.expr("f.doc_id <=> t.doc_id and f.tag = t.tag"), "left").select("f.doc_id", "f.tag", "f.spans", "t.terms")
-    every = F.expr(f"array_sort(concat(spans, coalesce(transform(filter(terms, t -> not exists(spans, x -> x.s < t.e and t.s < x.e)), x -> named_struct('s', x.s, 'k', {len(KINDS)}, 'e', x.e, 'kind', 'term', 'm', '')), cast(array() as array<struct<s: int, k: int, e: int, kind: string, m: string>>))))")
+    every = F.expr(f"array_sort(concat(spans, coalesce(transform(terms, x -> named_struct('s', x.s, 'k', {len(KINDS)}, 'e', x.e, 'kind', 'term', 'm', '')), cast(array() as array<struct<s: int, k: int, e: int, kind: string, m: string>>))))")
     return some.withColumn("every", every).drop("terms").unionByName(found.where("size(spans) = 0").select("doc_id", "tag", "spans", F.col("spans").alias("every")))
 
 
@@ -133,13 +152,18 @@ def sanitise(docs: DataFrame, least_share: float = 0.95, least_documents: int =
     """
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "sanitise")
-    own = docs.columns
+    own, (number, tag, every, gaps) = docs.columns, spare(docs, "_id", "_tag", "_every", "_gaps")
     found = all_spans(documents(docs, id_col, text_col), scratch, least_share, least_documents).where("size(every) > 0")
-    found = scratch.table(found.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), F.col("every").alias("_every")).dropDuplicates(["_id", "_tag"]), "spans")
-    placed = docs.withColumns({"_id": F.col(id_col), "_tag": F.xxhash64(F.coalesce(text_col, F.lit("")))})
-    calm, near = split_by(placed, found, ["_id", "_tag"])
-    hit = near.alias("d").join(found.alias("f"), F.expr("d._id <=> f._id and d._tag = f._tag"), "left").select(*(F.col(f"d.`{c}`") for c in own), "f._every")
-    text = f"`{text_col}`"
-    cut = f"""aggregate(_every, named_struct('at', 0, 'out', ''), (a, x) -> if(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out),
-        named_struct('at', x.e, 'out', concat(a.out, substring({text}, a.at + 1, x.s - a.at), '[', upper(x.kind), ']'))), a -> concat(a.out, substring({text}, a.at + 1)))"""
-    return calm.select(*own).unionByName(hit.withColumn(text_col, F.expr(f"if(_every is null, {text}, {cut})")).select(*own))
+    found = scratch.table(found.select(F.col("doc_id").alias(number), F.col("tag").alias(tag), F.col("every").alias(every)).dropDuplicates([number, tag]), "spans")
+    placed = docs.withColumns({number: F.col(id_col), tag: F.xxhash64(F.coalesce(text_col, F.lit("")))})
+    calm, near = split_by(placed, found, [number, tag])
+    hit = near.alias("d").join(found.alias("f"), F.expr(f"d.{number} <=> f.{number} and d.{tag} = f.{tag}"), "left").select(*(F.col(f"d.`{c}`") for c in own), f"f.{every}")
+    # at: the furthest end so far; out: where each group of overlapping spans begins, what ended before it, and its kind
+    step = "if(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out), named_struct('at', x.e, 'out', array_append(a.out, named_struct('before', a.at, 's', x.s, 'kind', x.kind))))"
+    hit = hit.withColumn(gaps, F.expr(f"if({every} is null, null, {_folded(every, 'struct<before: int, s: int, kind: string>', '0', step)})"))
+    # substring() counts from the text's beginning, so pieces are cut from parts of the text and not from the whole
+    text, wide = f"`{text_col}`", f"greatest(cast(sqrt(size({gaps}.out)) as int), 1)"
+    piece = "concat(substring(p.t, x.before - p.at + 1, x.s - x.before), '[', upper(x.kind), ']')"
+    part = f"element_at(transform(array(slice({gaps}.out, c * {wide} + 1, {wide})), m -> named_struct('m', m, 'at', m[0].before, 't', substring({text}, m[0].before + 1, element_at(m, -1).s - m[0].before))), 1)"
+    cut = f"concat(array_join(transform(sequence(0, cast((size({gaps}.out) - 1) / {wide} as int)), c -> element_at(transform(array({part}), p -> array_join(transform(p.m, x -> {piece}), '')), 1)), ''), substring({text}, {gaps}.at + 1))"
+    return calm.select(*own).unionByName(hit.withColumn(text_col, F.expr(f"if({gaps} is null, {text}, {cut})")).select(*own))
