@@ -1,10 +1,11 @@
 """Removal of byte strings that occur earlier in the corpus, by doubling of position ranks.
 
-A rank stands for the string that begins at a position: equal strings, equal ranks. Spark sorts positions by rank at
-32 bytes; those whose rank is not unique go on to rank pairs that span 66 bytes, and those of them that still are not
-unique to 100 bytes. Starting from every position would sort a row a byte; instead every 100-byte window is
-represented at 32 bytes by the least-hashed position in it (of 69), which is the same for equal windows, so about one
-position in 35 is sorted and no repeat is missed.
+A rank stands for the string of h bytes at a position: equal strings, equal ranks. Spark sorts positions by string at
+h = length / 4 and numbers the strings in that order; positions whose rank is unique drop out. The others are sorted
+again at 2 h and at 4 h bytes, by pairs of their rank and the name of the h or 2 h bytes that follow (or go before),
+and get new ranks, until they are unique or `length` bytes long. Ranking every position would sort a row a byte;
+instead every window of `length` bytes is represented at h by the least-hashed of the positions in it, which is the
+same for equal windows, so about one position in 3 h / 2 is sorted and no repeat is missed.
 """
 
 from __future__ import annotations
@@ -12,26 +13,38 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import Spans, balanced
-from latticework.session import Scratch, likely, ship, split_by
+from latticework.llm.common import STEP, Spans, balanced, mix, tidied
+from latticework.session import Scratch, likely, ship, spare, split_by
 
-GRAM = 32
 #: Longer texts are cut into overlapping segments of so many bytes.
 SEGMENT = 700_000
 FLUSH = 400_000
 PLACE_BITS = np.uint64(24)
-#: A row: gram (the rank that must be shared), context (a hash of the row's whole string, then the offset of its
-#: anchor and the number of its window starts less one, of WIDTH bits each), doc, place (tag and first start).
-#: A row with context below 0 is a repeat: the bytes from its start up to -context.
-WIDTH = 10
+#: Bounds of length: shorter strings leave no room to double, longer ones none for the hash in a context.
+LEAST, MOST = 8, 4096
+#: A row: gram (what is ranked next: the hash of a string, or of a rank pair), context (a hash of the row's whole
+#: string, then the offset of its anchor and the number of its window starts less one, of _wide(length) bits each),
+#: doc, place (tag and first start). A row with context below 0 is a repeat: the bytes from its start up to -context.
+#: Rows that are still tied come out of a sort with the rank instead of the gram.
 NAMES = ["gram", "context", "doc", "place"]
 SCHEMA = "gram long, context long, doc long, place long"
 
 
+def _wide(length: int) -> int:
+    """Bits of an offset in a window."""
+    return length.bit_length()
+
+
+def _first(length: int) -> int:
+    """Bytes of the first strings that are ranked; doubled twice they don't go beyond length."""
+    return length // 4
+
+
 def _segments(batch, length):
     """Lists of (doc, tag, offset, bytes): whole texts, or segments of which every window is in exactly one."""
     for i, j in balanced(batch.column(2), SEGMENT):
@@ -64,9 +77,10 @@ def anchors(segments, length: int):
     """Arrays gram, context, doc, place of the runs of window starts that share an anchor."""
     spans = Spans([s[3] for s in segments])
     n = len(spans.buf)
-    at = np.arange(n - GRAM + 1)
-    gram = spans.hashes(at, at + GRAM)
-    least = _first_windows(length - GRAM + 1, gram)
+    first = _first(length)
+    at = np.arange(n - first + 1)
+    gram = spans.hashes(at, at + first)
+    least = _first_windows(length - first + 1, gram)
     owner = np.repeat(np.arange(len(segments)), spans.size + 1)[: len(least)]
     inside = np.arange(len(least)) - spans.begin[owner]
     valid = inside + length <= spans.size[owner]
@@ -77,21 +91,22 @@ def anchors(segments, length: int):
     low, high = np.flatnonzero(new), np.flatnonzero(last)
     anchor, own = least[low], owner[low]
     doc, tag, offset = (np.array([s[k] for s in segments], np.int64)[own] for k in range(3))
-    return [gram[anchor].view(np.int64), _context(spans.hashes(low, high + length), anchor - low, high - low), doc, _place(tag, low - spans.begin[own] + offset)]
+    return [gram[anchor].view(np.int64), _context(spans.hashes(low, high + length), anchor - low, high - low, length), doc, _place(tag, low - spans.begin[own] + offset)]
 
 
-def _context(string, anchor, wide):
-    return ((string >> np.uint64(1 + 2 * WIDTH)).astype(np.int64) << (2 * WIDTH)) | (anchor << WIDTH) | wide
+def _context(string, anchor, wide, length):
+    bits = _wide(length)
+    return ((string >> np.uint64(1 + 2 * bits)).astype(np.int64) << (2 * bits)) | (anchor << bits) | wide
 
 
 def _place(tag, low):
     return (tag << 32) | low
 
 
-def _parts(context, place):
+def _parts(context, place, length):
     """Tag, first and last start, anchor of rows."""
-    low = place & 0xFFFFFFFF
-    return place >> 32, low, low + (context & ((1 << WIDTH) - 1)), low + ((context >> WIDTH) & ((1 << WIDTH) - 1))
+    low, bits = place & 0xFFFFFFFF, _wide(length)
+    return place >> 32, low, low + (context & ((1 << bits) - 1)), low + ((context >> bits) & ((1 << bits) - 1))
 
 
 def _merged(doc, tag, low, high):
@@ -117,7 +132,7 @@ def _batch(gram, context, doc, place, raw=None, more=False):
 
 
 def _covered(doc, context, place, length, more):
-    tag, low, high, _ = _parts(context, place)
+    tag, low, high, _ = _parts(context, place, length)
     doc, tag, low, high = _merged(doc, tag, low, high + length)
     return _batch(doc * 31 + low, -high, doc, _place(tag, low), more=more)
 
@@ -141,8 +156,12 @@ def _dedupe(rows, length, raw=None):
 
 
 def _ranked(batches, length, more=False):
-    """Over rows sorted by gram, context, doc and place: repeats of a context are covered; first ones of a gram that has several contexts stay, with their bytes if there are any."""
+    """Over rows sorted by gram, context, doc and place: repeats of a context are covered; first ones of a gram that has several contexts stay, with their bytes if there are any.
+
+    Those that stay have their rank for the gram: the task's number and the gram's place in the task's order.
+    """
     carry, several = None, False
+    rank = (TaskContext.get().partitionId() << 40) if TaskContext.get() else 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -172,20 +191,26 @@ def _ranked(batches, length, more=False):
         again = _again(first, doc, place)
         yield _covered(doc[again], context[again], place[again], length, more)
         if emit.any():
-            yield _batch(gram[emit], context[emit], doc[emit], place[emit], more and [raw[k] for k in np.flatnonzero(emit)] or None, more)
+            yield _batch((rank + run)[emit], context[emit], doc[emit], place[emit], more and [raw[k] for k in np.flatnonzero(emit)] or None, more)
+        rank += int(run[-1])  # the last gram may go on in the next batch
         several = bool(contexts[-1] > 1)
         k = np.flatnonzero(first)[-1]
         carry = [c[k] for c in columns], raw[k] if more else None
 
 
-def _placed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with doc (the id, the lowest number for null), tag (a hash that tells texts of one id apart) and _text."""
-    return docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))), "_text": F.coalesce(F.col(text_col), F.lit(""))}).withColumn("_tag", F.hash("_text"))
+def _placed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str]]:
+    """docs with three columns more, and their names: the id (the lowest number for null), a hash that tells texts of one id apart, and the text."""
+    doc, tag, text = names = spare(docs, "_doc", "_tag", "_text")
+    own = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 62))), text: F.coalesce(F.col(text_col), F.lit(""))})
+    return own.withColumn(tag, F.hash(text)), names
 
 
 def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_doc, _tag and spans (array of low, high: bytes of a `length`-byte string that also starts earlier), where there are any."""
-    src = _placed(docs, id_col, text_col).select("_doc", "_tag", "_text").where(F.octet_length("_text") >= length)
+    if not LEAST <= length <= MOST:
+        raise ValueError(f"length must be {LEAST} to {MOST} bytes, not {length}")
+    own, names = _placed(docs, id_col, text_col)
+    src = own.select(*(F.col(n).alias(k) for n, k in zip(names, ("_doc", "_tag", "_text"), strict=True))).where(F.octet_length("_text") >= length)
 
     def first_ranks(batches):
         rows, n = [], 0
@@ -202,27 +227,28 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col: s
     def sorted_rows(df):
         return df.repartition("gram").sortWithinPartitions("gram", "context", "doc", "place")
 
-    ranked = scratch.table(sorted_rows(src.mapInArrow(first_ranks, SCHEMA)).mapInArrow(lambda b: _ranked(b, length), SCHEMA), "ranked")
+    ranked = scratch.table(sorted_rows(src.mapInArrow(tidied(first_ranks), SCHEMA)).mapInArrow(lambda b: _ranked(b, length), SCHEMA), "ranked")
     tag_of = F.shiftright("place", 32).cast("int")
-    asked = ranked.where("context >= 0").groupBy(F.col("doc").alias("_doc"), tag_of.alias("_tag")).agg(F.collect_list(F.struct("context", "place")).alias("asked"))
+    asked = ranked.where("context >= 0").groupBy(F.col("doc").alias("_doc"), tag_of.alias("_tag")).agg(F.collect_list(F.struct("context", "place", F.col("gram").alias("rank"))).alias("asked"))
 
     def second_ranks(batches):
-        """Rows of the window starts before and after the place half-way: the first all have the bytes on the left of the anchor, the others those on its right."""
-        half, rows, raw, n = (length - GRAM) // 2, [], [], 0
+        """Rank pairs of twice the first length. Windows that reach so far to the left all have the bytes before the anchor, the others those after it."""
+        first, rows, raw, n = _first(length), [], [], 0
         for batch in batches:
             for i, j in balanced(batch.column(2), SEGMENT):
                 texts = [t.encode() for t in batch.column(2).slice(i, j - i).to_pylist()]
                 spans, asked = Spans(texts), batch.column(3).slice(i, j - i)
                 pairs = asked.flatten()
-                _, low, high, anchor = _parts(np.asarray(pairs.field("context")), np.asarray(pairs.field("place")))
+                _, low, high, anchor = _parts(np.asarray(pairs.field("context")), np.asarray(pairs.field("place")), length)
+                rank = np.asarray(pairs.field("rank")).view(np.uint64)
                 own = np.repeat(np.arange(j - i), np.asarray(pc.list_value_length(asked)))
                 docs, tags = (np.asarray(batch.column(k).slice(i, j - i)).astype(np.int64)[own] for k in range(2))
                 at = spans.begin[own]
-                for side, a, b in ((0, low, np.minimum(high, anchor - half)), (1, np.maximum(low, anchor - half + 1), high)):
+                for side, a, b in ((0, low, np.minimum(high, anchor - first)), (1, np.maximum(low, anchor - first + 1), high)):
                     has = np.flatnonzero(a <= b)
                     a, b, mid, start = a[has], b[has], anchor[has] + at[has], at[has]
-                    gram = spans.hashes(mid, mid + GRAM + half) if side else spans.hashes(mid - half, mid + GRAM)
-                    rows.append([(gram * np.uint64(2) + np.uint64(side)).view(np.int64), _context(spans.hashes(start + a, start + b + length), anchor[has] - a, b - a), docs[has], _place(tags[has], a)])
+                    beside = spans.hashes(mid + first, mid + 2 * first) if side else spans.hashes(mid - first, mid)
+                    rows.append([mix(mix(rank[has] * np.uint64(2) + np.uint64(side)) + beside).view(np.int64), _context(spans.hashes(start + a, start + b + length), anchor[has] - a, b - a, length), docs[has], _place(tags[has], a)])
                     raw += [texts[k][x : y + length] for k, x, y in zip(own[has].tolist(), a.tolist(), b.tolist(), strict=True)]
                     n += len(has)
                 if n > FLUSH // 8:
@@ -232,7 +258,7 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col: s
             yield from _dedupe(rows, length, raw)
 
     def last_ranks(batches):
-        """The windows of the rows that are left, one row each."""
+        """The windows of the rows that are left, one row each: pairs of the rank and of all the window's bytes, at the row's place in it."""
         rows, n = [], 0
         for batch in batches:
             done = np.asarray(batch.column(1)) < 0
@@ -241,15 +267,16 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col: s
             some = batch.filter(pa.array(~done))
             if not some.num_rows:
                 continue
-            context, doc, place = (np.asarray(some.column(k)) for k in range(1, 4))
+            rank, context, doc, place = (np.asarray(some.column(k)) for k in range(4))
             spans = Spans(some.column(4).to_pylist())
-            tag, low, high, _ = _parts(context, place)
+            tag, low, high, anchor = _parts(context, place, length)
             wide = high - low + 1
             own = np.repeat(np.arange(len(low)), wide)
             inside = np.arange(len(own)) - np.repeat(np.cumsum(wide) - wide, wide)
             at = spans.begin[own] + inside
-            string, half = spans.hashes(at, at + length), spans.hashes(at, at + length // 2)
-            rows.append([string.view(np.int64), _context(half, 0, 0), doc[own], _place(tag[own], low[own] + inside)])
+            behind = (anchor - low)[own] - inside  # where the ranked string is in the window
+            pair = mix(mix(rank.view(np.uint64)[own] + behind.astype(np.uint64) * STEP) + spans.hashes(at, at + length))
+            rows.append([pair.view(np.int64), _context(spans.hashes(at, at + length // 2), 0, 0, length), doc[own], _place(tag[own], low[own] + inside)])
             n += len(own)
             if n > FLUSH:
                 yield from _dedupe(rows, length)
@@ -258,8 +285,8 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col: s
             yield from _dedupe(rows, length)
 
     some = likely(src, asked, ["_doc", "_tag"]).join(asked, ["_doc", "_tag"]).select("_doc", "_tag", "_text", "asked")
-    second = sorted_rows(some.mapInArrow(second_ranks, SCHEMA + ", raw binary")).mapInArrow(lambda b: _ranked(b, length, True), SCHEMA + ", raw binary")
-    last = sorted_rows(second.mapInArrow(last_ranks, SCHEMA)).mapInArrow(lambda b: _ranked(b, length), SCHEMA)
+    second = sorted_rows(some.mapInArrow(tidied(second_ranks), SCHEMA + ", raw binary")).mapInArrow(lambda b: _ranked(b, length, True), SCHEMA + ", raw binary")
+    last = sorted_rows(second.mapInArrow(tidied(last_ranks), SCHEMA)).mapInArrow(lambda b: _ranked(b, length), SCHEMA)
     covered = ranked.unionByName(last).where("context < 0").select(F.col("doc").alias("_doc"), tag_of.alias("_tag"), F.expr("cast(place & 4294967295 as int)").alias("low"), F.expr("cast(-context as int)").alias("high"))
     return covered.groupBy("_doc", "_tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
@@ -275,38 +302,54 @@ def union(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+@F.arrow_udf(T.StringType())
+def readable(kept: pa.Array) -> pa.Array:
+    """Bytes as text, without those of characters that were cut in two; null stays null."""
+    return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
+
+
+def counted(docs: DataFrame) -> list[str]:
+    """Names of the columns that remove_repeats adds to docs: bytes, removed bytes, removed spans, and the bytes that stay."""
+    return spare(docs, "n_bytes", "n_removed", "n_spans", "kept")
+
+
 def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns of docs, and n_bytes, n_removed, n_spans (maximal runs of removed bytes) and kept (bytes that stay).
 
     A byte goes if a `length`-byte string of its document that covers it also starts earlier: in a document of
     smaller id, or earlier in the same one. Strings are judged on the input. Null texts count as empty and lose
     nothing, as do texts shorter than `length`. Null ids come before all others; texts of one id come in the order of
-    a hash; rows equal in id and text are one document and get one result. An empty table gives an empty table.
+    a hash; rows equal in id and text are one document and get one result. An empty table gives an empty table; a length
+    below LEAST or above MOST is an error. The new columns have the names
+    that counted() gives, with underscores behind them where docs has a column of that name.
     """
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "repeats")
     spans = scratch.table(repeat_spans(docs, scratch, length, id_col, text_col), "spans")
-    placed = _placed(docs, id_col, text_col)
-    apart, near = split_by(placed, spans, ["_doc", "_tag"])
-    own, whole = docs.columns, F.octet_length("_text").cast("long").alias("n_bytes")
-    calm = apart.select(*own, whole, F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("_text").cast("binary").alias("kept"))
-    hit = near.join(spans, ["_doc", "_tag"], "left").select(*own, "_text", "spans")
-    schema = T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
+    scratch.drop("ranked")
+    placed, (doc, tag, text) = _placed(docs, id_col, text_col)
+    (found,), (n_bytes, n_removed, n_spans, kept) = spare(placed, "_spans"), counted(docs)
+    spans = spans.select(F.col("_doc").alias(doc), F.col("_tag").alias(tag), F.col("spans").alias(found))
+    apart, near = split_by(placed, spans, [doc, tag])
+    own, zero = docs.columns, F.lit(0).cast("long")
+    calm = apart.select(*own, F.octet_length(text).cast("long").alias(n_bytes), zero.alias(n_removed), zero.alias(n_spans), F.col(text).cast("binary").alias(kept))
+    hit = near.join(spans, [doc, tag], "left").select(*own, text, found)
+    schema = T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in (n_bytes, n_removed, n_spans)), T.StructField(kept, T.BinaryType())])
     at = len(own)
 
     def cut(batches):
         for batch in batches:
-            total, removed, runs, kept = [], [], [], []
+            total, removed, runs, stay = [], [], [], []
             for text, found in zip(batch.column(at).to_pylist(), batch.column(at + 1).to_pylist(), strict=True):
                 raw, own_spans = text.encode(), union(found)
                 ends = [0, *(x for s in own_spans for x in s), len(raw)]
-                kept.append(b"".join(raw[i:j] for i, j in zip(ends[0::2], ends[1::2])))
+                stay.append(b"".join(raw[i:j] for i, j in zip(ends[0::2], ends[1::2])))
                 total.append(len(raw))
-                removed.append(len(raw) - len(kept[-1]))
+                removed.append(len(raw) - len(stay[-1]))
                 runs.append(len(own_spans))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(x, pa.int64()) for x in (total, removed, runs)), pa.array(kept, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(x, pa.int64()) for x in (total, removed, runs)), pa.array(stay, pa.binary())], schema.names)
 
-    return calm.unionByName(hit.mapInArrow(cut, schema))
+    return calm.unionByName(hit.mapInArrow(tidied(cut), schema))
 
 
 def repeat_digests(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
