@@ -1,4 +1,9 @@
-"""Maximum inner product search: score-aware quantisation, four-bit tables, exact reranking."""
+"""Maximum inner product search: score-aware quantisation, four-bit tables, exact reranking.
+
+Rows are dealt out to cells about coarse centres, and a query visits the cells of largest product with it, as many as
+a sample of exact answers asks for; so a scan reads a share of the rows. In a cell the codes are looked up in byte
+tables, and the best go on to their exact product.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,9 @@ from pyspark.sql import types as T
 from latticework.session import Scratch, ship
 
 CENTRES = 16
-#: Rows of a block of candidates, and of a block of queries that meets it.
+#: Rows of a cell on average, and cells at most.
+CELL, MOST_CELLS = 2048, 256
+#: Rows of a block of a cell, and of a block of queries that meets it.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
 
 
@@ -87,30 +94,69 @@ class ScoreAwareQuantizer:
         return np.einsum("qmd,mcd->qmc", self._split(queries), self.centres).astype(np.float32)
 
 
-def packed(codes: np.ndarray) -> list[bytes]:
-    """Two four-bit codes a byte."""
-    even = codes[:, 0::2].copy()
-    even[:, : codes.shape[1] // 2] |= codes[:, 1::2] << 4
-    return [c.tobytes() for c in even]
-
-
-def unpacked(raw: list[bytes], parts: int) -> np.ndarray:
-    both = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-    out = np.zeros((len(raw), 2 * both.shape[1]), np.uint8)
-    out[:, 0::2], out[:, 1::2] = both & 15, both >> 4
-    return out[:, :parts]
+    def byte_tables(self, queries: np.ndarray) -> np.ndarray:
+        """queries x bytes of a packed code x 256: tables() scaled to 0..255 for each query, a pair of parts added up, so that sums fit 16 bits."""
+        t = self.tables(queries)
+        if self.parts % 2:
+            t = np.concatenate([t, np.zeros((len(t), 1, CENTRES), t.dtype)], 1)
+        t = t - t.min(2, keepdims=True)
+        t = np.rint(t * (255 / np.maximum(t.max((1, 2), keepdims=True), 1e-30))).astype(np.uint16)
+        return (t[:, 1::2, :, None] + t[:, 0::2, None, :]).reshape(len(t), -1, 256)
 
 
-def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = 25, most_trained: int = 8192) -> DataFrame:
+def packed(codes: np.ndarray) -> np.ndarray:
+    """Two four-bit codes a byte."""
+    if codes.shape[1] % 2:
+        codes = np.concatenate([codes, np.zeros((len(codes), 1), codes.dtype)], 1)
+    return codes[:, 0::2] | codes[:, 1::2] << 4
+
+
+def scanned(tables: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """queries x rows: the sum of the table entries of each row's packed code."""
+    out = np.zeros((len(tables), len(codes)), np.uint16)
+    for k in range(codes.shape[1]):
+        out += tables[:, k].take(codes[:, k], axis=1)
+    return out
+
+
+class Cells:
+    """Coarse centres of a sample, and how many cells a query has to visit."""
+
+    def __init__(self, x: np.ndarray, cells: int, k: int, share: float = 0.99, seed: int = 9):
+        g = np.random.default_rng(seed)
+        self.centres = x[g.choice(len(x), min(cells, len(x)), replace=False)] if len(x) else np.zeros((1, x.shape[1]))
+        for _ in range(10 if len(self.centres) > 1 else 0):
+            own = self.assign(x)
+            for c in np.unique(own):
+                self.centres[c] = x[own == c].mean(0)
+        self.probes = 1
+        if len(self.centres) > 1:  # the cells of the sample's exact answers, by their place in the query's order
+            q = x[g.choice(len(x), min(len(x), 512), replace=False)]
+            score = q @ x.T
+            top = np.argpartition(-score, min(k, len(x) - 1), 1)[:, : k + 1]
+            place = np.argsort(np.argsort(-(q @ self.centres.T), 1), 1)
+            at = np.take_along_axis(place, self.assign(x)[top], 1)
+            self.probes = min(len(self.centres), 1 + int(np.quantile(at, share, method="higher")))
+
+    def assign(self, x: np.ndarray) -> np.ndarray:
+        return ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argmin(1)
+
+    def visited(self, q: np.ndarray) -> np.ndarray:
+        return np.argsort(-(q @ self.centres.T), 1, kind="stable")[:, : self.probes]
+
+
+def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = 10, most_trained: int = 8192,
+            cell: int = CELL, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every` the k others of largest inner product.
 
-    The quantizer learns from at most most_trained vectors, the first by hash of the id; every row is indexed. Blocks
-    of rows meet blocks of queries: four-bit tables give approximate products, the best rerank * k of a block get
-    their exact product, and its k best go on. Vectors that are equal are one vector until the end; of those only the
-    k + 1 smallest ids can be among anyone's k nearest. Ties go to the smaller id. Vectors that are null, all zero,
-    not finite or of another length than most take no part, nor do rows without id. A repeated id is a query once for
-    each of its different vectors, whose answers then share its query_id, and may be an answer of others again for
-    each. Without enough candidates all are returned; an empty table gives an empty table; other columns are ignored.
+    The quantizer and the cells learn from at most most_trained vectors, the first by hash of the id; every row is
+    indexed. Each query visits as many cells as hold 0.99 of the sample's own nearest. In a block of a cell byte tables
+    give approximate products, the best rerank * k get their exact product, and the block's k best go on. Vectors that
+    are equal are one vector until the end; of those only the k + 1 smallest ids can be among anyone's k nearest. Ties
+    go to the smaller id. Vectors that are null, all zero, not finite or of another length than most take no part, nor
+    do rows without id. A repeated id is a query once for each of its different vectors, whose answers then share its
+    query_id, and may be an answer of others again for each. Where the visited cells have fewer than k others, fewer
+    come back, but all of them do where there is one cell. An empty table gives an empty table; other columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -118,57 +164,68 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     own = usable(vectors, id_col, vector_col).distinct()
     wide = own.select(F.size("v")).first()
     wide = wide[0] if wide else 1
+    # of equal vectors the k + 1 smallest ids: first in salted groups, then of those
+    salt = F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")
+    pre = Window.partitionBy("v", "salt").orderBy("vec_id")
+    few = own.select("vec_id", "v", salt).withColumn("place", F.row_number().over(pre)).where(F.col("place") <= k + 1)
+    few = scratch.table(few.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1).select("vec_id", "v"), "few")
+    sample = np.array(few.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_trained).toArrow().column("v").to_pylist(), float).reshape(-1, wide)
     quantizer = ScoreAwareQuantizer(wide)
-    sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(most_trained).toArrow().column("v").to_pylist()
-    quantizer.fit(np.array(sample, float).reshape(-1, wide))
+    quantizer.fit(sample)
+    n = few.count()
+    cells = Cells(sample, max(1, min(MOST_CELLS, n // cell)), k)
 
     def index(batches):
         for batch in batches:
             if batch.num_rows:
                 x = np.asarray(batch.column(1).flatten()).reshape(-1, wide)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed(quantizer.encode(x)), pa.binary())], ["vec_id", "v", "code"])
+                codes = packed(quantizer.encode(x))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cells.assign(x).astype(np.int32)), pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "v", "cell", "code"])
 
-    # of equal vectors the k + 1 smallest ids: first in salted groups, then of those
-    salt = F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")
-    pre = Window.partitionBy("v", "salt").orderBy("vec_id")
-    few = own.select("vec_id", "v", salt).withColumn("place", F.row_number().over(pre)).where(F.col("place") <= k + 1)
-    few = few.withColumn("place", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).where(F.col("place") <= k + 1)
-    indexed = scratch.table(few.select("vec_id", "v").mapInArrow(index, "vec_id long, v array<double>, code binary"), "index")
-    n_rows = indexed.count()
-    queries = scratch.table(own.where(F.pmod("vec_id", F.lit(every)) == 0), "queries")
-    n_queries = queries.count()
-    row_blocks, query_blocks = max(1, -(-n_rows // BLOCK_ROWS)), max(1, -(-n_queries // BLOCK_QUERIES))
-    rows = indexed.withColumn("r", F.pmod(F.xxhash64("vec_id", "v"), F.lit(row_blocks))).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asks = queries.withColumn("q", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(query_blocks))).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    both = rows.select("r", F.col("q").cast("long").alias("q"), "vec_id", "v", "code").unionByName(asks.select(F.col("r").cast("long").alias("r"), "q", "vec_id", "v", F.lit(None).cast("binary").alias("code")))
+    def visits(batches):
+        for batch in batches:
+            if batch.num_rows:
+                found = cells.visited(np.asarray(batch.column(1).flatten()).reshape(-1, wide)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int32()))], ["vec_id", "v", "cells"])
+
+    indexed = scratch.table(few.mapInArrow(index, "vec_id long, v array<double>, cell int, code binary"), "index")
+    scratch.drop("few")
+    asked = own.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(visits, "vec_id long, v array<double>, cells array<int>")
+    queries = scratch.table(asked.select("vec_id", "v", F.explode("cells").alias("cell")), "queries")
+    blocks = lambda df, most, name: df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    both_blocks = F.broadcast(blocks(indexed, block_rows, "row_blocks").join(blocks(queries, block_queries, "query_blocks"), "cell"))  # MOST_CELLS rows
+    number = lambda n, *salts: F.pmod(F.xxhash64("vec_id", "v", *salts), F.col(n)).cast("int")
+    others = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    rows = indexed.join(both_blocks, "cell").withColumn("r", number("row_blocks")).withColumn("q", others("query_blocks"))
+    asks = queries.join(both_blocks, "cell").withColumn("q", number("query_blocks", F.lit(1))).withColumn("r", others("row_blocks")).withColumn("code", F.lit(None).cast("binary"))
+    columns = ["cell", "r", "q", "vec_id", "v", "code"]
 
     def search(key, table):
         ids, v, code = (table.column(n) for n in ("vec_id", "v", "code"))
-        asked = np.asarray(code.is_null())
+        is_query = np.asarray(code.is_null())
         ids, v = np.asarray(ids), np.asarray(v.combine_chunks().flatten()).reshape(-1, wide)
-        query_ids, query, row_ids, row = ids[asked], v[asked], ids[~asked], v[~asked]
+        query_ids, query, row_ids, row = ids[is_query], v[is_query], ids[~is_query], v[~is_query]
         order = np.argsort(row_ids, kind="stable")
-        codes = unpacked(code.drop_null().to_pylist(), quantizer.parts)[order] if len(order) else np.zeros((0, quantizer.parts), np.uint8)
+        codes = np.frombuffer(b"".join(code.drop_null().to_pylist()), np.uint8).reshape(len(row_ids), -(-quantizer.parts // 2))[order]
         row_ids, row = row_ids[order], row[order]
         most = min(len(row_ids), rerank * k)
         out = []
-        # the tables as a matrix product: each code is a one among the 16 places of its part
-        hot = np.zeros((len(row_ids), quantizer.parts * CENTRES), np.float32)
-        hot[np.arange(len(row_ids))[:, None], np.arange(quantizer.parts) * CENTRES + codes] = 1
-        for a in range(0, len(query_ids) if most else 0, 256):
-            some, some_ids = query[a : a + 256], query_ids[a : a + 256]
-            rough = quantizer.tables(some).reshape(len(some), -1) @ hot.T
-            top = np.argpartition(-rough, most - 1, 1)[:, :most] if most < len(row_ids) else np.broadcast_to(np.arange(most), (len(some), most))
-            top = np.sort(top, 1)
+        for a in range(0, len(query_ids) if most else 0, 128):
+            some, some_ids = query[a : a + 128], query_ids[a : a + 128]
+            if most < len(row_ids):
+                rough = scanned(quantizer.byte_tables(some), codes)
+                top = np.sort(np.argpartition(rough, len(row_ids) - most, 1)[:, len(row_ids) - most :], 1)
+            else:
+                top = np.broadcast_to(np.arange(most), (len(some), most))
             exact = np.einsum("qd,qnd->qn", some, row[top])
             exact[row_ids[top] == some_ids[:, None]] = -np.inf
             best = np.lexsort((row_ids[top], -exact), axis=1)[:, :k]
             score = np.take_along_axis(exact, best, 1)
             keep = score > -np.inf
-            out.append((np.repeat(some_ids, keep.sum(1)), row_ids[np.take_along_axis(top, best, 1)][keep], score[keep], np.repeat(np.arange(a, a + len(some)), keep.sum(1))))
+            out.append((np.repeat(some_ids, keep.sum(1)), row_ids[np.take_along_axis(top, best, 1)][keep], score[keep]))
         names = [(c, np.concatenate([o[i] for o in out]) if out else np.zeros(0, t)) for i, (c, t) in enumerate((("query_id", np.int64), ("vec_id", np.int64), ("score", float)))]
         return pa.table(dict(names))
 
-    found = both.groupBy("r", "q").applyInArrow(search, "query_id long, vec_id long, score double")
+    found = rows.select(*columns).unionByName(asks.select(*columns)).groupBy("cell", "r", "q").applyInArrow(search, "query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
