@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from latticework.llm.common import balanced, documents
+from latticework.llm.common import balanced, documents, tidied
 
 #: The pattern of byte-level BPE, with white space as Unicode defines it.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -207,7 +207,7 @@ def bpe_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
                     decoded.append(hashlib.sha256(own.decode(found).encode()).hexdigest())
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(n, pa.int64()), pa.array(shas, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
 
 
 def bpe_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20) -> DataFrame:
@@ -222,4 +222,4 @@ def bpe_ids(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col:
                 found = [np.frombuffer(x, "<u4").astype(np.int32) for x in own.encode([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)

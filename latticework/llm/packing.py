@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticework.llm.bpe import NOT_A_CUT, PairRanks
-from latticework.llm.common import balanced, documents
+from latticework.llm.common import balanced, documents, tidied
 from latticework.llm.token_counts import _tokenizer
 from latticework.session import Scratch
 
@@ -40,6 +40,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_co
         tokenizer, _ = _tokenizer(vocabulary)
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
         fast, size = _byte_pairs(vocabulary)
+        known, older = {}, {}  # ids of words met since the last turn-over, and of those of the turn before
 
         def encode(some):
             return [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
@@ -62,10 +63,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_co
                 rows = [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()]
                 # head, encoded as it is, and the words after each blank; texts whose blanks are no sure cuts are all head
                 parts = [(t, ()) if NOT_A_CUT.search(t) else (t.split(" ", 1)[0], t.split(" ")[1:]) for t in rows]
-                known, older = _memory.get(vocabulary, ({}, {}))
-                if len(known) > most_known:  # words met since the last turn-over stay, others go
+                if len(known) > most_known:
                     known, older = {}, known
-                _memory[vocabulary] = known, older
                 flat = list(chain.from_iterable(words for _, words in parts))
                 ids = list(map(known.get, flat))
                 lacking = [k for k, x in enumerate(ids) if x is None]
@@ -88,11 +87,9 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_co
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), *(pa.array(c, pa.int32() if n == "piece" else pa.int64()) for c, (n, _) in zip(columns, PIECE, strict=True))], ["doc_id", *(n for n, _ in PIECE)])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
 
 
-#: Ids of words that a worker has met since the last turn-over, and those of the turn before.
-_memory: dict[str, tuple[dict, dict]] = {}
 _byte_pair: dict[str, tuple] = {}
 
 

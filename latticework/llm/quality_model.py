@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from latticework.llm.common import Spans, balanced, documents, mix
+from latticework.llm.common import Spans, balanced, documents, mix, tidied
 from latticework.llm.labels import held_out, training_rows
 from latticework.session import Scratch
 
 WORDS, SHAPES, WIDE = 8192, 128, 32
+#: Bytes of text that a worker looks at at once.
+CHUNK = 1 << 19
 TERMS = WORDS + SHAPES
 BLOCK = 128
 KIND = np.full(256, 3, np.uint8)  # of bytes: 0 letters and other scripts, 1 digits, 2 full stop or comma, 3 the rest
@@ -55,13 +57,13 @@ def term_pairs(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def corpus_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
     """TERMS x WIDE word vectors: sums of the index vectors of all terms within `reach` of each occurrence in docs.
 
-    Every task adds up a table of fixed size for its rows; Spark sums these by blocks of terms.
+    Every task adds up a table of fixed size for its rows; Spark sums these, whole numbers, by blocks of terms.
     """
 
     def run(batches):
         total = np.zeros(TERMS * WIDE)
         for batch in batches:
-            for i, j in balanced(batch.column(1), 1 << 20):
+            for i, j in balanced(batch.column(1), CHUNK):
                 word, shape, doc = term_pairs([t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 term, of = np.stack([word, shape], 1).ravel(), np.repeat(doc, 2)
                 for k in range(1, reach + 1):
@@ -72,21 +74,21 @@ def corpus_vectors(docs: DataFrame, reach: int = 2) -> np.ndarray:
                         total += np.bincount(a * WIDE + PLACES[b, e], SIGNS[b, e], TERMS * WIDE)
                         total += np.bincount(b * WIDE + PLACES[a, e], SIGNS[a, e], TERMS * WIDE)
         blocks = total.reshape(-1, BLOCK * WIDE)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.astype("<f4").tobytes() for b in blocks], pa.binary())], ["block", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(blocks), dtype=np.int32)), pa.array([b.astype("<i8").tobytes() for b in blocks], pa.binary())], ["block", "sums"])
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[k] = sums.get(k, 0) + np.frombuffer(x, "<f4").astype(float)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
+                sums[k] = sums.get(k, 0) + np.frombuffer(x, "<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["block", "sums"])
 
-    out = np.zeros((TERMS // BLOCK, BLOCK * WIDE), np.float32)
-    parts = docs.mapInArrow(run, "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary")
+    out = np.zeros((TERMS // BLOCK, BLOCK * WIDE))
+    parts = docs.mapInArrow(tidied(run), "block int, sums binary").repartition("block").mapInArrow(add, "block int, sums binary")
     for r in parts.toArrow().to_pylist():
-        out[r["block"]] = np.frombuffer(r["sums"], "<f4")
+        out[r["block"]] = np.frombuffer(r["sums"], "<i8")
     out = out.reshape(TERMS, WIDE)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+    return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
 def pooled(vectors: np.ndarray, texts: list[str]) -> np.ndarray:
@@ -152,12 +154,12 @@ def learn_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 6000) ->
 
     def run(batches):
         for batch in batches:
-            for i, j in balanced(batch.column(1), 1 << 20):
+            for i, j in balanced(batch.column(1), CHUNK):
                 x = pooled(vectors, [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(2).slice(i, j - i), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "label", "x"])
 
     rows = training_rows(docs, labels, "quality", most_rows)
-    got = rows.mapInArrow(run, T.StructType([rows.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])).toArrow().sort_by("doc_id")
+    got = rows.mapInArrow(tidied(run), T.StructType([rows.schema["doc_id"], T.StructField("label", T.IntegerType()), T.StructField("x", T.BinaryType())])).toArrow().sort_by("doc_id")
     x = np.frombuffer(b"".join(got.column("x").to_pylist())).reshape(-1, 2 * WIDE)
     network = Network(2 * WIDE)
     network.fit(x, np.asarray(got.column("label").to_numpy(), float))
@@ -177,24 +179,20 @@ def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_row
 
     def run(batches):
         for batch in batches:
-            for i, j in balanced(batch.column(1), 1 << 20):
+            for i, j in balanced(batch.column(1), CHUNK):
                 x = pooled(vectors, [t or "" for t in batch.column(1).slice(i, j - i).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(network.scores(x))], ["doc_id", "score"])
 
-    scored = src.mapInArrow(run, T.StructType([src.schema["doc_id"], T.StructField("score", T.DoubleType())]))
+    scored = src.mapInArrow(tidied(run), T.StructType([src.schema["doc_id"], T.StructField("score", T.DoubleType())]))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, most_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, with all columns, that quality() would give a score of threshold or more."""
-    src = documents(docs, id_col, text_col)
-    vectors, network = learn_quality(src, labels, most_rows)
-    at = docs.columns.index(text_col)
+    vectors, network = learn_quality(documents(docs, id_col, text_col), labels, most_rows)
 
-    def run(batches):
-        for batch in batches:
-            for i, j in balanced(batch.column(at), 1 << 20):
-                some = batch.slice(i, j - i)
-                yield some.filter(pa.array(network.scores(pooled(vectors, [t or "" for t in some.column(at).to_pylist()])) >= threshold))
+    @F.arrow_udf(T.DoubleType())
+    def score(text: pa.Array) -> pa.Array:
+        return pa.concat_arrays([pa.array(network.scores(pooled(vectors, [t or "" for t in text.slice(i, j - i).to_pylist()]))) for i, j in balanced(text, CHUNK)])
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.where(score(F.col(text_col)) >= threshold)

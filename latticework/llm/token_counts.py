@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from latticework.llm.common import balanced, documents
+from latticework.llm.common import balanced, documents, tidied
 
 #: Blanks and line feeds never belong to a token of the word tokenizer, join no neighbour when characters are
 #: composed, and occur in no special string, so a text can be cut at each of them.
@@ -59,4 +59,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 2048, id_col: st
                 size = np.fromiter((len(t.encode()) for t in rows), np.int64, len(rows))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), pa.array(size), pa.array(n), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return src.mapInArrow(run, schema)
+    return src.mapInArrow(tidied(run), schema)
