@@ -10,13 +10,13 @@ from latticework.llm.jaccard_join import first_of_classes
 from latticework.llm.packing import pack_documents
 from latticework.llm.pii import sanitise
 from latticework.llm.quality_model import good_documents
-from latticework.llm.suffix_dedup import remove_repeats
+from latticework.llm.suffix_dedup import counted, readable, remove_repeats
 from latticework.session import Scratch
 
 
 def _sized(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns of documents, n_chars as the text now has them."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    """The given columns; n_chars, where it is one of them, as the text now has them."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns) if "n_chars" in columns else docs.select(*columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +31,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that start earlier; characters cut in two go as a whole."""
+    _, n_removed, _, kept = counted(docs)
     cut = remove_repeats(docs, length=100)
-    text = F.when(F.col("n_removed") > 0, F.translate(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", "")).otherwise(F.col("text"))
+    text = F.when(F.col(n_removed) > 0, readable(F.when(F.col(n_removed) > 0, F.col(kept)))).otherwise(F.col("text"))
     return _sized(cut.withColumn("text", text), docs.columns)
 
 
