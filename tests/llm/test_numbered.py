@@ -2,25 +2,31 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from latticework.llm.ann import nearest
+from latticework.llm.ann import ScoreAwareQuantizer, nearest, packed, scanned
 from latticework.llm.bpe import bpe_digests, bpe_ids
-from latticework.llm.jaccard_join import first_of_classes, jaccard_classes, tree_pairs
+from latticework.llm.common import documents
+from latticework.llm.jaccard_join import best_links, cell_pairs, first_of_classes, jaccard_classes, needed, packed_counts, unpacked_counts
 from latticework.llm.packing import pack_documents, plan
 from latticework.llm.pii import pii_spans, sanitise
 from latticework.llm.quality_model import good_documents, quality
 from latticework.llm.quality_rules import line_rules
 from latticework.llm.suffix_dedup import remove_repeats, repeat_digests
 from latticework.llm.token_counts import token_counts
-from latticework.llm.toxicity import FactorizationMachine, toxicity
+from latticework.llm.toxicity import FactorizationMachine, learn_toxicity, terms, toxicity
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -28,12 +34,12 @@ ODD = [
     "", " ", "a", "two  blanks and a tail ", "tabs\tand\r\nlines\n\n  end", "don't we'll ''s", "<|endoftext|>", "x<|endoftext|> y <|startoftext|>z", "é é 漢字 🎉🎉", "\x1c\x85 　 x", "123 45 6a",
     "word " * 3000, "x" * 4000, "The same text here.", "The same text here.", "\x00\x01",
 ]
-CLASH = "doc_id long, text string, lang string, n_tokens long, score double, node long, _doc long, sequence_id string, `a b` string"
+CLASH = "doc_id long, text string, lang string, n_tokens long, score double, node long, _doc long, _id long, _place long, _bucket long, _tag long, _text long, sequence_id string, `a b` string"
 
 
 def frame(spark, rows):
     """Rows (doc_id, text) with other columns whose names the operators use themselves."""
-    return spark.createDataFrame([(i, t, "en", 1, 0.5, 7, 9, "s", "x") for i, t in rows], CLASH)
+    return spark.createDataFrame([(i, t, "en", 1, 0.5, 7, 9, 9, 9, 9, 9, 9, "s", "x") for i, t in rows], CLASH)
 
 
 def odd_rows():
@@ -79,6 +85,19 @@ def test_packing(spark):
     assert pack_documents(frame(spark, []), BYTES).count() == 0
 
 
+def test_only_long_documents_are_cut(spark):
+    """Documents of more than 1024 ids come in pieces of 1024, the first of which has the rest; others whole."""
+    tok = Tokenizer.from_file(BYTES)
+    rows = [(i, "word " * n) for i, n in enumerate((0, 1, 500, 1022, 1023, 1024, 2046, 2047, 2048, 5000))] + [(20, "x y" * 40_000)]
+    got = collections.defaultdict(list)
+    for r in sorted(pack_documents(frame(spark, rows), BYTES).collect(), key=lambda r: r.piece):
+        got[r.doc_id].append((r.piece, r.start, r.length))
+    for i, t in rows:
+        n = len(tok.encode(t, add_special_tokens=False).ids) + 1
+        sizes = [n] if n <= 1024 else [*([n % 1024] if n % 1024 else []), *[1024] * (n // 1024)]
+        assert got[i] == [(k, sum(sizes[:k]), x) for k, x in enumerate(sizes)]
+
+
 def test_plan_is_close_to_the_bound():
     histogram = np.bincount(np.random.default_rng(0).integers(1, 1025, 20000), minlength=1025)
     rows = plan(histogram, 1024)
@@ -121,6 +140,17 @@ def test_cleaned_keeps_repeats_and_blanks(spark):
     assert got[2].cleaned == got[3].cleaned == got[4].cleaned == ""
 
 
+def test_line_rules_of_long_texts(spark):
+    """A hundred thousand lines, a third of them alike, and half a million words of a few kinds, in seconds."""
+    lines = [f"Line number {i} of a long text ends here." if i % 3 else "A line that comes again and again, all through." for i in range(100_000)]
+    rows = [(1, "\n".join(lines)), (2, " ".join(f"w{i % 7}" for i in range(100_000)))]
+    began = time.time()
+    got = {r.doc_id: r for r in line_rules(frame(spark, rows)).collect()}
+    assert time.time() - began < 60
+    want = brute_rules(rows[0][1])
+    assert got[1].cleaned == rows[0][1] and (got[1].n_words, got[1].word_chars, got[1].n_symbols, got[1].n_dup_lines, got[1].n_repeat_words, got[1].base_failed) == want and got[2].n_repeat_words == 100_000
+
+
 def brute_repeats(rows, length):
     seen, out = set(), {}
     for i, t in sorted(rows):
@@ -171,6 +201,36 @@ def test_repeated_rows_are_one_document(spark):
     assert {r.n_removed for r in got if r.doc_id in (1, None)} == {0}
 
 
+@pytest.mark.parametrize("length", [8, 24, 100, 1500])
+def test_repeats_of_other_lengths(spark, length):
+    g = random.Random(length)
+    passage = "".join(g.choice("abcdefghé ") for _ in range(2 * length))
+    rows = [(i, "".join(g.choice([passage, passage[: length + 3], passage[length // 2 :], "".join(g.choice("abcxyz") for _ in range(length))]) for _ in range(3))) for i in range(12)]
+    got = remove_repeats(frame(spark, rows), length).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got} == brute_repeats(rows, length)
+    with pytest.raises(ValueError):
+        remove_repeats(frame(spark, rows), 5000 if length > 100 else 7)
+
+
+def test_repeats_beyond_a_segment(spark):
+    """Texts of several segments, with a repeat across a cut and far apart; columns of names that the operator uses keep their values."""
+    g = np.random.default_rng(4)
+    long = bytes(g.integers(97, 123, 1_600_000, dtype=np.uint8)).decode()
+    rows = [(1, long), (2, long[690_000:710_000] + "-" + long[1_399_000:1_500_000]), (3, "tail " + long[5:140])]
+    docs = frame(spark, rows).withColumn("kept", F.lit("own")).withColumn("n_bytes", F.lit(-1))
+    got = {r.doc_id: r for r in remove_repeats(docs).collect()}
+    assert [(got[i].n_bytes_, got[i].n_removed, got[i].n_spans, bytes(got[i].kept_)) for i in (1, 2, 3)] == [(1_600_000, 0, 0, long.encode()), (121_001, 121_000, 2, b"-"), (140, 135, 1, b"tail ")]
+    assert all((r.kept, r.n_bytes, r._doc, r._tag, r._text, r._bucket, r.score) == ("own", -1, 9, 9, 9, 9, 0.5) for r in got.values())
+
+
+def test_kept_columns_that_clash(spark):
+    """Values of columns whose names the operators use come back as they went in."""
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (3, "write to x@y.org now"), (None, "no id")]
+    for out in (first_of_classes(frame(spark, rows)), sanitise(frame(spark, rows))):
+        got = out.collect()
+        assert out.columns == frame(spark, rows).columns and all((r._id, r._place, r._bucket, r._tag, r._doc, r.node, r.sequence_id) == (9, 9, 9, 9, 9, 7, "s") for r in got)
+
+
 def luhn(s):
     return sum(x - 9 if x > 9 else x for x in (int(c) * (2 if i % 2 else 1) for i, c in enumerate(reversed(s)))) % 10 == 0
 
@@ -199,6 +259,55 @@ def test_personal_data(spark):
     assert pii_spans(frame(spark, [])).count() == 0
 
 
+def test_spans_of_long_texts(spark):
+    """Twenty thousand addresses in one text, in seconds, with their places and cut out."""
+    text = "é " + " and ".join(f"10.{i % 250}.{i // 250}.7" for i in range(20_000)) + " 🎉 x@y.z"
+    began = time.time()
+    got = pii_spans(frame(spark, [(1, text)])).first()
+    out = sanitise(frame(spark, [(1, text)])).first().text
+    assert time.time() - began < 90
+    assert got.n_ip == 20_000 and got.spans == brute_spans(text) and out == "é " + " and ".join(["[IP]"] * 20_000) + " 🎉 [EMAIL]"
+
+
+def test_spans_that_overlap_are_cut_as_one(spark):
+    text = "call +378282246310005 or 4111 1111 1111 1111"  # the first is a card number too
+    assert sanitise(frame(spark, [(1, text)])).first().text == "call [PHONE] or [CARD]"
+
+
+def brute_terms(rows, least_share=0.95, least_documents=3):
+    """Places of the terms of each row, counting values and terms in whole texts."""
+    mail = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+    values = [{m[0].lower() for m in mail.finditer(t)} for _, t in rows]
+    words = [{w.lower() for w in regex.findall(r"\p{L}+", t)} for _, t in rows]
+    n_value, n_term, n_both = collections.Counter(), collections.Counter(), collections.Counter()
+    for v, w in zip(values, words, strict=True):
+        n_value.update(v)
+        n_term.update(w)
+        n_both.update((a, b) for a in v for b in w)
+    n, out = len(rows), {}
+    told = {(a, b) for (a, b), k in n_both.items() if k >= least_documents and n_value[a] < n and math.log(n * k / (n_value[a] * n_term[b])) / math.log(n / n_value[a]) >= least_share}
+    for (i, t), v, w in zip(rows, values, words, strict=True):
+        marked, base = {b for a in v for b in w if (a, b) in told}, [m.span() for m in mail.finditer(t)]
+        out[i] = {f"term:{m.start()}:{m.end()}" for m in regex.finditer(r"\p{L}+", t) if m[0].lower() in marked and not any(a < m.end() and m.start() < b for a, b in base)}
+    return out
+
+
+def test_terms_against_brute_force(spark):
+    g = random.Random(11)
+    names, common = [f"name{c}" for c in "abcdefgh"], ["often", "seen", "words", "here", "Ünd", "there"]
+    rows = []
+    for i in range(120):
+        k = g.randrange(8)
+        own, mail = [g.choice(common) for _ in range(12)], g.random() < 0.6
+        own += [names[k], names[k].upper(), f"x{k}@mail.org"] if mail else [names[k]] * (k < 4)  # the first names stand alone as well
+        own += [f"x{(k + 1) % 8}@mail.org"] * (g.random() < 0.1)
+        g.shuffle(own)
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: {x for x in r.spans.split(",") if x.startswith("term")} for r in pii_spans(frame(spark, rows)).collect()}
+    want = brute_terms(rows)
+    assert got == want and sum(map(len, want.values())) > 20
+
+
 def test_revealing_terms(spark):
     """A term found with one address only, in three documents, reveals it; one found elsewhere too doesn't."""
     rows = [(i, f"Please write to zorblat common anna@x.org about item {i}.") for i in range(3)] + [(i, f"Something common about nothing {i}.") for i in range(3, 30)]
@@ -269,16 +378,52 @@ def test_jaccard_classes(spark, width, percent):
     assert jaccard_classes(frame(spark, []), width, percent).count() == 0
 
 
-def test_tree_join_misses_nothing():
-    g = np.random.default_rng(1)
-    base = g.poisson(6, (8, 64))
-    point = np.maximum(0, base[g.integers(0, 8, 300)] + g.integers(-1, 2, (300, 64)) * (g.random((300, 64)) < 0.1)).astype(np.int32)
-    n, comp = point.sum(1), g.integers(0, 40, 300)
-    side = np.zeros(300, int)
-    got = {tuple(sorted(map(int, p))) for a, b in tree_pairs(n, point, comp, side, 85) for p in zip(a, b, strict=True)}
-    over = np.minimum(point[:, None], point[None]).sum(2)
-    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if comp[i] != comp[j] and 185 * over[i, j] >= 85 * (n[i] + n[j])}
-    assert got == want
+def brute_pairs(n, point, comp, side, percent):
+    """Pairs by summed smaller counts; points with more groups are folded to the other's."""
+    out = set()
+    for i in range(len(n)):
+        for j in range(i + 1, len(n)):
+            x, y = sorted((point[i], point[j]), key=len)
+            over = int(np.minimum(x, y.reshape(len(x), -1).sum(1)).sum())
+            if comp[i] != comp[j] and (side.max() == 0 or side[i] != side[j]) and over >= needed(n[i], n[j], percent):
+                out.add((i, j, over))
+    return out
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_trees_miss_nothing(sides):
+    g = np.random.default_rng(sides)
+    base = g.poisson(6, (8, 64)) + (g.random((8, 64)) < 0.02) * 70_000  # some counts are beyond 16 bits
+    point = [p.astype(np.int64) for p in np.maximum(0, base[g.integers(0, 8, 300)] + g.integers(-1, 2, (300, 64)) * (g.random((300, 64)) < 0.1))]
+    point = [p.reshape(32, 2).sum(1) if g.random() < 0.3 else p for p in point]
+    n, comp, side = np.array([p.sum() for p in point]), g.integers(0, 40, 300), g.integers(0, sides, 300)
+    raw = [packed_counts(p) for p in point]
+    assert all((unpacked_counts(r) == p).all() for r, p in zip(raw, point, strict=True)) and {r[0] for r in raw} == {1, 4}
+    i, j, over = cell_pairs(n, raw, comp, side, 85)
+    assert {(min(a, b), max(a, b), c) for a, b, c in zip(i.tolist(), j.tolist(), over.tolist(), strict=True)} == brute_pairs(n, point, comp, side, 85)
+    best = {int(k) for k in best_links(i, j, over, 300)}
+    for k in np.unique(np.concatenate([i, j])):  # each point's best pair is among them
+        own = np.flatnonzero((i == k) | (j == k))
+        assert any(int(o) in best and over[o] == over[own].max() for o in own)
+
+
+def test_a_cell_of_many_blocks(spark):
+    """A group of near copies larger than several blocks, texts that share most of it below the limit, and long texts."""
+    g = random.Random(3)
+    words = [f"w{k}" for k in range(5000)]
+    base = [g.choice(words) for _ in range(80)]
+    rows = []
+    for i in range(1300):
+        text = list(base)
+        text[g.randrange(80)] = f"own{i}"
+        if i % 10 == 0:  # too far from the others
+            text[20:60] = [g.choice(words) for _ in range(40)]
+        rows.append((i, " ".join(text)))
+    long = [g.choice(words) for _ in range(60_000)]
+    rows += [(2000, " ".join(long)), (2001, " ".join([*long[:30_000], "else", *long[30_001:]])), (2002, " ".join(long[:45_000]))]
+    got = {r.doc_id: r.component_id for r in jaccard_classes(frame(spark, rows), 4, 85).collect()}
+    near = [i for i in range(1300) if i % 10]
+    assert {got[i] for i in near} == {1} and all(got[i] == i for i in range(0, 1300, 10)) and (got[2000], got[2001], got[2002]) == (2000, 2000, 2002)
 
 
 def test_nearest(spark):
@@ -303,6 +448,39 @@ def test_nearest(spark):
     assert nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["even", "clustered"])
+def test_recall_of_nearest(spark, kind):
+    """Many cells and blocks, far more rows than are reranked, against brute force."""
+    g = np.random.default_rng(8)
+    x = g.normal(size=(20_000, 32)) if kind == "even" else g.normal(size=(60, 32))[g.integers(0, 60, 20_000)] + 0.3 * g.normal(size=(20_000, 32))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    table = pa.table({"vec_id": np.arange(20_000), "embedding": pa.array(list(x), pa.list_(pa.float32()))})
+    got = collections.defaultdict(dict)
+    for r in nearest(spark.createDataFrame(table), k=20, every=100, cell=1000, block_rows=700, block_queries=60).collect():
+        got[r.query_id][r.vec_id] = r.score
+    assert len(got) == 200
+    x, hits = x.astype(float), 0
+    for q, found in got.items():
+        score = x @ x[q]
+        score[q] = -np.inf
+        hits += len(set(np.argsort(-score)[:20].tolist()) & set(found))
+        assert len(found) == 20 and np.allclose([score[i] for i in found], list(found.values()))
+    assert hits >= 0.95 * 20 * len(got), hits / 4000
+
+
+def test_four_bit_scan():
+    """Byte tables give what adding up the parts' entries gives, but for rounding; best rows first."""
+    g = np.random.default_rng(2)
+    x, q = g.normal(size=(500, 15)), g.normal(size=(20, 15))
+    quantizer = ScoreAwareQuantizer(15)
+    quantizer.fit(x)
+    codes = quantizer.encode(x)
+    plain = quantizer.tables(q)[:, np.arange(quantizer.parts), codes].sum(2)
+    rough = scanned(quantizer.byte_tables(q), packed(codes)).astype(float)
+    assert codes.max() < 16 and packed(codes).shape == (500, 4)
+    assert all(np.corrcoef(a, b)[0, 1] > 0.999 for a, b in zip(plain, rough, strict=True))
+
+
 def labelled(spark, g, bad):
     words = ["thon", "erin", "ouwh", "stly", "andea", "tion", "hered", "inble"]
     rows, labels = [], []
@@ -336,6 +514,35 @@ def test_machine_learns_pairs():
     assert (((machine.logits(feature, row, 400) > 0) == (label > 0)).mean()) == 1.0
 
 
+def test_toxicity_of_pairs_alone(spark):
+    """Neither of two words tells: texts with one of them are as often toxic as those with both or none. The machine tells, an additive one can't."""
+    g = random.Random(5)
+    plain = ["thon", "erin", "ouwh", "stly", "andea", "tion", "hered", "inble"]
+    rows, labels = [], []
+    for i in range(1200):
+        first, second = i % 2, i // 2 % 2
+        text = [g.choice(plain) for _ in range(30)] + ["zorblat"] * first + ["quimby"] * second
+        g.shuffle(text)
+        rows.append((i, " ".join(text)))
+        labels.append((i, 1, int(first == second)))
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    test = [r for r in toxicity(frame(spark, rows), table).collect() if r.held_out]
+    want = {i: t for i, _, t in labels}
+    assert sum((r.score >= 0.5) == (want[r.doc_id] == 1) for r in test) >= 0.95 * len(test)
+    slots, machine = learn_toxicity(documents(frame(spark, rows)), table, factors=0)
+    assert machine.v.shape[1] == 0 and abs(machine.w[slots[terms(["zorblat"])[0][0]]]) < 1.5
+
+
+def test_toxicity_of_real_labels(spark):
+    """On the test tables, most held-out toxic rows are caught and few clean ones."""
+    top = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{top}/{n}.parquet") for n in ("documents", "labels"))
+    want = {r.doc_id: r.toxic for r in labels.collect()}
+    got = [r for r in toxicity(docs, labels).collect() if r.held_out and r.doc_id in want]
+    toxic, clean = [r for r in got if want[r.doc_id]], [r for r in got if not want[r.doc_id]]
+    assert len(toxic) >= 10 and sum(r.predicted for r in toxic) >= 0.6 * len(toxic) and sum(r.predicted for r in clean) <= 0.03 * len(clean)
+
+
 def test_quality_on_held_out_rows(spark):
     g = random.Random(2)
     rows, labels = labelled(spark, g, lambda t, g: g.choice([" ".join(w.upper() + "!!" for w in t), " | ".join(t), " ".join([t[0]] * 40)]))
