@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,8 +44,16 @@ def balanced(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
     yield start, len(size)
 
 
+def give_back() -> None:
+    """Hands memory that was freed back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def tidied(run):
-    """run, a function over batches; when it ends, memory that it has freed goes back to the system.
+    """run, a function over batches, that gives freed memory back when it ends.
 
     Idle Python workers stay alive for the stages that follow, each with what its allocator has kept.
     """
@@ -53,9 +62,7 @@ def tidied(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return inner
 

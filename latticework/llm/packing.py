@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from latticework.llm.bpe import NOT_A_CUT, PairRanks
-from latticework.llm.common import balanced, documents, tidied
+from latticework.llm.common import balanced, documents, give_back, tidied
 from latticework.llm.token_counts import _tokenizer
 from latticework.session import Scratch
 
@@ -37,9 +37,11 @@ def token_pieces(docs: DataFrame, vocabulary: str, end_id: int, most: int, id_co
     end = int(end_id).to_bytes(4, "little")
 
     def run(batches):
+        fast, size = _byte_pairs(vocabulary)
+        give_back()  # what reading the vocabulary took
         tokenizer, _ = _tokenizer(vocabulary)
+        give_back()
         special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
-        fast, size = _byte_pairs(vocabulary)
         known, older = {}, {}  # ids of words met since the last turn-over, and of those of the turn before
 
         def encode(some):

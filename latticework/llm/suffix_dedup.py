@@ -285,8 +285,10 @@ def repeat_spans(docs: DataFrame, scratch: Scratch, length: int = 100, id_col: s
             yield from _dedupe(rows, length)
 
     some = likely(src, asked, ["_doc", "_tag"]).join(asked, ["_doc", "_tag"]).select("_doc", "_tag", "_text", "asked")
-    second = sorted_rows(some.mapInArrow(tidied(second_ranks), SCHEMA + ", raw binary")).mapInArrow(lambda b: _ranked(b, length, True), SCHEMA + ", raw binary")
-    last = sorted_rows(second.mapInArrow(tidied(last_ranks), SCHEMA)).mapInArrow(lambda b: _ranked(b, length), SCHEMA)
+    second = sorted_rows(some.mapInArrow(tidied(second_ranks), SCHEMA + ", raw binary"))
+    # ranks and the next rows in one function: two in a stage would keep twice the workers
+    pairs = second.mapInArrow(tidied(lambda b: last_ranks(_ranked(b, length, True))), SCHEMA)
+    last = sorted_rows(pairs).mapInArrow(lambda b: _ranked(b, length), SCHEMA)
     covered = ranked.unionByName(last).where("context < 0").select(F.col("doc").alias("_doc"), tag_of.alias("_tag"), F.expr("cast(place & 4294967295 as int)").alias("low"), F.expr("cast(-context as int)").alias("high"))
     return covered.groupBy("_doc", "_tag").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
 
@@ -302,19 +304,14 @@ def union(spans) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-@F.arrow_udf(T.StringType())
-def readable(kept: pa.Array) -> pa.Array:
-    """Bytes as text, without those of characters that were cut in two; null stays null."""
-    return pa.array([None if k is None else k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())
-
-
 def counted(docs: DataFrame) -> list[str]:
     """Names of the columns that remove_repeats adds to docs: bytes, removed bytes, removed spans, and the bytes that stay."""
     return spare(docs, "n_bytes", "n_removed", "n_spans", "kept")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs, and n_bytes, n_removed, n_spans (maximal runs of removed bytes) and kept (bytes that stay).
+def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", text_col: str = "text", as_text: bool = False) -> DataFrame:
+    """All columns of docs, and n_bytes, n_removed, n_spans (maximal runs of removed bytes) and kept (bytes that stay;
+    with as_text they are a string, without those of characters that were cut in two).
 
     A byte goes if a `length`-byte string of its document that covers it also starts earlier: in a document of
     smaller id, or earlier in the same one. Strings are judged on the input. Null texts count as empty and lose
@@ -332,9 +329,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
     spans = spans.select(F.col("_doc").alias(doc), F.col("_tag").alias(tag), F.col("spans").alias(found))
     apart, near = split_by(placed, spans, [doc, tag])
     own, zero = docs.columns, F.lit(0).cast("long")
-    calm = apart.select(*own, F.octet_length(text).cast("long").alias(n_bytes), zero.alias(n_removed), zero.alias(n_spans), F.col(text).cast("binary").alias(kept))
+    calm = apart.select(*own, F.octet_length(text).cast("long").alias(n_bytes), zero.alias(n_removed), zero.alias(n_spans), F.col(text).cast("string" if as_text else "binary").alias(kept))
     hit = near.join(spans, [doc, tag], "left").select(*own, text, found)
-    schema = T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in (n_bytes, n_removed, n_spans)), T.StructField(kept, T.BinaryType())])
+    schema = T.StructType([*docs.schema, *(T.StructField(n, T.LongType()) for n in (n_bytes, n_removed, n_spans)), T.StructField(kept, T.StringType() if as_text else T.BinaryType())])
     at = len(own)
 
     def cut(batches):
@@ -347,7 +344,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, id_col: str = "doc_id", t
                 total.append(len(raw))
                 removed.append(len(raw) - len(stay[-1]))
                 runs.append(len(own_spans))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(x, pa.int64()) for x in (total, removed, runs)), pa.array(stay, pa.binary())], schema.names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], *(pa.array(x, pa.int64()) for x in (total, removed, runs)), pa.array([k.decode("utf-8", "ignore") for k in stay], pa.string()) if as_text else pa.array(stay, pa.binary())], schema.names)
 
     return calm.unionByName(hit.mapInArrow(tidied(cut), schema))
 
