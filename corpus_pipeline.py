@@ -10,7 +10,7 @@ from latticework.llm.jaccard_join import first_of_classes
 from latticework.llm.packing import pack_documents
 from latticework.llm.pii import sanitise
 from latticework.llm.quality_model import good_documents
-from latticework.llm.suffix_dedup import counted, readable, remove_repeats
+from latticework.llm.suffix_dedup import counted, remove_repeats
 from latticework.session import Scratch
 
 
@@ -32,8 +32,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes of 100-byte strings that start earlier; characters cut in two go as a whole."""
     _, n_removed, _, kept = counted(docs)
-    cut = remove_repeats(docs, length=100)
-    text = F.when(F.col(n_removed) > 0, readable(F.when(F.col(n_removed) > 0, F.col(kept)))).otherwise(F.col("text"))
+    cut = remove_repeats(docs, length=100, as_text=True)
+    text = F.when(F.col(n_removed) > 0, F.col(kept)).otherwise(F.col("text"))
     return _sized(cut.withColumn("text", text), docs.columns)
 
 
