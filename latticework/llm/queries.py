@@ -6,11 +6,14 @@ import public_tokenizers
 
 from latticework.llm.ann import nearest
 from latticework.llm.bpe import bpe_digests
+from latticework.llm.grid_join import near_duplicates
 from latticework.llm.jaccard_join import jaccard_classes
 from latticework.llm.packing import pack_documents
 from latticework.llm.pii import pii_spans
+from latticework.llm.prefix_trie import prefix_trie
 from latticework.llm.quality_model import quality
 from latticework.llm.quality_rules import line_rules
+from latticework.llm.repair import repair
 from latticework.llm.sql import JACCARD, LINE_RULES
 from latticework.llm.suffix_dedup import repeat_digests
 from latticework.llm.token_counts import token_counts
@@ -61,5 +64,17 @@ def op10_score_aware_search(spark, sf_dir):
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op5_suffix_dedup, op6_revealing_terms, op7_quality_model, op8_bpe_codec, op9_jaccard_join, op10_score_aware_search)}
+def op11_prefix_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_structure_repair(spark, sf_dir):
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_grid_order_join(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "embeddings"), least=0.9)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_pattern_packing, op4_line_rules, op5_suffix_dedup, op6_revealing_terms, op7_quality_model, op8_bpe_codec, op9_jaccard_join, op10_score_aware_search, op11_prefix_trie, op12_structure_repair, op13_grid_order_join)}
 SQL = {"op4_line_rules": LINE_RULES, "op9_jaccard_join": JACCARD}
