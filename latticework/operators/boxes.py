@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from latticework.session import Scratch
+from latticework.session import Scratch, ship
 
 
 def _interleaved(level: int) -> Column:
@@ -15,33 +18,81 @@ def _interleaved(level: int) -> Column:
     return reduce(lambda p, q: p.bitwiseOR(q), bits, F.lit(0).cast("long"))
 
 
-def point_boxes(points: DataFrame, depth: int) -> DataFrame:
-    """id, level, key, ix, iy, iz of the box of each point at levels 0 to depth; keys interleave the bits of the indices.
+def finest_boxes(points: DataFrame, depth: int) -> DataFrame:
+    """id, key, ix, iy, iz of the box of each point at level `depth` (20 at most); keys interleave the bits of the indices, so that the box of a level above has the key shifted right by 3 bits a level.
 
     The root is the cube on the lowest corner whose side is the longest side of the bounding box.
     """
+    if not 0 <= depth <= 20:
+        raise ValueError(f"keys of {depth} levels don't fit 63 bits")
     box = points.agg(*(F.min(c).alias(f"l{c}") for c in "xyz"), F.greatest(*(F.max(c) - F.min(c) for c in "xyz")).alias("side"))
     side = F.when(F.col("side") > 0, F.col("side")).otherwise(1.0)
-    own = points.crossJoin(F.broadcast(box)).withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
-    cells = F.expr("shiftleft(1L, level)")
-    index = [F.least(F.floor((F.col(c) - F.col(f"l{c}")) / side * cells).cast("long"), cells - 1).alias(f"i{c}") for c in "xyz"]
-    return own.select("id", "level", *index).select("id", "level", _interleaved(depth).alias("key"), "ix", "iy", "iz")
+    cells = 1 << depth
+    index = [F.least(F.floor((F.col(c) - F.col(f"l{c}")) / side * F.lit(cells)).cast("long"), F.lit(cells - 1)).alias(f"i{c}") for c in "xyz"]
+    return points.crossJoin(F.broadcast(box)).select("id", *index).select("id", _interleaved(depth).alias("key"), "ix", "iy", "iz")
 
 
-def box_counts(boxes: DataFrame) -> DataFrame:
-    """level, key, ix, iy, iz, n of the boxes that have points."""
-    return boxes.groupBy("level", "key", "ix", "iy", "iz").agg(F.count("*").alias("n"))
+def box_counts(fine: DataFrame, depth: int) -> DataFrame:
+    """level, key, ix, iy, iz, n of the boxes of levels 0 to depth that have points, rolled up from the counts of the finest."""
+    counts = fine.groupBy("key", "ix", "iy", "iz").agg(F.count("*").alias("n"))
+    up = counts.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth))))
+    shift = lambda c, k: F.expr(f"shiftright({c}, {k} * ({depth} - level))").alias(c)
+    return up.groupBy("level", shift("key", 3), *(shift(c, 1) for c in ("ix", "iy", "iz"))).agg(F.sum("n").alias("n"))
 
 
-def leaves(boxes: DataFrame, counts: DataFrame, most: int, depth: int) -> DataFrame:
-    """id, level, key: each point's coarsest box of at most `most` points, or its box at full depth."""
-    fit = boxes.join(counts.select("level", "key", "n"), ["level", "key"]).where((F.col("n") <= most) | (F.col("level") == depth))
-    return fit.groupBy("id").agg(F.min(F.struct("level", "key")).alias("b")).select("id", "b.level", "b.key")
+def leaf_boxes(counts: DataFrame, most: int, depth: int) -> DataFrame:
+    """level, key, n, first and last of the leaves: the coarsest boxes of at most `most` points, or boxes of level depth.
+
+    first to last are the keys at level depth that a leaf has; they don't overlap. A box looks at the one above only.
+    """
+    above = counts.select((F.col("level") + 1).alias("level"), F.col("key").alias("up"), F.col("n").alias("n_up"))
+    own = counts.withColumn("up", F.shiftright("key", 3)).join(above, ["level", "up"], "left")
+    own = own.where((F.col("level") == 0) | (F.col("n_up") > most)).where((F.col("n") <= most) | (F.col("level") == depth))
+    return own.select("level", "key", "n", F.expr(f"shiftleft(key, 3 * ({depth} - level))").alias("first"), F.expr(f"shiftleft(key + 1, 3 * ({depth} - level)) - 1").alias("last"))
+
+
+def _carried(batches):
+    """Rows in the order of key, leaves before points, with the leaf that came last; part numbers tell where none came yet."""
+    part, level, key = TaskContext.get().partitionId(), -1, -1
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        ids, levels, keys = (batch.column(c) for c in ("id", "leaf_level", "leaf_key"))
+        mark = np.asarray(levels.is_valid())
+        at = np.maximum.accumulate(np.where(mark, np.arange(n), -1))
+        known, last = at >= 0, np.maximum(at, 0)
+        out_level = np.where(known, np.asarray(levels.fill_null(-1))[last], level).astype(np.int32)
+        out_key = np.where(known, np.asarray(keys.fill_null(-1))[last], key)
+        level, key = int(out_level[-1]), int(out_key[-1])
+        yield pa.RecordBatch.from_arrays([ids, pa.array(mark), pa.array(out_level), pa.array(out_key), pa.array(np.full(n, part, np.int32))], ["id", "mark", "level", "key", "part"])
+
+
+def leaves(fine: DataFrame, leaf: DataFrame, depth: int) -> DataFrame:
+    """id, level, key: the leaf (of leaf_boxes) of each point (of finest_boxes), looked up by range.
+
+    Points and the first keys of leaves are sorted together by ranges, which is the one shuffle of the points, and each
+    point takes the last leaf before it. Parts that begin within a leaf take it from the parts before, of which a row
+    each is broadcast; so points of one box may lie in several parts.
+    """
+    spark = fine.sparkSession
+    ship(spark)
+    scratch, n = Scratch(spark, "leaves"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none = F.lit(None)
+    marks = leaf.select("first", none.cast("long").alias("id"), F.col("level").cast("int").alias("leaf_level"), F.col("key").alias("leaf_key"))
+    both = fine.select(F.col("key").alias("first"), F.col("id").cast("long").alias("id"), none.cast("int").alias("leaf_level"), none.cast("long").alias("leaf_key")).unionByName(marks)
+    order = ["first", F.col("leaf_level").isNull(), "id"]
+    dealt = both.repartitionByRange(n, *order).sortWithinPartitions(*order).select("id", "leaf_level", "leaf_key")
+    rows = scratch.table(dealt.mapInArrow(_carried, "id long, mark boolean, level int, key long, part int"), "rows")
+    ends = rows.where("mark").groupBy("part").agg(F.max_by(F.struct("level", "key"), F.expr(f"shiftleft(key, 3 * ({depth} - level))")).alias("b"))
+    parts = rows.select("part").distinct().join(ends, "part", "left").withColumn("before", F.last("b", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    whole = rows.where("not mark").join(F.broadcast(parts.select("part", "before")), "part")  # a row for each part
+    return whole.select("id", *(F.when(F.col("level") >= 0, F.col(c)).otherwise(F.col("before")[c]).alias(c) for c in ("level", "key")))
 
 
 def leaf_summary(leaf: DataFrame) -> DataFrame:
-    """n_leaves, max_level, max_points."""
-    return leaf.groupBy("level", "key").agg(F.count("*").alias("n")).agg(F.count("*").alias("n_leaves"), F.max("level").alias("max_level"), F.max("n").alias("max_points"))
+    """n_leaves, max_level, max_points of leaf_boxes."""
+    return leaf.agg(F.count("*").alias("n_leaves"), F.max("level").alias("max_level"), F.max("n").alias("max_points"))
 
 
 def leaf_energy(leaf: DataFrame, x: DataFrame) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from latticework.operators.matrix import apply_matrix, apply_normal, compared, summed
+from latticework.operators.matrix import StoredMatrix, apply_matrix, compared
 from latticework.session import Scratch
 
 FLOOR = 1e-14
@@ -75,26 +75,38 @@ def derived(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"cond_estimate": F.sqrt("s1") * F.sqrt("s2"), "norm_apply_fro": F.col("rel_fro") * F.col("norm_fro"), "err_solve_fro": F.col("rel_solve") * F.sqrt("dim")})
 
 
-def power_iteration(a: DataFrame, start: DataFrame, steps: int = 50, normal: bool = True) -> DataFrame:
+def power_iteration(a: DataFrame | StoredMatrix, start: DataFrame, steps: int = 50, normal: bool = True) -> DataFrame:
     """step and lam: |<x, B x>| at each step for B = A* A (or A), x scaled to unit norm; sqrt(lam) tends to the 2-norm.
 
-    The matrix, with duplicates summed, and each step's vector are tables in the shared folder; a step reads them and
-    hands back three numbers. A zero start or image gives 0.
+    start is one vector. The matrix is stored in buckets (see StoredMatrix), unless it is already, and each step's
+    vector is a table in the shared folder. A step is one job: it shuffles vectors only, keeps x beside B x in the sum
+    and hands back three numbers with the table it writes. A zero start or image gives 0.
     """
-    spark = a.sparkSession
+    spark = start.sparkSession
     scratch, found = Scratch(spark, "power"), []
-    a = scratch.table(summed(a), "a")
-    x, size = scratch.table(start, "x-start"), norms(start).first()
-    size = size["norm"] if size else 0.0
+    stored = a if isinstance(a, StoredMatrix) else StoredMatrix(a)
+    x = scratch.table(start.groupBy("vec", "idx").agg(F.sum("re").alias("re"), F.sum("im").alias("im")), "x-start")
+    sizes = norms(x).limit(2).collect()
+    if len(sizes) > 1:
+        raise ValueError("power iteration starts from one vector")
+    size, last = sizes[0]["norm"] if sizes else 0.0, "x-start"
     for k in range(steps):
         if not size:
             found.append((k, 0.0))
             break
         unit = x.withColumns({c: F.col(c) / size for c in ("re", "im")})
-        image = scratch.table(apply_normal(a, unit) if normal else apply_matrix(a, unit), f"x{k}")
-        both = image.alias("y").join(unit.alias("x"), ["vec", "idx"], "left")
-        got = both.agg(F.expr("sum(x.re * y.re + x.im * y.im)").alias("re"), F.expr("sum(x.re * y.im - x.im * y.re)").alias("im"), F.expr("sqrt(sum(y.re * y.re + y.im * y.im))").alias("size")).first()
-        found.append((k, ((got["re"] or 0.0) ** 2 + (got["im"] or 0.0) ** 2) ** 0.5))
-        scratch.drop("x-start" if k == 0 else f"x{k - 1}")
-        x, size = image, got["size"]
+        image = stored.products(apply_matrix(stored, unit), "adjoint") if normal else stored.products(unit)
+        none = F.lit(0.0)
+        both = image.select("vec", "idx", "re", "im", none.alias("x_re"), none.alias("x_im")).unionByName(unit.select("vec", "idx", none.alias("re"), none.alias("im"), F.col("re").alias("x_re"), F.col("im").alias("x_im")))
+        sums = both.groupBy("vec", "idx").agg(*(F.sum(c).alias(c) for c in ("re", "im", "x_re", "x_im")))
+        told = Observation()  # of the job's last stage, whose tasks count once
+        sums = sums.observe(told, F.expr("sum(x_re * re + x_im * im)").alias("p"), F.expr("sum(x_re * im - x_im * re)").alias("q"), F.expr("sqrt(sum(re * re + im * im))").alias("size"))
+        x = scratch.table(sums, f"x{k}").select("vec", "idx", "re", "im")
+        got = told.get
+        found.append((k, ((got["p"] or 0.0) ** 2 + (got["q"] or 0.0) ** 2) ** 0.5))
+        scratch.drop(last)
+        size, last = got["size"], f"x{k}"
+    scratch.drop(last)
+    if stored is not a:
+        stored.drop()
     return spark.createDataFrame(found, "step int, lam double")

@@ -5,32 +5,96 @@ Duplicates in a matrix add. All-pairs matrices are never stored: kernel_apply su
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.functions.complex import cx
 from latticework.functions.kernels import distance, lookup
+from latticework.session import Scratch
 
 RE_IM = ("re", "im")
+MODES = ("none", "transpose", "conj", "adjoint")
+#: An index is heavy with more entries than this and more than a HEAVY-th of all, so HEAVY at most are.
+HEAVY, HEAVY_ROWS = 64, 1 << 16
 
 
 def product_sum(a_re, a_im, b_re, b_im) -> list[Column]:
     return [F.sum(a_re * b_re - a_im * b_im).alias("re"), F.sum(a_re * b_im + a_im * b_re).alias("im")]
 
 
-def apply_matrix(a: DataFrame, x: DataFrame, mode: str = "none") -> DataFrame:
-    """op(A) x by a join on the inner index and a sum: mode none, transpose, conj or adjoint."""
-    if mode not in ("none", "transpose", "conj", "adjoint"):
+def inner_outer(mode: str) -> tuple[str, str, float]:
+    """Inner and outer index of a product, and the sign of the matrix's imaginary part."""
+    if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}")
-    inner, outer = ("i", "j") if mode in ("transpose", "adjoint") else ("j", "i")
-    sign = -1.0 if mode in ("conj", "adjoint") else 1.0
+    return *(("i", "j") if mode in ("transpose", "adjoint") else ("j", "i")), -1.0 if mode in ("conj", "adjoint") else 1.0
+
+
+def apply_matrix(a: DataFrame | StoredMatrix, x: DataFrame, mode: str = "none") -> DataFrame:
+    """op(A) x by a join on the inner index and a sum: mode none, transpose, conj or adjoint."""
+    if isinstance(a, StoredMatrix):
+        return a.products(x, mode).groupBy("vec", "idx").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    inner, outer, sign = inner_outer(mode)
     m, v = a.alias("m"), x.alias("v")
     joined = m.join(v, F.col(f"m.{inner}") == F.col("v.idx"))
     return joined.groupBy("v.vec", F.col(f"m.{outer}").alias("idx")).agg(*product_sum(F.col("m.re"), sign * F.col("m.im"), F.col("v.re"), F.col("v.im")))
 
 
+def heavy_parts(counts: DataFrame, column: str, rows: int = HEAVY_ROWS) -> DataFrame:
+    """column and parts (how many to split it into) of the heavy values of counts (column, n): HEAVY of them at most."""
+    least = F.greatest(F.ceil(F.sum("n") / HEAVY), F.lit(rows)).alias("least")
+    top = counts.crossJoin(F.broadcast(counts.agg(least))).where("n > least")  # one row
+    return top.select(column, F.ceil(F.col("n") / F.col("least")).cast("int").alias("parts"))
+
+
+class StoredMatrix:
+    """A matrix written twice in the shared folder, bucketed by its columns and by its rows, duplicates added.
+
+    A product reads the table whose buckets are those of the inner index, so that only vectors and sums are shuffled,
+    however often it is done. Heavy indices are split into several parts, and their entry of a vector goes to each.
+    drop() removes the tables.
+    """
+
+    def __init__(self, a: DataFrame, heavy_rows: int = HEAVY_ROWS):
+        self.spark, self.name = a.sparkSession, f"matrix_{uuid.uuid4().hex}"
+        self.scratch, self.heavy = Scratch(self.spark, "matrix"), {}
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        entries = self.scratch.table(summed(a), "entries")
+        for inner, outer in ("ij", "ji"):
+            heavy = heavy_parts(entries.groupBy(inner).agg(F.count("*").alias("n")), inner, heavy_rows).toArrow()  # HEAVY rows at most
+            self.heavy[inner] = self.spark.createDataFrame(heavy) if heavy.num_rows else None
+            part = F.lit(0).alias("part")
+            rows = entries
+            if heavy.num_rows:
+                part = F.coalesce(F.pmod(F.xxhash64(outer), F.col("parts")), F.lit(0)).cast("int").alias("part")
+                rows = entries.join(F.broadcast(self.heavy[inner]), inner, "left")
+            rows = rows.select("i", "j", "re", "im", part).repartition(buckets, inner, "part")
+            rows.write.bucketBy(buckets, inner, "part").sortBy(inner, "part").option("path", f"{self.scratch.top}/by-{inner}").saveAsTable(f"{self.name}_{inner}")
+        self.scratch.drop("entries")
+
+    def entries(self, inner: str = "i") -> DataFrame:
+        """i, j, re, im and part, bucketed by that index."""
+        return self.spark.table(f"{self.name}_{inner}")
+
+    def products(self, x: DataFrame, mode: str = "none") -> DataFrame:
+        """vec, idx, re, im of each entry's product with op(A) x's entry, to be summed."""
+        inner, outer, sign = inner_outer(mode)
+        v = x.withColumn("part", F.lit(0))
+        if self.heavy[inner] is not None:
+            heavy = F.broadcast(self.heavy[inner].withColumnRenamed(inner, "idx"))
+            v = x.join(heavy, "idx", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+        m, v = self.entries(inner).alias("m"), v.select("vec", "idx", "part", "re", "im").alias("v")
+        joined = m.join(v, (F.col(f"m.{inner}") == F.col("v.idx")) & (F.col("m.part") == F.col("v.part")))
+        re, im = F.expr(f"m.re * v.re - {sign} * m.im * v.im"), F.expr(f"m.re * v.im + {sign} * m.im * v.re")
+        return joined.select("v.vec", F.col(f"m.{outer}").alias("idx"), re.alias("re"), im.alias("im"))
+
+    def drop(self) -> None:
+        for inner in "ij":
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}_{inner}")
+        self.scratch.drop("")
+
+
 #: Points of a block of columns.
 BLOCK = 2000
 
@@ -42,7 +106,7 @@ def block_number(rows: DataFrame, n: int) -> int:
 
 def all_pairs(rows: DataFrame, columns: DataFrame, blocks: int) -> DataFrame:
     """rows as p and columns as q (both with id), every row with every column: each row goes to every block of columns, and a task holds the columns of a block."""
-    p = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).alias("p")
+    p = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).alias("p")
     q = columns.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).alias("q")
     return p.join(q, F.col("p._block") == F.col("q._block"))
 
@@ -94,9 +158,21 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return combine([(1, a), (-1, b)], ["i", "j"])
 
 
-def matrix_product(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Matrix a times matrix b, by a join on the inner index."""
-    joined = a.alias("a").join(b.alias("b"), F.col("a.j") == F.col("b.i"))
+def matrix_product(a: DataFrame, b: DataFrame, heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """Matrix a times matrix b, by a join on the inner index.
+
+    A heavy inner index has its entries of a cut into tiles of rows and those of b into tiles of columns; each tile of
+    a meets each tile of b in another task. Sums leave every task.
+    """
+    count = lambda m, c: heavy_parts(m.groupBy(F.col(c).alias("k")).agg(F.count("*").alias("n")), "k", heavy_rows)
+    scratch = Scratch(a.sparkSession, "product")
+    wide, high = count(a, "j").withColumnRenamed("parts", "p"), count(b, "i").withColumnRenamed("parts", "q")
+    tiles = F.broadcast(scratch.table(wide.join(high, "k", "full").select("k", F.coalesce("p", F.lit(1)).alias("p"), F.coalesce("q", F.lit(1)).alias("q")), "tiles"))  # 2 HEAVY rows at most
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+    one = lambda n, c: F.coalesce(F.pmod(F.xxhash64(c), F.col(n)), F.lit(0)).cast("int")
+    left = a.select("i", F.col("j").alias("k"), "re", "im").join(tiles, "k", "left").withColumn("tp", one("p", "i")).withColumn("tq", each("q"))
+    right = b.select(F.col("i").alias("k"), "j", "re", "im").join(tiles, "k", "left").withColumn("tq", one("q", "j")).withColumn("tp", each("p"))
+    joined = left.alias("a").join(right.alias("b"), ["k", "tp", "tq"])
     return joined.groupBy(F.col("a.i").alias("i"), F.col("b.j").alias("j")).agg(*product_sum(F.col("a.re"), F.col("a.im"), F.col("b.re"), F.col("b.im")))
 
 
@@ -106,7 +182,7 @@ def apply_product(first: DataFrame, second: DataFrame, x: DataFrame, mode: str =
     return apply_matrix(two, apply_matrix(one, x, mode), mode)
 
 
-def apply_normal(a: DataFrame, x: DataFrame, self_adjoint: bool = False) -> DataFrame:
+def apply_normal(a: DataFrame | StoredMatrix, x: DataFrame, self_adjoint: bool = False) -> DataFrame:
     """A* A x; with self_adjoint A A x, which spares the transposed join."""
     return apply_matrix(a, apply_matrix(a, x), "none" if self_adjoint else "adjoint")
 
@@ -145,6 +221,7 @@ def compared(reference: DataFrame, other: DataFrame) -> DataFrame:
     return both.select(*keys, *((F.coalesce(F.col(f"a.{c}"), F.lit(0.0)) - F.coalesce(F.col(f"b.{c}"), F.lit(0.0))).alias(c) for c in RE_IM))
 
 
+#: The factor of an update by its mode, in units of its scale.
 RANK_ONE = {"none": (0.0, 0.0), "real_symmetric": (1.0, 0.0), "complex_symmetric": (1 / 5**0.5, 2 / 5**0.5), "hermitian": (1.0, 0.0), "real_nonsymmetric": (1.0, 0.0), "complex_nonsymmetric": (1 / 5**0.5, 2 / 5**0.5)}
 
 
@@ -170,22 +247,53 @@ def rank_one_factors(x: DataFrame, y: DataFrame, mode: str, scale: float) -> Dat
 
 
 def rank_one_matrix(factors: DataFrame) -> DataFrame:
-    """The update as a matrix: alpha u_i conj(v_j)."""
-    p, q = factors.alias("p"), factors.select(F.col("idx").alias("jdx"), "v_re", "v_im").alias("q")
-    uv_re, uv_im = F.expr("p.u_re * q.v_re + p.u_im * q.v_im"), F.expr("p.u_im * q.v_re - p.u_re * q.v_im")
-    pairs = p.crossJoin(q).select(F.col("p.idx").alias("i"), F.col("q.jdx").alias("j"), "alpha_re", "alpha_im", uv_re.alias("r"), uv_im.alias("s"))
-    return pairs.select("i", "j", F.expr("alpha_re * r - alpha_im * s").alias("re"), F.expr("alpha_re * s + alpha_im * r").alias("im"))
+    """The update as a matrix: alpha u_i conj(v_j). It has n^2 rows by its meaning."""
+    return terms_matrix(factors.withColumn("term", F.lit(0).cast("long")))
 
 
 def apply_rank_one(factors: DataFrame, x: DataFrame, mode: str = "none") -> DataFrame:
-    """The update applied without its matrix, by one dot product a vector: mode none, transpose or adjoint."""
-    left, right = ("u", "v") if mode == "none" else ("v", "u")
-    one = {"none": (1, -1), "transpose": (-1, 1), "adjoint": (1, -1)}[mode]  # signs of the imaginary parts of left and right
-    alpha_sign = -1 if mode == "adjoint" else 1
-    f = factors.select("idx", F.col(f"{left}_re").alias("l_re"), (one[0] * F.col(f"{left}_im")).alias("l_im"), F.col(f"{right}_re").alias("r_re"), (one[1] * F.col(f"{right}_im")).alias("r_im"), "alpha_re", (alpha_sign * F.col("alpha_im")).alias("alpha_im"))
-    dots = f.join(x, "idx").groupBy("vec", "alpha_re", "alpha_im").agg(F.expr("sum(r_re * re - r_im * im)").alias("d_re"), F.expr("sum(r_re * im + r_im * re)").alias("d_im"))
-    scaled = dots.select("vec", F.expr("alpha_re * d_re - alpha_im * d_im").alias("s_re"), F.expr("alpha_re * d_im + alpha_im * d_re").alias("s_im"))
-    return f.join(scaled).select("vec", "idx", F.expr("l_re * s_re - l_im * s_im").alias("re"), F.expr("l_re * s_im + l_im * s_re").alias("im"))
+    """The update applied without its matrix, by one dot product a vector: mode none, transpose, conj or adjoint."""
+    return apply_terms(factors.withColumn("term", F.lit(0).cast("long")), x, mode)
+
+
+def perturbation_terms(left: DataFrame, right: DataFrame, alpha: DataFrame) -> DataFrame:
+    """A perturbation as a table of terms: term, idx, u_re, u_im, v_re, v_im, alpha_re, alpha_im, a row for each place of either vector.
+
+    left and right: term, idx, re, im, the vectors u and v of each term, as sparse as they are (entries that aren't
+    there are 0); alpha: term, re, im. The perturbation is the sum of alpha u v* over the terms that alpha has.
+    """
+    sides = [df.select("term", "idx", *((F.col(p) if c == side else F.lit(0.0)).alias(f"{c}_{p}") for c in "uv" for p in RE_IM)) for side, df in (("u", left), ("v", right))]
+    both = sides[0].unionByName(sides[1]).groupBy("term", "idx").agg(*(F.sum(f"{c}_{p}").alias(f"{c}_{p}") for c in "uv" for p in RE_IM))
+    return both.join(alpha.select("term", *(F.col(p).alias(f"alpha_{p}") for p in RE_IM)), "term")
+
+
+def only_terms(terms: DataFrame, kept: list[int] | None = None) -> DataFrame:
+    """The terms of those numbers; all without numbers."""
+    return terms if kept is None else terms.where(F.col("term").isin(kept))
+
+
+def terms_matrix(terms: DataFrame, kept: list[int] | None = None) -> DataFrame:
+    """i, j, re, im: the sum of alpha u_i conj(v_j) over the terms, paired block by block of columns."""
+    own = only_terms(terms, kept)
+    blocks = block_number(own, own.count())
+    p = own.where("u_re <> 0 or u_im <> 0").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = own.where("v_re <> 0 or v_im <> 0").select("term", F.col("idx").alias("j"), F.col("v_re").alias("w_re"), F.col("v_im").alias("w_im")).withColumn("_block", F.pmod(F.xxhash64("j"), F.lit(blocks)).cast("int"))
+    pairs = p.join(q, ["term", "_block"]).select(F.col("idx").alias("i"), "j", "alpha_re", "alpha_im", F.expr("u_re * w_re + u_im * w_im").alias("r"), F.expr("u_im * w_re - u_re * w_im").alias("s"))
+    return pairs.groupBy("i", "j").agg(F.expr("sum(alpha_re * r - alpha_im * s)").alias("re"), F.expr("sum(alpha_re * s + alpha_im * r)").alias("im"))
+
+
+def apply_terms(terms: DataFrame, x: DataFrame, mode: str = "none", kept: list[int] | None = None) -> DataFrame:
+    """op(sum of alpha u v*) x without its matrix: all dot products in one aggregate by term and vector, then one sum by place."""
+    inner, _, sign = inner_outer(mode)
+    own = only_terms(terms, kept)
+    left, right = ("u", "v") if inner == "j" else ("v", "u")
+    # none: alpha u (v* x); transpose: alpha conj(v) (u^T x); conj and adjoint conjugate all of it
+    l_sign, r_sign = {"none": (1, -1), "transpose": (-1, 1), "conj": (-1, 1), "adjoint": (1, -1)}[mode]
+    f = own.select("term", "idx", F.col(f"{left}_re").alias("l_re"), (l_sign * F.col(f"{left}_im")).alias("l_im"), F.col(f"{right}_re").alias("r_re"), (r_sign * F.col(f"{right}_im")).alias("r_im"), "alpha_re", (sign * F.col("alpha_im")).alias("alpha_im"))
+    dots = f.where("r_re <> 0 or r_im <> 0").join(x, "idx").groupBy("term", "vec", "alpha_re", "alpha_im").agg(F.expr("sum(r_re * re - r_im * im)").alias("d_re"), F.expr("sum(r_re * im + r_im * re)").alias("d_im"))
+    scaled = dots.select("term", "vec", F.expr("alpha_re * d_re - alpha_im * d_im").alias("s_re"), F.expr("alpha_re * d_im + alpha_im * d_re").alias("s_im"))
+    out = f.where("l_re <> 0 or l_im <> 0").join(scaled, "term")
+    return out.groupBy("vec", "idx").agg(F.expr("sum(l_re * s_re - l_im * s_im)").alias("re"), F.expr("sum(l_re * s_im + l_im * s_re)").alias("im"))
 
 
 def sketch_pair(common: DataFrame, rest: DataFrame, w: DataFrame, w2: DataFrame) -> DataFrame:
@@ -207,19 +315,55 @@ def dense(a: DataFrame, ids: DataFrame, operator=None) -> DataFrame:
     return out.select(F.col("idx").alias("i"), F.col("vec").alias("j"), "re", "im")
 
 
-def offset_matrix(n: int, ndim: int, grid: DataFrame, values: DataFrame) -> DataFrame:
-    """Matrix on an (n + 1)^ndim grid whose entry depends on |index differences| alone: values (d0, d1, d2, re, im) looked up.
+#: Offset values that one broadcast holds.
+MOST_VALUES = 1 << 18
+
 
-    The table of values has one row for each offset, (n + 1)^ndim in all, which is checked to match the grid.
+def _offset_pairs(n: int, ndim: int, rows: DataFrame, columns: DataFrame, values: DataFrame, most_values: int) -> DataFrame:
+    """Columns of rows as p_ and of columns as q_ (both with id, a place of the grid), every row with every column, and their value as v_.
+
+    Pairs are made block by block of columns and looked up in the plan that makes them; a table of over most_values
+    offsets is looked up in several parts, each a broadcast.
     """
     m = n + 1
-    if grid.count() != m**ndim:
+    at = lambda side, a: F.expr(f"pmod({side}.id div {m ** (ndim - 1 - a)}, {m})") if a < ndim else F.lit(0)
+    offsets = [F.abs(at("p", a) - at("q", a)) for a in range(3)]
+    both = [c for side, df in (("p", rows), ("q", columns)) for c in (F.col(f"{side}.{x}").alias(f"{side}_{x}") for x in df.columns)]
+    pairs = all_pairs(rows, columns, block_number(rows, m**ndim)).select(*both, *(d.cast("int").alias(f"_d{a}") for a, d in enumerate(offsets)))
+    parts = -(-(m**ndim) // most_values)
+    each = []
+    for k in range(parts):
+        own = values.where(F.pmod(F.xxhash64("d0", "d1", "d2"), F.lit(parts)) == k) if parts > 1 else values
+        own = own.select(*(F.col(f"d{a}").cast("int").alias(f"v{a}") for a in range(3)), F.col("re").alias("v_re"), F.col("im").alias("v_im"))
+        each.append(pairs.join(F.broadcast(own), [F.col(f"_d{a}") == F.col(f"v{a}") for a in range(3)]))
+    return reduce(DataFrame.unionByName, each)
+
+
+def _checked_grid(n: int, ndim: int, grid: DataFrame, values: DataFrame) -> None:
+    """An error unless grid and values both have (n + 1)^ndim rows."""
+    size = (n + 1) ** ndim
+    if grid.count() != size:
         raise ValueError("the grid does not have (n + 1)^ndim points")
-    at = [F.pmod(F.expr(f"id div {m ** (ndim - 1 - a)}"), F.lit(m)) if a < ndim else F.lit(0) for a in range(3)]
-    own = grid.select("id", *(c.cast("int").alias(f"a{k}") for k, c in enumerate(at)))
-    p, q = own.alias("p"), own.alias("q")
-    pairs = p.crossJoin(q).select(F.col("p.id").alias("i"), F.col("q.id").alias("j"), *(F.abs(F.col(f"p.a{k}") - F.col(f"q.a{k}")).alias(f"d{k}") for k in range(3)))
-    return pairs.join(values, ["d0", "d1", "d2"]).select("i", "j", "re", "im")
+    if values.count() != size or values.select("d0", "d1", "d2").distinct().count() != size:
+        raise ValueError("the values do not have one row for each of the (n + 1)^ndim offsets")
+
+
+def offset_matrix(n: int, ndim: int, grid: DataFrame, values: DataFrame, most_values: int = MOST_VALUES) -> DataFrame:
+    """Matrix on an (n + 1)^ndim grid whose entry depends on |index differences| alone: values (d0, d1, d2, re, im) looked up.
+
+    It has (n + 1)^(2 ndim) rows by its meaning; apply_offsets sums without making them.
+    """
+    _checked_grid(n, ndim, grid, values)
+    own = grid.select("id")
+    return _offset_pairs(n, ndim, own, own, values, most_values).select(F.col("p_id").alias("i"), F.col("q_id").alias("j"), F.col("v_re").alias("re"), F.col("v_im").alias("im"))
+
+
+def apply_offsets(n: int, ndim: int, grid: DataFrame, values: DataFrame, x: DataFrame, most_values: int = MOST_VALUES) -> DataFrame:
+    """vec, idx, re, im: the matrix of offset_matrix times x, summed in the plan that makes the pairs."""
+    _checked_grid(n, ndim, grid, values)
+    columns = x.select(F.col("idx").alias("id"), "vec", "re", "im")
+    pairs = _offset_pairs(n, ndim, grid.select("id"), columns, values, most_values)
+    return pairs.groupBy(F.col("q_vec").alias("vec"), F.col("p_id").alias("idx")).agg(*product_sum(F.col("v_re"), F.col("v_im"), F.col("q_re"), F.col("q_im")))
 
 
 def field(targets: DataFrame, sources: DataFrame, name: str, kappa: float) -> DataFrame:
@@ -297,7 +441,3 @@ def checked(y: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     if y.join(own, "idx", "left_anti").isEmpty() and sizes.where((F.col("n") != n) | (F.col("k") != n)).isEmpty():
         return y
     raise ValueError(f"an operator must return {n} entries a vector, one for each id")
-
-
-def as_struct(x: DataFrame) -> DataFrame:
-    return x.select("vec", "idx", cx(F.col("re"), F.col("im")).alias("v"))

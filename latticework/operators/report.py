@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.results import close_to, valid
+from latticework.operators.quantiles import MOST, quantiles
 
 
 def mean_std(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
@@ -39,18 +39,23 @@ def shares(df: DataFrame, key: str, phases: list[str], drop_zero: bool = False)
     return long.withColumn("share", F.try_divide(F.col("value"), F.sum("value").over(Window.partitionBy(key))))
 
 
-def level_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def level_summary(df: DataFrame, keys: list[str], value: str, most: int = MOST) -> DataFrame:
     """mean, median, std of the valid numbers by keys; keys without any are left out."""
-    return df.where(valid(F.col(value))).groupBy(*keys).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_pop(value).alias("std"))
+    own = df.where(valid(F.col(value)))
+    middle, group = quantiles(own, keys, value, [0.5], most), F.struct(*keys)  # structs compare nulls as equal
+    sums = own.groupBy(*keys).agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std")).withColumn("_g", group)
+    return sums.join(middle.select(group.alias("_g"), F.col("q")[0].alias("median")), "_g").select(*keys, "mean", "median", "std")
 
 
-def box_plot(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """q1, median, q3, whiskers (furthest values within 1.5 times the quartile range) and n_outliers by keys."""
+def box_plot(df: DataFrame, keys: list[str], value: str, most: int = MOST) -> DataFrame:
+    """q1, median, q3, whiskers (furthest values within 1.5 times the quartile range) and n_outliers by keys; null keys are a group."""
     own = df.where(valid(F.col(value)))
-    q = own.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).select(*keys, *(F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))))
+    q = quantiles(own, keys, value, [0.25, 0.5, 0.75], most).select(F.struct(*keys).alias("_g"), *(F.col("q")[k].alias(n) for k, n in enumerate(("q1", "median", "q3"))))
     fences = q.withColumns({"low": F.expr("q1 - 1.5 * (q3 - q1)"), "high": F.expr("q3 + 1.5 * (q3 - q1)")})
     inside = F.col(value).between(F.col("low"), F.col("high"))
-    return own.join(fences, keys).groupBy(*keys, "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.sum((~inside).cast("int")).cast("long").alias("n_outliers"))
+    both = own.select(F.struct(*keys).alias("_g"), value).join(fences, "_g")
+    sums = both.groupBy("_g", "q1", "median", "q3").agg(F.min(F.when(inside, F.col(value))).alias("whisker_low"), F.max(F.when(inside, F.col(value))).alias("whisker_high"), F.sum((~inside).cast("int")).cast("long").alias("n_outliers"))
+    return sums.select(*(F.col("_g")[c].alias(c) for c in keys), "q1", "median", "q3", "whisker_low", "whisker_high", "n_outliers")
 
 
 def gate(metrics: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -150,15 +155,25 @@ def extent(points: DataFrame) -> DataFrame:
     return box.crossJoin(radius).withColumn("diagonal", diagonal)
 
 
-def contrast(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98, how: str = "linear", power: float = 0.5) -> DataFrame:
+def _finite(value: str) -> Column:
+    return valid(F.col(value)) & (F.abs(value) < float("inf"))
+
+
+def contrast_range(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98, most: int = MOST) -> DataFrame:
+    """low and high: two quantiles of the finite values, or 0 and 1 without any; an empty range gets length 1."""
+    q = df.sparkSession.range(1).join(quantiles(df.where(_finite(value)), [], value, [low, high], most), how="left")
+    q = q.select(F.coalesce(F.col("q")[0], F.lit(0.0)).alias("low"), F.coalesce(F.col("q")[1], F.lit(1.0)).alias("high"))
+    return q.withColumn("high", F.when(F.col("high") <= F.col("low"), F.col("low") + 1).otherwise(F.col("high")))
+
+
+def contrast(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98, how: str = "linear", power: float = 0.5, limits: DataFrame | None = None) -> DataFrame:
     """df with scaled: the value between two quantiles, cut and brought to 0..1, then linear, power or log.
 
-    Values that aren't finite count for no quantile and scale to null; without finite ones the range is 0..1; an empty
-    range gets length 1; log starts at 1e-12 of the top.
+    limits is a row of contrast_range, if it is there already. Values that aren't finite count for no quantile and
+    scale to null; log starts at 1e-12 of the top.
     """
-    finite = valid(F.col(value)) & (F.abs(value) < float("inf"))
-    q = df.where(finite).agg(F.percentile(value, F.array(F.lit(low), F.lit(high))).alias("q")).select(F.coalesce(F.col("q")[0], F.lit(0.0)).alias("_low"), F.coalesce(F.col("q")[1], F.lit(1.0)).alias("_top"))
-    own = df.crossJoin(F.broadcast(q.select("_low", F.when(F.col("_top") <= F.col("_low"), F.col("_low") + 1).otherwise(F.col("_top")).alias("_high"))))
+    limits = contrast_range(df, value, low, high) if limits is None else limits
+    own = df.crossJoin(F.broadcast(limits.select(F.col("low").alias("_low"), F.col("high").alias("_high"))))  # one row
     cut = F.least(F.greatest(F.col(value), F.col("_low")), F.col("_high"))
     if how == "log":
         floor = F.greatest(1e-12 * F.col("_high"), F.lit(1e-300))
@@ -167,13 +182,12 @@ def contrast(df: DataFrame, value: str, low: float = 0.02, high: float = 0.98, h
     else:
         scaled = (cut - F.col("_low")) / (F.col("_high") - F.col("_low"))
         scaled = F.pow(scaled, F.lit(power)) if how == "power" else scaled
-    return own.withColumn("scaled", F.when(finite, scaled)).drop("_low", "_high")
+    return own.withColumn("scaled", F.when(_finite(value), scaled)).drop("_low", "_high")
 
 
 def shared_range(df: DataFrame, value: str) -> DataFrame:
     """low and high of the finite values; 0 and 1 without any."""
-    finite = df.where(valid(F.col(value)) & (F.abs(value) < float("inf")))
-    return finite.agg(F.coalesce(F.min(value), F.lit(0.0)).alias("low"), F.coalesce(F.max(value), F.lit(1.0)).alias("high"))
+    return df.where(_finite(value)).agg(F.coalesce(F.min(value), F.lit(0.0)).alias("low"), F.coalesce(F.max(value), F.lit(1.0)).alias("high"))
 
 
 #: Byte counts and counts of a snapshot's factor_memory.

@@ -1,35 +1,53 @@
-"""Restarted GMRES over Spark jobs, and block-diagonal solves."""
+"""Restarted GMRES over Spark jobs, and factors of diagonal blocks as its preconditioner."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators.matrix import combine
+from latticework.operators.matrix import apply_matrix, combine
 from latticework.session import Scratch, ship
 
+#: Rows of a diagonal block at most, whose square one task holds.
+MOST_ROWS = 1024
+#: Right-hand sides of one call at most: the driver holds restart + 1 by restart numbers for each.
+MOST_VECTORS = 256
 
-def block_solve(a: DataFrame, boxes: DataFrame, x: DataFrame) -> DataFrame:
+
+def _block_entries(a: DataFrame, boxes: DataFrame, most: int) -> DataFrame:
+    """key, i, j, re, im of the diagonal blocks, duplicates added, and a row without j for each row of a box (key, idx); boxes of over `most` rows are an error."""
+    top = boxes.groupBy("key").agg(F.count_distinct("idx").alias("n")).agg(F.max("n")).first()[0]
+    if top is not None and top > most:
+        raise ValueError(f"a box has {top} rows; a block of more than {most} is not held by a task")
+    rows, columns = boxes.select("key", F.col("idx").alias("i")).distinct(), boxes.select("key", F.col("idx").alias("j")).distinct()
+    own = a.join(rows, "i").join(columns, ["key", "j"]).groupBy("key", "i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
+    none = F.lit(None)
+    return own.unionByName(rows.select("key", "i", none.cast("long").alias("j"), none.cast("double").alias("re"), none.cast("double").alias("im")))
+
+
+def _dense(ids: np.ndarray, t, re: str = "re", im: str = "im") -> np.ndarray:
+    out = np.zeros((len(ids), len(ids)), complex)
+    out[np.searchsorted(ids, t["i"]), np.searchsorted(ids, t["j"])] = t[re] + 1j * t[im]
+    return out
+
+
+def block_solve(a: DataFrame, boxes: DataFrame, x: DataFrame, most: int = MOST_ROWS) -> DataFrame:
     """vec, idx, re, im: for each box (key, idx) the solution of its diagonal block with the box's part of x.
 
-    Boxes are of bounded size, as leaves of a tree are; each is solved in its own group. A singular block is an error.
+    Each box is solved in its own group; boxes of over `most` rows and singular blocks are errors.
     """
     ship(a.sparkSession)
-    rows, columns = boxes.select("key", F.col("idx").alias("i")), boxes.select(F.col("key").alias("key2"), F.col("idx").alias("j"))
-    own = a.join(rows, "i").join(columns, "j").where("key = key2").groupBy("key", "i", "j").agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
-    entries = own.select("key", "i", "j", F.lit(None).cast("long").alias("vec"), "re", "im")
-    right = x.join(boxes, "idx").select("key", F.col("idx").alias("i"), F.lit(None).cast("long").alias("j"), F.col("vec").cast("long"), "re", "im")
+    entries = _block_entries(a, boxes, most).withColumn("vec", F.lit(None).cast("long"))
+    right = x.join(boxes.select("key", "idx").distinct(), "idx").groupBy("key", F.col("idx").alias("i"), F.lit(None).cast("long").alias("j"), F.col("vec").cast("long").alias("vec")).agg(F.sum("re").alias("re"), F.sum("im").alias("im"))
 
     def solve(table):
         t = table.to_pandas()
-        m, v = t[t["j"].notna()], t[t["j"].isna()]
-        ids = np.unique(np.concatenate([m["i"], v["i"]]))
-        block = np.zeros((len(ids), len(ids)), complex)
-        block[np.searchsorted(ids, m["i"]), np.searchsorted(ids, m["j"])] = m["re"] + 1j * m["im"]
+        v, ids = t[t["vec"].notna()], np.unique(t["i"])
+        block = _dense(ids, t[t["j"].notna()])
         vecs = np.unique(v["vec"])
         b = np.zeros((len(ids), len(vecs)), complex)
         b[np.searchsorted(ids, v["i"]), np.searchsorted(vecs, v["vec"])] = v["re"] + 1j * v["im"]
@@ -39,63 +57,161 @@ def block_solve(a: DataFrame, boxes: DataFrame, x: DataFrame) -> DataFrame:
     return entries.unionByName(right).groupBy("key").applyInArrow(solve, "vec long, idx long, re double, im double")
 
 
-def _dots(basis: DataFrame, w: DataFrame) -> dict[int, complex]:
-    both = basis.alias("p").join(w.alias("w"), "idx")
-    got = both.groupBy("p.k").agg(F.expr("sum(p.re * w.re + p.im * w.im)").alias("re"), F.expr("sum(p.re * w.im - p.im * w.re)").alias("im")).collect()
-    return {r["k"]: complex(r["re"], r["im"]) for r in got}
+FACTORS = "key long, i long, j long, re double, im double, inv_re double, inv_im double"
+
+
+def block_factors(a: DataFrame, boxes: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """FACTORS: every entry of each box's diagonal block and of its inverse, to be stored and applied by a join (apply_inverse).
+
+    Boxes of over `most` rows and singular blocks are errors.
+    """
+    ship(a.sparkSession)
+
+    def factor(key, table):
+        t = table.to_pandas()
+        ids = np.unique(t["i"])
+        block = _dense(ids, t[t["j"].notna()])
+        inverse = np.linalg.inv(block)
+        n = len(ids)
+        return pa.table({"key": np.full(n * n, key[0].as_py(), np.int64), "i": np.repeat(ids, n).astype(np.int64), "j": np.tile(ids, n).astype(np.int64), "re": block.real.ravel(), "im": block.imag.ravel(), "inv_re": inverse.real.ravel(), "inv_im": inverse.imag.ravel()})
+
+    return _block_entries(a, boxes, most).groupBy("key").applyInArrow(factor, FACTORS)
+
+
+def apply_inverse(factors: DataFrame, x: DataFrame) -> DataFrame:
+    """vec, idx, re, im: the inverses of block_factors times x."""
+    return apply_matrix(factors.select("i", "j", F.col("inv_re").alias("re"), F.col("inv_im").alias("im")), x)
+
+
+def block_errors(a: DataFrame, boxes: DataFrame, factors: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """key, n (rows), err_block and err_inverse of each box, for factors of a matrix that stands for a.
+
+    err_block is |E - B| / |E| and err_inverse |B^-1 E - I|, in the 2-norm, for a's block E and the factors' block B;
+    without entries in E, err_block is |B|.
+    """
+    ship(a.sparkSession)
+    exact = _block_entries(a, boxes, most).select("key", "i", "j", "re", "im", F.lit(None).cast("double").alias("inv_re"), F.lit(None).cast("double").alias("inv_im"))
+
+    def compare(key, table):
+        t = table.to_pandas()
+        ids, mine = np.unique(t["i"]), t["inv_re"].notna()
+        e, b, inverse = _dense(ids, t[~mine & t["j"].notna()]), _dense(ids, t[mine]), _dense(ids, t[mine], "inv_re", "inv_im")
+        size = np.linalg.norm(e, 2)
+        return pa.table({"key": [key[0].as_py()], "n": [len(ids)], "err_block": [np.linalg.norm(e - b, 2) / (size or 1.0)], "err_inverse": [np.linalg.norm(inverse @ e - np.eye(len(ids)), 2)]})
+
+    return exact.unionByName(factors.select(*exact.columns)).groupBy("key").applyInArrow(compare, "key long, n long, err_block double, err_inverse double")
+
+
+def _dots(basis: DataFrame, w: DataFrame) -> dict[tuple[int, int], complex]:
+    """<v, w> by vector and number of v; number -1 is w itself."""
+    both = basis.unionByName(w.withColumn("k", F.lit(-1))).alias("p").join(w.alias("w"), ["vec", "idx"])
+    got = both.groupBy("vec", "p.k").agg(F.expr("sum(p.re * w.re + p.im * w.im)").alias("re"), F.expr("sum(p.re * w.im - p.im * w.re)").alias("im")).collect()
+    return {(r["vec"], r["k"]): complex(r["re"], r["im"]) for r in got}
+
+
+def _norms(w: DataFrame) -> dict[int, float]:
+    return {r["vec"]: r["n"] for r in w.groupBy("vec").agg(F.sqrt(F.sum(F.col("re") ** 2 + F.col("im") ** 2)).alias("n")).collect()}
 
 
-def _norm(w: DataFrame) -> float:
-    return float(w.agg(F.sqrt(F.sum(F.col("re") ** 2 + F.col("im") ** 2))).first()[0] or 0.0)
+def _times(df: DataFrame, factors: dict, keys: list[str]) -> DataFrame:
+    """vec, idx, re, im: df times a complex number for each key; rows of other keys are left out. factors: MOST_VECTORS by restart at most."""
+    at, values = np.array(list(factors), np.int64).reshape(-1, len(keys)), np.array(list(factors.values()), complex)
+    table = df.sparkSession.createDataFrame(pa.table({**{k: at[:, c] for c, k in enumerate(keys)}, "c_re": values.real.copy(), "c_im": values.imag.copy()}))
+    return df.join(F.broadcast(table), keys).select("vec", "idx", F.expr("c_re * re - c_im * im").alias("re"), F.expr("c_re * im + c_im * re").alias("im"))
 
 
-def gmres(apply: Callable[[DataFrame], DataFrame], b: DataFrame, precondition: Callable[[DataFrame], DataFrame] | None = None, tolerance: float = 1e-10,
-          restart: int = 20, most: int = 5000, callback: Callable[[int, float], None] | None = None) -> tuple[DataFrame, list[float]]:
-    """Solution (vec, idx, re, im) of one right-hand side, and the history of relative residuals.
+class _Run:
+    """What the driver knows of one right-hand side: sizes, the Hessenberg matrix of the cycle and the residuals so far."""
 
-    The driver keeps the Hessenberg matrix of at most restart + 1 rows; basis vectors are tables in the shared folder.
-    precondition is applied from the left. callback gets each step and residual.
+    def __init__(self, size: float, restart: int):
+        self.size, self.restart, self.beta, self.history, self.ended = size, restart, 0.0, [], not size
+
+    def begin(self, beta: float) -> None:
+        self.beta, self.h, self.y = beta, np.zeros((self.restart + 1, self.restart), complex), np.zeros(0, complex)
+
+    def step(self, k: int, column: Iterable[complex], rest: float, tolerance: float, most: int) -> bool:
+        """Takes the k-th column and the rest's norm; True if this cycle has no further step."""
+        self.h[: k + 1, k] = list(column)
+        self.h[k + 1, k] = rest
+        goal = self.beta * np.eye(k + 2)[0].astype(complex)
+        self.y, *_ = np.linalg.lstsq(self.h[: k + 2, : k + 1], goal, rcond=None)
+        self.history.append(float(np.linalg.norm(goal - self.h[: k + 2, : k + 1] @ self.y)) / self.size)
+        self.ended = self.history[-1] <= tolerance or len(self.history) >= most or rest <= 1e-14 * self.beta
+        return self.ended
+
+
+def gmres(apply: Callable[[DataFrame], DataFrame], b: DataFrame, precondition: Callable[[DataFrame], DataFrame] | None = None, tolerance: float = 1e-10, restart: int = 20,
+          most: int = 5000, callback: Callable[[int, int, float], None] | None = None, most_vectors: int = MOST_VECTORS) -> tuple[DataFrame, dict[int, list[float]]]:
+    """Solutions (vec, idx, re, im) of all right-hand sides of b, and the history of relative residuals of each vec.
+
+    All vectors take a step together, in the same jobs; those that are done stop. The driver keeps a Hessenberg matrix
+    of restart + 1 by restart for each, of most_vectors at most, more are an error; basis vectors are tables in the
+    shared folder. precondition is applied from the left, and residuals are those of the preconditioned system. callback gets each vector,
+    step and residual. A zero right-hand side has a zero solution and no history; entries of one place add.
     """
     spark = b.sparkSession
-    scratch, history = Scratch(spark, "gmres"), []
-    left = precondition or (lambda v: v)
-    vector = lambda v: v.select("idx", "re", "im")
-    as_input = lambda v: v.select(F.lit(0).alias("vec"), "idx", "re", "im")
-    rhs = scratch.table(vector(left(b)), "rhs")
-    size = _norm(rhs)
+    scratch, left, key = Scratch(spark, "gmres"), precondition or (lambda v: v), ["vec", "idx"]
+    vecs = [r[0] for r in b.select(F.col("vec").cast("long")).distinct().limit(most_vectors + 1).collect()]
+    if len(vecs) > most_vectors or None in vecs:
+        raise ValueError(f"right-hand sides must have a vec, and be {most_vectors} at most" if None in vecs else f"more than {most_vectors} right-hand sides")
+    plain = lambda v: v.select(F.col("vec").cast("long").alias("vec"), F.col("idx").cast("long").alias("idx"), "re", "im")
+    b = scratch.table(combine([(1, plain(b))], key), "b")
+    rhs = scratch.table(plain(left(b)), "rhs") if precondition else b
+    sizes = _norms(rhs)
+    runs = {v: _Run(sizes.get(v, 0.0), restart) for v in vecs}
+    of = lambda df, some: df.where(F.col("vec").isin(sorted(some)))
     x, cycle = None, 0
-    while size and len(history) < most:
-        r = rhs if x is None else scratch.table(combine([(1, rhs), (-1, vector(left(apply(as_input(x)))))], ["idx"]), f"r{cycle}")
-        beta = _norm(r)
-        if beta / size <= tolerance:
+    while active := {v for v, run in runs.items() if not run.ended}:
+        r = of(rhs, active)
+        if x is not None:
+            r = scratch.table(combine([(1, r), (-1, plain(left(apply(of(x, active)))))], key), f"r{cycle}")
+        for v, beta in _norms(r).items():
+            runs[v].begin(beta)
+            runs[v].ended = beta <= tolerance * runs[v].size
+        on = {v for v in active if not runs[v].ended}
+        if not on:
             break
-        basis = scratch.table(r.select(F.lit(0).alias("k"), "idx", (F.col("re") / beta).alias("re"), (F.col("im") / beta).alias("im")), f"v{cycle}-0")
-        last, h, done = basis, np.zeros((restart + 1, restart), complex), False
+        active, names = set(on), [""]
+
+        def kept(df, name, names=names):
+            names.append(name)
+            return scratch.table(df, name)
+
+        def vector_of_basis(df, k, names=names, top=f"basis-{cycle}"):
+            """The k-th basis vectors, and all so far as one table with k as a partition."""
+            names[:1] = [top]
+            new = scratch.table(df, f"{top}/k={k}")
+            return new, spark.read.schema("vec long, idx long, re double, im double, k int").parquet(f"{scratch.top}/{top}")
+
+        last, basis = vector_of_basis(_times(r, {v: 1 / runs[v].beta for v in on}, ["vec"]), 0)
         for k in range(restart):
-            w = scratch.table(vector(left(apply(as_input(last)))), f"w{cycle}-{k}")
-            for _ in range(2):  # orthogonalise twice
-                got = _dots(basis, w)
-                for j, value in got.items():
-                    h[j, k] += value
-                parts = [(1, w), *((-value, basis.where(F.col("k") == j)) for j, value in got.items())]
-                w = combine(parts, ["idx"])
-            w = scratch.table(w, f"o{cycle}-{k}")
-            h[k + 1, k] = _norm(w)
-            y, *_ = np.linalg.lstsq(h[: k + 2, : k + 1], beta * np.eye(k + 2)[0].astype(complex), rcond=None)
-            residual = float(np.linalg.norm(beta * np.eye(k + 2)[0] - h[: k + 2, : k + 1] @ y)) / size
-            history.append(residual)
-            if callback:
-                callback(len(history), residual)
-            done = residual <= tolerance or len(history) >= most or abs(h[k + 1, k]) <= 1e-14 * beta
-            if done or k == restart - 1:
+            w = kept(plain(left(apply(of(last, on)))), f"w{cycle}-{k}")
+            columns = {v: np.zeros(k + 1, complex) for v in on}
+            for turn in range(2):  # once more where nine tenths of a vector have gone
+                got = _dots(of(basis, on), w)
+                before = {v: got.get((v, -1), 0j).real for v in on}
+                here = {v: np.array([got.get((v, j), 0j) for j in range(k + 1)]) for v in on}
+                rest = {v: max(before[v] - float((np.abs(here[v]) ** 2).sum()), 0.0) for v in on}
+                for v in on:
+                    columns[v] += here[v]
+                w = combine([(1, w), (1, _times(basis, {(v, j): -here[v][j] for v in on for j in range(k + 1)}, ["vec", "k"]))], key)
+                again = turn == 0 and any(rest[v] < 0.01 * before[v] for v in on)
+                if not again:
+                    break
+                w = kept(w, f"o{cycle}-{k}")
+            for v in sorted(on):
+                done = runs[v].step(k, columns[v], rest[v] ** 0.5, tolerance, most)
+                if callback:
+                    callback(v, len(runs[v].history), runs[v].history[-1])
+                if done:
+                    on = on - {v}
+            if not on or k == restart - 1:
                 break
-            last = scratch.table(w.select(F.lit(k + 1).alias("k"), "idx", *((F.col(c) / h[k + 1, k].real).alias(c) for c in ("re", "im"))), f"v{cycle}-{k + 1}")
-            basis = basis.unionByName(last)
-        step = [(complex(v), basis.where(F.col("k") == j)) for j, v in enumerate(y)]
-        x = scratch.table(combine([*([(1, x)] if x is not None else []), *step], ["idx"]), f"x{cycle}")
+            last, basis = vector_of_basis(_times(w, {v: 1 / runs[v].h[k + 1, k].real for v in on}, ["vec"]), k + 1)
+        step = _times(basis, {(v, j): c for v in active for j, c in enumerate(runs[v].y)}, ["vec", "k"])
+        x = scratch.table(combine([*([(1, x)] if x is not None else []), (1, step)], key), f"x{cycle}")
+        for name in names:
+            scratch.drop(name)
         cycle += 1
-        if done:
-            break
-    if x is None:
-        x = rhs.select("idx", F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
-    return as_input(x), history
+    none = b.select("vec", "idx", F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
+    return (combine([(1, x), (1, none)], key) if x is not None else none), {v: run.history for v, run in runs.items()}

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -339,6 +340,38 @@ def mat8_rank_one_matrix(spark, sf_dir):
     return rounded(M.rank_one_matrix(f).groupBy("i").agg(F.sum("re").alias("re"), F.sum("im").alias("im")))
 
 
+TERMS3 = f"""{PTS}, t AS (SELECT unnest([0, 1, 2]) AS term), l AS (SELECT term, id AS idx, {TV.format(o="term")} AS u, cos(0.17 * (id + 1)) AS ui FROM p, t WHERE id % 3 = term), w AS (SELECT term, id AS idx, sin(0.31 * (id + 1 + term)) AS v, 0.2 * cos(0.13 * (id + 1)) AS vi FROM p, t WHERE id % 4 <> term)"""
+
+
+def three_terms(spark, sf_dir):
+    """Three terms: the left vector of term t on ids of remainder t by 3, the right one on all but remainder t by 4."""
+    p = ids(spark, sf_dir).withColumn("term", F.explode(F.array(*(F.lit(t) for t in range(3))))).withColumnRenamed("id", "idx")
+    at = F.col("idx") + 1
+    left = p.where("idx % 3 = term").select("term", "idx", (F.sin(0.29 * (at + F.col("term"))) + 0.25 * F.cos(0.11 * (at + F.col("term")))).alias("re"), F.cos(0.17 * at).alias("im"))
+    right = p.where("idx % 4 <> term").select("term", "idx", F.sin(0.31 * (at + F.col("term"))).alias("re"), (0.2 * F.cos(0.13 * at)).alias("im"))
+    return M.perturbation_terms(left, right, spark.createDataFrame([(t, 0.5 + t, -0.25 * t) for t in range(3)], "term int, re double, im double"))
+
+
+@query(f"""WITH {TERMS3}, {CV.format(t="p")}, d AS (SELECT term, sum(v * c.re + vi * c.im) AS r, sum(v * c.im - vi * c.re) AS i FROM w JOIN c USING (idx) GROUP BY 1), b AS (SELECT term, sum(u * c.re + ui * c.im) AS r, sum(u * c.im - ui * c.re) AS i FROM l JOIN c USING (idx) GROUP BY 1),
+    f AS (SELECT term, (0.5 + term) * r + 0.25 * term * i AS r, (0.5 + term) * i - 0.25 * term * r AS i FROM d), g AS (SELECT term, (0.5 + term) * r - 0.25 * term * i AS r, (0.5 + term) * i + 0.25 * term * r AS i FROM b),
+    o AS (SELECT 'all' AS part, idx, sum(u * r - ui * i) AS re, sum(u * i + ui * r) AS im FROM l JOIN f USING (term) GROUP BY 2 UNION ALL SELECT 'some', idx, sum(u * r - ui * i), sum(u * i + ui * r) FROM l JOIN f USING (term) WHERE term <> 1 GROUP BY 2 UNION ALL SELECT 'adjoint', idx, sum(v * r - vi * i), sum(v * i + vi * r) FROM w JOIN g USING (term) GROUP BY 2)
+    SELECT part, idx, {rs({"re": "re", "im": "im"}, 7)} FROM o""")
+def mat8_terms_apply(spark, sf_dir):
+    """A perturbation of three terms applied whole, without term 1, and as its adjoint."""
+    t, x = Scratch(spark, "terms").table(three_terms(spark, sf_dir), "t"), P.complex_test_vector(ids(spark, sf_dir))
+    each = [("all", "none", None), ("some", "none", [0, 2]), ("adjoint", "adjoint", None)]
+    return rounded(reduce(DataFrame.unionByName, (M.apply_terms(t, x, mode, kept).select(F.lit(n).alias("part"), "idx", "re", "im") for n, mode, kept in each)), 7)
+
+
+@query(f"""WITH {TERMS3}, m AS (SELECT l.idx AS i, w.idx AS j, sum((0.5 + l.term) * (u * v + ui * vi) + 0.25 * l.term * (ui * v - u * vi)) AS re, sum((0.5 + l.term) * (ui * v - u * vi) - 0.25 * l.term * (u * v + ui * vi)) AS im FROM l JOIN w ON w.term = l.term WHERE l.term <> 1 GROUP BY 1, 2)
+    SELECT i, {rs({"re": "sum(re * cos(0.29 * j))", "im": "sum(im * cos(0.29 * j))"}, 7)}, count(*) AS n FROM m GROUP BY 1""")
+def mat8_terms_matrix(spark, sf_dir):
+    """The terms 0 and 2 as a matrix, its entries of a row weighed by column."""
+    m = M.terms_matrix(Scratch(spark, "terms").table(three_terms(spark, sf_dir), "t"), [0, 2])
+    weight = F.cos(0.29 * F.col("j"))
+    return rounded(m.groupBy("i").agg(F.sum(F.col("re") * weight).alias("re"), F.sum(F.col("im") * weight).alias("im"), F.count("*").alias("n")), 7)
+
+
 def _draws(t, n, seed):
     return f"(SELECT CAST(s AS INTEGER) AS vec, id AS idx, {gauss(seed, 's', 'id')} AS re, 0.0 AS im FROM {t}, (SELECT unnest(range({n})) AS s))"
 
@@ -413,8 +446,10 @@ def joi7_offset_matrix(spark, sf_dir):
     grid, step = P.regular_grid(spark, n, 2), F.lit(float(n))
     own = spark.range((n + 1) ** 2).select(F.expr(f"cast(id div {n + 1} as int)").alias("d0"), F.expr(f"cast(id % {n + 1} as int)").alias("d1"), F.lit(0).alias("d2"))
     values = own.withColumn("re", K.grid_kernel(F.sqrt((F.col("d0") / step) ** 2 + (F.col("d1") / step) ** 2), F.lit(1), 2)).withColumn("im", F.lit(0.0))
-    a = with_values(spark, sf_dir, M.offset_matrix(n, 2, grid, values), "j")
-    return rounded(a.groupBy("i").agg(F.sum(F.col("re") * F.col("value")).alias("total"), F.count("*").alias("n")), 7)
+    own = points(spark, sf_dir).select("id", "x")
+    x = grid.select("id").join(own, "id", "left").select(F.lit(0).alias("vec"), F.col("id").alias("idx"), F.coalesce("x", F.lit(0.0)).alias("re"), F.lit(0.0).alias("im"))
+    y = M.apply_offsets(n, 2, grid, values, x)
+    return rounded(y.select(F.col("idx").alias("i"), F.col("re").alias("total"), F.lit((n + 1) ** 2).cast("long").alias("n")), 7)
 
 
 # --- estimates ---
@@ -510,18 +545,66 @@ def itr2_gmres(spark, sf_dir):
     a = Scratch(spark, "shifted").table(_shifted(spark, sf_dir), "a")
     x = P.test_vector(hundred(spark, sf_dir))
     found, history = S.gmres(lambda v: M.apply_matrix(a, v), M.apply_matrix(a, x), tolerance=1e-10)
+    history = history[0]
     falls = all(b <= a * (1 + 1e-9) for a, b in zip(history, history[1:]))
     return rounded(found.select("vec", "idx", "re", "im", F.lit(history[-1] <= 1e-10).alias("solved"), F.lit(falls).alias("falls")), 6)
 
 
+def coupled(spark, sf_dir):
+    """A matrix over all ordered parts: parts of an order are coupled, the more the greater the quantity; the diagonal outweighs a row and grows with the id's remainder by 8."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("i"), F.col("l_quantity").alias("q"))
+    pairs = li.join(li.select("l_orderkey", F.col("i").alias("j")), "l_orderkey").where("i <> j").groupBy("i", "j").agg((-F.sum("q") / 50).alias("re"))
+    own = li.select("i").distinct().join(pairs.groupBy("i").agg(F.sum("re").alias("s")), "i", "left")
+    diagonal = own.select("i", F.col("i").alias("j"), (1 - F.coalesce("s", F.lit(0.0)) + (F.col("i") % 8) * (F.col("i") % 8)).alias("re"))
+    return pairs.unionByName(diagonal).withColumn("im", F.lit(0.0))
+
+
+def ordered_parts(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
+
+
+def part_boxes(spark, sf_dir):
+    """Boxes of 32 parts."""
+    return ordered_parts(spark, sf_dir).select(F.expr("id div 32").alias("key"), F.col("id").alias("idx"))
+
+
+KNOWN3 = "SELECT CAST(k AS BIGINT) AS vec, id AS idx, CAST((7 * id + 3 * k) % 11 - 5 AS DOUBLE) AS re, 0.0 AS im, {0} FROM (SELECT DISTINCT l_partkey AS id FROM lineitem), range(3) AS t(k){1}"
+
+
+@query(KNOWN3.format("curve, true AS solved, true AS shorter", ", (SELECT unnest(['no_prec', 'prec']) AS curve)"))
+def itr2_preconditioned(spark, sf_dir):
+    """Three right-hand sides at once on all parts, without and with the stored inverses of blocks of 32; each takes fewer steps with them."""
+    scratch = Scratch(spark, "coupled")
+    a = M.StoredMatrix(coupled(spark, sf_dir))
+    factors = scratch.table(S.block_factors(a.entries("i").drop("part"), part_boxes(spark, sf_dir)), "factors")
+    known = ((7 * F.col("id") + 3 * F.col("vec")) % 11 - 5).cast("double")
+    x = ordered_parts(spark, sf_dir).withColumn("vec", F.explode(F.array(*map(F.lit, range(3))))).select("vec", F.col("id").alias("idx"), known.alias("re"), F.lit(0.0).alias("im"))
+    b = scratch.table(M.apply_matrix(a, x), "b")
+    plain = S.gmres(lambda v: M.apply_matrix(a, v), b, tolerance=1e-6)
+    quick = S.gmres(lambda v: M.apply_matrix(a, v), b, lambda v: S.apply_inverse(factors, v), tolerance=1e-6)
+    told = [(v, n, h[v][-1] <= 1e-6, len(quick[1][v]) < len(plain[1][v])) for n, (_, h) in (("no_prec", plain), ("prec", quick)) for v in h]
+    told = F.broadcast(spark.createDataFrame(told, "vec long, curve string, solved boolean, shorter boolean"))  # six rows
+    both = plain[0].withColumn("curve", F.lit("no_prec")).unionByName(quick[0].withColumn("curve", F.lit("prec")))
+    return rounded(both.join(told, ["vec", "curve"]).select("vec", "idx", "re", "im", "curve", "solved", "shorter"), 3)
+
+
+@query(f"""SELECT id // 32 AS key, count(*) AS n, {rs({"err_block": "1 / 64", "err_inverse": "1 / 65"})} FROM (SELECT DISTINCT l_partkey AS id FROM lineitem) GROUP BY 1""")
+def mat13_block_errors(spark, sf_dir):
+    """The blocks of a matrix that is 65/64 of the exact one, against the exact ones."""
+    scratch = Scratch(spark, "blocks")
+    a, boxes = scratch.table(coupled(spark, sf_dir), "a"), part_boxes(spark, sf_dir)
+    factors = scratch.table(S.block_factors(a.withColumn("re", F.col("re") * 65 / 64), boxes), "factors")
+    return rounded(S.block_errors(a, boxes, factors))
+
+
 @query("SELECT CAST(k AS INTEGER) AS step, true AS told FROM range(1, 6) AS t(k)")
 def udf3_residual_callback(spark, sf_dir):
     """Each of five steps tells its residual to a callback, which collects what the history has."""
     told = []
     a = Scratch(spark, "shifted").table(_shifted(spark, sf_dir), "a")
     b = M.apply_matrix(a, P.complex_test_vector(hundred(spark, sf_dir)))
-    _, history = S.gmres(lambda v: M.apply_matrix(a, v), b, tolerance=0.0, most=5, callback=lambda k, r: told.append((k, r)))
-    return spark.createDataFrame([(k, r == h) for (k, r), h in zip(told, history, strict=True)], "step int, told boolean")
+    _, history = S.gmres(lambda v: M.apply_matrix(a, v), b, tolerance=0.0, most=5, callback=lambda vec, k, r: told.append((k, r)))
+    return spark.createDataFrame([(k, r == h) for (k, r), h in zip(told, history[0], strict=True)], "step int, told boolean")
 
 
 @query("SELECT 0::BIGINT AS vec, id AS idx, " + r("sin(0.29 * (id + 1)) + 0.25 * cos(0.11 * (id + 1))", "re", 6) + ", 0.0 AS im FROM (SELECT DISTINCT l_partkey % 100 AS id FROM lineitem)")

@@ -278,10 +278,10 @@ CUT = "q AS (SELECT quantile_cont(value, 0.02) AS lo, quantile_cont(value, 0.98)
 @query(f"""WITH {CUT} SELECT event_id, {rs({"linear": "(v - lo) / (hi - lo)", "root": "power((v - lo) / (hi - lo), 0.5)", "log": "ln(greatest(v, greatest(lo, greatest(1e-12 * hi, 1e-300))) / greatest(lo, greatest(1e-12 * hi, 1e-300))) / ln(hi / greatest(lo, greatest(1e-12 * hi, 1e-300)))"}, 7)} FROM s""")
 def agg17_contrast(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "value")
-    out = e.select("event_id")
+    limits = Scratch(spark, "contrast").table(T.contrast_range(e, "value"), "limits")
     for name, how in (("linear", "linear"), ("root", "power"), ("log", "log")):
-        out = out.join(T.contrast(e, "value", how=how).select("event_id", F.col("scaled").alias(name)), "event_id")
-    return rounded(out, 7)
+        e = T.contrast(e, "value", how=how, limits=limits).withColumnRenamed("scaled", name)
+    return rounded(e.drop("value"), 7)
 
 
 @query(f"""SELECT {rs({"low": "min(value)", "high": "max(value)"}, 6)} FROM events WHERE isfinite(value)""")
@@ -382,32 +382,34 @@ NEAR = "near AS (SELECT a.level, a.key, b.key AS other FROM c a JOIN c b ON b.le
 
 
 def boxes(spark, sf_dir):
-    b = Scratch(spark, "boxes").table(B.point_boxes(points(spark, sf_dir), DEPTH), "b")
-    return b, B.box_counts(b)
+    scratch = Scratch(spark, "boxes")
+    fine = scratch.table(B.finest_boxes(points(spark, sf_dir), DEPTH), "fine")
+    return fine, scratch.table(B.box_counts(fine, DEPTH), "counts")
+
+
+def leaves(spark, sf_dir):
+    fine, counts = boxes(spark, sf_dir)
+    return B.leaves(fine, B.leaf_boxes(counts, 20, DEPTH), DEPTH)
 
 
 @query(f"""WITH {BOX} SELECT id, CAST(level AS INTEGER) AS level, CAST(key AS BIGINT) AS key FROM leaf""")
 def itr3_octree_leaves(spark, sf_dir):
-    b, c = boxes(spark, sf_dir)
-    return B.leaves(b, c, 20, DEPTH)
+    return leaves(spark, sf_dir)
 
 
 @query(f"""WITH {BOX} SELECT count(*) AS n_leaves, CAST(max(level) AS INTEGER) AS max_level, max(n) AS max_points FROM (SELECT level, key, count(*) AS n FROM leaf GROUP BY ALL)""")
 def itr3_leaf_summary(spark, sf_dir):
-    b, c = boxes(spark, sf_dir)
-    return B.leaf_summary(B.leaves(b, c, 20, DEPTH))
+    return B.leaf_summary(B.leaf_boxes(boxes(spark, sf_dir)[1], 20, DEPTH))
 
 
 @query(f"""WITH {BOX} SELECT CAST(level AS INTEGER) AS level, CAST(key AS BIGINT) AS key, {r("sum(power(" + TV.format(o=0) + ", 2))", "energy", 8)} FROM leaf GROUP BY ALL""")
 def joi3_leaf_energy(spark, sf_dir):
-    b, c = boxes(spark, sf_dir)
-    return rounded(B.leaf_energy(B.leaves(b, c, 20, DEPTH), P.test_vector(ids(spark, sf_dir))), 8)
+    return rounded(B.leaf_energy(leaves(spark, sf_dir), P.test_vector(ids(spark, sf_dir))), 8)
 
 
 @query(f"""WITH {BOX} SELECT CAST(level AS INTEGER) AS level, CAST(key AS BIGINT) AS key, {r("sum(power(" + TV.format(o=0) + ", 2))", "energy", 8)} FROM leaf GROUP BY ALL ORDER BY sum(power({TV.format(o=0)}, 2)) DESC, key LIMIT 5""")
 def srt2_top_leaves(spark, sf_dir):
-    b, c = boxes(spark, sf_dir)
-    return rounded(B.leaf_energy(B.leaves(b, c, 20, DEPTH), P.test_vector(ids(spark, sf_dir))).orderBy(F.desc("energy"), "key").limit(5), 8)
+    return rounded(B.leaf_energy(leaves(spark, sf_dir), P.test_vector(ids(spark, sf_dir))).orderBy(F.desc("energy"), "key").limit(5), 8)
 
 
 @query(f"""WITH {BOX}, {NEAR} SELECT CAST(level AS INTEGER) AS level, CAST(key AS BIGINT) AS key, CAST(other AS BIGINT) AS other FROM near""")

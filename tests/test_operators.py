@@ -20,6 +20,7 @@ from latticework.operators import matrix as M
 from latticework.operators import mesh as G
 from latticework.operators import report as T
 from latticework.operators import solve as S
+from latticework.operators.quantiles import quantiles
 from latticework.operators.right_hand_sides import right_hand_side
 from latticework.sources import points as P
 from latticework.sources import results as D
@@ -86,10 +87,19 @@ def test_adjoint_defect_is_small_and_estimates_hold(spark, small):
     assert E.power_iteration(m, vector(spark, np.zeros(12)), 3).first().lam == 0
 
 
+def vectors(spark, columns):
+    return spark.createDataFrame([(k, i, float(x.real), float(x.imag)) for k, v in enumerate(columns) for i, x in enumerate(np.asarray(v, complex))], "vec int, idx long, re double, im double")
+
+
+def as_arrays(df, n, count):
+    return [as_array(df.where(F.col("vec") == k), n) for k in range(count)]
+
+
 def test_gmres_and_blocks(spark, small):
     a, x = small
     m, b, steps = matrix(spark, a), vector(spark, a @ x), []
-    got, history = S.gmres(lambda v: M.apply_matrix(m, v), b, tolerance=1e-9, restart=6, most=24, callback=lambda k, r: steps.append(r))
+    got, history = S.gmres(lambda v: M.apply_matrix(m, v), b, tolerance=1e-9, restart=6, most=24, callback=lambda v, k, r: steps.append(r))
+    history = history[0]
     assert steps == history and history[-1] < history[0] and len(history) <= 24
     residual = np.linalg.norm(a @ x - a @ as_array(got, 12)) / np.linalg.norm(a @ x)
     assert abs(residual - history[-1]) < 1e-6
@@ -100,6 +110,185 @@ def test_gmres_and_blocks(spark, small):
         assert np.allclose(a[own, own] @ y[own], (a @ x)[own])
     with pytest.raises(PySparkException):
         S.block_solve(matrix(spark, np.zeros((12, 12))), boxes, b).collect()
+    for fail in (S.block_factors, lambda *args, **kw: S.block_solve(*args, b, **kw)):
+        with pytest.raises(ValueError):
+            fail(m, boxes, most=3)
+
+
+def test_gmres_of_several_right_hand_sides(spark):
+    a = np.diag([2.0, 4.0])
+    got, history = S.gmres(lambda v: M.apply_matrix(matrix(spark, a), v), vectors(spark, [[2, 4], [6, 8], [0, 0], [0, 4]]))
+    for y, want in zip(as_arrays(got, 2, 4), ([1, 1], [3, 2], [0, 0], [0, 1]), strict=True):
+        assert np.allclose(y, want)
+    assert [len(history[v]) for v in range(4)] == [2, 2, 0, 1]
+    with pytest.raises(ValueError):
+        S.gmres(lambda v: v, vectors(spark, [[1, 2], [3, 4]]), most_vectors=1)
+    with pytest.raises(ValueError):
+        S.gmres(lambda v: v, vectors(spark, [[1, 2]]).withColumn("vec", F.lit(None).cast("int")))
+    none, empty = S.gmres(lambda v: v, vectors(spark, []))
+    assert none.count() == 0 and empty == {}
+
+
+def test_preconditioned_histories(spark):
+    g = np.random.default_rng(6)
+    a = np.diag(np.repeat([1.0, 40.0, 900.0], 8) * g.uniform(1, 2, 24)) + 0.05 * (g.normal(size=(24, 24)) + 1j * g.normal(size=(24, 24)))
+    for k in range(3):
+        a[8 * k : 8 * k + 8, 8 * k : 8 * k + 8] += 0.3 * g.normal(size=(8, 8))
+    xs = [g.normal(size=24) + 1j * g.normal(size=24) for _ in range(3)]
+    m, b = M.StoredMatrix(matrix(spark, a)), vectors(spark, [a @ x for x in xs])
+    boxes = spark.createDataFrame([(i // 8, i) for i in range(24)], "key int, idx long")
+    factors = S.block_factors(matrix(spark, a), boxes).cache()
+    apply = lambda v: M.apply_matrix(m, v)
+    plain, no_prec = S.gmres(apply, b, tolerance=1e-9, restart=10)
+    quick, prec = S.gmres(apply, b, lambda v: S.apply_inverse(factors, v), tolerance=1e-9, restart=10)
+    for k, x in enumerate(xs):
+        assert len(prec[k]) < len(no_prec[k]) and max(prec[k][-1], no_prec[k][-1]) <= 1e-9
+        assert np.allclose(as_arrays(quick, 24, 3)[k], x, atol=1e-6)
+        assert np.allclose(as_arrays(plain, 24, 3)[k], x, atol=1e-5)
+    m.drop()
+    other = a + 0.01 * g.normal(size=a.shape)
+    got = {r.key: r for r in S.block_errors(matrix(spark, other), boxes, factors).collect()}
+    for k in range(3):
+        e, f = other[8 * k : 8 * k + 8, 8 * k : 8 * k + 8], a[8 * k : 8 * k + 8, 8 * k : 8 * k + 8]
+        assert got[k].n == 8 and np.isclose(got[k].err_block, np.linalg.norm(e - f, 2) / np.linalg.norm(e, 2))
+        assert np.isclose(got[k].err_inverse, np.linalg.norm(np.linalg.inv(f) @ e - np.eye(8), 2))
+
+
+def plan_of(df):
+    """The plan as it ran."""
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def above_scans(plan):
+    """For each scan of a stored matrix, the nodes from the scan to the first join above it, by indentation."""
+    lines = [(len(x) - len(x.lstrip(" :+-*()0123456789")), x) for x in plan.split("\n")]
+    for at, (deep, text) in enumerate(lines):
+        if "FileScan" in text and "matrix_" in text:
+            for up, line in reversed(lines[:at]):
+                if up < deep:
+                    deep = up
+                    yield line
+                    if "Join" in line:
+                        break
+
+
+def test_products_do_not_shuffle_the_stored_matrix(spark, small):
+    a, x = small
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        m = M.StoredMatrix(matrix(spark, a), heavy_rows=5)
+        assert m.heavy["i"].count() == 12 and m.entries("i").select("part").distinct().count() > 1  # every index is split
+        for mode, want in {"none": a @ x, "transpose": a.T @ x, "conj": a.conj() @ x, "adjoint": a.conj().T @ x}.items():
+            y = M.apply_matrix(m, vector(spark, x), mode)
+            path = list(above_scans(plan_of(y)))
+            assert any("Join" in p for p in path) and not any("Exchange" in p for p in path)
+            assert np.allclose(as_array(y, 12), want)
+        lam = E.power_iteration(m, vector(spark, x), 3).orderBy("step").collect()
+        v = x / np.linalg.norm(x)
+        for r in lam:
+            z = a.conj().T @ (a @ v)
+            assert np.isclose(r.lam, abs(v.conj() @ z))
+            v = z / np.linalg.norm(z)
+        assert np.isclose(E.power_iteration(m, vector(spark, x), 1, normal=False).first().lam, abs(x.conj() @ a @ x) / np.linalg.norm(x) ** 2)
+        m.drop()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    with pytest.raises(ValueError):
+        E.power_iteration(matrix(spark, a), vectors(spark, [x, x]), 2)
+
+
+def test_product_with_a_heavy_inner_index(spark):
+    g = np.random.default_rng(8)
+    a, b = (g.random((40, 30)) < 0.1) * g.normal(size=(40, 30)), (g.random((30, 50)) < 0.1) * g.normal(size=(30, 50))
+    a[:, 7], b[7] = g.normal(size=40), g.normal(size=50)  # one inner index has a third of the entries
+    kept = lambda m: matrix(spark, m).where("re <> 0")
+    for rows in (10, 1 << 16):
+        out = M.matrix_product(kept(a), kept(b), heavy_rows=rows)
+        got = np.zeros((40, 50), complex)
+        for r in out.collect():
+            got[r.i, r.j] = r.re + 1j * r.im
+        assert np.allclose(got, a @ b)
+    tiles = M.heavy_parts(kept(a).groupBy("j").count().withColumnRenamed("count", "n"), "j", 10)
+    assert tiles.where("j = 7").first().parts >= 4
+
+
+def test_offsets_by_tiles(spark):
+    n = 6
+    grid = P.regular_grid(spark, n, 2)
+    g = np.random.default_rng(2)
+    table, x = g.normal(size=(n + 1, n + 1)), g.normal(size=(n + 1) ** 2)
+    values = spark.createDataFrame([(p, q, 0, float(table[p, q]), 0.5) for p in range(n + 1) for q in range(n + 1)], "d0 int, d1 int, d2 int, re double, im double")
+    want = np.array([[table[abs(i // 7 - j // 7), abs(i % 7 - j % 7)] + 0.5j for j in range(49)] for i in range(49)])
+    for most in (1 << 18, 10):
+        y = M.apply_offsets(n, 2, grid, values, vector(spark, x), most)
+        assert np.allclose(as_array(y, 49), want @ x)
+        assert "Cartesian" not in plan_of(y) and "NestedLoop" not in plan_of(y)
+    m = M.offset_matrix(n, 2, grid, values)
+    assert all(np.isclose(r.re + 1j * r.im, want[r.i, r.j]) for r in m.collect()) and m.count() == 49**2
+    for bad in (values.limit(5), values.unionByName(values.limit(1)).limit(49).withColumn("d0", F.lit(0))):
+        with pytest.raises(ValueError):
+            M.apply_offsets(n, 2, grid, bad, vector(spark, x))
+
+
+def test_perturbation_of_terms(spark, small):
+    a, x = small
+    u, v, alpha = a[:3] * (np.arange(12) % 3 == np.arange(3)[:, None]), a[3:6], [1 + 2j, -0.5, 0.3j]
+    as_terms = lambda m: spark.createDataFrame([(t, i, float(z.real), float(z.imag)) for t, row in enumerate(m) for i, z in enumerate(row) if z], "term int, idx long, re double, im double")
+    terms = M.perturbation_terms(as_terms(u), as_terms(v), spark.createDataFrame([(t, complex(c).real, complex(c).imag) for t, c in enumerate(alpha)], "term int, re double, im double"))
+    for kept in (None, [0, 2], []):
+        dense = sum((alpha[t] * np.outer(u[t], v[t].conj()) for t in range(3) if kept is None or t in kept), np.zeros((12, 12), complex))
+        got = np.zeros((12, 12), complex)
+        for r in M.terms_matrix(terms, kept).collect():
+            got[r.i, r.j] = r.re + 1j * r.im
+        assert np.allclose(got, dense)
+        for mode, want in {"none": dense @ x, "transpose": dense.T @ x, "conj": dense.conj() @ x, "adjoint": dense.conj().T @ x}.items():
+            assert np.allclose(as_array(M.apply_terms(terms, vector(spark, x), mode, kept), 12), want)
+
+
+def plain_quantiles(v, shares):
+    return [float(np.quantile(v, p)) for p in shares]
+
+
+def test_quantiles_in_ranges(spark):
+    g = np.random.default_rng(5)
+    groups = {"even": g.normal(size=4000), "ties": np.repeat([3.0, 1.0, 2.0], [5000, 40, 60]), "few": np.array([5.0]), None: g.integers(0, 4, 900).astype(float), "wide": np.exp(g.normal(size=3000) * 9), "signs": np.array([-0.0, 0.0] * 700 + [1.0])}
+    rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("even", None), ("even", float("nan")), ("none", None)]
+    df, shares = spark.createDataFrame(rows, "k string, v double"), [0.0, 0.02, 0.25, 0.5, 0.75, 0.98, 1.0]
+    for most in (7, 300, 1 << 16):
+        got = {r.k: r.q for r in quantiles(df, ["k"], "v", shares, most).collect()}
+        assert got.keys() == groups.keys()
+        for k, v in groups.items():
+            assert np.allclose(got[k], plain_quantiles(v, shares), rtol=1e-12, atol=0), (k, most)
+    every = np.concatenate(list(groups.values()))
+    assert np.allclose(quantiles(df, [], "v", shares, 50).first().q, plain_quantiles(every, shares), rtol=1e-12)
+    assert quantiles(df.limit(0), [], "v", shares).count() == 0 and quantiles(df.limit(0), ["k"], "v", shares).count() == 0
+    box = {r.k: r for r in T.box_plot(df, ["k"], "v", most=100).collect()}
+    assert box["ties"].q1 == box["ties"].q3 == 3.0 and box["ties"].n_outliers == 100 and box[None].median == np.median(groups[None])
+    assert {r.k: r.median for r in T.level_summary(df, ["k"], "v", most=64).collect()}.keys() == groups.keys()
+    assert T.contrast(df.where("v is null"), "v").where("scaled is not null").count() == 0
+
+
+def test_leaves_by_range(spark):
+    g = np.random.default_rng(7)
+    x = np.concatenate([g.random((300, 3)), g.random((200, 3)) * 0.01, np.repeat([[0.3, 0.3, 0.3]], 150, 0)])
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, x double, y double, z double")
+    for depth, most in ((5, 20), (3, 5), (0, 5), (12, 1000), (20, 30)):
+        fine = B.finest_boxes(points, depth).cache()
+        counts = B.box_counts(fine, depth)
+        got = {r.id: (r.level, r.key) for r in B.leaves(fine, B.leaf_boxes(counts, most, depth), depth).collect()}
+        low, side = x.min(0), (x.max(0) - x.min(0)).max()
+        want = {}
+        for level in range(depth + 1):
+            cell = np.minimum(np.floor((x - low) / side * 2**depth).astype(np.int64), 2**depth - 1) >> (depth - level)
+            _, inverse, n = np.unique(cell, axis=0, return_inverse=True, return_counts=True)
+            for i in range(len(x)):
+                if i not in want and (n[inverse.ravel()[i]] <= most or level == depth):
+                    want[i] = (level, sum(int(cell[i, a]) >> b & 1 << 0 and 1 << (3 * b + a) for a in range(3) for b in range(level)))
+        assert got == want
+    assert B.leaves(B.finest_boxes(points.limit(0), 3), B.leaf_boxes(B.box_counts(B.finest_boxes(points.limit(0), 3), 3), 5, 3), 3).count() == 0
+    with pytest.raises(ValueError):
+        B.finest_boxes(points, 21)
 
 
 def test_kernel_operator_is_symmetric(spark):
@@ -192,7 +381,7 @@ def test_sample_store(spark):
 
 
 def test_colours_match_the_sweep(spark):
-    boxes = B.box_counts(B.point_boxes(Q.points(spark, SF), 2)).where("level = 2")
+    boxes = B.box_counts(B.finest_boxes(Q.points(spark, SF), 2), 2).where("level = 2")
     near = B.neighbours(boxes)
     got = {r.key: r.colour for r in B.colours(boxes.select("level", "key"), near).collect()}
     reach = {k: {k} for k in got}
