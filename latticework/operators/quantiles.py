@@ -67,12 +67,12 @@ def ranked(rows: DataFrame, wanted: DataFrame, scratch: Scratch, first_cuts: lis
 def quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], most: int = MOST) -> DataFrame:
     """keys and q, an array: the quantiles of value at the given shares, interpolated between neighbours, by keys.
 
-    Nulls and NaN take no part; keys without other values are left out, and null keys are a group of their own. Without
+    Nulls and NaN take no part, and -0 counts as 0; keys without other values are left out, and null keys are a group of their own. Without
     keys one row comes back, or none for no values. df is read two or three times.
     """
     scratch = Scratch(df.sparkSession, "quantiles")
     group = F.struct(*keys) if keys else F.struct(F.lit(0).alias("k"))
-    rows = df.select(group.alias("g"), F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    rows = df.select(group.alias("g"), (F.col(value).cast("double") + F.lit(0.0)).alias("v")).where("v is not null and not isnan(v)")
     sizes = scratch.table(rows.groupBy("g").agg(F.count("*").alias("n")), "sizes")
     asked = sizes.select("g", "n", F.posexplode(F.array(*map(F.lit, shares))).alias("k", "share")).withColumn("place", F.col("share") * (F.col("n") - 1))
     asked = asked.select("g", "n", "k", F.floor("place").alias("low"), F.ceil("place").alias("high"), (F.col("place") - F.floor("place")).alias("part"))
