@@ -141,8 +141,11 @@ class Cells:
     def assign(self, x: np.ndarray) -> np.ndarray:
         return ((self.centres**2).sum(1) - 2 * x @ self.centres.T).argmin(1)
 
-    def visited(self, q: np.ndarray) -> np.ndarray:
-        return np.argsort(-(q @ self.centres.T), 1, kind="stable")[:, : self.probes]
+    def visited(self, q: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
+        """The cells each query visits: `probes` of them, and more until they hold `least` rows, if all do; sizes: rows of each cell."""
+        order = np.argsort(-(q @ self.centres.T), 1, kind="stable")
+        enough = 1 + (np.cumsum(sizes[order], 1) < least).sum(1)
+        return [o[: max(self.probes, n)] for o, n in zip(order, enough, strict=True)]
 
 
 def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", rerank: int = 10, most_trained: int = 8192,
@@ -150,13 +153,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every` the k others of largest inner product.
 
     The quantizer and the cells learn from at most most_trained vectors, the first by hash of the id; every row is
-    indexed. Each query visits as many cells as hold 0.99 of the sample's own nearest. In a block of a cell byte tables
+    indexed. Each query visits as many cells as hold 0.99 of the sample's own nearest, and k others. In a block of a cell byte tables
     give approximate products, the best rerank * k get their exact product, and the block's k best go on. Vectors that
     are equal are one vector until the end; of those only the k + 1 smallest ids can be among anyone's k nearest. Ties
     go to the smaller id. Vectors that are null, all zero, not finite or of another length than most take no part, nor
     do rows without id. A repeated id is a query once for each of its different vectors, whose answers then share its
-    query_id, and may be an answer of others again for each. Where the visited cells have fewer than k others, fewer
-    come back, but all of them do where there is one cell. An empty table gives an empty table; other columns are ignored.
+    query_id, and may be an answer of others again for each. A query goes on to further cells until those it visits have
+    k rows of other ids, so fewer than k come back only where there are fewer. An empty table gives an empty table; other columns are ignored.
     """
     spark = vectors.sparkSession
     ship(spark)
@@ -185,11 +188,16 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
     def visits(batches):
         for batch in batches:
             if batch.num_rows:
-                found = cells.visited(np.asarray(batch.column(1).flatten()).reshape(-1, wide)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(found), pa.list_(pa.int32()))], ["vec_id", "v", "cells"])
+                found = cells.visited(np.asarray(batch.column(1).flatten()).reshape(-1, wide), sizes, k + same)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f.astype(np.int32) for f in found], pa.list_(pa.int32()))], ["vec_id", "v", "cells"])
 
     indexed = scratch.table(few.mapInArrow(index, "vec_id long, v array<double>, cell int, code binary"), "index")
     scratch.drop("few")
+    # a query needs k rows beside those of its own id, of which there are `same` at most
+    sizes = np.zeros(len(cells.centres), np.int64)
+    for c, count in indexed.groupBy("cell").count().collect():  # MOST_CELLS rows
+        sizes[c] = count
+    same = indexed.groupBy("vec_id").count().agg(F.max("count")).first()[0] or 1
     asked = own.where(F.pmod("vec_id", F.lit(every)) == 0).mapInArrow(visits, "vec_id long, v array<double>, cells array<int>")
     queries = scratch.table(asked.select("vec_id", "v", F.explode("cells").alias("cell")), "queries")
     blocks = lambda df, most, name: df.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
@@ -208,7 +216,7 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
         order = np.argsort(row_ids, kind="stable")
         codes = np.frombuffer(b"".join(code.drop_null().to_pylist()), np.uint8).reshape(len(row_ids), -(-quantizer.parts // 2))[order]
         row_ids, row = row_ids[order], row[order]
-        most = min(len(row_ids), rerank * k)
+        most = min(len(row_ids), rerank * k + same)
         out = []
         for a in range(0, len(query_ids) if most else 0, 128):
             some, some_ids = query[a : a + 128], query_ids[a : a + 128]
