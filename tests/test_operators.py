@@ -380,6 +380,36 @@ def test_sample_store(spark):
         A.append_samples(P.gaussian_vectors(ids, 1).drop("im"), "y_test", folder, force_complex=False)
 
 
+def test_sample_store_after_a_crash(spark):
+    """A run that stops between two bases changes nothing; the next one makes all sides whole."""
+    folder, ids = tempfile.mkdtemp() + "/store", spark.range(10)
+    shapes = lambda: [A.sample_shape(spark, b, folder) for b in A.BASES]
+
+    def broken(x, mode):
+        if mode == "transpose":
+            raise RuntimeError("stopped")
+        return x
+
+    with pytest.raises(RuntimeError):
+        A.ensure_samples(ids, 3, folder, broken)
+    assert shapes() == [None] * 4
+    assert A.ensure_samples(ids, 3, folder, lambda x, mode: x) == 3 and shapes() == [(3, 10)] * 4
+    with pytest.raises(RuntimeError):
+        A.ensure_samples(ids, 5, folder, broken)
+    assert shapes() == [(3, 10)] * 4 and A.read_samples(spark, "y_test", folder).count() == 30
+    assert A.ensure_samples(ids, 5, folder, lambda x, mode: x) == 2 and shapes() == [(5, 10)] * 4
+    assert A.vacuum(spark, folder) == 4 and A.read_samples(spark, "z_sketch", folder).select("sample").distinct().count() == 5
+    # of two writers that start together the second gets an error, and can start again
+    one, two = A.Store(spark, folder), A.Store(spark, folder)
+    new = A._blocks(P.gaussian_vectors(ids, 1), "y_test", True)
+    one.commit({"y_test": one.stage(new, "y_test", True)})
+    with pytest.raises(ValueError):
+        two.commit({"y_test": two.stage(new, "y_test", True)})
+    assert A.sample_shape(spark, "y_test", folder) == (6, 10)
+    with pytest.raises(ValueError):
+        A.ensure_samples(ids, 9, folder, lambda x, mode: x)  # y_sketch has one less
+
+
 def test_colours_match_the_sweep(spark):
     boxes = B.box_counts(B.finest_boxes(Q.points(spark, SF), 2), 2).where("level = 2")
     near = B.neighbours(boxes)
