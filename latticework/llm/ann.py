@@ -20,6 +20,8 @@ CENTRES = 16
 CELL, MOST_CELLS = 2048, 256
 #: Rows of a block of a cell, and of a block of queries that meets it.
 BLOCK_ROWS, BLOCK_QUERIES = 8192, 4096
+#: Parts in which the answers of a query's blocks are merged before they meet.
+MERGED = 64
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -230,10 +232,13 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec
             best = np.lexsort((row_ids[top], -exact), axis=1)[:, :k]
             score = np.take_along_axis(exact, best, 1)
             keep = score > -np.inf
-            out.append((np.repeat(some_ids, keep.sum(1)), row_ids[np.take_along_axis(top, best, 1)][keep], score[keep]))
-        names = [(c, np.concatenate([o[i] for o in out]) if out else np.zeros(0, t)) for i, (c, t) in enumerate((("query_id", np.int64), ("vec_id", np.int64), ("score", float)))]
-        return pa.table(dict(names))
-
-    found = rows.select(*columns).unionByName(asks.select(*columns)).groupBy("cell", "r", "q").applyInArrow(search, "query_id long, vec_id long, score double")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+            out.append((some_ids, keep.sum(1), row_ids[np.take_along_axis(top, best, 1)][keep], score[keep]))
+        whole = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.int64, float))]
+        pairs = pa.StructArray.from_arrays([pa.array(0.0 - whole[3]), pa.array(whole[2])], ["minus", "vec_id"])
+        part = np.full(len(whole[0]), (key[0].as_py() * 31 + key[1].as_py()) % MERGED, np.int32)
+        return pa.table({"query_id": whole[0], "part": part, "best": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(whole[1])]).astype(np.int32)), pairs)})
+
+    found = rows.select(*columns).unionByName(asks.select(*columns)).groupBy("cell", "r", "q").applyInArrow(search, "query_id long, part int, best array<struct<minus: double, vec_id: long>>")
+    merged = lambda df, *keys: df.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))
+    each = merged(merged(found, "query_id", "part"), "query_id").select("query_id", F.posexplode("best").alias("place", "b"))
+    return each.select("query_id", (F.col("place") + 1).cast("int").alias("rank"), "b.vec_id", (F.lit(0.0) - F.col("b.minus")).alias("score"))
