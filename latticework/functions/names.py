@@ -24,3 +24,30 @@ def shortest(x: Column) -> Column:
 def folder(*parts: Column) -> Column:
     """Parts that are not null or empty, joined by underscores."""
     return F.concat_ws("_", F.filter(F.array(*parts), lambda p: p.isNotNull() & (p != "")))
+
+
+def _dimension(leveled: Column, first: Column, second: Column, plain: Column) -> Column:
+    """By levels a mesh width below 1 or a level of refinement and a depth; else plain."""
+    width, whole = F.concat(F.lit("mesh_width_"), two_digits(first)), lambda c: c.cast("long").cast("string")
+    levels = F.concat(F.lit("ref_level_"), whole(first), F.lit("_depth_"), whole(second))
+    return F.when(leveled, F.when(first < 1, width).otherwise(levels)).otherwise(plain)
+
+
+def sample_key(geometry: Column, operator: Column, precision: Column, leveled: Column, first: Column, second: Column) -> Column:
+    """Key of a run's samples, such as sphere_surface_name_precision_double_mesh_width_5.00e-2_kappa_1.50.
+
+    leveled: first is a mesh width below 1, or a refinement level, and second a depth. Otherwise first is a mesh width and
+    second kappa, which is left out if it is 0.
+    """
+    kappa = F.when(second != 0, F.format_string("_kappa_%.2f", second)).otherwise("")
+    plain = F.concat(F.lit("mesh_width_"), two_digits(first), kappa)
+    return folder(camel_to_snake(geometry), operator, F.concat(F.lit("precision_"), F.lower(precision)), _dimension(leveled, first, second, plain))
+
+
+def run_folder(geometry: Column, operator: Column, precision: Column, leveled: Column, first: Column, second: Column, tree_depth: Column, threads: Column, version: Column) -> Column:
+    """Folder of a run's results: results/<key>/<version>; the key has the tree's depth (od) and, unless leveled, kappa always, and ends with the threads."""
+    plain = F.concat(F.lit("mesh_width_"), two_digits(first))
+    depth = F.concat(_dimension(leveled, first, second, plain), F.lit("_od_"), tree_depth.cast("string"))
+    kappa = F.when(~leveled, F.format_string("%.2f", second))
+    key = folder(camel_to_snake(geometry), operator, F.concat(F.lit("precision_"), F.lower(precision)), depth, kappa, F.concat(F.lit("num_threads_"), threads.cast("string")))
+    return F.concat_ws("/", F.lit("results"), key, version)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from latticework.operators.matrix import StoredMatrix, apply_matrix, compared
+from latticework.operators.matrix import Operator, StoredMatrix, apply_matrix, compared, difference, transpose
 from latticework.session import Scratch
 
 FLOOR = 1e-14
@@ -37,6 +39,42 @@ def max_error(reference: DataFrame, other: DataFrame, inverse: bool = False) ->
     return sample_errors(reference, other, inverse).agg(F.max("err").alias("max_err"))
 
 
+def sided_errors(a, approximate, inverse, w: DataFrame) -> DataFrame:
+    """side, kind, max_err: the largest relative errors of an approximation of a and of an approximate inverse over samples w.
+
+    The left ones apply a B w to A w, relative to B w, and C A w to w; the right ones the transposes, B^T w to A^T w,
+    relative to that, and A^T C^T w to w. A zero reference counts 1 forward, and the plain norm for inverses. a,
+    approximate and inverse are matrices, stored ones too.
+    """
+    left, right = apply_matrix(a, w), apply_matrix(a, w, "transpose")
+    each = [
+        ("left", "forward", max_error(apply_matrix(approximate, w), left)),
+        ("right", "forward", max_error(right, apply_matrix(approximate, w, "transpose"))),
+        ("left", "inverse", max_error(w, apply_matrix(inverse, left), True)),
+        ("right", "inverse", max_error(w, apply_matrix(a, apply_matrix(inverse, w, "transpose"), "transpose"), True)),
+    ]
+    return reduce(DataFrame.unionByName, (df.select(F.lit(side).alias("side"), F.lit(kind).alias("kind"), "max_err") for side, kind, df in each))
+
+
+def route_consistency(op: Operator, ids: DataFrame, x: DataFrame) -> DataFrame:
+    """transpose_route, symmetry_defect, imaginary_share and adjoint_route of an operator: whether its ways of applying it agree.
+
+    The operator is assembled by its plain and by its transposed route, on a basis vector for each of ids, which is for
+    small ones; the relative Frobenius difference of the latter to the exact transpose is transpose_route. adjoint_route is
+    the largest relative difference of A* x to conj(A^T conj(x)) over the vectors of x. Denominators are 1e-14 at least.
+    """
+    basis = ids.select(F.col("id").alias("vec"), F.col("id").alias("idx"), F.lit(1.0).alias("re"), F.lit(0.0).alias("im"))
+    scratch = Scratch(ids.sparkSession, "routes")
+    plain, route = (scratch.table(op.apply(basis, mode).select(F.col("idx").alias("i"), F.col("vec").alias("j"), "re", "im"), mode) for mode in ("none", "transpose"))
+    size = lambda m, *c: m.agg(F.sqrt(F.sum(sum(F.col(n) ** 2 for n in c))).alias("n"))
+    ratio = lambda top, bottom, name: top.select(F.coalesce("n", F.lit(0.0)).alias("p")).crossJoin(bottom).select((F.col("p") / F.greatest(F.coalesce("n", F.lit(0.0)), F.lit(FLOOR))).alias(name))  # noqa: E731  one row each
+    whole = size(plain, "re", "im")
+    flip = lambda v: v.withColumn("im", -F.col("im"))
+    adjoint = max_error(op.apply(x, "adjoint"), flip(op.apply(flip(x), "transpose"))).select(F.coalesce("max_err", F.lit(0.0)).alias("adjoint_route"))
+    out = ratio(size(difference(route, transpose(plain)), "re", "im"), whole, "transpose_route")
+    return out.crossJoin(ratio(size(difference(plain, transpose(plain)), "re", "im"), whole, "symmetry_defect")).crossJoin(ratio(size(plain, "im"), whole, "imaginary_share")).crossJoin(adjoint)
+
+
 def dots(x: DataFrame, y: DataFrame) -> DataFrame:
     """vec, re, im of <x, y>, the left one conjugated."""
     both = x.alias("x").join(y.alias("y"), ["vec", "idx"])

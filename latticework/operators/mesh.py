@@ -81,6 +81,8 @@ def mesh_components(elements: DataFrame, least: int = 50) -> DataFrame:
         jump = lower.select(F.col("eid").alias("component"), F.col("component").alias("next"))
         label = scratch.table(lower.join(jump, "component").select("eid", F.col("next").alias("component")), f"label-{step}")
         now = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
+        if step:
+            scratch.drop(f"label-{step - 1}")
         if now == before:
             break
         before, step = now, step + 1

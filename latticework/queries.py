@@ -452,6 +452,27 @@ def joi7_offset_matrix(spark, sf_dir):
     return rounded(y.select(F.col("idx").alias("i"), F.col("re").alias("total"), F.lit((n + 1) ** 2).cast("long").alias("n")), 7)
 
 
+def coupled(spark, sf_dir):
+    """A matrix over all ordered parts: parts of an order are coupled, the more the greater the quantity; the diagonal outweighs a row and grows with the id's remainder by 8."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("i"), F.col("l_quantity").alias("q"))
+    pairs = li.join(li.select("l_orderkey", F.col("i").alias("j")), "l_orderkey").where("i <> j").groupBy("i", "j").agg((-F.sum("q") / 50).alias("re"))
+    own = li.select("i").distinct().join(pairs.groupBy("i").agg(F.sum("re").alias("s")), "i", "left")
+    diagonal = own.select("i", F.col("i").alias("j"), (1 - F.coalesce("s", F.lit(0.0)) + (F.col("i") % 8) * (F.col("i") % 8)).alias("re"))
+    return pairs.unionByName(diagonal).withColumn("im", F.lit(0.0))
+
+
+def ordered_parts(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
+
+
+def part_boxes(spark, sf_dir):
+    """Boxes of 32 parts."""
+    return ordered_parts(spark, sf_dir).select(F.expr("id div 32").alias("key"), F.col("id").alias("idx"))
+
+
+COUPLED = "li AS (SELECT l_orderkey AS o, l_partkey AS i, l_quantity AS q FROM lineitem), pr AS (SELECT x.i, y.i AS j, -sum(x.q) / 50 AS v FROM li x JOIN li y USING (o) WHERE x.i <> y.i GROUP BY 1, 2), dg AS (SELECT n.i, 1 - coalesce(s, 0) + (n.i % 8) * (n.i % 8) AS v FROM (SELECT DISTINCT i FROM li) n LEFT JOIN (SELECT i, sum(v) AS s FROM pr GROUP BY 1) t ON t.i = n.i), a AS (SELECT i, j, v FROM pr UNION ALL SELECT i, i, v FROM dg)"
+
+
 # --- estimates ---
 
 IMG = "w AS (SELECT CAST(s AS INTEGER) AS vec, id AS idx, {g} AS re FROM h, (SELECT unnest(range(5)) AS s)), m AS (SELECT vec, i AS idx, sum(a.re * w.re) AS re, sum(a.im * w.re) AS im FROM a JOIN w ON w.idx = a.j GROUP BY 1, 2)".format(g=gauss(42, "s", "id"))
@@ -510,6 +531,34 @@ def agg23_route_consistency(spark, sf_dir):
     return rounded(T.transpose_checks(M.summed(square(spark, sf_dir))))
 
 
+@query(f"""WITH {COUPLED}, w AS (SELECT s, i, {gauss(42, "s", "i")} AS x FROM dg, range(3) AS t(s)), l AS (SELECT s, a.i, sum(v * x) AS y FROM a JOIN w ON w.i = a.j GROUP BY 1, 2), t AS (SELECT s, a.j AS i, sum(a.v * x / dg.v) AS y FROM a JOIN w ON w.i = a.i JOIN dg ON dg.i = a.i GROUP BY 1, 2),
+    e AS (SELECT s, sqrt(sum(power(y / v - x, 2))) / sqrt(sum(x * x)) AS e FROM w JOIN l USING (s, i) JOIN dg USING (i) GROUP BY 1), f AS (SELECT s, sqrt(sum(power(y - x, 2))) / sqrt(sum(x * x)) AS e FROM w JOIN t USING (s, i) GROUP BY 1)
+    SELECT side, kind, {r("e", "max_err", 7)} FROM (SELECT 'left' AS side, 'forward' AS kind, 1.0 / 65 AS e UNION ALL SELECT 'right', 'forward', 1.0 / 64 UNION ALL SELECT 'left', 'inverse', (SELECT max(e) FROM e) UNION ALL SELECT 'right', 'inverse', (SELECT max(e) FROM f))""")
+def agg8_sided_errors(spark, sf_dir):
+    """A matrix over all ordered parts, 65/64 of it as an approximation, and its diagonal's inverse as one of its inverse."""
+    a = Scratch(spark, "coupled").table(coupled(spark, sf_dir), "a")
+    diagonal = a.where("i = j").withColumn("re", 1 / F.col("re"))
+    w = samples(ordered_parts(spark, sf_dir), 3)
+    return rounded(E.sided_errors(a, a.withColumn("re", F.col("re") * 65 / 64), diagonal, w), 7)
+
+
+class OneWay(M.Operator):
+    """A matrix that takes itself for symmetric, though it isn't."""
+
+    def mv_trans(self, x):
+        return self.mv(x)
+
+
+@query(f"""WITH {SQM}, d AS (SELECT sqrt(sum(power(re - tre, 2) + power(im - tim, 2))) AS g FROM (SELECT coalesce(a.re, 0) AS re, coalesce(a.im, 0) AS im, coalesce(b.re, 0) AS tre, coalesce(b.im, 0) AS tim FROM a FULL JOIN a b ON a.i = b.j AND a.j = b.i)), n AS (SELECT greatest(sqrt(sum(re * re + im * im)), 1e-14) AS n, sqrt(sum(im * im)) AS m FROM a)
+    SELECT op, CASE op WHEN 'matrix' THEN 0.0 ELSE {"round(g / n, 9)"} END AS transpose_route, {rs({"symmetry_defect": "g / n", "imaginary_share": "m / n"})}, 0.0 AS adjoint_route FROM d, n, (SELECT unnest(['matrix', 'one_way']) AS op)""")
+def agg23_operator_routes(spark, sf_dir):
+    """A matrix whose transposed route is right, and one whose isn't."""
+    a, h = Scratch(spark, "square").table(M.summed(square(spark, sf_dir)), "a"), hundred(spark, sf_dir)
+    x = P.complex_test_vector(h)
+    each = [E.route_consistency(op, h, x).withColumn("op", F.lit(n)) for n, op in (("matrix", M.make_operator("matrix", a)), ("one_way", OneWay(a)))]
+    return rounded(reduce(DataFrame.unionByName, each))
+
+
 @query(f"""WITH {SQM}, b AS (SELECT i % 10 AS key, sqrt(sum(re * re + im * im)) AS n FROM a GROUP BY 1), c AS (SELECT i % 10 AS key, sqrt(sum(im * im)) AS n FROM a GROUP BY 1) SELECT b.key, {r("c.n / b.n", "ratio")} FROM b JOIN c ON c.key = b.key""")
 def agg21_box_error(spark, sf_dir):
     a = M.summed(square(spark, sf_dir)).withColumn("key", F.col("i") % 10)
@@ -550,24 +599,6 @@ def itr2_gmres(spark, sf_dir):
     return rounded(found.select("vec", "idx", "re", "im", F.lit(history[-1] <= 1e-10).alias("solved"), F.lit(falls).alias("falls")), 6)
 
 
-def coupled(spark, sf_dir):
-    """A matrix over all ordered parts: parts of an order are coupled, the more the greater the quantity; the diagonal outweighs a row and grows with the id's remainder by 8."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("i"), F.col("l_quantity").alias("q"))
-    pairs = li.join(li.select("l_orderkey", F.col("i").alias("j")), "l_orderkey").where("i <> j").groupBy("i", "j").agg((-F.sum("q") / 50).alias("re"))
-    own = li.select("i").distinct().join(pairs.groupBy("i").agg(F.sum("re").alias("s")), "i", "left")
-    diagonal = own.select("i", F.col("i").alias("j"), (1 - F.coalesce("s", F.lit(0.0)) + (F.col("i") % 8) * (F.col("i") % 8)).alias("re"))
-    return pairs.unionByName(diagonal).withColumn("im", F.lit(0.0))
-
-
-def ordered_parts(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id")).distinct()
-
-
-def part_boxes(spark, sf_dir):
-    """Boxes of 32 parts."""
-    return ordered_parts(spark, sf_dir).select(F.expr("id div 32").alias("key"), F.col("id").alias("idx"))
-
-
 KNOWN3 = "SELECT CAST(k AS BIGINT) AS vec, id AS idx, CAST((7 * id + 3 * k) % 11 - 5 AS DOUBLE) AS re, 0.0 AS im, {0} FROM (SELECT DISTINCT l_partkey AS id FROM lineitem), range(3) AS t(k){1}"
 
 

@@ -30,6 +30,20 @@ def scl5_names(spark, sf_dir):
     return c.select("c_custkey", N.camel_to_snake(F.concat("c_name", F.lit("BigMesh"))).alias("snake"), N.two_digits(F.col("c_custkey") / 7).alias("two"), N.folder(F.col("c_mktsegment"), F.lit(""), F.col("c_nationkey").cast("string")).alias("folder"))
 
 
+def _two(x: str) -> str:
+    return f"regexp_replace(regexp_replace(format('{{:.2e}}', {x}), 'e\\+0*([0-9])', 'e\\1'), 'e-0*([0-9])', 'e-\\1')"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS k, c_custkey % 3 = 0 AS leveled, CASE WHEN c_custkey % 2 = 0 THEN 1.0 / (3 + c_custkey) ELSE c_custkey / 7 + 1.0 END AS a, (c_custkey % 5) / 4.0 AS b FROM customer), d AS (SELECT *, CASE WHEN leveled AND a >= 1 THEN 'ref_level_' || CAST(floor(a) AS BIGINT) || '_depth_' || CAST(floor(b) AS BIGINT) ELSE 'mesh_width_' || {_two("a")} END AS dim FROM c)
+    SELECT k, 'sphere_surface_op_precision_double_' || dim || CASE WHEN leveled OR b = 0 THEN '' ELSE '_kappa_' || format('{{:.2f}}', b) END AS samples, 'results/sphere_surface_op_precision_double_' || dim || '_od_' || (k % 9) || CASE WHEN leveled THEN '' ELSE '_' || format('{{:.2f}}', b) END || '_num_threads_8/v1' AS run FROM d""")
+def scl5_folder_keys(spark, sf_dir):
+    """Keys of samples and folders of runs, by levels and by mesh width, with and without kappa."""
+    k = F.col("c_custkey")
+    a, b, leveled = F.when(k % 2 == 0, 1.0 / (3 + k)).otherwise(k / 7 + 1.0), (k % 5) / 4.0, k % 3 == 0
+    kind = F.lit("SphereSurface"), F.lit("op"), F.lit("Double"), leveled, a, b
+    return table(spark, sf_dir, "customer").select(k.alias("k"), N.sample_key(*kind).alias("samples"), N.run_folder(*kind, k % 9, F.lit(8), F.lit("v1")).alias("run"))
+
+
 GEOMETRIES = ["Square", "SphereSurface", "CubeSurface", "CylinderSurface", "EllipsoidSurface", "Dihedral", "Device", "F16", "RidgedHorn", "EMCCAlmond", "FrigateHull", "Plane", "Sphere", "Cube"]
 
 
@@ -318,10 +332,11 @@ def agg22_comparison(spark, sf_dir):
     return T.comparison(own, "n", "o_orderpriority", "c", PRIO, "%d")
 
 
-@query("""WITH v AS (SELECT o_orderpriority AS p, o_custkey % 50 AS k, year(o_orderdate) AS y, avg(o_totalprice) AS a FROM orders GROUP BY 1, 2, 3), o AS (SELECT * FROM v WHERE y = 1996), n AS (SELECT * FROM v WHERE y = 1997) SELECT coalesce(o.p, n.p) AS p, coalesce(o.k, n.k) AS k, """ + rs({"old": "o.a", "new": "n.a"}, 4) + ", coalesce(o.a >= 1.2 * n.a, false) AS improved FROM o FULL JOIN n ON o.p = n.p AND o.k = n.k")
+@query("""WITH v AS (SELECT o_orderpriority AS p, o_custkey % 50 AS k, year(o_orderdate) AS y, avg(o_totalprice) AS a FROM orders GROUP BY 1, 2, 3), o AS (SELECT p, k, y + 1 AS y, a FROM v) SELECT coalesce(o.p, n.p) AS p, coalesce(o.k, n.k) AS k, CAST(coalesce(o.y, n.y) AS INTEGER) AS y, """ + rs({"old": "o.a", "new": "n.a"}, 7) + ", coalesce(o.a >= 1.2 * n.a, false) AS improved FROM o FULL JOIN v n ON o.p = n.p AND o.k = n.k AND o.y = n.y")
 def agg22_improved(spark, sf_dir):
+    """Each year's means against those of the year before."""
     v = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("p"), (F.col("o_custkey") % 50).alias("k"), F.year("o_orderdate").alias("y")).agg(F.avg("o_totalprice").alias("a"))
-    return rounded(T.improved(v.where("y = 1996"), v.where("y = 1997"), ["p", "k"], "a", 1.2), 4)
+    return rounded(T.improved(v.withColumn("y", F.col("y") + 1), v, ["p", "k", "y"], "a", 1.2), 7)
 
 
 # --- windows and orders ---

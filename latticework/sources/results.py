@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions.names import shortest
+from latticework.session import ship
+from latticework.sources.stats_files import StatsFiles
 
 KINDS = ("error", "time", "rank", "condition_number", "block_error")
 #: Fields of the documents, in the form of a schema.
@@ -118,27 +118,22 @@ def solution_group(solutions: DataFrame, tolerance: float, group: str | None = N
 def write_stats(documents: DataFrame, folder: str, mode: str = "all") -> int:
     """Writes each of documents (kind, tolerance, doc) to folder/<kind>_stats_<tolerance>.json, as load_stats reads it, in place of an older one.
 
-    mode all, rank or time picks kinds. Tolerances have three digits at most in the name (1e-2, 4e1); two documents of a name are an error. Spark writes
-    the texts to a folder beside; the driver then moves the files, one a document. Returns how many.
+    mode all, rank or time picks kinds. Tolerances have three digits at most in the name (1e-2, 4e1); two documents of
+    a name are an error, before anything is written. Tasks write the files, by the data source of stats_files.py: an old
+    one stays until the new one takes its name. Returns how many.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {sorted(MODES)}")
-    own = documents.where(F.col("kind").isin(*MODES[mode])).select(F.concat("kind", F.lit("_stats_"), shortest(F.col("tolerance"))).alias("name"), "doc")
-    twice = own.groupBy("name").count().where("count > 1").first()
+    spark = documents.sparkSession
+    ship(spark)
+    own = documents.where(F.col("kind").isin(*MODES[mode])).select("kind", F.concat("kind", F.lit("_stats_"), shortest(F.col("tolerance"))).alias("name"), "doc")
+    counts = own.groupBy("name").agg(F.count("*").alias("n"))
+    twice = counts.where("n > 1").first()
     if twice:
-        raise ValueError(f"{twice['count']} documents named {twice['name']}")
-    staged = f"{folder.rstrip('/')}/_staged-{uuid.uuid4().hex}"
-    own.write.partitionBy("name").text(staged)
-    spark, n = documents.sparkSession, 0
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    files = path(staged).getFileSystem(spark._jsc.hadoopConfiguration())
-    for part in files.globStatus(path(f"{staged}/name=*/part-*")):
-        name = part.getPath().getParent().getName().removeprefix("name=")
-        at = path(f"{folder}/{name}.json")
-        files.delete(at, False)
-        n += bool(files.rename(part.getPath(), at))
-    files.delete(path(staged), True)
-    return n
+        raise ValueError(f"{twice['n']} documents named {twice['name']}")
+    StatsFiles.register(spark)
+    own.write.format("stats_files").mode("append").save(folder)
+    return counts.count()
 
 
 def write_solutions(solutions: DataFrame, folder: str) -> None:

@@ -25,6 +25,7 @@ from latticework.operators.right_hand_sides import right_hand_side
 from latticework.sources import points as P
 from latticework.sources import results as D
 from latticework.sources import samples as A
+from latticework.sources.stats_files import StatsFiles
 
 
 def matrix(spark, a):
@@ -349,6 +350,30 @@ def test_written_files(spark):
         D.write_stats(own.union(own), folder)
 
 
+def test_stats_source(spark):
+    """Files replaced in place, many a partition, none touched by a job that fails."""
+    folder = tempfile.mkdtemp()
+    named = lambda rows: spark.createDataFrame(rows, "kind string, name string, doc string")
+    save = lambda df: df.write.format("stats_files").mode("append").save(folder)
+    StatsFiles.register(spark)
+    save(named([("rank", f"rank_stats_{k}", f"old {k}") for k in range(300)] + [("error", "error_stats_1e-2", "é")]).repartition(5))
+    save(named([("rank", f"rank_stats_{k}", f"new {k}") for k in range(100)]))
+    (Path(folder) / "rank_stats_x.json").write_text("no number")
+    got = {(r.kind, r.tolerance): r.doc for r in spark.read.format("stats_files").load(folder).collect()}
+    assert got == {("rank", float(k)): f"{'new' if k < 100 else 'old'} {k}" for k in range(300)} | {("error", 0.01): "é"}
+    assert spark.read.format("stats_files").option("kind", "error").load("file:" + folder).count() == 1
+    before = sorted(p.name for p in Path(folder).iterdir())
+    assert not [n for n in before if n.startswith("_draft")]
+    twice = named([("rank", "rank_stats_5", "a"), ("rank", "rank_stats_5", "b")])
+    stops = named([("rank", "rank_stats_6", "c"), ("rank", "rank_stats_7", "d")]).repartition(2).withColumn("doc", F.when(F.col("name") == "rank_stats_7", F.raise_error(F.lit("stopped")).cast("string")).otherwise(F.col("doc")))
+    for bad in (twice.repartition(2, "doc"), twice.coalesce(1), named([("x", "../x", "y")]), stops):
+        with pytest.raises((PySparkException, Py4JJavaError)):
+            save(bad)
+    assert [n for n in sorted(p.name for p in Path(folder).iterdir()) if not n.startswith("_draft")] == before
+    kept = {(r.kind, r.tolerance): r.doc for r in spark.read.format("stats_files").load(folder).collect()}
+    assert kept == got
+
+
 def test_right_hand_sides_refuse(spark):
     p = P.sphere_points(spark.range(5))
     for operator, more in (("Unknown", {}), ("BemppClLaplaceSingleLayer", {"problem": "Neumann"}), ("BemppClLaplaceSingleLayer", {}), ("BemppClMaxwellEfie", {"precision": "half"})):
