@@ -71,11 +71,12 @@ class StoredMatrix:
                 rows = entries.join(F.broadcast(self.heavy[inner]), inner, "left")
             rows = rows.select("i", "j", "re", "im", part).repartition(buckets, inner, "part")
             rows.write.bucketBy(buckets, inner, "part").sortBy(inner, "part").option("path", f"{self.scratch.top}/by-{inner}").saveAsTable(f"{self.name}_{inner}")
+        self.tables = {inner: self.spark.table(f"{self.name}_{inner}") for inner in "ij"}
         self.scratch.drop("entries")
 
     def entries(self, inner: str = "i") -> DataFrame:
         """i, j, re, im and part, bucketed by that index."""
-        return self.spark.table(f"{self.name}_{inner}")
+        return self.tables[inner]
 
     def products(self, x: DataFrame, mode: str = "none") -> DataFrame:
         """vec, idx, re, im of each entry's product with op(A) x's entry, to be summed."""
@@ -84,7 +85,8 @@ class StoredMatrix:
         if self.heavy[inner] is not None:
             heavy = F.broadcast(self.heavy[inner].withColumnRenamed(inner, "idx"))
             v = x.join(heavy, "idx", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-        m, v = self.entries(inner).alias("m"), v.select("vec", "idx", "part", "re", "im").alias("v")
+        # the vector is what a task hashes, never the matrix
+        m, v = self.entries(inner).alias("m"), v.select("vec", "idx", "part", "re", "im").hint("shuffle_hash").alias("v")
         joined = m.join(v, (F.col(f"m.{inner}") == F.col("v.idx")) & (F.col("m.part") == F.col("v.part")))
         re, im = F.expr(f"m.re * v.re - {sign} * m.im * v.im"), F.expr(f"m.re * v.im + {sign} * m.im * v.re")
         return joined.select("v.vec", F.col(f"m.{outer}").alias("idx"), re.alias("re"), im.alias("im"))

@@ -256,7 +256,7 @@ def test_quantiles_in_ranges(spark):
     groups = {"even": g.normal(size=4000), "ties": np.repeat([3.0, 1.0, 2.0], [5000, 40, 60]), "few": np.array([5.0]), None: g.integers(0, 4, 900).astype(float), "wide": np.exp(g.normal(size=3000) * 9), "signs": np.array([-0.0, 0.0] * 700 + [1.0])}
     rows = [(k, float(x)) for k, v in groups.items() for x in v] + [("even", None), ("even", float("nan")), ("none", None)]
     df, shares = spark.createDataFrame(rows, "k string, v double"), [0.0, 0.02, 0.25, 0.5, 0.75, 0.98, 1.0]
-    for most in (60, 1 << 16):
+    for most in (60, 1 << 20):
         got = {r.k: r.q for r in quantiles(df, ["k"], "v", shares, most).collect()}
         assert got.keys() == groups.keys()
         for k, v in groups.items():
