@@ -33,6 +33,10 @@ TERMS = r"array_distinct(transform(array_distinct(split(text, '[^\\p{L}]+')), x
 #: Where a run of letters begins or ends.
 EDGE = r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
 VALUES = "array_distinct(transform(spans, x -> concat(x.kind, ':', lower(x.m))))"
+#: What a value has in common with others: its kind, and the domain of an address or the first digits of a number.
+DIGITS_OF = "regexp_replace(x.m, '[^0-9]', '')"
+COMMON = f"""transform(spans, x -> concat(x.kind, '*', case x.kind when 'email' then substring_index(lower(x.m), '@', -1) when 'ip' then substring_index(x.m, '.', 2) when 'card' then substring({DIGITS_OF}, 1, 4) else substring({DIGITS_OF}, 1, 3) end))"""
+CLASSES = f"array_distinct(concat({VALUES}, {COMMON}, transform(spans, x -> concat(x.kind, '*'))))"
 SAME = "l.doc_id <=> r.doc_id and l.tag = r.tag"
 
 
@@ -76,23 +80,25 @@ def base_spans(docs: DataFrame) -> DataFrame:
     return each.select("doc_id", "tag", "text", F.expr("array_sort(concat(email, ip, card, phone))").alias("spans")).withColumn("text", F.expr("if(size(spans) > 0, text, null)"))
 
 
-def revealing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, least_share: float, least_documents: int) -> DataFrame:
+def revealing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, least_share: float, least_documents: int, classes: bool) -> DataFrame:
     """doc_id, tag and terms (array of s, e): every place of the words of a text that tell too much about one of its values, outside its spans.
 
     For a protected value e and a term t, over documents: the term's pointwise information about the value,
     log(N * n(e, t) / (n(e) * n(t))), as a share of the value's own information log(N / n(e)), is 1 if the term is
     found with that value only. Terms with least_share or more are revealing, if n(e, t) >= least_documents. N, n(e),
     n(t) and n(e, t) are counted over the whole texts of all of docs, a row each. A share of least_share needs
-    n(t) <= n(e) * (N / n(e)) ^ (1 - least_share), as n(e, t) <= n(e); other pairs are not formed.
+    n(t) <= n(e) * (N / n(e)) ^ (1 - least_share), as n(e, t) <= n(e); other pairs are not formed. With classes the
+    kind of a value, and its domain or first digits, are protected as well, like a value: they recur where values don't.
     """
+    of = F.expr(CLASSES if classes else VALUES)
     key = ["doc_id", "tag"]
     some = found.where("size(spans) > 0")
     total = docs.agg(F.count("*").alias("n_all"))
-    values = some.select(F.explode(F.expr(VALUES)).alias("value")).groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= least_documents)
+    values = some.select(F.explode(of).alias("value")).groupBy("value").agg(F.count("*").alias("n_value")).where(F.col("n_value") >= least_documents)
     values = values.crossJoin(F.broadcast(total)).where("n_value < n_all")
     most = F.col("n_value") * F.pow(F.col("n_all") / F.col("n_value"), F.lit(1 - least_share)) * (1 + 1e-9)
     values = scratch.table(values.withColumn("most", most), "values")
-    own = some.select(*key, F.explode(F.expr(VALUES)).alias("value"))
+    own = some.select(*key, F.explode(of).alias("value"))
     held = scratch.table(likely(own, values, ["value"]).join(values, "value").dropDuplicates([*key, "value"]), "held")
     terms = docs.where("text is not null").select(F.explode(F.expr(TERMS)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     terms = terms.crossJoin(F.broadcast(values.agg(F.max("most").alias("top")))).where((F.col("n_term") >= least_documents) & (F.col("n_term") <= F.col("top")) & (F.col("term") != ""))
@@ -117,10 +123,10 @@ def revealing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, least_s
     return free.groupBy(*key).agg(F.collect_list(F.struct("s", "e")).alias("terms"))
 
 
-def all_spans(docs: DataFrame, scratch: Scratch, least_share: float, least_documents: int) -> DataFrame:
+def all_spans(docs: DataFrame, scratch: Scratch, least_share: float, least_documents: int, classes: bool) -> DataFrame:
     """doc_id, tag, spans (of the patterns) and every (these and terms, in order) of each row of docs."""
     found = scratch.table(base_spans(docs), "found")
-    terms = revealing_terms(docs, found, scratch, least_share, least_documents)
+    terms = revealing_terms(docs, found, scratch, least_share, least_documents, classes)
     some = found.where("size(spans) > 0").alias("f").join(terms.alias("t"), F.expr("f.doc_id <=> t.doc_id and f.tag = t.tag"), "left").select("f.doc_id", "f.tag", "f.spans", "t.terms")
     every = F.expr(f"array_sort(concat(spans, coalesce(transform(terms, x -> named_struct('s', x.s, 'k', {len(KINDS)}, 'e', x.e, 'kind', 'term', 'm', '')), cast(array() as array<struct<s: int, k: int, e: int, kind: string, m: string>>))))")
     return some.withColumn("every", every).drop("terms").unionByName(found.where("size(spans) = 0").select("doc_id", "tag", "spans", F.col("spans").alias("every")))
@@ -130,21 +136,21 @@ def _listed(spans: str) -> str:
     return f"array_join(transform({spans}, x -> concat(x.kind, ':', x.s, ':', x.e)), ',')"
 
 
-def pii_spans(docs: DataFrame, least_share: float = 0.95, least_documents: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pii_spans(docs: DataFrame, least_share: float = 0.95, least_documents: int = 3, id_col: str = "doc_id", text_col: str = "text", classes: bool = False) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256 and spans of each row of docs.
 
     base_sha256 is of the pattern spans as kind:start:end, comma-joined; spans lists these and the terms that reveal
-    a value (kind term), as revealing_terms says. Null and empty texts have no spans. Null and repeated ids stay, a
+    a value (kind term), as revealing_terms says; with classes also those that reveal its kind, domain or first digits. Null and empty texts have no spans. Null and repeated ids stay, a
     row each: rows equal in id and text get one result; the same text under two ids counts as two documents. An
     empty table gives an empty table; other columns are ignored.
     """
     scratch = Scratch(docs.sparkSession, "pii")
-    rows = all_spans(documents(docs, id_col, text_col), scratch, least_share, least_documents)
+    rows = all_spans(documents(docs, id_col, text_col), scratch, least_share, least_documents, classes)
     counts = [F.expr(f"cast(size(filter(spans, x -> x.k = {k})) as long)").alias(f"n_{kind}") for k, (kind, _, _) in enumerate(KINDS)]
     return rows.select("doc_id", *counts, F.sha2(F.expr(_listed("spans")), 256).alias("base_sha256"), F.expr(_listed("every")).alias("spans"))
 
 
-def sanitise(docs: DataFrame, least_share: float = 0.95, least_documents: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitise(docs: DataFrame, least_share: float = 0.95, least_documents: int = 3, id_col: str = "doc_id", text_col: str = "text", classes: bool = False) -> DataFrame:
     """docs with the spans in its texts generalised to their kind in brackets, such as [EMAIL] or [TERM].
 
     Spans that overlap become one, of the first one's kind. All columns stay as they are but for the text; null texts
@@ -153,7 +159,7 @@ def sanitise(docs: DataFrame, least_share: float = 0.95, least_documents: int =
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "sanitise")
     own, (number, tag, every, gaps) = docs.columns, spare(docs, "_id", "_tag", "_every", "_gaps")
-    found = all_spans(documents(docs, id_col, text_col), scratch, least_share, least_documents).where("size(every) > 0")
+    found = all_spans(documents(docs, id_col, text_col), scratch, least_share, least_documents, classes).where("size(every) > 0")
     found = scratch.table(found.select(F.col("doc_id").alias(number), F.col("tag").alias(tag), F.col("every").alias(every)).dropDuplicates([number, tag]), "spans")
     placed = docs.withColumns({number: F.col(id_col), tag: F.xxhash64(F.coalesce(text_col, F.lit("")))})
     calm, near = split_by(placed, found, [number, tag])

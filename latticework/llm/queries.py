@@ -45,7 +45,7 @@ def op5_suffix_dedup(spark, sf_dir):
 
 
 def op6_revealing_terms(spark, sf_dir):
-    return pii_spans(table(spark, sf_dir, "documents"))
+    return pii_spans(table(spark, sf_dir, "documents"), classes=True)
 
 
 def op7_quality_model(spark, sf_dir):

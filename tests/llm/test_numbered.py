@@ -308,6 +308,36 @@ def test_terms_against_brute_force(spark):
     assert got == want and sum(map(len, want.values())) > 20
 
 
+def test_terms_of_the_given_documents(spark):
+    """Terms that reveal kinds, domains or first digits, over the whole table, against counts in plain Python."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    spans = {r.doc_id: [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(",") if x)] for r in pii_spans(docs, classes=True).collect()}
+    n_value, n_term, n_both, held = collections.Counter(), collections.Counter(), collections.Counter(), {}
+    for i, t in rows:
+        values = set()
+        for kind, a, b in spans[i]:
+            if kind == "term":
+                continue
+            m, digits = t[a:b].lower(), re.sub("[^0-9]", "", t[a:b])
+            part = {"email": m.rpartition("@")[2], "ip": ".".join(m.split(".")[:2]), "card": digits[:4], "phone": digits[:3]}[kind]
+            values |= {f"{kind}:{m}", f"{kind}*{part}", f"{kind}*"}
+        held[i] = values, {w.lower() for w in regex.findall(r"\p{L}+", t)}
+        n_value.update(values)
+        n_term.update(held[i][1])
+        n_both.update((a, b) for a in values for b in held[i][1])
+    n = len(rows)
+    told = {(a, b) for (a, b), k in n_both.items() if k >= 3 and n_value[a] < n and math.log(n * k / (n_value[a] * n_term[b])) / math.log(n / n_value[a]) >= 0.95}
+    found = 0
+    for i, t in rows:
+        values, words = held[i]
+        marked, base = {b for a in values for b in words if (a, b) in told}, [s for s in spans[i] if s[0] != "term"]
+        want = {(m.start(), m.end()) for m in regex.finditer(r"\p{L}+", t) if m[0].lower() in marked and not any(a < m.end() and m.start() < b for _, a, b in base)}
+        assert {(a, b) for k, a, b in spans[i] if k == "term"} == want
+        found += len(want)
+    assert found > 0
+
+
 def test_revealing_terms(spark):
     """A term found with one address only, in three documents, reveals it; one found elsewhere too doesn't."""
     rows = [(i, f"Please write to zorblat common anna@x.org about item {i}.") for i in range(3)] + [(i, f"Something common about nothing {i}.") for i in range(3, 30)]
