@@ -28,8 +28,8 @@ VALID = {
     "card": f"if(length({DIGITS}) between 14 and 19, {LUHN}, false)",
     "phone": f"length({DIGITS}) between 10 and 15",
 }
-#: Terms are runs of letters, of any length, in small letters.
-TERMS = r"array_distinct(transform(array_distinct(split(text, '[^\\p{L}]+')), x -> lower(x)))"
+#: Terms are runs of letters, of any length, in small letters; 64-bit hashes stand for them and for values.
+TERMS = r"array_distinct(transform(filter(array_distinct(split(text, '[^\\p{L}]+')), x -> x <> ''), x -> xxhash64(lower(x))))"
 #: Where a run of letters begins or ends.
 EDGE = r"(?<=\p{L})(?=\P{L})|(?<=\P{L})(?=\p{L})"
 VALUES = "array_distinct(transform(spans, x -> concat(x.kind, ':', lower(x.m))))"
@@ -90,7 +90,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, least_s
     n(t) <= n(e) * (N / n(e)) ^ (1 - least_share), as n(e, t) <= n(e); other pairs are not formed. With classes the
     kind of a value, and its domain or first digits, are protected as well, like a value: they recur where values don't.
     """
-    of = F.expr(CLASSES if classes else VALUES)
+    of = F.expr(f"transform({CLASSES if classes else VALUES}, v -> xxhash64(v))")
     key = ["doc_id", "tag"]
     some = found.where("size(spans) > 0")
     total = docs.agg(F.count("*").alias("n_all"))
@@ -101,7 +101,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, least_s
     own = some.select(*key, F.explode(of).alias("value"))
     held = scratch.table(likely(own, values, ["value"]).join(values, "value").dropDuplicates([*key, "value"]), "held")
     terms = docs.where("text is not null").select(F.explode(F.expr(TERMS)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
-    terms = terms.crossJoin(F.broadcast(values.agg(F.max("most").alias("top")))).where((F.col("n_term") >= least_documents) & (F.col("n_term") <= F.col("top")) & (F.col("term") != ""))
+    terms = terms.crossJoin(F.broadcast(values.agg(F.max("most").alias("top")))).where((F.col("n_term") >= least_documents) & (F.col("n_term") <= F.col("top")))
     words = likely(some, held, key).select(*key, F.explode(F.expr(TERMS)).alias("term")).join(terms.drop("top"), "term")
     near = words.alias("l").join(held.alias("r"), F.expr(f"{SAME} and l.n_term <= r.most")).select("l.doc_id", "l.tag", "value", "term", "n_value", "n_term", "n_all")
     near = scratch.table(near, "near")
@@ -113,7 +113,7 @@ def revealing_terms(docs: DataFrame, found: DataFrame, scratch: Scratch, least_s
     texts = texts.alias("l").join(marked.select(*key).distinct().alias("r"), F.expr(SAME), "left_semi")
     parts = texts.select(*key, F.posexplode(F.split("text", EDGE)).alias("k", "part"))
     parts = parts.withColumn("e", F.sum(F.length("part")).over(Window.partitionBy(*key).orderBy("k")).cast("int"))
-    places = parts.where(F.col("part").rlike(r"^\p{L}")).select(*key, F.lower("part").alias("term"), (F.col("e") - F.length("part")).alias("s"), "e")
+    places = parts.where(F.col("part").rlike(r"^\p{L}")).select(*key, F.xxhash64(F.lower("part")).alias("term"), (F.col("e") - F.length("part")).alias("s"), "e")
     hits = places.alias("l").join(marked.alias("r"), F.expr(f"{SAME} and l.term = r.term"), "left_semi")
     # a term overlaps a span if the furthest end of the spans that begin before its end is beyond its start
     spans = likely(some, marked, key).select(*key, "spans").dropDuplicates(key).select(*key, F.explode("spans").alias("x"))
