@@ -114,40 +114,118 @@ def length_patterns(room: int) -> np.ndarray:
     return np.stack([a[keep], b[keep], c[keep]], 1)
 
 
-def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, steps: int = 400) -> np.ndarray:
-    """Non-negative repeat counts x that bring patterns' lengths closest to the histogram, by projected gradients with momentum."""
-    n = len(histogram)
-    used = (patterns > 0).astype(float)
+def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, close: float = 1e-7) -> np.ndarray:
+    """Non-negative repeat counts x that bring patterns' lengths closest to the histogram: least squares by active sets.
 
-    def lengths(x):
-        out = np.bincount(patterns.ravel(), (used * x[:, None]).ravel(), minlength=n)
+    At most as many counts as there are lengths are above 0. The inverse of the chosen patterns' product matrix is kept
+    up to date as patterns come and go, and made anew every 200 changes.
+    """
+    n, used, scale = len(histogram), patterns > 0, max(1, int(histogram.max(initial=0)))
+    h = histogram / scale
+    most = min(int((histogram > 0).sum()), len(patterns))
+    inverse, at, x, z = np.zeros((most, most)), np.zeros(most, np.int64), np.zeros(most), np.zeros(most)
+    usable = np.ones(len(patterns), bool)
+    k = since = 0
+
+    def shared(one, others):
+        """Product of a pattern's column of the matrix with those of others."""
+        return ((patterns[others][:, :, None] == patterns[one]) & used[others][:, :, None]).sum((1, 2)).astype(float)
+
+    def lengths():
+        out = np.bincount(patterns[at[:k]].ravel(), np.repeat(x[:k], 3), minlength=n)
         out[0] = 0
         return out
 
-    def back(r):
-        return (r[patterns] * used).sum(1)
-
-    v = np.ones(len(patterns))
-    for _ in range(20):
-        v = back(lengths(v))
-        top = np.linalg.norm(v)
-        v /= top
-    x = y = np.zeros(len(patterns))
-    t = 1.0
-    for _ in range(steps):
-        new = np.maximum(0, y - back(lengths(y) - histogram) / (1.01 * top))
-        t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        y = new + (t - 1) / t_new * (new - x)
-        x, t = new, t_new
-    return x
+    def remove(q):
+        """Takes the q-th of the k chosen patterns out, after a swap with the last."""
+        for values in (at, x, z):
+            values[[q, k - 1]] = values[[k - 1, q]]
+        inverse[[q, k - 1], :k] = inverse[[k - 1, q], :k]
+        inverse[:k, [q, k - 1]] = inverse[:k, [k - 1, q]]
+        side = inverse[: k - 1, k - 1] / inverse[k - 1, k - 1]
+        z[: k - 1] -= side * z[k - 1]
+        inverse[: k - 1, : k - 1] -= np.outer(side, inverse[k - 1, : k - 1])
+
+    left = h.copy()
+    left[0] = 0
+    for _ in range(20 * most):  # a few times `most` in practice
+        gain = left[patterns].sum(1)
+        gain[~usable] = 0
+        one = int(np.argmax(gain)) if k < most else 0
+        if k == most or gain[one] <= close:
+            break
+        usable[one] = False
+        by = shared(one, at[:k])
+        some = np.flatnonzero(by)
+        u = inverse[:k, some] @ by[some]
+        apart = shared(one, np.array([one]))[0] - by[some] @ u[some]
+        if apart < 1e-6:  # the chosen ones make it up
+            continue
+        step = (h[patterns[one]][used[one]].sum() - by[some] @ z[some]) / apart
+        z[:k] -= u * step
+        inverse[:k, :k] += np.outer(u / apart, u)
+        inverse[k, :k] = inverse[:k, k] = -u / apart
+        inverse[k, k], z[k], at[k], x[k] = 1 / apart, step, one, 0
+        k, since = k + 1, since + 1
+        while len(low := np.flatnonzero(z[:k] <= 1e-12)):
+            ratio = x[low] / np.maximum(x[low] - z[low], 1e-300)
+            x[:k] += ratio.min() * (z[:k] - x[:k])
+            for q in low[ratio <= ratio.min()][::-1]:
+                usable[at[q]] = ratio.min() > 0  # a pattern that goes as it came isn't asked again
+                remove(q)
+                k, since = k - 1, since + 1
+        if since > 200:
+            columns = np.zeros((k, n))
+            np.add.at(columns, (np.repeat(np.arange(k), 3), patterns[at[:k]].ravel()), used[at[:k]].ravel())
+            inverse[:k, :k] = np.linalg.inv(columns @ columns.T)
+            z[:k], since = inverse[:k, :k] @ (columns @ h), 0
+        x[:k] = np.maximum(z[:k], 0)
+        left = h - lengths()
+        left[0] = 0
+    out = np.zeros(len(patterns))
+    out[at[:k]] = x[:k] * scale
+    return out
+
+
+def rounded(x: np.ndarray, patterns: np.ndarray, histogram: np.ndarray, least: float) -> list[tuple[list[int], int]]:
+    """(lengths, repeats) of patterns: x rounded down, then up by largest remainder where that is `least` or more.
+
+    No length is used more often than the histogram has it.
+    """
+    left = histogram.astype(np.int64).copy()
+    whole = np.floor(x + 1e-6).astype(np.int64)
+    over = x - whole
+    up = np.flatnonzero((over >= least) & (over > 1e-6))
+    out = []
+    for k, repeat in [*((k, whole[k]) for k in np.argsort(-x, kind="stable") if whole[k]), *((k, 1) for k in up[np.argsort(-over[up], kind="stable")])]:
+        lengths = [int(v) for v in patterns[k] if v]
+        repeat = min([int(repeat), *(int(left[v]) // lengths.count(v) for v in lengths)])
+        if repeat > 0:
+            for v in lengths:
+                left[v] -= repeat
+            out.append((lengths, repeat))
+    return out
 
 
 def plan(histogram: np.ndarray, room: int) -> np.ndarray:
     """Rows (length, first rank, count, first sequence, offset): which ranks of each length go where.
 
-    histogram[l] is the number of pieces of l ids, 1 <= l <= room. The plan's size depends on room, not on the
-    number of pieces, but for sequences with pieces of few lengths.
+    histogram[l] is the number of pieces of l ids, 1 <= l <= room. The fitted repeats are rounded up from remainders of
+    0, 0.1 and so on to 1 (rounding down alone); of the plans that follow the first with the fewest sequences is taken,
+    since with few pieces of a length rounding up can displace what packs better. The plan's size depends on room, not
+    on the number of pieces, but for sequences with pieces of few lengths. Without pieces it has no rows.
     """
+    short = histogram.astype(np.int64).copy()
+    short[room] = 0
+    patterns = length_patterns(room)
+    patterns = patterns[((short[patterns] > 0) | (patterns == 0)).all(1)]
+    x = fit_repeats(short, patterns)
+    plans = [_plan(histogram, room, rounded(x, patterns, short, least)) for least in np.linspace(0, 1, 11)]
+    return min(plans, key=lambda made: made[0])[1]
+
+
+def _plan(histogram: np.ndarray, room: int, repeats: list[tuple[list[int], int]]) -> tuple[int, np.ndarray]:
+    """The number of sequences and the rows of a plan: whole sequences, the patterns, then what they leave by best fit."""
     left = histogram.astype(np.int64).copy()
     given = np.zeros_like(left)
     rows: list[tuple[int, int, int, int, int]] = []
@@ -161,22 +239,12 @@ def plan(histogram: np.ndarray, room: int) -> np.ndarray:
     if left[room]:
         place(room, int(left[room]), sequences, 0)
         sequences += rows[-1][2]
-    patterns = length_patterns(room)
-    patterns = patterns[((left[patterns] > 0) | (patterns == 0)).all(1)]
-    if len(patterns):
-        x = fit_repeats(left.astype(float), patterns)
-        for k in np.argsort(-x, kind="stable"):
-            repeat = int(x[k] + 1e-6)  # rounding down: what is left packs better than what rounding up would displace
-            if repeat < 1:
-                break
-            lengths = [int(v) for v in patterns[k] if v]
-            repeat = min([repeat, *(int(left[v]) // lengths.count(v) for v in lengths)])
-            if repeat > 0:
-                offset = 0
-                for v in lengths:
-                    place(v, repeat, sequences, offset)
-                    offset += v
-                sequences += repeat
+    for lengths, repeat in repeats:
+        offset = 0
+        for v in lengths:
+            place(v, repeat, sequences, offset)
+            offset += v
+        sequences += repeat
     # what rounding left: longest first, each into the fullest sequences with room for it
     open_by_space: dict[int, list[tuple[int, int]]] = {}
     spaces: list[int] = []
@@ -202,7 +270,7 @@ def plan(histogram: np.ndarray, room: int) -> np.ndarray:
                     open_by_space[rest] = []
                     spaces.insert(bisect_left(spaces, rest), rest)
                 open_by_space[rest].append((first, count))
-    return np.array(rows, np.int64).reshape(-1, 5)
+    return sequences, np.array(rows, np.int64).reshape(-1, 5)
 
 
 def pack(pieces: DataFrame, room: int, scratch: Scratch, per_salt: int = 20_000) -> DataFrame:
