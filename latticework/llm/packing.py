@@ -114,14 +114,15 @@ def length_patterns(room: int) -> np.ndarray:
     return np.stack([a[keep], b[keep], c[keep]], 1)
 
 
-def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, close: float = 1e-7) -> np.ndarray:
+def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, close: float = 1e-4) -> np.ndarray:
     """Non-negative repeat counts x that bring patterns' lengths closest to the histogram: least squares by active sets.
 
+    A length's squared error weighs as its power of 1.5, since what is left of long pieces packs worse than short ones.
     At most as many counts as there are lengths are above 0. The inverse of the chosen patterns' product matrix is kept
     up to date as patterns come and go, and made anew every 200 changes.
     """
     n, used, scale = len(histogram), patterns > 0, max(1, int(histogram.max(initial=0)))
-    h = histogram / scale
+    h, weight = histogram / scale, (np.arange(n) / n) ** 1.5
     most = min(int((histogram > 0).sum()), len(patterns))
     inverse, at, x, z = np.zeros((most, most)), np.zeros(most, np.int64), np.zeros(most), np.zeros(most)
     usable = np.ones(len(patterns), bool)
@@ -129,7 +130,7 @@ def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, close: float = 1e-7
 
     def shared(one, others):
         """Product of a pattern's column of the matrix with those of others."""
-        return ((patterns[others][:, :, None] == patterns[one]) & used[others][:, :, None]).sum((1, 2)).astype(float)
+        return (((patterns[others][:, :, None] == patterns[one]) & used[others][:, :, None]) * weight[patterns[one]]).sum((1, 2))
 
     def lengths():
         out = np.bincount(patterns[at[:k]].ravel(), np.repeat(x[:k], 3), minlength=n)
@@ -149,7 +150,7 @@ def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, close: float = 1e-7
     left = h.copy()
     left[0] = 0
     for _ in range(20 * most):  # a few times `most` in practice
-        gain = left[patterns].sum(1)
+        gain = (weight * left)[patterns].sum(1)
         gain[~usable] = 0
         one = int(np.argmax(gain)) if k < most else 0
         if k == most or gain[one] <= close:
@@ -161,7 +162,7 @@ def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, close: float = 1e-7
         apart = shared(one, np.array([one]))[0] - by[some] @ u[some]
         if apart < 1e-6:  # the chosen ones make it up
             continue
-        step = (h[patterns[one]][used[one]].sum() - by[some] @ z[some]) / apart
+        step = ((weight * h)[patterns[one]][used[one]].sum() - by[some] @ z[some]) / apart
         z[:k] -= u * step
         inverse[:k, :k] += np.outer(u / apart, u)
         inverse[k, :k] = inverse[:k, k] = -u / apart
@@ -177,8 +178,8 @@ def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, close: float = 1e-7
         if since > 200:
             columns = np.zeros((k, n))
             np.add.at(columns, (np.repeat(np.arange(k), 3), patterns[at[:k]].ravel()), used[at[:k]].ravel())
-            inverse[:k, :k] = np.linalg.inv(columns @ columns.T)
-            z[:k], since = inverse[:k, :k] @ (columns @ h), 0
+            inverse[:k, :k] = np.linalg.inv((columns * weight) @ columns.T)
+            z[:k], since = inverse[:k, :k] @ (columns @ (weight * h)), 0
         x[:k] = np.maximum(z[:k], 0)
         left = h - lengths()
         left[0] = 0

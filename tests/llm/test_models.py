@@ -189,8 +189,8 @@ def test_repeats_are_least_squares(room, most):
         histogram = np.random.default_rng(seed).integers(0, most + 1, room + 1)
         histogram[[0, room]] = 0
         patterns, x, left = fit_of(histogram, room)
-        slope = (left[patterns] * (patterns > 0)).sum(1) / max(1, histogram.max())
-        assert (x >= 0).all() and (slope <= 1e-6).all() and (np.abs(slope[x > 0]) <= 1e-6).all()
+        slope = ((np.arange(room + 1) / (room + 1)) ** 1.5 * left / max(1, histogram.max()))[patterns].sum(1)
+        assert (x >= 0).all() and (slope <= 1.01e-4).all() and (np.abs(slope[x > 0]) <= 1e-6).all()
         assert (x > 0).sum() <= (histogram > 0).sum()
 
 
@@ -211,7 +211,7 @@ def test_patterns_pack_most_pieces():
         assert sum(sizes) == 1024
         np.add.at(used, sizes, repeat)
     assert (used <= histogram).all() and sum(n for sizes, n in some if len(sizes) == 3) > 1000
-    assert used.sum() > 0.5 * histogram.sum()
+    assert used.sum() > 0.8 * histogram.sum()
     rows = plan(histogram, 1024)
     assert (np.bincount(rows[:, 0], rows[:, 2], 1025) == histogram).all()
     assert int((rows[:, 3] + rows[:, 2]).max()) <= 1.002 * -(-int((histogram * np.arange(1025)).sum()) // 1024)
