@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from latticework import queries as Q
 from latticework.functions import kernels as K
+from latticework.functions import names as N
 from latticework.functions import results as R
 from latticework.operators import boxes as B
 from latticework.operators import estimate as E
@@ -467,3 +468,12 @@ def test_gate(spark):
 def test_offset_matrix_checks_its_grid(spark):
     with pytest.raises(ValueError):
         M.offset_matrix(4, 2, P.regular_grid(spark, 3, 2), spark.range(1))
+
+
+def test_formatted_numbers_round_as_c(spark):
+    """Exact binary values, halves to even; Java's own formatting rounds the shortest decimal, halves up."""
+    x = [1445.0, 1455.0, 1.005, 0.125, 0.0, 10050.0, 1e-5, -2.5e-7]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate([*x, None, float("nan")])], "i int, v double")
+    got = df.select("i", N.two_digits(F.col("v")).alias("two"), N.formatted(F.col("v"), ".2f").alias("plain")).orderBy("i").collect()
+    assert [r.two for r in got] == ["1.44e3", "1.46e3", "1.00e0", "1.25e-1", "0.00e0", "1.00e4", "1.00e-5", "-2.50e-7", "null", "NaN"]
+    assert [r.plain for r in got[:4]] == ["1445.00", "1455.00", "1.00", "0.12"]
