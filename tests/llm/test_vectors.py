@@ -110,3 +110,21 @@ def test_answers_from_cells_of_few_rows(spark):
     for q, found in got.items():
         assert sorted(f[0] for f in found) == list(range(1, 21))
         assert q == 20 or (all(f[1] == 20 or np.isclose(x[f[1]] @ x[q], f[2]) for f in found))
+
+
+def test_nearest_of_queries_unlike_the_rows(spark):
+    """Queries in all directions among rows about one, mixed norms: the sample's nearest tell nothing of theirs."""
+    g = np.random.default_rng(8)
+    n = 4000
+    x = (g.normal(size=(n, 16)) * 0.05 + 3 * np.eye(16)[0]) * np.exp(g.normal(size=n) * 0.5)[:, None]
+    x[::20] = g.normal(size=(n // 20, 16))
+    x = x.astype(np.float32)
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x), pa.list_(pa.float32()))}))
+    got = collections.defaultdict(list)
+    for r in nearest(df, cell=200).collect():
+        got[r.query_id].append((r.rank, r.vec_id))
+    x = x.astype(float)
+    for q in range(0, n, 20):
+        score = np.einsum("nd,d->n", x, x[q])
+        score[q] = -np.inf
+        assert [v for _, v in sorted(got[q])] == np.lexsort((np.arange(n), -score))[:20].tolist()
