@@ -51,7 +51,8 @@ class Store:
         """Writes rows of a base as a piece that nobody sees yet; after: numbered behind the base's samples, which they must fit. Returns the base as it would be."""
         old = self.bases.get(base) if after else None
         piece = f"pieces/{uuid.uuid4().hex}"
-        own.drop("base").repartition("block").write.partitionBy("block").parquet(f"{self.folder}/{piece}")
+        # a task has WIDE samples of WIDE indices
+        own.drop("base").repartition("block", F.expr(f"sample div {WIDE}")).write.partitionBy("block").parquet(f"{self.folder}/{piece}")
         kind = "sample long, idx long, re double, im double, block long"
         r = self.spark.read.schema(kind).parquet(f"{self.folder}/{piece}").agg(F.min("sample").alias("low"), F.max("sample").alias("high"), F.max("idx").alias("top"), F.count_distinct("block").alias("blocks"), F.count("im").alias("n_im"), F.count("*").alias("n")).first()
         if not r["n"]:
