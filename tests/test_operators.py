@@ -477,3 +477,44 @@ def test_formatted_numbers_round_as_c(spark):
     got = df.select("i", N.two_digits(F.col("v")).alias("two"), N.formatted(F.col("v"), ".2f").alias("plain")).orderBy("i").collect()
     assert [r.two for r in got] == ["1.44e3", "1.46e3", "1.00e0", "1.25e-1", "0.00e0", "1.00e4", "1.00e-5", "-2.50e-7", "null", "NaN"]
     assert [r.plain for r in got[:4]] == ["1445.00", "1455.00", "1.00", "0.12"]
+
+
+def test_row_sums_make_no_entries(spark):
+    """Overlapping terms, of places with zeros, against the matrix; no join by pairs in the plan."""
+    rows = [(t, i, float(i % 3 == t) * (i + 1), 0.5 * t, float(i % 4 != t), 0.1 * i * (i % 4 != t), 1.0 + t, -0.5) for t in range(3) for i in range(12) if (i + t) % 5]
+    terms = spark.createDataFrame(rows, "term int, idx long, u_re double, u_im double, v_re double, v_im double, alpha_re double, alpha_im double")
+    for kept in (None, [0, 2]):
+        m = M.terms_matrix(terms, kept).withColumn("w", F.cos(F.col("j")))
+        want = m.groupBy("i").agg(F.sum(F.col("re") * F.col("w")), F.sum(F.col("im") * F.col("w")), F.count("*")).orderBy("i").collect()
+        got = M.row_sums(terms, F.cos("idx"), kept).orderBy("idx").collect()
+        assert np.allclose([tuple(r) for r in got], [tuple(r) for r in want])
+    plan = M.row_sums(terms)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode" not in plan.lower()
+
+
+def test_offsets_by_lines(spark):
+    """In the plane and in space no group is wider than a line, and two vectors get the matrix's products."""
+    for n, ndim in ((4, 2), (2, 3)):
+        m, g = n + 1, np.random.default_rng(2)
+        size = m**ndim
+        at = np.stack(np.unravel_index(np.arange(size), (m,) * ndim), 1)
+        k = g.normal(size=(m,) * ndim) + 1j * g.normal(size=(m,) * ndim)
+        x = g.normal(size=(2, size)) + 1j * g.normal(size=(2, size))
+        grid = spark.range(size)
+        values = spark.createDataFrame([(*map(int, [*d, 0][:3]), float(k[tuple(d)].real), float(k[tuple(d)].imag)) for d in at], "d0 int, d1 int, d2 int, re double, im double")
+        y = M.apply_offsets(n, ndim, grid, values, vector(spark, x[0]).unionByName(vector(spark, x[1], 1)))
+        dense = k[tuple(np.moveaxis(np.abs(at[:, None] - at[None]), 2, 0))]
+        for v in range(2):
+            assert np.allclose(as_array(y.where(F.col("vec") == v), size), dense @ x[v])
+        assert "_block" not in y._jdf.queryExecution().analyzed().toString()
+
+
+def test_samples_of_one_block_are_dealt_out(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        samples = spark.range(40960).selectExpr("id as sample", "id % 2 as idx", "1D as re", "0D as im")
+        A.write_samples(samples, "y_test", str(tmp_path / "s"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "s").glob("pieces/*/block=0/part-*"))) > 1
+    assert A.read_samples(spark, "y_test", str(tmp_path / "s")).count() == 40960
