@@ -518,3 +518,17 @@ def test_samples_of_one_block_are_dealt_out(spark, tmp_path):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(list((tmp_path / "s").glob("pieces/*/block=0/part-*"))) > 1
     assert A.read_samples(spark, "y_test", str(tmp_path / "s")).count() == 40960
+
+
+def test_tile_sums(spark):
+    """Every array kernel against its column form over all pairs, in several tiles; no pair is a row of the plan."""
+    p = Q.points(spark, SF).limit(150)
+    n = p.count()
+    for name in K.KERNELS:
+        want = M.kernel_matrix(p, name, 2.0).groupBy("i").agg(F.sum("re"), F.sum("im")).orderBy("i").collect()
+        got = M.tile_sums(p, p, K.values(name, n, 2.0), ["re", "im"], tile=40).orderBy("id").collect()
+        assert np.allclose([tuple(r) for r in got], [tuple(r) for r in want], rtol=1e-12)
+    weighted = p.withColumn("w", F.col("id") % 7)
+    y = M.tile_sums(p.withColumn("x", F.col("x") + 3), weighted, lambda d, w: [w + 0 * d], ["s"], ["w"], 60)
+    total = weighted.agg(F.sum("w")).first()[0]
+    assert {r.s for r in y.collect()} == {float(total)} and "Join" not in plan_of(y)
