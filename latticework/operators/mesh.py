@@ -70,16 +70,17 @@ def manifold_report(vertices: DataFrame, elements: DataFrame) -> DataFrame:
 def mesh_components(elements: DataFrame, least: int = 50) -> DataFrame:
     """eid, component (the smallest element reachable over shared edges), of components of `least` elements or more.
 
-    Every element takes the smallest label at its edges, and then that label's own label, until none changes.
+    Every element takes the smallest label at its edges, and then that label's own label, until none changes. Labels are
+    shuffled, never broadcast, so that no step sends them to the driver.
     """
     scratch = Scratch(elements.sparkSession, "mesh")
     own = scratch.table(edges(elements).select("eid", "p", "q"), "edges")
     label, before, step = own.select("eid", F.col("eid").alias("component")).distinct(), None, 0
     while True:
-        at_edge = own.join(label, "eid").groupBy("p", "q").agg(F.min("component").alias("component"))
-        lower = own.join(at_edge, ["p", "q"]).groupBy("eid").agg(F.min("component").alias("component"))
+        at_edge = own.join(label.hint("merge"), "eid").groupBy("p", "q").agg(F.min("component").alias("component"))
+        lower = own.join(at_edge.hint("merge"), ["p", "q"]).groupBy("eid").agg(F.min("component").alias("component"))
         jump = lower.select(F.col("eid").alias("component"), F.col("component").alias("next"))
-        label = scratch.table(lower.join(jump, "component").select("eid", F.col("next").alias("component")), f"label-{step}")
+        label = scratch.table(lower.join(jump.hint("merge"), "component").select("eid", F.col("next").alias("component")), f"label-{step}")
         now = label.agg(F.sum(F.col("component").cast("decimal(38,0)"))).first()[0]
         if step:
             scratch.drop(f"label-{step - 1}")
@@ -87,7 +88,7 @@ def mesh_components(elements: DataFrame, least: int = 50) -> DataFrame:
             break
         before, step = now, step + 1
     big = label.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    return label.join(big.select("component"), "component", "left_semi").select("eid", "component")
+    return label.join(big.select("component").hint("merge"), "component", "left_semi").select("eid", "component")
 
 
 def _clipped(polygon: str, c: str, at: float, sign: str) -> str:

@@ -510,7 +510,7 @@ def agg18_vertex_means(spark, sf_dir):
 def itr6_mesh_components(spark, sf_dir):
     """The elements whose first corner belongs to a point with a small first coordinate fall apart into components; those of ten or more."""
     low = points(spark, sf_dir).where("x <= 0.05").select(F.col("id").alias("a"))
-    return G.mesh_components(mesh(spark, sf_dir)[1].join(low, "a", "left_semi"), 10)
+    return G.mesh_components(mesh(spark, sf_dir)[1].join(low.hint("merge"), "a", "left_semi"), 10)
 
 
 def _clip(c: str, at: float) -> str:

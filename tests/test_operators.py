@@ -532,3 +532,11 @@ def test_tile_sums(spark):
     y = M.tile_sums(p.withColumn("x", F.col("x") + 3), weighted, lambda d, w: [w + 0 * d], ["s"], ["w"], 60)
     total = weighted.agg(F.sum("w")).first()[0]
     assert {r.s for r in y.collect()} == {float(total)} and "Join" not in plan_of(y)
+
+
+def test_mesh_components_broadcast_nothing(spark):
+    """Labels of every step are shuffled; what is broadcast passes the driver."""
+    _, elements = G.torus(spark, 6, 5, copies=2)
+    found = G.mesh_components(elements, 10)
+    assert "Broadcast" not in plan_of(found)
+    assert {(r.component, r.n) for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 60), (60, 60)}
