@@ -540,3 +540,10 @@ def test_mesh_components_broadcast_nothing(spark):
     found = G.mesh_components(elements, 10)
     assert "Broadcast" not in plan_of(found)
     assert {(r.component, r.n) for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()} == {(0, 60), (60, 60)}
+
+
+def test_blocks_of_the_coupled_matrix(spark):
+    """The diagonal blocks alone have the whole matrix's entries."""
+    rows = lambda df: {(r.i, r.j): round(r.re, 9) for r in df.collect()}
+    whole, own = rows(Q.coupled(spark, SF)), rows(Q.coupled(spark, SF, 32))
+    assert own == {k: v for k, v in whole.items() if k[0] // 32 == k[1] // 32} and len(own) < len(whole) / 2
