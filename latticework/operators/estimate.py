@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from latticework.operators.matrix import Operator, StoredMatrix, apply_matrix, compared, difference, transpose
+from latticework.operators.matrix import Operator, StoredMatrix, TiledMatrix, apply_matrix, compared, difference, transpose
 from latticework.session import Scratch
 
 FLOOR = 1e-14
@@ -113,16 +113,16 @@ def derived(stats: DataFrame) -> DataFrame:
     return stats.withColumns({"cond_estimate": F.sqrt("s1") * F.sqrt("s2"), "norm_apply_fro": F.col("rel_fro") * F.col("norm_fro"), "err_solve_fro": F.col("rel_solve") * F.sqrt("dim")})
 
 
-def power_iteration(a: DataFrame | StoredMatrix, start: DataFrame, steps: int = 50, normal: bool = True) -> DataFrame:
+def power_iteration(a: DataFrame | StoredMatrix | TiledMatrix, start: DataFrame, steps: int = 50, normal: bool = True) -> DataFrame:
     """step and lam: |<x, B x>| at each step for B = A* A (or A), x scaled to unit norm; sqrt(lam) tends to the 2-norm.
 
-    start is one vector. The matrix is stored in buckets (see StoredMatrix), unless it is already, and each step's
+    start is one vector. The matrix is stored as tiles (see TiledMatrix), unless it is stored already, and each step's
     vector is a table in the shared folder. A step is one job: it shuffles vectors only, keeps x beside B x in the sum
     and hands back three numbers with the table it writes. A zero start or image gives 0.
     """
     spark = start.sparkSession
     scratch, found = Scratch(spark, "power"), []
-    stored = a if isinstance(a, StoredMatrix) else StoredMatrix(a)
+    stored = a if isinstance(a, StoredMatrix | TiledMatrix) else TiledMatrix(a)
     x = scratch.table(start.groupBy("vec", "idx").agg(F.sum("re").alias("re"), F.sum("im").alias("im")), "x-start")
     sizes = norms(x).limit(2).collect()
     if len(sizes) > 1:

@@ -547,3 +547,43 @@ def test_blocks_of_the_coupled_matrix(spark):
     rows = lambda df: {(r.i, r.j): round(r.re, 9) for r in df.collect()}
     whole, own = rows(Q.coupled(spark, SF)), rows(Q.coupled(spark, SF, 32))
     assert own == {k: v for k, v in whole.items() if k[0] // 32 == k[1] // 32} and len(own) < len(whole) / 2
+
+
+def test_tiled_matrix(spark, small):
+    """Products of a matrix in tiles, split by place and by hash, are the plain ones, rows without products left out."""
+    g = np.random.default_rng(9)
+    a = (g.random((60, 40)) < 0.2) * (g.normal(size=(60, 40)) + 1j * g.normal(size=(60, 40)))
+    a[7] = 3.0
+    entries = [(10**12 * (k - 30), 5 * l - 90, float(v.real) / n, float(v.imag) / n) for (k, l), v in np.ndenumerate(a) if v for n in [1 + k % 3] for _ in range(n)]
+    more = [(None, 0, 1.0, 2.0), (10**12, None, 3.0, 0.0), (0, 5, None, 1.0)]
+    df = spark.createDataFrame(entries + more, "i long, j long, re double, im double").repartition(3)
+    rows = lambda df: {(r.vec, r.idx): complex(r.re, r.im) for r in df.collect()}
+    filled = df.na.fill(0.0, ["re", "im"])
+    for most in (M.TILE_ENTRIES, 50, 3):
+        m = M.TiledMatrix(df, most=most)
+        assert most > 50 or m.size > 4
+        for mode in M.MODES:
+            n, at = (60, lambda k: 10**12 * (k - 30)) if mode in ("transpose", "adjoint") else (40, lambda k: 5 * k - 90)
+            x = [(vec, at(int(k)), *map(float, g.normal(size=2))) for vec in "pq" for k in g.choice(n, 12 if vec == "p" else n, replace=False)]
+            x = spark.createDataFrame(x + [("p", None, 1.0, 1.0), ("q", 3, 1.0, 1.0), ("p", 0, 1.0, 0.0)], "vec string, idx long, re double, im double")
+            got, want = rows(M.apply_matrix(m, x, mode)), rows(M.apply_matrix(filled, x, mode))
+            assert got.keys() == want.keys() and all(np.isclose(got[k], v) for k, v in want.items())
+        m.drop()
+    spread = [c[0].shape for c in M._cut_cells(*(np.arange(64),) * 2, np.full(64, 10), (1, 1), 20)]
+    assert len(spread) < 64  # tiles grow with the entries of a diagonal, not with its square
+    empty = M.TiledMatrix(df.limit(0))
+    assert M.apply_matrix(empty, vector(spark, [1, 2])).count() == 0
+
+
+def test_tiled_products_shuffle_vectors_and_sums_only(spark):
+    """The tiles are read where they are multiplied, and a product leaves a row for each row of a tile, not for each entry."""
+    m = M.TiledMatrix(matrix(spark, np.ones((30, 30))))
+    x = vector(spark, np.ones(30))
+    assert m.products(x).count() == 30
+    plan = plan_of(m.products(x)).split("\n")
+    scan = next(k for k, line in enumerate(plan) if "tiles_" in line)
+    deep = lambda k: len(plan[k]) - len(plan[k].lstrip(" :+-*()0123456789"))
+    above = next(k for k in range(scan, -1, -1) if "FlatMapCoGroups" in plan[k])
+    path = [k for k in range(above, scan) if deep(k) < deep(scan)]
+    assert path and not any("Exchange" in plan[k] for k in path if deep(k) > deep(above) and all(deep(i) > deep(k) for i in range(k + 1, scan + 1)))
+    m.drop()
