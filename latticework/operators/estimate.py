@@ -44,14 +44,18 @@ def sided_errors(a, approximate, inverse, w: DataFrame) -> DataFrame:
 
     The left ones apply a B w to A w, relative to B w, and C A w to w; the right ones the transposes, B^T w to A^T w,
     relative to that, and A^T C^T w to w. A zero reference counts 1 forward, and the plain norm for inverses. a,
-    approximate and inverse are matrices, stored ones too.
+    approximate and inverse are matrices, stored or tiled ones too.
     """
-    left, right = apply_matrix(a, w), apply_matrix(a, w, "transpose")
+    scratch = Scratch(w.sparkSession, "sided")
+    w = scratch.table(w, "w")
+    image = lambda m, x, name, mode="none": scratch.table(apply_matrix(m, x, mode), name)  # noqa: E731  stored, so no product is done twice
+    left, right = image(a, w, "left"), image(a, w, "right", "transpose")
+    back = image(inverse, w, "inverse-right", "transpose")
     each = [
-        ("left", "forward", max_error(apply_matrix(approximate, w), left)),
-        ("right", "forward", max_error(right, apply_matrix(approximate, w, "transpose"))),
-        ("left", "inverse", max_error(w, apply_matrix(inverse, left), True)),
-        ("right", "inverse", max_error(w, apply_matrix(a, apply_matrix(inverse, w, "transpose"), "transpose"), True)),
+        ("left", "forward", max_error(image(approximate, w, "near-left"), left)),
+        ("right", "forward", max_error(right, image(approximate, w, "near-right", "transpose"))),
+        ("left", "inverse", max_error(w, image(inverse, left, "inverse-left"), True)),
+        ("right", "inverse", max_error(w, image(a, back, "back-right", "transpose"), True)),
     ]
     return reduce(DataFrame.unionByName, (df.select(F.lit(side).alias("side"), F.lit(kind).alias("kind"), "max_err") for side, kind, df in each))
 

@@ -587,3 +587,13 @@ def test_tiled_products_shuffle_vectors_and_sums_only(spark):
     path = [k for k in range(above, scan) if deep(k) < deep(scan)]
     assert path and not any("Exchange" in plan[k] for k in path if deep(k) > deep(above) and all(deep(i) > deep(k) for i in range(k + 1, scan + 1)))
     m.drop()
+
+
+def test_tiled_coupling(spark):
+    """Tiles of pairs of lines make the products of the summed matrix, and errors are those of plain tables."""
+    plain, (tiled, diagonal) = M.summed(Q.coupled(spark, SF)).cache(), Q.tiled_coupling(spark, SF)
+    w = Q.samples(diagonal.select(F.col("i").alias("id")), 2)
+    for mode in ("none", "transpose"):
+        got, want = ({(r.vec, r.idx): r.re for r in M.apply_matrix(m, w, mode).collect()} for m in (tiled.scaled(0.5), plain))
+        assert got.keys() == want.keys() and all(np.isclose(2 * got[k], v) for k, v in want.items())
+    tiled.drop()
