@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable
 
 import numpy as np
@@ -78,9 +79,14 @@ def block_factors(a: DataFrame, boxes: DataFrame, most: int = MOST_ROWS) -> Data
     return _block_entries(a, boxes, most).groupBy("key").applyInArrow(factor, FACTORS)
 
 
+def inverse_entries(factors: DataFrame) -> DataFrame:
+    """The inverses of block_factors as a matrix."""
+    return factors.select("i", "j", F.col("inv_re").alias("re"), F.col("inv_im").alias("im"))
+
+
 def apply_inverse(factors: DataFrame, x: DataFrame) -> DataFrame:
     """vec, idx, re, im: the inverses of block_factors times x."""
-    return apply_matrix(factors.select("i", "j", F.col("inv_re").alias("re"), F.col("inv_im").alias("im")), x)
+    return apply_matrix(inverse_entries(factors), x)
 
 
 def block_errors(a: DataFrame, boxes: DataFrame, factors: DataFrame, most: int = MOST_ROWS) -> DataFrame:
@@ -102,22 +108,62 @@ def block_errors(a: DataFrame, boxes: DataFrame, factors: DataFrame, most: int =
     return exact.unionByName(factors.select(*exact.columns)).groupBy("key").applyInArrow(compare, "key long, n long, err_block double, err_inverse double")
 
 
-def _dots(basis: DataFrame, w: DataFrame) -> dict[tuple[int, int], complex]:
-    """<v, w> by vector and number of v; number -1 is w itself."""
-    both = basis.unionByName(w.withColumn("k", F.lit(-1))).alias("p").join(w.alias("w"), ["vec", "idx"])
-    got = both.groupBy("vec", "p.k").agg(F.expr("sum(p.re * w.re + p.im * w.im)").alias("re"), F.expr("sum(p.re * w.im - p.im * w.re)").alias("im")).collect()
-    return {(r["vec"], r["k"]): complex(r["re"], r["im"]) for r in got}
+class _Basis:
+    """A cycle's vectors b0, b1, ... beside each other by vec and idx, and the last image w, which is yet to be made the next one.
 
+    They are one table, bucketed and sorted by vec and idx, so a step shuffles the image alone, and dots and combinations
+    are sums along a row. The next vector is (w - sum of h b) times a scale, both by vec.
+    """
 
-def _norms(w: DataFrame) -> dict[int, float]:
-    return {r["vec"]: r["n"] for r in w.groupBy("vec").agg(F.sqrt(F.sum(F.col("re") ** 2 + F.col("im") ** 2)).alias("n")).collect()}
+    KEYS = ("vec", "idx")
+
+    def __init__(self, scratch: Scratch, w: DataFrame):
+        self.scratch, self.spark, self.n, self.name = scratch, w.sparkSession, 0, ""
+        self.table = w.select(*self.KEYS, F.col("re").alias("w_re"), F.col("im").alias("w_im"))
+
+    def _with(self, h: dict[int, Iterable[complex]], scale: dict[int, float] | None = None, names: tuple[str, str] = ("v_re", "v_im"), start: bool = True) -> DataFrame:
+        """The table and (w if start, minus the sum of h b) times scale; 0 for vectors that aren't in h."""
+        values = {v: np.array(list(c), complex) for v, c in h.items()}
+        columns = {"vec": np.array(list(values), np.int64), "_s": np.array([scale[v] if scale else 1.0 for v in values], float)}
+        for j in range(max(map(len, values.values()), default=0)):
+            here = np.array([c[j] if j < len(c) else 0j for c in values.values()], complex)
+            columns |= {f"_h{j}_re": here.real.copy(), f"_h{j}_im": here.imag.copy()}
+        terms = range((len(columns) - 2) // 2)
+        re = " - ".join(["w_re" if start else "0D", *(f"(_h{j}_re * b{j}_re - _h{j}_im * b{j}_im)" for j in terms)])
+        im = " - ".join(["w_im" if start else "0D", *(f"(_h{j}_re * b{j}_im + _h{j}_im * b{j}_re)" for j in terms)])
+        joined = self.table.join(F.broadcast(self.spark.createDataFrame(pa.table(columns))), "vec", "left")  # a row for each right-hand side
+        return joined.select(*self.table.columns, *(F.expr(f"coalesce(_s * ({e}), 0D)").alias(c) for e, c in zip((re, im), names, strict=True)))
+
+    def advance(self, h: dict[int, Iterable[complex]], scale: dict[int, float], image: Callable[[DataFrame], DataFrame]) -> None:
+        """Makes the next vector, and its image the new w; image gets (vec, idx, re, im) of the vecs of h."""
+        n = self.n
+        new = self._with(h, scale, (f"b{n}_re", f"b{n}_im")).drop("w_re", "w_im")
+        w = image(new.where(F.col("vec").isin(sorted(h))).select(*self.KEYS, F.col(f"b{n}_re").alias("re"), F.col(f"b{n}_im").alias("im")))
+        both = new.join(w.select(*self.KEYS, F.col("re").alias("w_re"), F.col("im").alias("w_im")), list(self.KEYS), "full")
+        kept = both.select(*self.KEYS, *(F.coalesce(c, F.lit(0.0)).alias(c) for c in both.columns[2:]))
+        name, parts = f"basis_{uuid.uuid4().hex}", int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        kept.write.bucketBy(parts, *self.KEYS).sortBy(*self.KEYS).option("path", f"{self.scratch.top}/{name}").saveAsTable(name)
+        self.drop()
+        self.table, self.name, self.n = self.spark.table(name), name, n + 1
+
+    def dots(self, h: dict[int, Iterable[complex]]) -> tuple[dict[int, float], dict[int, np.ndarray]]:
+        """Of w minus the sum of h b for each vec of h: its square, and <b, it> for each b."""
+        sums = [F.expr(e) for j in range(self.n) for e in (f"sum(b{j}_re * v_re + b{j}_im * v_im)", f"sum(b{j}_re * v_im - b{j}_im * v_re)")]
+        rows = self._with(h).where(F.col("vec").isin(sorted(h))).groupBy("vec").agg(F.expr("sum(v_re * v_re + v_im * v_im)"), *sums).collect()
+        return {r[0]: r[1] for r in rows}, {r[0]: np.array(r[2::2]) + 1j * np.array(r[3::2]) for r in rows}
+
+    def combined(self, y: dict[int, np.ndarray]) -> DataFrame:
+        """vec, idx, re, im: the sum of y b for each vec of y."""
+        return self._with({v: -c for v, c in y.items()}, start=False).where(F.col("vec").isin(sorted(y))).select(*self.KEYS, F.col("v_re").alias("re"), F.col("v_im").alias("im"))
+
+    def drop(self) -> None:
+        if self.name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            self.scratch.drop(self.name)
 
 
-def _times(df: DataFrame, factors: dict, keys: list[str]) -> DataFrame:
-    """vec, idx, re, im: df times a complex number for each key; rows of other keys are left out. factors: MOST_VECTORS by restart at most."""
-    at, values = np.array(list(factors), np.int64).reshape(-1, len(keys)), np.array(list(factors.values()), complex)
-    table = df.sparkSession.createDataFrame(pa.table({**{k: at[:, c] for c, k in enumerate(keys)}, "c_re": values.real.copy(), "c_im": values.imag.copy()}))
-    return df.join(F.broadcast(table), keys).select("vec", "idx", F.expr("c_re * re - c_im * im").alias("re"), F.expr("c_re * im + c_im * re").alias("im"))
+def _norms(w: DataFrame) -> dict[int, float]:
+    return {r["vec"]: r["n"] for r in w.groupBy("vec").agg(F.sqrt(F.sum(F.col("re") ** 2 + F.col("im") ** 2)).alias("n")).collect()}
 
 
 class _Run:
@@ -145,8 +191,8 @@ def gmres(apply: Callable[[DataFrame], DataFrame], b: DataFrame, precondition: C
     """Solutions (vec, idx, re, im) of all right-hand sides of b, and the history of relative residuals of each vec.
 
     All vectors take a step together, in the same jobs; those that are done stop. The driver keeps a Hessenberg matrix
-    of restart + 1 by restart for each, of most_vectors at most, more are an error; basis vectors are tables in the
-    shared folder. precondition is applied from the left, and residuals are those of the preconditioned system. callback gets each vector,
+    of restart + 1 by restart for each, of most_vectors at most, more are an error; basis vectors are a table in the
+    shared folder (see _Basis). precondition is applied from the left, and residuals are those of the preconditioned system. callback gets each vector,
     step and residual. A zero right-hand side has a zero solution and no history; entries of one place add.
     """
     spark = b.sparkSession
@@ -171,47 +217,29 @@ def gmres(apply: Callable[[DataFrame], DataFrame], b: DataFrame, precondition: C
         on = {v for v in active if not runs[v].ended}
         if not on:
             break
-        active, names = set(on), [""]
-
-        def kept(df, name, names=names):
-            names.append(name)
-            return scratch.table(df, name)
-
-        def vector_of_basis(df, k, names=names, top=f"basis-{cycle}"):
-            """The k-th basis vectors, and all so far as one table with k as a partition."""
-            names[:1] = [top]
-            new = scratch.table(df, f"{top}/k={k}")
-            return new, spark.read.schema("vec long, idx long, re double, im double, k int").parquet(f"{scratch.top}/{top}")
-
-        last, basis = vector_of_basis(_times(r, {v: 1 / runs[v].beta for v in on}, ["vec"]), 0)
+        active, basis = set(on), _Basis(scratch, r)
+        h, scale = {v: [] for v in on}, {v: 1 / runs[v].beta for v in on}
         for k in range(restart):
-            w = kept(plain(left(apply(of(last, on)))), f"w{cycle}-{k}")
-            columns = {v: np.zeros(k + 1, complex) for v in on}
+            basis.advance(h, scale, lambda v: plain(left(apply(v))))
+            h = {v: np.zeros(k + 1, complex) for v in on}
             for turn in range(2):  # once more where nine tenths of a vector have gone
-                got = _dots(of(basis, on), w)
-                before = {v: got.get((v, -1), 0j).real for v in on}
-                here = {v: np.array([got.get((v, j), 0j) for j in range(k + 1)]) for v in on}
+                before, here = basis.dots(h)
                 rest = {v: max(before[v] - float((np.abs(here[v]) ** 2).sum()), 0.0) for v in on}
-                for v in on:
-                    columns[v] += here[v]
-                w = combine([(1, w), (1, _times(basis, {(v, j): -here[v][j] for v in on for j in range(k + 1)}, ["vec", "k"]))], key)
-                again = turn == 0 and any(rest[v] < 0.01 * before[v] for v in on)
-                if not again:
+                h = {v: h[v] + here[v] for v in on}
+                if turn == 1 or all(rest[v] >= 0.01 * before[v] for v in on):
                     break
-                w = kept(w, f"o{cycle}-{k}")
             for v in sorted(on):
-                done = runs[v].step(k, columns[v], rest[v] ** 0.5, tolerance, most)
+                done = runs[v].step(k, h[v], rest[v] ** 0.5, tolerance, most)
                 if callback:
                     callback(v, len(runs[v].history), runs[v].history[-1])
                 if done:
                     on = on - {v}
-            if not on or k == restart - 1:
+            if not on:
                 break
-            last, basis = vector_of_basis(_times(w, {v: 1 / runs[v].h[k + 1, k].real for v in on}, ["vec"]), k + 1)
-        step = _times(basis, {(v, j): c for v in active for j, c in enumerate(runs[v].y)}, ["vec", "k"])
+            h, scale = {v: h[v] for v in on}, {v: 1 / runs[v].h[k + 1, k].real for v in on}
+        step = basis.combined({v: runs[v].y for v in active})
         x = scratch.table(combine([*([(1, x)] if x is not None else []), (1, step)], key), f"x{cycle}")
-        for name in names:
-            scratch.drop(name)
+        basis.drop()
         cycle += 1
     none = b.select("vec", "idx", F.lit(0.0).alias("re"), F.lit(0.0).alias("im"))
     return (combine([(1, x), (1, none)], key) if x is not None else none), {v: run.history for v, run in runs.items()}

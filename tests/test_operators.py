@@ -23,6 +23,7 @@ from latticework.operators import report as T
 from latticework.operators import solve as S
 from latticework.operators.quantiles import quantiles
 from latticework.operators.right_hand_sides import right_hand_side
+from latticework.session import Scratch
 from latticework.sources import points as P
 from latticework.sources import results as D
 from latticework.sources import samples as A
@@ -597,3 +598,17 @@ def test_tiled_coupling(spark):
         got, want = ({(r.vec, r.idx): r.re for r in M.apply_matrix(m, w, mode).collect()} for m in (tiled.scaled(0.5), plain))
         assert got.keys() == want.keys() and all(np.isclose(2 * got[k], v) for k, v in want.items())
     tiled.drop()
+
+
+def test_basis_is_not_shuffled(spark):
+    """The vectors of a cycle lie beside each other in one bucketed table; dots and combinations are those of numpy."""
+    g = np.random.default_rng(11)
+    w, image = g.normal(size=8) + 1j * g.normal(size=8), g.normal(size=8) + 1j * g.normal(size=8)
+    basis = S._Basis(Scratch(spark, "basis-test"), vector(spark, w).withColumn("vec", F.col("vec").cast("long")))
+    basis.advance({0: []}, {0: 0.5}, lambda v: vector(spark, image).withColumn("vec", F.col("vec").cast("long")))
+    square, dots = basis.dots({0: [2j]})
+    v = image - 2j * (0.5 * w)
+    assert np.isclose(square[0], np.linalg.norm(v) ** 2) and np.allclose(dots[0], [np.vdot(0.5 * w, v)])
+    assert np.allclose(as_array(basis.combined({0: np.array([3.0])}), 8), 1.5 * w)
+    assert "Exchange" not in plan_of(basis.table.groupBy("vec", "idx").count())
+    basis.drop()
