@@ -215,7 +215,7 @@ def _narrow(counts: np.ndarray) -> np.ndarray:
 
 def _folded(counts: np.ndarray, groups: int) -> np.ndarray:
     """Counts of fewer groups: neighbouring ones added up."""
-    return counts if counts.shape[1] <= groups else _narrow(counts.reshape(len(counts), groups, -1).sum(2, dtype=np.uint32))
+    return counts if counts.shape[1] <= groups else _narrow(counts.reshape(len(counts), groups, counts.shape[1] // groups).sum(2, dtype=np.uint32))
 
 
 def cell_pairs(n: np.ndarray, raw: list[bytes], comp: np.ndarray, side: np.ndarray, percent: int):

@@ -8,6 +8,7 @@ from conftest import SF
 from test_numbered import brute_classes, brute_repeats
 
 import corpus_pipeline
+from latticework.llm import jaccard_join
 from latticework.llm.quality_model import quality
 from latticework.session import Scratch
 
@@ -43,6 +44,22 @@ def test_near_duplicates(stages):
     assert set(after) == want and all(before[i] == t for i, t in after.items())
 
 
+def test_near_duplicates_of_many_blocks(spark, monkeypatch):
+    """A cell of several blocks, few of which have sets of more than 64 shingles."""
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    g = random.Random(8)
+    words = [f"w{k}" for k in range(3000)]
+    opening, rows = [g.choice(words) for _ in range(66)], []
+    for i in range(90):
+        text = opening + [g.choice(words) for _ in range(4 if i in (7, 50) else g.choice([0, 1, 2]))]
+        text[g.randrange(66)] = f"own{i}"
+        rows.append((i, " ".join(text), "en", "s", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = {i for i, (n, c) in brute_classes([r[:2] for r in rows], 5, 80).items() if c == i}
+    got = texts(corpus_pipeline.near_duplicates(spark, docs, SF))
+    assert got == {r[0]: r[1] for r in rows if r[0] in want} and len(want) < len(rows)
+
+
 def test_repeated_passages(stages):
     before, after = texts(stages["ngram_jaccard_join"]), texts(stages["suffix_array_dedup"])
     want = brute_repeats([(i, t or "") for i, t in before.items()], 100)
