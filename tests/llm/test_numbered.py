@@ -437,6 +437,18 @@ def test_trees_miss_nothing(sides):
         assert any(int(o) in best and over[o] == over[own].max() for o in own)
 
 
+@pytest.mark.parametrize("long_side", [0, 1])
+def test_groups_on_one_side_alone(long_side):
+    """Two blocks of which one alone has points of more groups."""
+    g = np.random.default_rng(5)
+    point = [g.poisson(0.1, 512).astype(np.int64) for _ in range(12)]
+    point += [p + (g.random(512) < 0.005) for p in point[:6]] + [g.poisson(0.1, 2048).astype(np.int64) for _ in range(2)]
+    n, side = np.array([p.sum() for p in point]), np.array([0] * 12 + [1] * 6 + [long_side] * 2)
+    i, j, over = cell_pairs(n, [packed_counts(p) for p in point], np.arange(20), side, 85)
+    found = {(min(a, b), max(a, b), c) for a, b, c in zip(i.tolist(), j.tolist(), over.tolist(), strict=True)}
+    assert len(found) >= 6 and found == brute_pairs(n, point, np.arange(20), side, 85)
+
+
 def test_a_cell_of_many_blocks(spark):
     """A group of near copies larger than several blocks, texts that share most of it below the limit, and long texts."""
     g = random.Random(3)
