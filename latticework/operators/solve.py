@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from latticework.operators.matrix import apply_matrix, combine
+from latticework.operators.matrix import BLOCKS, TiledMatrix, add_blocks, added_blocks, apply_matrix, block_arrays, block_table, combine
 from latticework.session import Scratch, ship
 
 #: Rows of a diagonal block at most, whose square one task holds.
@@ -162,6 +162,145 @@ class _Basis:
             self.scratch.drop(self.name)
 
 
+#: Numbers of all right-hand sides in a block of _Arrays about, of one vector of the basis.
+BLOCK_NUMBERS = 1 << 16
+
+
+class _Arrays:
+    """A cycle's vectors as _Basis has them, for images by tiles: a row holds a block of neighbouring places of all vectors as arrays.
+
+    The rows are one table, bucketed by block; what is shuffled are blocks of the newest vector and of its image. A step
+    writes the table anew in one job, with each block's part of the dots with the image. A task holds a block at a time,
+    of BLOCK_NUMBERS numbers about a vector of the basis.
+    """
+
+    STATE = f"{BLOCKS}, w_re binary, w_im binary, dots binary"
+
+    def __init__(self, scratch: Scratch, w: DataFrame, tiles: list[TiledMatrix]):
+        self.scratch, self.spark, self.tiles, self.n, self.name = scratch, w.sparkSession, tiles, 0, ""
+        ship(self.spark)
+        self.vecs = vecs = sorted(r[0] for r in w.select("vec").distinct().collect())
+        self.width = width = 1 << max(8, (BLOCK_NUMBERS // len(vecs)).bit_length() - 1)
+        self.parts = max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-w.count() // (4 * width * len(vecs))))
+        self.met = [t.blocks_met(width) for t in tiles]
+
+        def pack(key, table):
+            idx, vec = (np.asarray(table.column(c)) for c in ("idx", "vec"))
+            ids, place = np.unique(idx, return_inverse=True)
+            z = np.zeros((len(vecs), len(ids)), complex)
+            np.add.at(z, (np.searchsorted(vecs, vec), place), np.asarray(table.column("re")) + 1j * np.asarray(table.column("im")))
+            return _state(key[0].as_py(), ids, np.zeros((0, *z.shape), complex), z)
+
+        self._store(w.withColumn("block", F.expr(f"cast(floor(idx / {width}D) as long)")).groupBy("block").applyInArrow(pack, self.STATE))
+
+    def _store(self, df: DataFrame) -> None:
+        name = f"arrays_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.parts, "block").sortBy("block").option("path", f"{self.scratch.top}/{name}").saveAsTable(name)
+        self.drop()
+        self.table, self.name = self.spark.table(name), name
+
+    def _numbers(self, h: dict[int, Iterable[complex]], length: int) -> np.ndarray:
+        """h's numbers by vector of the basis and right-hand side; 0 for what isn't in h."""
+        out = np.zeros((length, len(self.vecs)), complex)
+        for v, c in h.items():
+            c = list(c)
+            out[: len(c), self.vecs.index(v)] = c
+        return out
+
+    def _each(self, fn, schema: str) -> DataFrame:
+        """fn of each block: its number, ids, basis and image."""
+        vectors = len(self.vecs)
+
+        def run(batches):
+            for batch in batches:
+                for block in _blocks(batch, vectors):
+                    yield from fn(*block).to_batches()
+
+        return self.table.mapInArrow(run, schema)
+
+    def advance(self, h: dict[int, Iterable[complex]], scale: dict[int, float], image: Callable | None = None) -> None:
+        """Makes the next vector, and its image by the tiles the new w."""
+        vectors, numbers = len(self.vecs), self._numbers(h, self.n)
+        factors = self._numbers({v: [c] for v, c in scale.items() if v in h}, 1).real[0]
+        newest = lambda basis, w: (w - np.einsum("jv,jvi->vi", numbers, basis)) * factors[:, None]
+        x = self._each(lambda b, ids, basis, w: block_table([(b, ids, newest(basis, w))]), BLOCKS)
+        for k, (tile, met) in enumerate(zip(self.tiles, self.met, strict=True)):
+            x = tile.block_products(add_blocks(x) if k else x, self.width, met)
+
+        def extend(key, state, parts):
+            parts = list(block_arrays(parts))
+            held = next(_blocks(state, vectors), None)
+            ids, basis, w = held[1:] if held else (np.zeros(0, np.int64), np.zeros((len(numbers), vectors, 0), complex), np.zeros((vectors, 0), complex))
+            basis = np.concatenate([basis, newest(basis, w)[None]])
+            every, w = added_blocks(parts, ids, vectors)
+            if len(every) > len(ids):
+                wide = np.zeros((*basis.shape[:2], len(every)), complex)
+                wide[:, :, np.searchsorted(every, ids)] = basis
+                basis = wide
+            return _state(key[0].as_py(), every, basis, w)
+
+        self._store(self.table.groupBy("block").cogroup(x.groupBy("block")).applyInArrow(extend, self.STATE))
+        self.n += 1
+
+    def dots(self, h: dict[int, Iterable[complex]]) -> tuple[dict[int, float], dict[int, np.ndarray]]:
+        """Of w minus the sum of h b for each vec of h: its square, and <b, it> for each b."""
+        numbers, n, vectors = self._numbers(h, self.n), self.n, len(self.vecs)
+
+        def rows(found):
+            j, v = (c.ravel() for c in np.indices(found.shape))
+            return pa.RecordBatch.from_pydict({"j": j.astype(np.int32), "v": v.astype(np.int32), "re": found.real.ravel(), "im": found.imag.ravel()})
+
+        def known(batches):
+            found = np.zeros((n + 1, vectors), complex)
+            for batch in batches:
+                for raw in batch.column(0).to_pylist():
+                    found += np.frombuffer(raw, complex).reshape(found.shape)
+            yield rows(found)
+
+        own = lambda b, ids, basis, w: pa.Table.from_batches([rows(_dots(basis, w - np.einsum("jv,jvi->vi", numbers, basis)))])
+        schema = "j int, v int, re double, im double"
+        each = self._each(own, schema) if numbers.any() else self.table.select("dots").mapInArrow(known, schema)
+        out = np.zeros((n + 1, vectors), complex)
+        for j, v, re, im in each.groupBy("j", "v").agg(F.sum("re"), F.sum("im")).collect():
+            out[j, v] = complex(re, im)
+        at = {v: self.vecs.index(v) for v in h}
+        return {v: out[n, k].real for v, k in at.items()}, {v: out[:n, k] for v, k in at.items()}
+
+    def combined(self, y: dict[int, np.ndarray]) -> DataFrame:
+        """vec, idx, re, im: the sum of y b for each vec of y, where a b isn't 0."""
+        numbers, vecs, own = self._numbers(y, self.n), np.array(sorted(y), np.int64), [self.vecs.index(v) for v in sorted(y)]
+
+        def rows(b, ids, basis, w):
+            k, i = np.nonzero((basis != 0).any(0)[own])
+            z = np.einsum("jv,jvi->vi", numbers, basis)[own][k, i]
+            return pa.table({"vec": vecs[k], "idx": ids[i], "re": z.real.copy(), "im": z.imag.copy()})
+
+        return self._each(rows, "vec long, idx long, re double, im double")
+
+    def drop(self) -> None:
+        if self.name:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            self.scratch.drop(self.name)
+
+
+def _dots(basis: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """<b, v> of each vector of the basis by right-hand side, then the square of v."""
+    return np.concatenate([np.einsum("jvi,vi->jv", basis.conj(), v), (np.abs(v) ** 2).sum(1)[None]])
+
+
+def _state(block: int, ids: np.ndarray, basis: np.ndarray, w: np.ndarray) -> pa.Table:
+    """A row of _Arrays.STATE. basis: by vector of the basis, right-hand side and place; w: by right-hand side and place."""
+    own, image = block_table([(block, ids, basis.reshape(-1, len(ids)))]), block_table([(block, ids, w)])
+    dots = pa.array([_dots(basis, w).tobytes()], pa.binary())
+    return own.append_column("w_re", image.column("re")).append_column("w_im", image.column("im")).append_column("dots", dots)
+
+
+def _blocks(table, vectors: int):
+    """Number, ids, basis and image of each row of _Arrays.STATE."""
+    for (b, ids, basis), (_, _, w) in zip(block_arrays(table), block_arrays(table, ("w_re", "w_im")), strict=True):
+        yield b, ids, basis.reshape(-1, vectors, len(ids)), w
+
+
 def _norms(w: DataFrame) -> dict[int, float]:
     return {r["vec"]: r["n"] for r in w.groupBy("vec").agg(F.sqrt(F.sum(F.col("re") ** 2 + F.col("im") ** 2)).alias("n")).collect()}
 
@@ -186,16 +325,18 @@ class _Run:
         return self.ended
 
 
-def gmres(apply: Callable[[DataFrame], DataFrame], b: DataFrame, precondition: Callable[[DataFrame], DataFrame] | None = None, tolerance: float = 1e-10, restart: int = 20,
+def gmres(apply: Callable[[DataFrame], DataFrame] | TiledMatrix, b: DataFrame, precondition: Callable[[DataFrame], DataFrame] | TiledMatrix | None = None, tolerance: float = 1e-10, restart: int = 20,
           most: int = 5000, callback: Callable[[int, int, float], None] | None = None, most_vectors: int = MOST_VECTORS) -> tuple[DataFrame, dict[int, list[float]]]:
     """Solutions (vec, idx, re, im) of all right-hand sides of b, and the history of relative residuals of each vec.
 
     All vectors take a step together, in the same jobs; those that are done stop. The driver keeps a Hessenberg matrix
     of restart + 1 by restart for each, of most_vectors at most, more are an error; basis vectors are a table in the
-    shared folder (see _Basis). precondition is applied from the left, and residuals are those of the preconditioned system. callback gets each vector,
+    shared folder (see _Basis; _Arrays where apply and precondition are tiled matrices). precondition is applied from the left, and residuals are those of the preconditioned system. callback gets each vector,
     step and residual. A zero right-hand side has a zero solution and no history; entries of one place add.
     """
-    spark = b.sparkSession
+    spark, tiles = b.sparkSession, [m for m in (apply, precondition) if m is not None]
+    as_arrays = all(isinstance(m, TiledMatrix) and not any(m.missing) for m in tiles)
+    apply, precondition = ((lambda v, m=m: apply_matrix(m, v)) if isinstance(m, TiledMatrix) else m for m in (apply, precondition))
     scratch, left, key = Scratch(spark, "gmres"), precondition or (lambda v: v), ["vec", "idx"]
     vecs = [r[0] for r in b.select(F.col("vec").cast("long")).distinct().limit(most_vectors + 1).collect()]
     if len(vecs) > most_vectors or None in vecs:
@@ -203,6 +344,7 @@ def gmres(apply: Callable[[DataFrame], DataFrame], b: DataFrame, precondition: C
     plain = lambda v: v.select(F.col("vec").cast("long").alias("vec"), F.col("idx").cast("long").alias("idx"), "re", "im")
     b = scratch.table(combine([(1, plain(b))], key), "b")
     rhs = scratch.table(plain(left(b)), "rhs") if precondition else b
+    as_arrays = as_arrays and rhs.where("idx is null").isEmpty()
     sizes = _norms(rhs)
     runs = {v: _Run(sizes.get(v, 0.0), restart) for v in vecs}
     of = lambda df, some: df.where(F.col("vec").isin(sorted(some)))
@@ -217,7 +359,7 @@ def gmres(apply: Callable[[DataFrame], DataFrame], b: DataFrame, precondition: C
         on = {v for v in active if not runs[v].ended}
         if not on:
             break
-        active, basis = set(on), _Basis(scratch, r)
+        active, basis = set(on), _Arrays(scratch, of(r, on), tiles) if as_arrays else _Basis(scratch, r)
         h, scale = {v: [] for v in on}, {v: 1 / runs[v].beta for v in on}
         for k in range(restart):
             basis.advance(h, scale, lambda v: plain(left(apply(v))))

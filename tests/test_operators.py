@@ -612,3 +612,32 @@ def test_basis_is_not_shuffled(spark):
     assert np.allclose(as_array(basis.combined({0: np.array([3.0])}), 8), 1.5 * w)
     assert "Exchange" not in plan_of(basis.table.groupBy("vec", "idx").count())
     basis.drop()
+
+
+def test_gmres_by_blocks(spark, monkeypatch):
+    """Tiled matrices are applied to blocks of arrays: solutions and histories are those of plain products, over restarts, far ids and image-only ids."""
+    monkeypatch.setattr(S, "BLOCK_NUMBERS", 1)
+    g, n = np.random.default_rng(12), 24
+    ids = np.sort(g.choice(np.arange(-900, 3000), n, replace=False))
+    dense = (g.normal(size=(n, n)) + 1j * g.normal(size=(n, n))) * (g.random((n, n)) < 0.15) + np.diag(20 + g.random(n) * 9)
+    entries = lambda m: spark.createDataFrame([(int(ids[i]), int(ids[j]), float(m[i, j].real), float(m[i, j].imag)) for i, j in np.argwhere(m)], "i long, j long, re double, im double")
+    a, d = entries(dense), entries(np.diag(1 / np.diag(dense)))
+    b = np.zeros((3, n), complex)
+    b[0, :5], b[2] = 1, g.normal(size=n) + 1j * g.normal(size=n)
+    rows = spark.createDataFrame([(v, int(ids[k]), float(b[v, k].real), float(b[v, k].imag)) for v in range(3) for k in range(5 if v == 0 else n)], "vec long, idx long, re double, im double")
+    ta, td = M.TiledMatrix(a, 50), M.TiledMatrix(d, 50)
+    for left, tiled in ((None, None), (lambda v: M.apply_matrix(d, v), td)):
+        want, plain = S.gmres(lambda v: M.apply_matrix(a, v), rows, left, tolerance=1e-4, restart=3)
+        got, history = S.gmres(ta, rows, tiled, tolerance=1e-4, restart=3)
+        assert {v: len(h) for v, h in history.items()} == {v: len(h) for v, h in plain.items()} and all(np.allclose(h, plain[v], rtol=1e-6) for v, h in history.items())
+        found = {(r.vec, r.idx): complex(r.re, r.im) for r in got.collect()}
+        solution = np.linalg.solve(dense, b.T).T
+        assert all(abs(found.get((v, int(ids[k])), 0) - solution[v, k]) < 1e-3 for v in (0, 2) for k in range(n)) and found.keys() == {(r.vec, r.idx) for r in want.collect()}
+    basis = S._Arrays(Scratch(spark, "arrays-test"), rows, [ta])
+    basis.advance({0: [], 2: []}, {0: 0.5, 2: 1.0})
+    square, dots = basis.dots({0: [2j]})
+    v = 0.5 * dense @ b[0] - 2j * 0.5 * b[0]
+    assert np.isclose(square[0], np.linalg.norm(v) ** 2) and np.allclose(dots[0], [np.vdot(0.5 * b[0], v)])
+    assert "Exchange" not in plan_of(basis.table.groupBy("block").count()) and basis.table.count() > 5
+    for m in (basis, ta, td):
+        m.drop()
