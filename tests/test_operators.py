@@ -641,3 +641,23 @@ def test_gmres_by_blocks(spark, monkeypatch):
     assert "Exchange" not in plan_of(basis.table.groupBy("block").count()) and basis.table.count() > 5
     for m in (basis, ta, td):
         m.drop()
+
+
+def test_field_of_far_sources(spark):
+    """Sources apart from the targets are put on fewer points with the same field; close, missing and infinite places are summed one by one."""
+    g = np.random.default_rng(13)
+    q, p, w = g.normal(size=(5000, 3)) * 0.004, np.r_[g.normal(size=(20, 3)) * 0.3 + [2, 0, 0], [[0.5, 0, 0]]], g.normal(size=5000) + 1j * g.normal(size=5000)
+    rows = lambda at: [(i, *map(float, c)) for i, c in enumerate(at)]
+    targets = spark.createDataFrame(rows(p), "id long, x double, y double, z double")
+    sources = spark.createDataFrame([(*r, float(v.real), float(v.imag)) for r, v in zip(rows(q), w, strict=True)], "id long, x double, y double, z double, w_re double, w_im double")
+    assert M.grid_sources(targets, sources, 2.0).count() < 2500
+    d = np.linalg.norm(p[:, None] - q, axis=2)
+    for name, kappa in (("helmholtz", 2.0), ("laplace", 0.0)):
+        want = (np.exp(1j * kappa * d) / (4 * np.pi * d)) @ w
+        got = {r.idx: complex(r.re, r.im) for r in M.field(targets, sources, name, kappa).collect()}
+        assert np.allclose([got[i] for i in range(len(p))], want, rtol=0, atol=1e-13 * np.abs(w).sum() / (4 * np.pi * d.min()))
+    for other in ((5.0, 0.0, None), (0.01, 0.0, 0.0), (float("nan"), 0.0, 0.0), (float("inf"), 0.0, 0.0)):
+        more = targets.unionByName(spark.createDataFrame([(99, *other)], targets.schema))
+        assert M.grid_sources(more, sources, 2.0) is None
+    close = M.field(spark.createDataFrame([(0, 0.01, 0.0, 0.0)], targets.schema), sources, "laplace", 0.0).first()
+    assert np.isclose(complex(close.re, close.im), (w / (4 * np.pi * np.linalg.norm(q - [0.01, 0, 0], axis=1))).sum(), rtol=1e-10)
